@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, licences, mix, packing, quality, suffix_dedup, token_count, topk, url_filter
+from . import class_lm, jaccard_join, licences, mix, packing, quality, suffix_dedup, token_count, topk, url_filter
 from .common import read_table
 
 #: Where the public vocabulary files lie, the same on every executor.
@@ -44,6 +44,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.measure(read_table(spark, sf_dir, "documents"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix.mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
