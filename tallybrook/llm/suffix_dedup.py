@@ -36,6 +36,8 @@ GRAM = 37
 SPAN = WINDOW - GRAM + 1  # grams in a window; a power of two
 #: An anchor with so many different surroundings, and four times as many as chunks that have it, goes by whole windows.
 MANY = 512
+#: Bytes that are hashed at a time.
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWER = {n: np.uint64(pow(_BASE, n, 1 << 64)) for n in (1, 2, 4, 5, 8, 16)}
 
@@ -63,20 +65,25 @@ def _sliding(a: np.ndarray, pick, span: int = SPAN) -> np.ndarray:
     return a
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hashes, least hash of each valid window by its start (else 0), and anchor positions.
+def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hashes, anchor positions, and the nearest and farthest start, before each anchor, of the windows it stands for.
 
     starts: the documents' bounds in data, the end included."""
     n = len(data)
+    none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none
     h = gram_hashes(data)
     least = _sliding(h, np.minimum)
     room = np.repeat(starts[1:], np.diff(starts))[: len(least)] - np.arange(len(least))
     least[room < WINDOW] = 0
     edge = np.zeros(SPAN - 1, np.uint64)
     top = _sliding(np.concatenate([edge, least, edge]), np.maximum)
-    return h, least, np.flatnonzero(top == h)
+    at = np.flatnonzero(top == h)
+    window = at[:, None] - np.arange(SPAN)
+    own = (window >= 0) & (window < len(least))
+    own &= least[np.clip(window, 0, len(least) - 1)] == h[at][:, None]
+    return h, at, own.argmax(1).astype(np.uint8), (SPAN - 1 - own[:, ::-1].argmax(1)).astype(np.uint8)
 
 
 def _surroundings(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -89,11 +96,26 @@ def _surroundings(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _segments(texts: Texts):
+    """(first byte, bounds) of stretches of whole documents; a long document comes in stretches that overlap by a window."""
+    for first, last in texts.batches(SEGMENT):
+        at = texts.at[first : last + 1]
+        if last - first > 1 or at[-1] - at[0] <= 2 * SEGMENT:
+            yield int(at[0]), at - at[0]
+            continue
+        for s in range(int(at[0]), int(at[-1]) - WINDOW + 1, SEGMENT):
+            yield s, np.array([0, min(SEGMENT + WINDOW - 1, int(at[-1]) - s)])
+
+
 def _all_anchors(texts: Texts):
-    for first, last in texts.batches():
-        base = int(texts.at[first])
-        h, least, at = anchors(texts.data[base : int(texts.at[last])], texts.at[first : last + 1] - base)
-        yield base, h, least, at
+    for base, starts in _segments(texts):
+        h, *found = anchors(texts.data[base : base + int(starts[-1])], starts)
+        yield base, h, *found
+
+
+def _names(h: np.ndarray) -> np.ndarray:
+    """48-bit names of anchors. Anchors have small hashes, being least of their windows; another mixing spreads them."""
+    return mix64(h * np.uint64(_BASE)) >> np.uint64(16)
 
 
 def _announce(buckets: int):
@@ -101,10 +123,10 @@ def _announce(buckets: int):
 
     def run(key, table):
         texts = Texts(table)
-        found = [(h[at], _surroundings(h, at)) for _, h, _, at in _all_anchors(texts)]
+        found = [(_names(h[at]), _surroundings(h, at)) for _, h, at, _, _ in _all_anchors(texts)]
         rows = []
         if found:
-            v = np.concatenate([x[0] for x in found]) >> np.uint64(16)
+            v = np.concatenate([x[0] for x in found])
             around = np.concatenate([x[1] for x in found])
             order = np.lexsort((around, v))
             v, around = v[order], around[order]
@@ -242,8 +264,8 @@ def _send_runs(buckets: int):
         if not docs.num_rows or not answers.num_rows:
             return table_of([], names, kinds)
         texts = Texts(docs)
-        found = list(_all_anchors(texts))
-        v = np.unique(np.concatenate([h[at] for _, h, _, at in found]) >> np.uint64(16))
+        found = [(at + base, _names(h[at]), low, high) for base, h, at, low, high in _all_anchors(texts)]
+        v = np.unique(np.concatenate([x[1] for x in found]))
         flags = np.zeros(len(v), np.uint8)
         told = dict(zip(answers["bucket"].to_pylist(), answers["flags"].to_pylist(), strict=True))
         for b, s, e in slices(v, buckets):
@@ -255,19 +277,11 @@ def _send_runs(buckets: int):
         wide_doc, wide_at = [], []
         own: list[tuple[int, int, int]] = []
         memory = texts.memory
-        back = np.arange(SPAN)
-        for base, h, least, at in found:
-            flag = flags[np.searchsorted(v, h[at] >> np.uint64(16))]
-            at, flag = at[flag > 0], flag[flag > 0]
-            if not len(at):
-                continue
-            window = at[:, None] - back
-            is_own = (window >= 0) & (window < len(least))
-            is_own &= least[np.clip(window, 0, len(least) - 1)] == h[at][:, None]
-            low = is_own.argmax(1)
-            high = SPAN - 1 - is_own[:, ::-1].argmax(1)
-            doc = np.searchsorted(texts.at, at + base, "right") - 1
-            for p, d, lo, hi, f, k in zip((at + base).tolist(), doc.tolist(), low.tolist(), high.tolist(), flag.tolist(), (h[at] >> np.uint64(16)).tolist(), strict=True):
+        for at, name, low, high in found:
+            flag = flags[np.searchsorted(v, name)]
+            known = np.flatnonzero(flag)
+            doc = np.searchsorted(texts.at, at[known], "right") - 1
+            for p, d, lo, hi, f, k in zip(at[known].tolist(), doc.tolist(), low[known].tolist(), high[known].tolist(), flag[known].tolist(), name[known].tolist(), strict=True):
                 start = int(texts.at[d])
                 whole = bytes(memory[p - hi : p - lo + WINDOW])
                 mark = (whole, lo, hi)
