@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import memory, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, memory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

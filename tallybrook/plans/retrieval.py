@@ -366,7 +366,7 @@ _BOOT = """, subjects AS (SELECT method, budget, uid, avg("new") AS x FROM evals
 members AS (SELECT *, row_number() OVER (PARTITION BY method, budget ORDER BY uid) - 1 AS i, count(*) OVER (PARTITION BY method, budget) AS n FROM subjects),
 sizes AS (SELECT DISTINCT method, budget, n FROM members),
 draws AS (SELECT method, budget, n, b, CAST(('0x' || substr(md5('20260930:' || b || ':' || j), 1, 15)) AS BIGINT) % n AS i FROM sizes, range(200) AS r(b), range(1000) AS s(j) WHERE j < n),
-means AS (SELECT d.method, d.budget, d.n, b, sum(x) / d.n AS m FROM draws d JOIN members m ON m.method = d.method AND m.budget = d.budget AND m.i = d.i GROUP BY ALL)"""
+means AS (SELECT d.method, d.budget, d.n, b, sum(x) / any_value(d.n) AS m FROM draws d JOIN members m ON m.method = d.method AND m.budget = d.budget AND m.i = d.i GROUP BY ALL)"""
 
 
 def queries() -> dict:
