@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory, retrieval
+from . import memory, records, retrieval
 
-_MODULES = (retrieval, memory)
+_MODULES = (retrieval, memory, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
