@@ -1,0 +1,155 @@
+"""Checks of small documents on the driver: plans, campaigns, projects, routes, reviews, receipts. Each returns what is wrong."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Callable
+from datetime import datetime
+
+_ID = re.compile(r"[a-z][a-z0-9_]{0,39}")
+_HEX = re.compile(r"[0-9a-f]{64}")
+
+Rules = list[tuple[Callable[[dict], bool], str]]
+
+
+def _number(x, low: float = -math.inf, high: float = math.inf) -> bool:
+    return type(x) in (int, float) and math.isfinite(x) and low <= x <= high
+
+
+def _whole(x, low: int, high: int) -> bool:
+    return type(x) is int and low <= x <= high
+
+
+def _distinct(x, low: int, high: int, ok: Callable) -> bool:
+    return isinstance(x, list) and low <= len(x) <= high and all(map(ok, x)) and len(set(x)) == len(x)
+
+
+def _name(x) -> bool:
+    return isinstance(x, str) and _ID.fullmatch(x) is not None
+
+
+def _seed(x) -> bool:
+    return _whole(x, 0, 2**31 - 1)
+
+
+def _apply(doc: dict, fields: set[str], rules: Rules) -> list[str]:
+    if not isinstance(doc, dict) or set(doc) != fields:
+        return ["fields differ from the schema"]
+    return [said for ok, said in rules if not ok(doc)]
+
+
+_TEXT = ("title", "question", "hypothesis", "experiment", "primary_metric")
+_COMMON: Rules = [
+    (lambda p: all(isinstance(p[k], str) and p[k].strip() for k in _TEXT), "texts must not be empty"),
+    (lambda p: p["direction"] in ("maximize", "minimize"), "direction is maximize or minimize"),
+    (lambda p: _number(p["timeout_seconds"], 0, 86_400) and p["timeout_seconds"] > 0, "timeout is within a day"),
+    (lambda p: _whole(p["max_attempts"], 1, 3), "one to three attempts"),
+]
+_SHARED = {"schema_version", "title", "question", "hypothesis", "experiment", "primary_metric", "direction", "timeout_seconds", "max_attempts", "limitations"}
+
+
+def plan_errors(plan: dict) -> list[str]:
+    return _apply(plan, _SHARED | {"methods", "baseline", "seeds", "references"}, [
+        (lambda p: p["schema_version"] == 1, "unknown version"),
+        *_COMMON,
+        (lambda p: _distinct(p["methods"], 2, 10, _name), "two to ten distinct methods"),
+        (lambda p: p["baseline"] in p["methods"], "baseline is a method"),
+        (lambda p: _distinct(p["seeds"], 2, 30, _seed), "two to thirty distinct seeds"),
+        (lambda p: all(re.match(r"https?://", r.get("url", "")) for r in p["references"]), "references have web addresses"),
+    ])
+
+
+def campaign_errors(c: dict) -> list[str]:
+    return _apply(c, _SHARED | {"baseline", "candidates", "ablations", "development_seeds", "holdout_seeds", "budget", "search", "sources"}, [
+        (lambda p: p["schema_version"] == 2, "unknown version"),
+        *_COMMON,
+        (lambda p: _distinct(p["candidates"], 1, 10, _name) and _distinct(p["ablations"], 0, 10, _name), "distinct candidates and ablations"),
+        (lambda p: p["baseline"] not in {*p["candidates"], *p["ablations"]}, "baseline is neither candidate nor ablation"),
+        (lambda p: not set(p["candidates"]) & set(p["ablations"]), "a candidate is no ablation"),
+        (lambda p: _distinct(p["development_seeds"], 2, 30, _seed) and _distinct(p["holdout_seeds"], 2, 30, _seed), "two to thirty distinct seeds"),
+        (lambda p: not set(p["development_seeds"]) & set(p["holdout_seeds"]), "no seed is in both splits"),
+        (lambda p: _whole(p["budget"]["max_attempts"], 1, 100_000) and _number(p["budget"]["max_timeout_seconds"], 0), "budget out of range"),
+        (lambda p: _whole(p["search"]["max_trials"], 1, 100) and _whole(p["search"]["patience"], 1, 100) and _number(p["search"]["min_improvement"], 0), "search out of range"),
+    ])
+
+
+def holdout_reserve(campaign: dict) -> int:
+    """Attempts that a trial and the final comparisons may still take."""
+    dev, held = len(campaign["development_seeds"]), len(campaign["holdout_seeds"])
+    return (2 * dev + (2 + len(campaign["ablations"])) * held) * campaign["max_attempts"]
+
+
+def project_errors(stages: list[dict]) -> list[str]:
+    """Ids, order of dependencies, and a freeze before each holdout."""
+    seen, wrong = {}, []
+    for s in stages:
+        if not isinstance(s.get("id"), str) or not re.fullmatch("[a-zA-Z0-9_-]+", s["id"]) or s["id"] in seen:
+            wrong.append(f"bad or repeated id {s.get('id')!r}")
+        needs = s.get("needs", [])
+        wrong += [f"{s.get('id')} needs {n}, which doesn't stand before it" for n in needs if n not in seen]
+        if s.get("split", "development") == "holdout" and not any(seen.get(n, {}).get("adapter") == "freeze" for n in needs):
+            wrong.append(f"{s.get('id')} is a holdout without a freeze")
+        seen[s.get("id")] = s
+    return wrong
+
+
+def result_errors(result: dict, method: str, seed: int, metric: str) -> list[str]:
+    m = result.get("metrics") if isinstance(result, dict) else None
+    if not isinstance(m, dict):
+        return ["no metrics"]
+    rules = [
+        (result.get("method") == method and result.get("seed") == seed, "identity differs"),
+        (metric in m, "the primary metric is missing"),
+        (all(_number(x) for x in m.values()), "metrics are finite numbers"),
+        (isinstance(result.get("provenance"), dict), "no provenance"),
+    ]
+    return [said for ok, said in rules if not ok]
+
+
+def digest_ok(x) -> bool:
+    return isinstance(x, str) and _HEX.fullmatch(x) is not None
+
+
+def review_errors(review: dict, valid: set[str]) -> list[str]:
+    return _apply(review, {"summary", "findings"}, [
+        (lambda r: isinstance(r["summary"], str) and bool(r["summary"].strip()), "summary is empty"),
+        (lambda r: all(set(f) == {"severity", "text", "evidence"} and f["severity"] in ("low", "medium", "high") for f in r["findings"]), "finding out of schema"),
+        (lambda r: all(set(f.get("evidence", [])) <= valid for f in r["findings"]), "unknown evidence"),
+    ])
+
+
+def route_errors(route: dict, aliases: set[str]) -> list[str]:
+    rules = [
+        (_whole(route.get("max_input_bytes"), 1, 1 << 24), "input bytes out of range"),
+        (_whole(route.get("reservation"), 1, 1 << 31) and route["reservation"] >= (route.get("max_input_bytes") or 0), "reservation below the input's bytes"),
+        (set(route.get("roles", {}).values()) <= aliases, "a role has an unknown alias"),
+    ]
+    return [said for ok, said in rules if not ok]
+
+
+def receipt_errors(receipt: dict, token: str, pdf: str) -> list[str]:
+    def aware(x) -> bool:
+        try:
+            return datetime.fromisoformat(x).tzinfo is not None
+        except (TypeError, ValueError):
+            return False
+
+    rules = [
+        (receipt.get("status") in ("submitted", "accepted", "rejected"), "unknown status"),
+        (receipt.get("token_sha256") == token and receipt.get("pdf_sha256") == pdf, "digests differ"),
+        (aware(receipt.get("time")), "time has no zone"),
+        (bool(receipt.get("destination")) and bool(receipt.get("venue")), "destination and venue are needed"),
+    ]
+    return [said for ok, said in rules if not ok]
+
+
+def fenced_json(text: str) -> dict:
+    """The object of a reply, with or without a code fence."""
+    import json
+
+    body = re.fullmatch(r"\s*```[a-z]*\s*\n?(.*?)\s*```\s*", text, re.S)
+    value = json.loads(body[1] if body else text)
+    if not isinstance(value, dict):
+        raise ValueError("an object is expected")
+    return value

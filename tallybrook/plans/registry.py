@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory, records, retrieval
+from . import memory, records, retrieval, streams
 
-_MODULES = (retrieval, memory, records)
+_MODULES = (retrieval, memory, records, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
