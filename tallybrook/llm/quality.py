@@ -116,7 +116,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return quality(docs, keep=True, **how).filter("kept").select("row.*")
+    judged = quality(docs, keep=True, **how)
+    # a plain filter would be pushed down, and with it the verdict's expressions into each other; a generator isn't
+    kept = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return kept.filter("row IS NOT NULL").select("row.*")
 
 
 def oracle() -> str:
