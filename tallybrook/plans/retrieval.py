@@ -13,6 +13,7 @@ from ..sources import tables as S
 
 #: The invented prose has none of the real cues, so registered queries take frequent words for cues.
 CUES = ("the", "that", "and", "les", "der", "que")
+#: Units and strategies of the study.
 METHODS = (
     "turn_bm25", "turn_timecue", "turn_rrf", "turn_density", "turn_stop",
     "sentence_bm25", "sentence_timecue", "sentence_rrf", "sentence_density",
@@ -29,16 +30,20 @@ def _scores(spark, d, unit="turn") -> DataFrame:
 
 
 def eval_rows(spark: SparkSession, d: str, methods=METHODS, budgets=P.BUDGETS) -> DataFrame:
-    """One row for each scenario, query, method and budget."""
-    gold, out = S.gold(S.turns(spark, d)), None
-    scored = {u: _scores(spark, d, u) for u in ("turn", "sentence")}
-    for m in methods:
-        unit, strategy = m.split("_", 1)
-        ranked = R.ranked(scored[unit], strategy)
-        packed = (P.pack_stop if strategy == "stop" else P.pack_greedy)(ranked, budgets)
-        rows = P.score(packed, gold).withColumn("method", F.lit(m))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """One row for each scenario, query, method and budget. Documents of both units are scored and ranked in one pass."""
+    asked = S.queries(spark, d)
+    turns = S.turns(spark, d)
+    units = {u: tuple(m.split("_", 1)[1] for m in methods if m.startswith(u)) for u in ("turn", "sentence")}
+    keys, greedy = ("uid", "dim", "method"), None
+    method = F.concat_ws("_", "unit", "strategy")
+    for unit, strategies in units.items():
+        if strategies:
+            r = R.ranked_all(R.scores(R.documents(turns, unit, CUES), asked), strategies).withColumn("unit", F.lit(unit)).withColumn("method", method)
+            greedy = r if greedy is None else greedy.unionByName(r)
+    packed = P.pack_greedy(greedy.filter("strategy <> 'stop'"), budgets, keys)
+    if "stop" in units["turn"]:
+        packed = packed.unionByName(P.pack_stop(greedy.filter("strategy = 'stop'"), budgets, keys))
+    return P.score(packed, S.gold(turns))
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
