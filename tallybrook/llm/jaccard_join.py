@@ -8,10 +8,11 @@ Documents are sets of 64-bit hashes of word shingles. Two link when 100 |x & y|
    the components of these shared shingles. No pairs are made here; a shingle in a third of all documents adds one
    entry a chunk.
 3. Within a group, a signature tree holds OR-combined token bitmaps and size ranges; two nodes are compared with each
-   other from the root down and dropped as soon as the largest overlap that the bitmaps allow is too small. Pairs of
-   sets that are connected already are skipped. Groups are split into blocks and pairs of blocks, so a task's memory
-   is bounded whatever the size of the group; no partner is cut off.
-4. The links' components give each document the smallest doc_id it reaches.
+   other from the root down and dropped as soon as the largest overlap that the bitmaps allow is too small. The pairs
+   of sets that are left are compared exactly. Groups are split into blocks and pairs of blocks, so a task's memory is
+   bounded whatever the size of the group; no partner is cut off.
+4. The links' components give each document the smallest doc_id it reaches; n_links counts the other documents it links
+   with directly, copies included.
 
 A text without words (or null) has an empty set and links with nothing; with fewer words than a shingle takes, the whole
 sequence is one shingle. Rows that share a doc_id count as linked; rows without one take part in nothing and get a null
@@ -24,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import Texts, chunked, from_six, mix64, pack, six_bytes, table_of, unpack
@@ -286,7 +287,8 @@ class Tree:
         sizes = np.array([len(s) for s in sets])
         order = np.argsort(sizes, kind="stable")
         self.ids = [ids[i] for i in order]
-        self.sets = [frozenset(sets[i].tolist()) for i in order]
+        self.arrays = [sets[i] for i in order]
+        self._sets: list[frozenset] | None = None
         sizes = sizes[order]
         bits = np.zeros((len(order), BITS), bool)
         bits[np.repeat(np.arange(len(order)), sizes), np.concatenate([sets[i] for i in order]) % np.uint64(BITS)] = True
@@ -297,6 +299,12 @@ class Tree:
             at = np.arange(0, len(low), LEAF)
             self.levels.append((np.bitwise_or.reduceat(bitmap, at, 0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at)))
 
+    @property
+    def sets(self) -> list[frozenset]:
+        if self._sets is None:
+            self._sets = [frozenset(s.tolist()) for s in self.arrays]
+        return self._sets
+
     def reaching(self, level: int, rows: slice, other: Tree, level2: int, columns: slice, percent: int) -> np.ndarray:
         """Pairs of nodes whose sets may link: sizes near enough, and enough common bits."""
         b, low, high, slack = (x[rows] for x in self.levels[level])
@@ -306,8 +314,9 @@ class Tree:
         return near & ((100 + percent) * most >= percent * (low[:, None] + low2))
 
 
-def tree_links(x: Tree, y: Tree, forest: Forest, percent: int) -> None:
-    """Joins in forest all linked pairs between two trees (or within one), by traversing both from their roots."""
+def candidates(x: Tree, y: Tree, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets (by place) of two trees, or within one, that the bounds don't rule out: both are traversed from their roots."""
+    out = []
     todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while todo:
         i, a, j, b = todo.pop()
@@ -322,60 +331,105 @@ def tree_links(x: Tree, y: Tree, forest: Forest, percent: int) -> None:
             if down or down2:
                 todo.append((down, p, down2, q))
             elif x is not y or p < q:
-                m, n = x.ids[p], y.ids[q]
-                if forest.find(m) != forest.find(n):
-                    s, t = x.sets[p], y.sets[q]
-                    both = len(s & t)
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        forest.join(m, n)
+                out.append((p, q))
+    return out
+
+
+def overlaps(x: Tree, y: Tree) -> np.ndarray:
+    """Sizes of all intersections between two blocks, by products of 0/1 matrices over the shingles that several sets hold."""
+    both = [x] if x is y else [x, y]
+    flat = np.concatenate([s for t in both for s in t.arrays])
+    _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[which]
+    owner = np.repeat(np.arange(sum(len(t.ids) for t in both)), [len(s) for t in both for s in t.arrays])
+    total = np.zeros((len(x.ids), len(y.ids)), np.int64)
+    first = 0 if x is y else len(x.ids)
+    for start in range(0, int((times > 1).sum()), 8192):
+        mine = (column >= start) & (column < start + 8192)
+        m = np.zeros((int(owner[-1]) + 1, 8192), np.float32)
+        m[owner[mine], column[mine] - start] = 1
+        total += (m[: len(x.ids)] @ m[first:].T).astype(np.int64)
+    return total
+
+
+def links_between(x: Tree, y: Tree, percent: int) -> list[tuple[int, int]]:
+    """Places of all linked pairs."""
+    pairs = candidates(x, y, percent)
+    if not pairs:
+        return []
+    p, q = np.array(pairs).T
+    n, m = np.array([len(s) for s in x.arrays])[p], np.array([len(s) for s in y.arrays])[q]
+    # a few pairs are cheaper one by one, and many as a product
+    both = overlaps(x, y)[p, q] if len(pairs) > 500 else np.array([len(x.sets[i] & y.sets[j]) for i, j in pairs])
+    return [pairs[i] for i in np.flatnonzero(100 * both >= percent * (n + m - both))]
 
 
 def _join_cells(percent: int):
+    """Rows of two kinds: links that span what is connected, and each set's number of partners, copies included."""
+
     def run(key, table):
         cells: dict[tuple, tuple[list, list]] = {}
-        columns = (table[c].to_pylist() for c in ("component", "i", "j", "side", "doc_id", "blob"))
-        for component, i, j, side, doc, blob in zip(*columns, strict=True):
-            cells.setdefault((component, i, j), ([], []))[side].append((doc, blob))
-        links: list[tuple[int, int]] = []
+        columns = (table[c].to_pylist() for c in ("component", "i", "j", "side", "doc_id", "copies", "blob"))
+        for component, i, j, side, doc, copies, blob in zip(*columns, strict=True):
+            cells.setdefault((component, i, j), ([], []))[side].append((doc, copies, blob))
+        rows: list[tuple[int, int, int]] = []
         for left, right in cells.values():
-            forest = Forest()
-            trees = [Tree([d for d, _ in part], [from_six(s) for _, s in part]) if part else None for part in (left, right)]
-            if trees[0] and not right and len(left) > 1:
-                tree_links(trees[0], trees[0], forest, percent)
-            elif trees[0] and trees[1]:
-                tree_links(trees[0], trees[1], forest, percent)
-            links += forest.links()
-        return table_of(links, ["a", "b"], [pa.int64(), pa.int64()])
+            if not left or (len(left) == 1 and not right):
+                continue
+            copies = {d: c for part in (left, right) for d, c, _ in part}
+            x = Tree([d for d, _, _ in left], [from_six(s) for _, _, s in left])
+            y = Tree([d for d, _, _ in right], [from_six(s) for _, _, s in right]) if right else x
+            forest, partners = Forest(), dict.fromkeys(copies, 0)
+            for p, q in links_between(x, y, percent):
+                a, b = x.ids[p], y.ids[q]
+                forest.join(a, b)
+                partners[a] += copies[b]
+                partners[b] += copies[a]
+            rows += [(0, a, b) for a, b in forest.links()] + [(1, d, n) for d, n in partners.items() if n]
+        return table_of(rows, ["kind", "a", "b"], [pa.int32(), pa.int64(), pa.int64()])
 
     return run
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+    """doc_id, n_shingles, component_id and n_links for every row."""
     dealt, chunks = chunked(docs)
     told = dealt.groupBy("chunk").applyInArrow(_announce(chunks, words), "bucket int, chunk int, run binary").groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, told binary")
     found = cut(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_select(chunks, words, percent), _ROW))
     met = found.filter(F.col("kind") == KEYS).select(F.col("n").alias("bucket"), "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     inside = found.filter(F.col("kind") == LINK).select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
     group = components(met.union(inside)).withColumnRenamed("node", "doc_id")
+    members = found.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), "owner")
+    copies = cut(members.filter("n_shingles > 0 AND owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("copies")))
     sizes = group.groupBy("component").agg(F.count("*").alias("held"))
     sizes = cut(sizes.select("component", F.ceil(F.col("held") / block).cast("int").alias("blocks")))
     group = cut(group.join(sizes, "component").select("doc_id", "component", "blocks"))
+    group = cut(group.join(copies.withColumnRenamed("owner", "doc_id"), "doc_id"))
     n_groups = max(1, math.ceil(group.count() / (2 * block)))
     sets = found.filter(F.col("kind") == SET).select("doc_id", "blob").join(group, "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("component", "doc_id", "blob", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    sets = sets.select("component", "doc_id", "copies", "blob", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     # small groups share a task's group; a pair of blocks of a large one has its own
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(n_groups))).otherwise(F.xxhash64("component", "i", "j"))
-    links = sets.withColumn("cell", cell).drop("blocks").groupBy("cell").applyInArrow(_join_cells(percent), "a long, b long")
-    joined = components(links).select(F.col("node").alias("owner"), "component")
-    members = found.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), "owner")
-    return members.join(joined, "owner", "left").select("doc_id", "n_shingles", F.coalesce("component", "owner").alias("component_id"))
+    linked = cut(sets.withColumn("cell", cell).drop("blocks").groupBy("cell").applyInArrow(_join_cells(percent), "kind int, a long, b long"))
+    joined = components(linked.filter("kind = 0").select("a", "b"))
+    partners = cut(linked.filter("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("partners")))
+    told = cut(joined.join(partners, "node", "left")).join(copies.withColumnRenamed("owner", "node"), "node", "full_outer")
+    told = cut(told.select(F.col("node").alias("owner"), "component", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    joined = members.join(told, "owner", "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component", "owner").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, and rows without id; in docs' own columns."""
+    """One document of each component: that with the smallest doc_id (of rows that share it, the first by text), and rows
+    without id; in docs' own columns."""
     linked = link_documents(docs, **how)
-    gone = cut(linked.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = cut(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("n")).filter("n > 1 OR c <> doc_id"))
+    kept = docs.join(ids.filter("c <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = ids.filter("n > 1 AND c = doc_id").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

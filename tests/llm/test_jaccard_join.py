@@ -27,7 +27,11 @@ def brute(rows):
             if d is not None and e is not None and s and t and 100 * len(s & t) >= 75 * len(s | t):
                 a, b = find(d), find(e)
                 up[max(a, b)] = min(a, b)
-    return sorted(((d, len(s), None if d is None else find(d)) for d, s in sets), key=repr)
+    def links(i):
+        d, s = sets[i]
+        return sum(d is not None and e is not None and i != j and bool(s) and bool(t) and 100 * len(s & t) >= 75 * len(s | t) for j, (e, t) in enumerate(sets))
+
+    return sorted(((d, len(s), None if d is None else find(d), links(i)) for i, (d, s) in enumerate(sets)), key=repr)
 
 
 def result(spark, rows, **how):
@@ -59,6 +63,19 @@ def test_large_group_in_blocks(spark):
     assert result(spark, rows, block=8) == brute(rows)
 
 
+def test_dense_block_by_products(spark):
+    rng = random.Random(9)
+    base = ["v%d" % rng.randrange(400) for _ in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = "x%d" % rng.randrange(50)
+        rows.append((i, " ".join(w)))
+    assert result(spark, rows) == brute(rows)
+    assert result(spark, rows, block=40) == brute(rows)
+
+
 def test_empty_table(spark):
     assert result(spark, []) == []
 
@@ -76,3 +93,5 @@ def test_words_and_sets_follow_the_text():
 def test_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "A b c d e f", "t"), (3, "z", None)], "doc_id long, text string, source string")
     assert sorted(r["doc_id"] for r in jj.keep_one(df).collect()) == [1, 3]
+    again = df.union(df.filter("doc_id <> 2")).union(spark.createDataFrame([(None, "z", "u")], df.schema))
+    assert sorted(map(repr, jj.keep_one(again).collect())) == sorted(map(repr, [*df.filter("doc_id <> 2").collect(), *again.filter("doc_id IS NULL").collect()]))
