@@ -64,16 +64,20 @@ def mem_event_window(spark, d):
 def _policy(name):
     def run(spark, d):
         e = S.memory_events(spark, d)
-        return M.read(M.retain(e, name), M.asked(e), name)
+        return M.read(M.retain_all(e, (name,)), M.asked(e), name)
 
     return run
 
 
+def mem_source_jvm(spark, d):
+    """The fold as an expression inside the JVM."""
+    e = S.memory_events(spark, d)
+    return M.read(M.retain(e, "source"), M.asked(e), "source")
+
+
 def _judged(spark, d):
-    e, out = S.memory_events(spark, d), None
-    for name in M.POLICIES:
-        p = M.read(M.retain(e, name), M.asked(e), name).withColumn("policy", F.lit(name))
-        out = p if out is None else out.unionByName(p)
+    e = S.memory_events(spark, d)
+    out = M.read(M.retain_all(e), M.asked(e))
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("task") % len(FAMILIES) + 1).cast("int"))
     return M.judged(out, e).withColumn("family", family)
 
@@ -195,7 +199,7 @@ _SIMS = (("recent_window", "recent"), ("events_only", "events_only"), ("keyed_me
 
 
 def queries() -> dict:
-    named = (mem_recent, mem_events_only, mem_keyed, mem_fifo, mem_first_write, sim_metrics, mem_oracle, mem_event_window, mem_stale, mem_metrics, mem_family_metrics, dataset_identity)
+    named = (mem_recent, mem_events_only, mem_keyed, mem_fifo, mem_first_write, sim_metrics, mem_oracle, mem_event_window, mem_stale, mem_metrics, mem_family_metrics, mem_source_jvm, dataset_identity)
     return {f.__name__: f for f in named} | {f"mem_{n}": _policy(n) for n in M.POLICIES}
 
 
@@ -210,6 +214,7 @@ SELECT q.task, q.budget, q.key, coalesce(o.expected, 'ABSTAIN') AS predicted FRO
         "mem_oracle": f"WITH {_EVENTS}, {_oracle_sql('events5', 'orc')} SELECT task, key, expected, CAST(len(active) AS INT) AS n_active, CAST(len(history) AS INT) AS n_history FROM orc",
         "mem_event_window": window,
         **{f"mem_{n}": f"WITH RECURSIVE {_EVENTS}, {_policy_sql(n)} SELECT * FROM read_{n}" for n in M.POLICIES},
+        "mem_source_jvm": f"WITH RECURSIVE {_EVENTS}, {_policy_sql('source')} SELECT * FROM read_source",
         "mem_stale": _judged_sql() + " SELECT policy, budget, task, key, predicted, expected FROM judged WHERE stale",
         "mem_metrics": _metrics_sql("policy, budget"),
         "mem_family_metrics": _metrics_sql("policy, budget, family"),

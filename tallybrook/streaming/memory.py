@@ -12,45 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.memory import POLICIES, Policy
+from ..operators.memory import POLICIES, Slots
 
 _STATE = "keys array<string>, sources array<string>, versions array<int>, items array<string>, peak int"
 _OUT = "task long, rows int, bytes int, peak int, state string"
 
 
-def row_text(key: str, source: str, version: int, value: str | None) -> str:
-    said = "null" if value is None else f'"{value}"'
-    return f'["{key}","{source}",{version},{said}]'
-
-
-class Slots:
-    """Retained rows, oldest acceptance first."""
-
-    def __init__(self, policy: Policy, budget: int, rows: dict | None = None, peak: int = 2):
-        self.policy, self.budget, self.peak = policy, budget, peak
-        self.rows: dict[tuple[str, str], tuple[int, str | None]] = rows or {}
-
-    def text(self) -> str:
-        return "[" + ",".join(row_text(*k, *v) for k, v in self.rows.items()) + "]"
-
-    def size(self) -> int:
-        return len(self.text().encode())
-
-    def put(self, op: str, key: str, source: str, version: int, value: str | None) -> None:
-        p = self.policy
-        slot = (key, "*" if p.collapse else source)
-        old = self.rows.get(slot)
-        dead_put = old is not None and p.versions and (version < old[0] or (version == old[0] and old[1] is None and op == "P"))
-        late_revoke = old is not None and op == "R" and version < old[0]
-        if not (dead_put or late_revoke or (op == "R" and not p.revoke)):
-            self.rows.pop(slot, None)
-            self.rows[slot] = (version, value if op == "P" else None)
-        while self.rows and self.size() > self.budget:
-            live = [k for k, v in self.rows.items() if v[1] is not None] if p.protect else []
-            self.rows.pop(live[0] if live else next(iter(self.rows)))
-        self.peak = max(self.peak, self.size())
-
-
 def retain_stream(events: DataFrame, policy: str, budget: int) -> DataFrame:
     """task, rows, bytes, peak, state (compact JSON) after each micro-batch that brought events of the task."""
     rule = POLICIES[policy]

@@ -3,7 +3,6 @@ import random
 import pytest
 
 from tallybrook.operators import memory as M
-from tallybrook.streaming.memory import Slots
 
 SCHEMA = "task long, pos long, op string, key string, source string, version int, value string"
 A, B = ("P", "k", "a", 1, "A"), ("P", "k", "b", 1, "A")
@@ -75,12 +74,16 @@ def test_fold_equals_plain_slots_and_keeps_the_budget(spark, policy):
     for t, events in enumerate(many):
         if not events:
             continue
-        s = Slots(M.POLICIES[policy], budget)
+        s = M.Slots(M.POLICIES[policy], budget)
         for e in events:
             s.put(*e)
         rows = [((r["key"], r["source"]), (r["version"], r["value"])) for r in got[t]["rows"]]
         assert rows == list(s.rows.items())
         assert (got[t]["bytes"], got[t]["peak"]) == (s.size(), s.peak) and s.peak <= budget
+        assert s.size() == len(s.text().encode())
+    arrow = {r["task"]: r for r in M.retain_all(frame(spark, many), (policy,), (budget,)).collect()}
+    for t, r in got.items():
+        assert [x["value"] for x in r["rows"]] == [x["value"] for x in arrow[t]["rows"]] and (r["bytes"], r["peak"]) == (arrow[t]["bytes"], arrow[t]["peak"])
 
 
 def test_unbounded_fold_equals_the_batch_rule(spark):
