@@ -3,7 +3,9 @@
 Words per source are summed (partially on the map side, so a hot source costs one row a task). Shares of the wanted
 total follow the weights, but no source may exceed `cap` times its size; the excess is dealt again by weight until no
 source is above its cap. That is water filling: with sources ordered by cap / weight, one running sum finds the level.
-A document is emitted floor(rate) times, plus once more if a hash of the seed and its id falls below the fraction.
+A document is emitted floor(rate) times, plus once more if a hash of the seed and its id falls below the fraction. Each
+source draws under that one of `DRAWS` seeds which brings its taken words nearest to its target; one more pass sums the
+words that each seed would take.
 Null texts have size 0, a null source is a source of its own (last in order), sources of size 0 get target 0, repeated
 rows draw alike, an empty table gives an empty result, and reruns agree.
 """
@@ -20,6 +22,7 @@ from .common import WORD, cut
 
 WEIGHTS = (3, 1, 2)
 SEED = 20240117
+DRAWS = 16
 #: Sources up to which the target table (one row a source) is broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 10_000
 
@@ -58,34 +61,52 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     return per.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(at["level"] * F.col("weight")).alias("target"))
 
 
-def uniform(id_col, seed: int = SEED):
-    """A number in [0, 1) from the seed and the id: the first 52 bits of an MD5 digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+def uniform(id_col, draw, seed: int = SEED):
+    """A number in [0, 1) from seed + draw and the id: the first 52 bits of an MD5 digest."""
+    text = F.concat((F.lit(seed) + draw).cast("string"), F.lit(":"), F.coalesce(id_col.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mix_plan(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
-    """doc_id, size, source_size, target, copies for every document."""
-    targets = cut(source_targets(_sizes(docs, ["source"]), **how))
-    targets = targets.withColumnsRenamed({"source": "of"})
+def _joined(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows with their source's target; the targets are broadcast if they are few."""
+    targets = targets.withColumnRenamed("source", "__of")
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = _sizes(docs, ["doc_id", "source"]).join(targets, F.col("source").eqNullSafe(F.col("of")))
+    return rows.join(targets, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+
+
+def with_draws(sizes: DataFrame, targets: DataFrame, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
+    """targets with rate and the draw that comes nearest. sizes: doc_id, source, size."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    targets = targets.withColumn("rate", rate)
+    fraction = F.col("rate") - F.floor("rate")
+    taken = [F.sum(F.when(uniform(F.col("doc_id"), F.lit(k), seed) < fraction, F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(draws)]
+    sums = _joined(sizes, targets.select("source", "rate")).groupBy(F.col("source").alias("__of")).agg(*taken)
+    off = lambda k: F.abs(F.col("target") - F.floor("rate") * F.col("source_size") - F.col(f"t{k}"))
+    best = F.array_min(F.array(*(F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(draws))))["k"]
+    return targets.join(sums, F.col("source").eqNullSafe(F.col("__of"))).select("source", "source_size", "target", "rate", best.alias("draw"))
+
+
+def _targets(docs: DataFrame, seed: int, **how) -> DataFrame:
+    targets = cut(source_targets(_sizes(docs, ["source"]), **how))
+    return cut(with_draws(_sizes(docs, ["doc_id", "source"]), targets, seed))
+
+
+def _copies(rate, draw, seed: int):
+    return F.floor(rate) + (uniform(F.col("doc_id"), draw, seed) < rate - F.floor(rate)).cast("long")
+
+
+def mix_plan(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every document."""
+    joined = _joined(_sizes(docs, ["doc_id", "source"]), _targets(docs, seed, **how))
+    return joined.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("rate"), F.col("draw"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The mixed documents themselves, with the columns of docs; each as often as the mix takes it."""
-    own = docs.columns
-    targets = cut(source_targets(_sizes(docs, ["source"]), **how)).select(F.col("source").alias("__of"), (F.col("target") / F.greatest("source_size", F.lit(1))).alias("__rate"))
-    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rate = F.col("__rate")
-    copies = F.floor(rate) + (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    taken = docs.join(targets, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__n", copies).filter("__n > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*own)
+    targets = _targets(docs, seed, **how).select("source", F.col("rate").alias("__rate"), F.col("draw").alias("__draw"))
+    taken = _joined(docs, targets).withColumn("__n", _copies(F.col("__rate"), F.col("__draw"), seed)).filter("__n > 0")
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
 
 
 def oracle() -> str:
@@ -98,8 +119,12 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{W
              / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
      f AS (SELECT *, most / weight <= level AS filled FROM l),
      t AS (SELECT source, source_size, CASE WHEN filled THEN most ELSE weight * (SELECT level FROM f WHERE NOT filled ORDER BY most / weight, source NULLS LAST LIMIT 1) END AS target FROM f),
-     r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
-           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+     g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+     u AS (SELECT d.source, k, sum(CASE WHEN CAST(('0x' || substr(md5(({SEED} + k) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN size ELSE 0 END) AS taken
+           FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, range({DRAWS}) AS r(k) GROUP BY d.source, k),
+     b AS (SELECT g.source, any_value(source_size) AS source_size, any_value(target) AS target, any_value(rate) AS rate,
+             arg_min(k, (abs(target - CAST(floor(rate) AS BIGINT) * source_size - CAST(taken AS BIGINT)), k)) AS draw
+           FROM g JOIN u ON g.source IS NOT DISTINCT FROM u.source GROUP BY g.source)
 SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN
-  CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM r"""
+  CAST(('0x' || substr(md5(({SEED} + draw) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source"""
