@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert set(kept) == {r[0] for r in rows} - {80, 81, 82, 83, 84}
     one = corpus_pipeline.near_copies(spark, good, str(tmp_path))
     assert one.columns == df.columns
-    want = {d for d, _, c in brute_links(sorted(kept.items())) if d == c}
+    want = {d for d, _, c, _ in brute_links(sorted(kept.items())) if d == c}
     left = {r["doc_id"]: r["text"] for r in one.collect()}
     assert set(left) == want and len(want) < len(kept)
     cut = corpus_pipeline.repeated_passages(spark, one, str(tmp_path))
