@@ -357,7 +357,7 @@ _REQUESTS = """WITH raw AS (SELECT event_id AS pos, event_type AS alias, user_id
 counts AS (SELECT *, CASE WHEN k % 13 <> 0 THEN k * 2 END AS i, CAST(floor(value) AS BIGINT) AS o, CASE WHEN k % 3 = 0 THEN k ELSE 0 END AS t FROM raw),
 requests AS (SELECT pos, alias, task, k, k + 100 AS reserved_tokens, CASE WHEN alias = 'error' THEN 'unknown' WHEN k % 10 = 0 THEN 'active' ELSE 'settled' END AS status, i IS NOT NULL AND i >= 0 AND o >= 0 AS ok,
   CASE WHEN i >= 0 AND o >= 0 THEN i END AS input_tokens, CASE WHEN i >= 0 AND o >= 0 THEN o END AS output_tokens, CASE WHEN i >= 0 AND o >= 0 THEN greatest(t, i + o) END AS total_tokens,
-  CASE WHEN i >= 0 AND o >= 0 THEN CASE WHEN k <= i THEN k ELSE 0 END END AS cached_input_tokens, CASE WHEN i >= 0 AND o >= 0 THEN CASE WHEN 4 <= o THEN 4 ELSE 0 END END AS reasoning_output_tokens FROM counts)"""
+  CASE WHEN i >= 0 AND o >= 0 THEN CASE WHEN k <= i THEN k ELSE 0 END END AS cached_input_tokens, CASE WHEN i >= 0 AND o >= 0 THEN CAST(CASE WHEN 4 <= o THEN 4 ELSE 0 END AS BIGINT) END AS reasoning_output_tokens FROM counts)"""
 _RUNS = """runs AS (SELECT *, CASE last WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'pending' END AS status
   FROM (SELECT user_id % 24 AS run, arg_max(event_type, event_id) AS last, count(*) AS attempts, count(*) FILTER (event_type = 'purchase') AS jobs, max(event_id) AS modified FROM events GROUP BY 1))"""
 _Q = lambda x: "TRUE" if x is True else "FALSE" if x is False else f"'{x}'" if isinstance(x, str) else str(x)
@@ -412,11 +412,11 @@ SELECT task, arg_max(admitted, k) AS admitted, arg_max(used, k) AS used, arg_max
         "request_cache": _REQUESTS + ", c AS (SELECT alias, coalesce(bool_or(status = 'settled') OVER (PARTITION BY alias, k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS reused FROM requests) SELECT alias, count(*) AS n, count(*) FILTER (reused) AS reused FROM c GROUP BY alias",
         "ledger_latest": _REQUESTS + " SELECT pos % 1000 AS id, arg_max(status, pos) AS status, arg_max(reserved_tokens, pos) AS reserved_tokens, count(*) AS states FROM requests GROUP BY 1",
         "settle_reservations": _REQUESTS + " SELECT task, CAST(sum(coalesce(CASE WHEN status = 'settled' THEN total_tokens END, reserved_tokens)) AS BIGINT) AS charged, count(*) FILTER (status = 'settled' AND total_tokens > reserved_tokens) AS overruns FROM requests GROUP BY task",
-        "recent_requests": _REQUESTS + " SELECT alias, pos, row_number() OVER (PARTITION BY alias ORDER BY pos DESC) AS rn, status, reserved_tokens FROM requests QUALIFY row_number() OVER (PARTITION BY alias ORDER BY pos DESC) <= 30",
+        "recent_requests": _REQUESTS + " SELECT alias, pos, CAST(row_number() OVER (PARTITION BY alias ORDER BY pos DESC) AS INT) AS rn, status, reserved_tokens FROM requests QUALIFY row_number() OVER (PARTITION BY alias ORDER BY pos DESC) <= 30",
         "feed_top80": "SELECT id, event, owner FROM (SELECT ts AS time, event_id AS id, event_type AS event, 'run-' || (user_id % 24) AS owner FROM events UNION ALL SELECT o_orderdate, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END, NULL FROM orders) ORDER BY time DESC, id DESC LIMIT 80",
         "board_totals": f"WITH {_RUNS} SELECT count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, CAST(sum(jobs) AS BIGINT) AS jobs, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (status IN ('running', 'searching', 'evaluating_holdout', 'writing', 'requesting')) AS active, count(*) FILTER (status = 'pending') AS pending FROM runs",
         "grid_progress": "SELECT user_id % 24 AS run, count(DISTINCT event_type) * count(DISTINCT k % 5) AS total, count(*) FILTER (event_type = 'purchase') AS completed, CAST(sum(k % 3 + 1) AS BIGINT) AS attempts FROM (SELECT *, CAST(props->>'$.k' AS INT) AS k FROM events) GROUP BY 1",
-        "runs_by_time": f"WITH {_RUNS} SELECT run, status, row_number() OVER (ORDER BY modified DESC) AS place FROM runs",
+        "runs_by_time": f"WITH {_RUNS} SELECT run, status, CAST(row_number() OVER (ORDER BY modified DESC) AS INT) AS place FROM runs",
         "alerts_union": _REQUESTS + f", {_RUNS} SELECT 'unsettled usage' AS alert, alias AS of, count(*) AS n FROM requests WHERE status = 'unknown' GROUP BY alias UNION ALL SELECT 'unreadable usage', alias, count(*) FROM requests WHERE NOT ok GROUP BY alias UNION ALL SELECT 'failed run', 'run-' || run, 1 FROM runs WHERE status = 'failed' UNION ALL SELECT 'wrong length', source, count(*) FROM documents WHERE length(text) <> n_chars GROUP BY source",
         "planned_anti": "SELECT doc_id AS task_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "ui_filter": "SELECT page_id FROM pages WHERE contains(lower('{\"page_id\":' || page_id || ',\"url\":\"' || url || '\"}'), 'blog.')",

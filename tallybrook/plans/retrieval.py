@@ -233,7 +233,7 @@ def reader_arms(spark, d):
     hits = docs.join(gold, "uid").filter(T.includes(F.col("text"), F.col("m_new")))
     last = hits.groupBy("uid").agg(F.max_by("serialized", "doc_i").alias("update"), F.max_by("bytes", "doc_i").alias("size")).filter("size <= 1024")
     base = P.pack_excluding(ranked, hits.select("uid", "doc_i"), (3072,)).join(last, "uid")
-    filler = "[withheld evidence] "
+    filler = "[withheld evidence] "  # fixed value
     sham = F.concat(F.lit(filler), F.repeat(F.lit(" "), F.greatest(F.lit(0), F.col("size") - len(filler))))
     arms = F.explode(F.array(F.struct(F.lit("oracle_update").alias("arm"), F.concat("context", "update").alias("c")), F.struct(F.lit("oracle_sham").alias("arm"), F.concat("context", sham).alias("c"))))
     made = base.select("uid", arms.alias("a")).select("uid", "a.arm", F.col("a.c").alias("context"))
@@ -272,7 +272,7 @@ def _sent(c: str) -> str:
 _CUE = rf"(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(CUES)})([^\p{{L}}\p{{N}}_]|$)"
 _TURNS = f"""
 turns AS (SELECT conv_id // 10 AS uid, conv_id AS session, turn, role, text FROM conversations),
-users AS (SELECT uid, session, turn, text, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY uid) AS n_turns
+users AS (SELECT uid, session, turn, text, CAST(row_number() OVER w - 1 AS INT) AS rank, count(*) OVER (PARTITION BY uid) AS n_turns
           FROM turns WHERE role = 'user' WINDOW w AS (PARTITION BY uid ORDER BY session, turn)),
 turn_docs AS (SELECT uid, session, turn, 0 AS part, rank, n_turns, text, '[session ' || session || ', turn ' || turn || '] ' || text || chr(10) AS serialized FROM users),
 sent_docs AS (SELECT uid, session, turn, CAST(part - 1 AS INT) AS part, rank, n_turns, s AS text,
@@ -299,7 +299,7 @@ both_ranks AS (SELECT *, row_number() OVER (PARTITION BY unit, uid, dim ORDER BY
 valued AS (SELECT * EXCLUDE (lex, rec), unnest([
    {{'strategy': 'bm25', 'v': r}}, {{'strategy': 'stop', 'v': r}}, {{'strategy': 'timecue', 'v': r + 0.25::DOUBLE * recency + 0.1::DOUBLE * cue}},
    {{'strategy': 'rrf', 'v': 1.0::DOUBLE / (60 + lex) + 1.0::DOUBLE / (60 + rec)}}, {{'strategy': 'density', 'v': r / greatest(1, bytes)}}]) AS x FROM both_ranks),
-ranked AS (SELECT *, x.strategy AS strategy, row_number() OVER (PARTITION BY unit, uid, dim, x.strategy ORDER BY round(x.v, 12) DESC, doc_i DESC) AS rn FROM valued)"""
+ranked AS (SELECT *, x.strategy AS strategy, CAST(row_number() OVER (PARTITION BY unit, uid, dim, x.strategy ORDER BY round(x.v, 12) DESC, doc_i DESC) AS INT) AS rn FROM valued)"""
 _GOLD = f""", ends AS (SELECT uid, arg_min(text, (session, turn)) AS o, arg_max(text, (session, turn)) AS n, arg_max(session, (session, turn)) AS update_session FROM users GROUP BY uid),
 gold AS (SELECT uid, 'T' || (uid % 2 + 1) AS type, coalesce({_sent('o')}[1], '') AS m_old, coalesce({_sent('n')}[1], '') AS m_new, update_session FROM ends)"""
 
@@ -358,7 +358,7 @@ def _rank_sql(strategy: str, unit: str = "turn") -> str:
 
 
 _POLICY = " UNION ALL ".join(
-    f"SELECT uid, dim, '{p['name']}' AS policy, doc_i, row_number() OVER (PARTITION BY uid, dim ORDER BY round({float(p['relevance'])}::DOUBLE * r + {float(p['recency'])}::DOUBLE * (doc_i / greatest(1, n_all - 1)::DOUBLE) + {float(p['change'])}::DOUBLE * cue, 12) DESC, doc_i DESC) AS rn FROM rel WHERE unit = 'turn'"
+    f"SELECT uid, dim, '{p['name']}' AS policy, doc_i, CAST(row_number() OVER (PARTITION BY uid, dim ORDER BY round({float(p['relevance'])}::DOUBLE * r + {float(p['recency'])}::DOUBLE * (doc_i / greatest(1, n_all - 1)::DOUBLE) + {float(p['change'])}::DOUBLE * cue, 12) DESC, doc_i DESC) AS INT) AS rn FROM rel WHERE unit = 'turn'"
     for p in R.POLICIES
 )
 _TURN_JOBS = "SELECT {'uid': uid, 'dim': dim} AS job, %s AS budget, rn, doc_i, bytes, session, serialized FROM ranked WHERE unit = 'turn' AND strategy = 'bm25'"
