@@ -8,6 +8,8 @@ costs each bucket at most one entry a chunk. What is sent are binary runs, one r
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import zlib
 
@@ -23,6 +25,37 @@ from .common import chunk_count
 PER_SPLIT = 4
 
 
+def trim() -> None:
+    """Gives freed memory back, which a worker would else hold while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def grouped(f):
+    """A function of (key, table) that gives its memory back."""
+
+    def run(key, table):
+        try:
+            return f(key, table)
+        finally:
+            trim()
+
+    return run
+
+
+def cogrouped(f):
+    """A function of (key, left, right) that gives its memory back."""
+
+    def run(key, left, right):
+        try:
+            return f(key, left, right)
+        finally:
+            trim()
+
+    return run
+
+
 def pack(*arrays) -> bytes:
     return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Texts, chunked, from_six, mix64, pack, six_bytes, table_of, unpack
+from .chunks import Texts, chunked, cogrouped, from_six, grouped, mix64, pack, six_bytes, table_of, unpack
 from .common import cut
 from .components import components
 
@@ -394,9 +394,9 @@ def _join_cells(percent: int):
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for every row."""
     dealt, chunks = chunked(docs)
-    told = dealt.groupBy("chunk").applyInArrow(_announce(chunks, words), "bucket int, chunk int, run binary").groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, told binary")
-    found = cut(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_select(chunks, words, percent), _ROW))
-    met = found.filter(F.col("kind") == KEYS).select(F.col("n").alias("bucket"), "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    told = dealt.groupBy("chunk").applyInArrow(grouped(_announce(chunks, words)), "bucket int, chunk int, run binary").groupBy("bucket").applyInArrow(grouped(_answer), "chunk int, bucket int, told binary")
+    found = cut(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cogrouped(_select(chunks, words, percent)), _ROW))
+    met = found.filter(F.col("kind") == KEYS).select(F.col("n").alias("bucket"), "blob").groupBy("bucket").applyInArrow(grouped(_meet), "a long, b long")
     inside = found.filter(F.col("kind") == LINK).select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
     group = components(met.union(inside)).withColumnRenamed("node", "doc_id")
     members = found.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), "owner")
@@ -412,7 +412,7 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = sets.select("component", "doc_id", "copies", "blob", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     # small groups share a task's group; a pair of blocks of a large one has its own
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(n_groups))).otherwise(F.xxhash64("component", "i", "j"))
-    linked = cut(sets.withColumn("cell", cell).drop("blocks").groupBy("cell").applyInArrow(_join_cells(percent), "kind int, a long, b long"))
+    linked = cut(sets.withColumn("cell", cell).drop("blocks").groupBy("cell").applyInArrow(grouped(_join_cells(percent)), "kind int, a long, b long"))
     joined = components(linked.filter("kind = 0").select("a", "b"))
     partners = cut(linked.filter("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("partners")))
     told = cut(joined.join(partners, "node", "left")).join(copies.withColumnRenamed("owner", "node"), "node", "full_outer")

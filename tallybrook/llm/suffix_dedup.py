@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Texts, bucket_of, chunked, from_six, mix64, pack, six_bytes, slices, table_of, unpack
+from .chunks import Texts, bucket_of, chunked, cogrouped, from_six, grouped, mix64, pack, six_bytes, slices, table_of, unpack
 
 WINDOW = 100
 GRAM = 37
@@ -418,9 +418,9 @@ def _cut(texts: Texts, stretches: np.ndarray):
 
 def _repeated(docs: DataFrame, chunks: int) -> DataFrame:
     """chunk, stretches: what is to be cut out; docs: chunk, doc_id, text."""
-    told = docs.groupBy("chunk").applyInArrow(_announce(chunks), "bucket int, chunk int, run binary").groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, flags binary")
-    runs = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_send_runs(chunks), "bucket int, kind int, chunk int, run binary")
-    return runs.groupBy("bucket").applyInArrow(_combine, "chunk int, stretches binary")
+    told = docs.groupBy("chunk").applyInArrow(grouped(_announce(chunks)), "bucket int, chunk int, run binary").groupBy("bucket").applyInArrow(grouped(_answer), "chunk int, bucket int, flags binary")
+    runs = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cogrouped(_send_runs(chunks)), "bucket int, kind int, chunk int, run binary")
+    return runs.groupBy("bucket").applyInArrow(grouped(_combine), "chunk int, stretches binary")
 
 
 def _stretches(table: pa.Table) -> np.ndarray:
@@ -437,7 +437,7 @@ def measure(docs: DataFrame) -> DataFrame:
         rows = [(i, len(kept) + n, n, spans, hashlib.sha256(kept).hexdigest()) for i, (n, spans, kept) in zip(texts.ids.to_pylist(), _cut(texts, _stretches(found)), strict=True)]
         return table_of(rows, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()])
 
-    return dealt.groupBy("chunk").cogroup(_repeated(dealt, chunks).groupBy("chunk")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return dealt.groupBy("chunk").cogroup(_repeated(dealt, chunks).groupBy("chunk")).applyInArrow(cogrouped(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -457,6 +457,6 @@ def dedup(docs: DataFrame) -> DataFrame:
         done = pa.table({"doc_id": texts.table["doc_id"], "text": pa.array(out, pa.string()), "row": texts.table["row"]})
         return done.filter(pa.array(keep, pa.bool_()))
 
-    done = dealt.groupBy("chunk").cogroup(_repeated(dealt, chunks).groupBy("chunk")).applyInArrow(run, schema)
+    done = dealt.groupBy("chunk").cogroup(_repeated(dealt, chunks).groupBy("chunk")).applyInArrow(cogrouped(run), schema)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in own else None
     return done.select(*(F.col(c) if c in ("doc_id", "text") else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in own))
