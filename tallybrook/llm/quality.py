@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, UPPER
 
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 #: Thresholds fitted on labelled documents: good ones stay below 0.21 and 0.27.
 MAX_CHAR_DISTANCE = 0.30
@@ -73,20 +72,23 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     t = docs.select(*first, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = [*(["row"] if keep else []), "doc_id"]
     words = F.filter(F.split("t", f"[{SPACE}]+"), lambda w: w != "")
-    lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     t = t.select(*base, "t", words.alias("words"), lines.alias("lines"))
-    t = t.withColumn("n", F.size("words"))
-    h = F.when(F.col("n") >= 5, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, 5)))).otherwise(F.array().cast("array<bigint>"))
-    common = F.filter(F.transform("words", lambda w: F.translate(w, UPPER, LOWER)), lambda w: w.isin(_common()))
+    t = t.withColumn("n", F.size("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    five = lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(5)))
+    h = F.when(F.col("n") >= 5, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 5, F.lit(0))), five)).otherwise(F.array().cast("array<bigint>"))
+    # the common words are ASCII, and no other letter of theirs lower-cases to ASCII
+    common = F.transform(F.filter("words", lambda w: F.lower(w).isin(_common())), F.lower)
     chars = F.length("t")
+    only = lambda kept: F.length(F.regexp_replace("t", f"[^{kept}]+", ""))
     t = t.select(
         *base,
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         chars.alias("chars"),
         (F.octet_length("t") - chars).alias("wide"),
-        (chars - F.length(F.translate("t", "0123456789", ""))).alias("digits"),
-        (chars - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        only("0-9").alias("digits"),
+        only(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         h.alias("h"),
         common.alias("common"),
