@@ -1,8 +1,8 @@
 """Connected components of links between ids, by contraction, without a driver or a single task ever holding them.
 
-Each round points every node to its least neighbour, jumps the pointers once, and replaces the links by those between
-what they point to. Least neighbours are aggregated on the map side; joins are plain equi-joins of written tables, which
-adaptive execution splits where a node has very many links. Rounds grow with the logarithm of the components' diameter.
+Each round points every node to its least neighbour, doubles the pointers until all reach a local minimum, and replaces
+the links by those between these minima, of which at most half the nodes are any. Least neighbours are aggregated on the map side; joins are plain equi-joins of written tables, which
+adaptive execution splits where a node has very many links. Rounds, and doublings in a round, grow with the logarithm of the nodes of a component.
 """
 
 from __future__ import annotations
@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _roots(to: DataFrame) -> DataFrame:
+    """node, to: where the pointers of `to` end."""
+    while True:
+        onward = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        to = cut(to.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("next") < F.col("to")).alias("moved")))
+        if to.filter("moved").isEmpty():
+            return to.drop("moved")
+        to = to.drop("moved")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of links (a, b). Self-links add nothing; an empty table gives an empty result."""
     links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
@@ -20,8 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     while label is None or not links.isEmpty():
         both = links.union(links.select("b", "a"))
         to = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")))
-        onward = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        to = cut(to.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+        to = _roots(to)
         first = links.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("b", "x")
         links = cut(cut(first).join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         if label is None:
