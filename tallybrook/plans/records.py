@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -269,6 +270,18 @@ def locate_excerpt(spark, d):
     return docs.join(b, "item_id").select("doc_id", "item_id", T.locate(F.col("text"), F.col("excerpt")).alias("place"))
 
 
+def locate_excerpts(spark, d):
+    """doc_id, item_id, place: every benchmark text that stands in a document, at its first place. The items are few."""
+    items = [(r["item_id"], r["text"]) for r in S.table(spark, d, "benchmark").filter("text IS NOT NULL").select("item_id", "text").collect()]
+
+    def run(batches):
+        for batch in batches:
+            hits = [(doc, item, at) for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text is not None for item, excerpt in items if (at := text.find(excerpt)) >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "place"])
+
+    return _documents(spark, d).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, place int")
+
+
 def json_pointer(spark, d):
     e = S.table(spark, d, "events")
     return e.select("event_id", F.get_json_object(F.concat(F.lit('{"a/b": [1, '), F.col("props"), F.lit("]}")), T.pointer_path("/a~1b/1/k")).cast("long").alias("k"))
@@ -379,7 +392,7 @@ s0 AS (SELECT stage, sha256(stage || '|' || adapter || '|' || split || '|') AS s
 
 
 def queries() -> dict:
-    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, planned_anti, ui_filter, dag_signatures, dag_status, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, locate_excerpt, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
+    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, planned_anti, ui_filter, dag_signatures, dag_status, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, locate_excerpt, locate_excerpts, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
     dags = {"dag_ancestors": lambda s, e: L.ancestors(e), "dag_order": L.out_of_order, "dag_blockers": L.blockers, "dag_runnable": L.runnable, "dag_stale": L.stale, "dag_revision": L.revised, "dag_unfrozen": L.unfrozen_holdouts, "dag_leaks": L.leaks}
     return {f.__name__: f for f in named} | {k: _dag(f) for k, f in dags.items()}
 

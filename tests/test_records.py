@@ -157,3 +157,18 @@ def test_pointer():
 
 def test_graph_queries_run(spark):
     assert sorted(r["stage"] for r in PR._dag(L.runnable)(spark, "").collect()) == ["trial"]
+
+
+def tables(spark, folder, **named):
+    for name, (rows, schema) in named.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_every_excerpt_is_sought_in_every_document(spark, tmp_path):
+    items = [(i, f"item number {i} says something of {i * i} words at least, beyond forty characters") for i in range(60)]
+    docs = [(i, f"é {items[i][1]} {items[59 - i][1]}" if i % 3 else "nothing") for i in range(60)] + [(60, None), (61, items[55][1][:50])]
+    d = tables(spark, tmp_path, benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string"))
+    want = sorted((n, i, t.find(x)) for n, t in docs if t for i, x in items if x in t)
+    assert sorted(map(tuple, PR.locate_excerpts(spark, d).collect())) == want
+    assert {i for _, i, _ in want} == set(range(60)) - {i for i in range(60) if i % 3 == 0 and (59 - i) % 3 == 0}
