@@ -7,8 +7,12 @@
    counted over all training documents; the table has at most (TOP + 17) squared rows whatever the input.
 3. Exchange clustering on the driver moves each frequent word to the class that raises the bigram likelihood most, until
    nothing moves; every kind of other words, and the end, is a class of its own.
-4. Chunks of documents fetch the counts of their own words from the buckets and score: P(class | class before) times
-   P(word | class), both smoothed, summed as log10 over the words and the end.
+4. Every other word that occurs `LEAST` times or more (their number grows with the corpus) is counted with the classes
+   before and after it, over all training documents; word buckets move it to the class that raises the likelihood most,
+   or leave it in its kind.
+5. Chunks of documents fetch the counts and classes of their own words from the buckets; class bigrams are counted anew
+   over all training documents, and documents score: P(class | class before) times P(word | class), both smoothed,
+   summed as log10 over the words and the end.
 
 Held out are documents whose crc32 of the id (as text; a null id counts as the empty string) leaves `remainder`. A null
 text is an empty one: its only token is the end. Repeated rows each count and each get their row; an empty table gives
@@ -30,11 +34,15 @@ from .common import chunk_count, cut
 
 MODULUS, REMAINDER = 7, 2
 TOP = 256
+#: Occurrences from which on any other word is clustered, too.
+LEAST = 10
 CLASSES = 32
 KINDS = 16
 ROUNDS = 20
 #: Distinct words that a partition holds before it sends what it has counted.
 HELD = 200_000
+#: Words of a stretch that is counted at once, and distinct entries that are held before equal ones are summed.
+STRETCH, ENTRIES = 1 << 18, 1 << 22
 #: Pseudo-counts of transitions (spread as the classes are) and of each word of a class.
 TRANSITION, EMISSION = 20.0, 0.5
 END = b"\n"  # no word contains it
@@ -111,31 +119,177 @@ def _sum_words(top: int):
     return run
 
 
+class _Symbols(dict):
+    """Symbols of words; other words by kind."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = s = self.top + kind_of(word)
+        return s
+
+
+class _Numbers(dict):
+    """Symbols of words; other words get numbers of their own from `first` on."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = s = self.first + len(self.names)
+        self.names.append(word)
+        self.kinds.append(kind_of(word))
+        return s
+
+
+def _stretches(batches, known, end: int):
+    """Training documents as symbols, with an end before the first and after each."""
+    row = [end]
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            if not held_out(doc):
+                row += map(known.__getitem__, (text.as_py() or b"").lower().split())
+                row.append(end)
+                if len(row) > STRETCH:
+                    yield np.array(row)
+                    row = [end]
+    if len(row) > 1:
+        yield np.array(row)
+
+
+def _pairs(counts: np.ndarray):
+    a, b = np.nonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[a, b], pa.int64())], ["a", "b", "n"])
+
+
+def _summed_pairs(df: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros((size, size), np.int64)
+    for r in df.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        out[r["a"], r["b"]] = r["n"]
+    return out
+
+
 def _count_bigrams(symbols: dict[bytes, int]):
     n = len(symbols) + KINDS + 1
 
     def run(batches):
         counts = np.zeros(n * n, np.int64)
-        known = dict(symbols)
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                if held_out(doc):
-                    continue
-                if len(known) > HELD:
-                    known = dict(symbols)
-                row = [n - 1]
-                for w in (text.as_py() or b"").lower().split():
-                    s = known.get(w)
-                    if s is None:
-                        known[w] = s = len(symbols) + kind_of(w)
-                    row.append(s)
-                row.append(n - 1)
-                s = np.array(row)
-                counts += np.bincount(s[:-1] * n + s[1:], minlength=n * n) if len(s) > n else 0
-                if len(s) <= n:
-                    np.add.at(counts, s[:-1] * n + s[1:], 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at // n, pa.int32()), pa.array(at % n, pa.int32()), pa.array(counts[at])], ["a", "b", "n"])
+        known = _Symbols(symbols)
+        known.top = len(symbols)
+        for s in _stretches(batches, known, n - 1):
+            counts += np.bincount(s[:-1] * n + s[1:], minlength=n * n)
+            if len(known) > HELD:
+                known.clear()
+                known.update(symbols)
+        yield _pairs(counts.reshape(n, n))
+
+    return run
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _count_contexts(symbols: dict[bytes, int], of: np.ndarray, buckets: int):
+    """For each word that is no symbol: how often each class stands after it and before it, and it after itself."""
+    first, classes = len(of), int(of.max()) + 1
+    slots = 2 * classes + 1
+
+    def run(batches):
+        def new():
+            known.clear()
+            known.update(symbols)
+            known.first, known.names, known.kinds = first, [], []
+            parts.clear()
+
+        def sent():
+            keys, n = _merged(parts)
+            word, slot = keys // slots, (keys % slots).astype(np.uint8)
+            dealt = np.array([zlib.crc32(w) % buckets for w in known.names])[word]
+            order = np.argsort(dealt, kind="stable")
+            word, slot, n, dealt = word[order], slot[order], n[order], dealt[order]
+            at = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]]))
+            rows = []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                of_bucket, each = np.unique(word[i:j], return_counts=True)
+                rows.append((int(dealt[i]), pack(_join_words([known.names[w] for w in of_bucket]), each.astype(np.uint16), slot[i:j], n[i:j].astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "run"])
+
+        known, parts = _Numbers(), []
+        new()
+        for s in _stretches(batches, known, first - 1):
+            other = s >= first
+            kind = of[len(symbols) + np.array([*known.kinds, 0])]
+            c = np.where(other, kind[np.where(other, s - first, 0)], of[np.where(other, 0, s)])
+            at = np.flatnonzero(other)
+            row = (s[at] - first) * slots
+            right = row + np.where(s[at + 1] == s[at], 2 * classes, c[at + 1])
+            left = (row + classes + c[at - 1])[s[at - 1] != s[at]]
+            parts.append(np.unique(np.concatenate([right, left]), return_counts=True))
+            if len(known.names) >= HELD:
+                yield sent()
+                new()
+            elif len(parts) > 1 and sum(len(k) for k, _ in parts) > ENTRIES + 2 * len(parts[0][0]):
+                parts[:] = [_merged(parts)]
+        if known.names:
+            yield sent()
+
+    return run
+
+
+def place(m: np.ndarray, classes: int, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_: np.ndarray, size: int = 128) -> np.ndarray:
+    """The best of the first `classes` classes or the own one for each word, all others staying where they are: one
+    step of `exchange` for each. m: class bigrams with the word in its own class; right, left: its counts by class
+    without those of the word after itself (self_)."""
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    out = np.array(own)
+    for first in range(0, len(own), size):
+        o, r, l, s = (x[first : first + size] for x in (own, right.astype(float), left.astype(float), self_.astype(float)))
+        i = np.arange(len(o))
+        b = np.repeat(m[None].astype(float), len(o), 0)
+        b[i, o] -= r
+        b[i, :, o] -= l
+        b[i, o, o] -= s
+        to = np.concatenate([np.repeat(np.arange(classes)[None], len(o), 0), o[:, None]], 1)
+        i = i[:, None]
+        rows, columns, corner, s = b[i, to], b[i, :, to], b[i, to, to], s[:, None]
+        gain = (f(rows + r[:, None]) - f(rows)).sum(2) + (f(columns + l[:, None]) - f(columns)).sum(2)
+        gain += f(corner + r[i, to] + l[i, to] + s) - f(corner + r[i, to]) - f(corner + l[i, to]) + f(corner)
+        # what stands before the word, or after it, counts in its own row or column wherever the word is
+        rows, columns = rows.sum(2) + l[i, to], columns.sum(2) + r[i, to]
+        gain -= f(rows + r.sum(1, keepdims=True) + s) - f(rows) + f(columns + l.sum(1, keepdims=True) + s) - f(columns)
+        best = gain[:, :-1].argmax(1)
+        out[first : first + size] = np.where(gain[i[:, 0], best] > gain[:, -1] + 1e-9, best, o)
+    return out
+
+
+_PLACED = "bucket int, run binary, own int, other int, distinct long, tokens long"
+
+
+def _place(m: np.ndarray, classes: int, of_kind: np.ndarray, least: int):
+    """A bucket's words that changed class, with their classes; and in rows without run, how much moved."""
+    n = len(m)
+    slots = 2 * n + 1
+
+    def run(key, table):
+        ids: dict[bytes, int] = {}
+        keys, counts = [], []
+        for blob in table["run"].to_pylist():
+            words, each, slot, c = unpack(blob)
+            keys.append(np.repeat(np.array([ids.setdefault(w, len(ids)) for w in _split_words(words)]), each) * slots + slot)
+            counts.append(c)
+        keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        word, slot = keys // slots, keys % slots
+        after = (slot < n) | (slot == 2 * n)
+        tokens = np.bincount(word[after], counts[after], len(ids)).astype(np.int64)
+        row = np.where(tokens >= least, np.cumsum(tokens >= least) - 1, -1)
+        names = [w for w, i in ids.items() if row[i] >= 0]
+        tokens, kept = tokens[tokens >= least], row[word] >= 0
+        seen = np.bincount(row[word[kept]] * slots + slot[kept], counts[kept], len(names) * slots).reshape(-1, slots)
+        own = of_kind[np.array([kind_of(w) for w in names], np.int64)]
+        to = place(m, classes, own, seen[:, :n], seen[:, n:-1], seen[:, -1])
+        moved = np.flatnonzero(to != own)
+        rows = [(key[0].as_py(), pack(_join_words([names[i] for i in moved]), to[moved].astype(np.uint8)), None, None, None, None)] if len(moved) else []
+        pair = own * n + to
+        for p in np.unique(pair).tolist():
+            rows.append((key[0].as_py(), None, p // n, p % n, int((pair == p).sum()), int(tokens[pair == p].sum())))
+        return table_of(rows, [x.split()[0] for x in _PLACED.split(", ")], [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
 
     return run
 
@@ -196,9 +350,7 @@ class Model:
         self.tokens, self.distinct = sum(n for _, n in kinds.values()), sum(v for v, _ in kinds.values())
         self.symbols = {bytes(r["word"]): i for i, r in enumerate(best)}
         size = len(best) + KINDS + 1
-        bigrams = np.zeros((size, size), np.int64)
-        for r in own.mapInArrow(_count_bigrams(self.symbols), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-            bigrams[r["a"], r["b"]] = r["n"]
+        bigrams = _summed_pairs(own.mapInArrow(_count_bigrams(self.symbols), "a int, b int, n long"), size)
         self.of = of = exchange(bigrams, len(best))
         classes = int(of.max()) + 1
         v, n = np.zeros(classes), np.zeros(classes)
@@ -211,15 +363,35 @@ class Model:
             n[rare] -= r["tokens"]
             v[of[i]] += 1
             n[of[i]] += r["tokens"]
-        #: log10 of the share of one pseudo-count of a class; rare classes keep one more for words never seen.
+        #: Rare classes keep one more pseudo-count for words never seen.
         self.open = np.zeros(classes)
         self.open[[of[len(best) + k] for k in range(KINDS)]] = 1
+        self.distinct_of, self.tokens_of = v, n
         self.class_mass = n + EMISSION * (v + self.open)
-        m = np.zeros((classes, classes))
-        np.add.at(m, (of[:, None], of[None, :]), bigrams)
-        spread = (m.sum(0) + 1) / (m.sum() + classes)
+        self.bigrams = np.zeros((classes, classes))
+        np.add.at(self.bigrams, (of[:, None], of[None, :]), bigrams)
+        self.learn(self.bigrams)
+
+    def learn(self, m: np.ndarray) -> None:
+        """Transitions from class bigrams."""
+        spread = (m.sum(0) + 1) / (m.sum() + len(m))
         self.transition = np.log10((m + TRANSITION * spread) / (m.sum(1, keepdims=True) + TRANSITION))
 
+    def place_others(self, docs: DataFrame, buckets: int, least: int) -> DataFrame:
+        """bucket, run: classes of the other words seen `least` times or more, where they leave their kinds."""
+        k = len(self.symbols)
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        contexts = own.mapInArrow(_count_contexts(self.symbols, self.of, buckets), "bucket int, run binary")
+        placed = cut(contexts.groupBy("bucket").applyInArrow(grouped(_place(self.bigrams, min(CLASSES, max(k, 1)), self.of[k : k + KINDS], least)), _PLACED))
+        self.others = 0
+        for r in placed.filter("run IS NULL").groupBy("own", "other").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).collect():
+            self.others += r["v"]
+            for x, c in ((self.distinct_of, r["v"]), (self.tokens_of, r["n"])):
+                x[r["own"]] -= c
+                x[r["other"]] += c
+        self.class_mass = self.tokens_of + EMISSION * (self.distinct_of + self.open)
+        return placed.filter("run IS NOT NULL").select("bucket", "run")
+
     def classes_of(self, words: list[bytes]) -> np.ndarray:
         k = len(self.symbols)
         return self.of[[s if (s := self.symbols.get(w)) is not None else k + (KINDS if w == END else kind_of(w)) for w in words]]
@@ -253,7 +425,8 @@ def _chunk_counts(texts: Texts) -> Counter[bytes]:
     return counts
 
 
-def _tell(key, table):
+def _tell(key, table, placed):
+    """The training counts of the asked words, and the classes of those that left their kinds (else 255)."""
     total: dict[bytes, int] = {}
     runs = []
     for chunk, blob in zip(table["chunk"].to_pylist(), table["run"].to_pylist(), strict=True):
@@ -262,43 +435,90 @@ def _tell(key, table):
         runs.append((chunk, words))
         for w, c in zip(words, n.tolist(), strict=True):
             total[w] = total.get(w, 0) + c
-    rows = [(chunk, key[0].as_py(), pack(np.array([total[w] for w in words], np.int64))) for chunk, words in runs]
+    to: dict[bytes, int] = {}
+    for blob in placed["run"].to_pylist():
+        words, classes = unpack(blob)
+        to.update(zip(_split_words(words), classes.tolist(), strict=True))
+    rows = [(chunk, key[0].as_py(), pack(np.array([total[w] for w in words], np.int64), np.array([to.get(w, 255) for w in words], np.uint8))) for chunk, words in runs]
     return table_of(rows, ["chunk", "bucket", "told"], [pa.int32(), pa.int32(), pa.binary()])
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(model: Model, buckets: int):
+def _read(model: Model, buckets: int):
+    """A chunk's documents as classes, with all figures but the transitions."""
+
     def run(key, docs, told):
         texts = Texts(docs)
         answers = dict(zip(told["bucket"].to_pylist(), told["told"].to_pylist(), strict=True))
         words: list[bytes] = []
-        counts = [np.zeros(0, np.int64)]
+        counts, moved = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for b, w, _ in _runs(_chunk_counts(texts), buckets):
             words += w
-            counts.append(unpack(answers[b])[0])
-        c = np.concatenate(counts)
+            c, to = unpack(answers[b])
+            counts.append(c)
+            moved.append(to)
+        c, to = np.concatenate(counts), np.concatenate(moved)
         place = {w: i for i, w in enumerate(words)}
         base = np.log10((c + 1) / (model.tokens + model.distinct + 1))
-        classes = model.classes_of(words)
+        classes = np.where(to < 255, to, model.classes_of(words))
         emitted = model.emission(classes, c)
-        start, end = int(model.of[-1]), place.get(END)
-        rows = []
+        classes, known, end = classes.astype(np.uint8), c > 0, place.get(END)
+        rows, read = [], []
         for i, doc in enumerate(texts.ids.to_pylist()):
             at = np.array([*map(place.__getitem__, texts.bytes_of(i).lower().split()), end])
-            k = classes[at]
-            score = emitted[at].sum() + model.transition[np.concatenate([[start], k[:-1]]), k].sum()
-            rows.append((doc, held_out(doc), len(at), int((c[at] > 0).sum()), model.tokens, float(base[at].sum()), float(score)))
-        names = [x.split()[0] for x in _OUT.split(", ")]
-        return table_of(rows, names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])
+            read.append(classes[at])
+            rows.append((doc, held_out(doc), len(at), int(known[at].sum()), float(base[at].sum()), float(emitted[at].sum())))
+        return table_of([(pack(rows, np.concatenate(read)),)], ["part"], [pa.binary()])
+
+    return run
+
+
+def _steps(blob: bytes, end: int):
+    """A chunk's rows, and for each of their words (each document's end last) the class before it and its own."""
+    rows, k = unpack(blob)
+    k = k.astype(np.int64)
+    # the end before a document is the end of the one before it
+    return rows, np.concatenate([[end], k[:-1]]), k
+
+
+def _count_steps(classes: int, end: int):
+    def run(batches):
+        m = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                rows, a, b = _steps(blob.as_py(), end)
+                train = np.repeat([not r[1] for r in rows], [r[2] for r in rows])
+                m += np.bincount((a * classes + b)[train], minlength=len(m))
+        yield _pairs(m.reshape(classes, classes))
+
+    return run
+
+
+def _score(model: Model):
+    names = [x.split()[0] for x in _OUT.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                rows, a, b = _steps(blob.as_py(), int(model.of[-1]))
+                at = np.concatenate([[0], np.cumsum([r[2] for r in rows])[:-1]])
+                steps = np.add.reduceat(model.transition[a, b], at).tolist()
+                out = [(doc, held, n, known, model.tokens, base, emitted + t) for (doc, held, n, known, base, emitted), t in zip(rows, steps, strict=True)]
+                yield from table_of(out, names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]).to_batches()
 
     return run
 
 
-def score(docs: DataFrame, top: int = TOP) -> DataFrame:
+def score(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
     """Figures and log10 probabilities of every document."""
     model = Model(docs, top)
     dealt, chunks = chunked(docs)
-    told = dealt.groupBy("chunk").applyInArrow(grouped(_ask(chunks)), "bucket int, chunk int, run binary").groupBy("bucket").applyInArrow(grouped(_tell), "chunk int, bucket int, told binary")
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cogrouped(_score(model, chunks)), _OUT)
+    placed = model.place_others(docs, chunks, least)
+    asked = dealt.groupBy("chunk").applyInArrow(grouped(_ask(chunks)), "bucket int, chunk int, run binary")
+    told = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(cogrouped(_tell), "chunk int, bucket int, told binary")
+    read = cut(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cogrouped(_read(model, chunks)), "part binary"))
+    size, end = len(model.transition), int(model.of[-1])
+    model.learn(_summed_pairs(read.mapInArrow(_count_steps(size, end), "a int, b int, n long"), size).astype(float))
+    return read.mapInArrow(_score(model), _OUT)

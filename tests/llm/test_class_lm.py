@@ -49,3 +49,51 @@ def test_probabilities_of_a_class_sum_to_one_at_most(spark):
 
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_beyond_the_top_are_clustered(spark):
+    docs = spark.createDataFrame(corpus(300), "doc_id long, text string")
+    model = lm.Model(docs, top=12)
+    placed = model.place_others(docs, 4, 10).collect()
+    found = {w: int(k) for r in placed for words, to in [lm.unpack(r["run"])] for w, k in zip(words.split(b" "), to, strict=True)}
+    split = [(t or "").encode().lower().split() for d, t in corpus(300) if not lm.held_out(d)]
+    often = {w for w, c in Counter(w for s in split for w in s).items() if c >= 10}
+    assert model.others == len(often - set(model.symbols)) == 12
+    assert set(found) <= often - set(model.symbols) and found
+    assert model.tokens_of.sum() == model.tokens and model.distinct_of.sum() == model.distinct
+    # the joint class figures equal those of the words dealt anew
+    seen = np.zeros(len(model.tokens_of))
+    for s in split:
+        for w in [*s, lm.END]:
+            seen[found.get(w, int(model.classes_of([w])[0]))] += 1
+    assert np.array_equal(seen, model.tokens_of)
+
+
+def test_place_is_the_best_move():
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 9, 3000) ** 2 % 9
+    of = np.array([0, 1, 2, 3, 3, 3, 4, 4, 4])
+
+    def bigrams(of):
+        m = np.zeros((5, 5))
+        np.add.at(m, (of[s[:-1]], of[s[1:]]), 1)
+        return m
+
+    def likelihood(m):
+        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return f(m) - f(m.sum(0)) - f(m.sum(1))
+
+    words = np.unique(s[s > 2])
+    right, left, self_ = np.zeros((len(words), 5)), np.zeros((len(words), 5)), np.zeros(len(words))
+    for i, w in enumerate(words):
+        for a, b in zip(s[:-1], s[1:], strict=True):
+            if a == b == w:
+                self_[i] += 1
+            elif a == w:
+                right[i, of[b]] += 1
+            elif b == w:
+                left[i, of[a]] += 1
+    got = lm.place(bigrams(of), 3, of[words], right, left, self_)
+    for w, k in zip(words, got, strict=True):
+        tried = {c: likelihood(bigrams(np.where(np.arange(9) == w, c, of))) for c in (0, 1, 2, int(of[w]))}
+        assert tried[int(k)] == pytest.approx(max(tried.values()))
