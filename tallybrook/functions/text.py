@@ -17,6 +17,10 @@ STOP_WORDS = (
 #: Words that hint at a change.
 CHANGE_CUES = ("now", "anymore", "no longer", "instead", "since", "recently", "changed", "switched", "started", "stopped", "quit", "moved", "new", "but", "however", "actually")
 SECRETS = (r"sk-[A-Za-z0-9_-]{12,}",)
+#: What a scan before publication looks for.
+CREDENTIALS = (r"(?<![A-Za-z0-9_])sk-[A-Za-z0-9_-]{24,}", r"gh[pousr]_[A-Za-z0-9]{30,}", r"github_pat_[A-Za-z0-9_]{30,}", r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----")
+#: As CREDENTIALS, but a private key goes whole, to the end of the text if its last line is missing.
+REDACTED = (*SECRETS, *CREDENTIALS[1:3], CREDENTIALS[3] + r"[\s\S]*?(?:-----END (?:RSA |OPENSSH |EC )?PRIVATE KEY-----|\z)")
 
 
 def tokens(text: Column, stop=STOP_WORDS) -> Column:
@@ -60,7 +64,7 @@ def includes_tokens(context: Column, statement: Column) -> Column:
     return F.contains(spaced(context), spaced(statement)) & (F.size(words_of(normalize(statement))) > 0)
 
 
-def redact(text: Column, patterns=SECRETS) -> Column:
+def redact(text: Column, patterns=REDACTED) -> Column:
     for p in patterns:
         text = F.regexp_replace(text, p, "[REDACTED]")
     return text

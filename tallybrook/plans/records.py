@@ -13,7 +13,7 @@ from ..operators import records as R
 from ..sources import tables as S
 from . import memory as PM
 
-#: The invented texts' own forms of secrets.
+#: The invented texts' own forms of secrets, beside those of functions.text.
 SECRETS = (r"AKIA[0-9A-Z]{16}", r"token = \"[0-9a-f]{40}\"")
 METHODS = ("recent_window", "events_only", "keyed_memory", "fifo_memory", "first_write")
 BASELINE = "recent_window"
@@ -255,11 +255,13 @@ def dedupe_blobs(spark, d):
 
 
 def redact(spark, d):
-    return _documents(spark, d).filter(F.col("text").rlike("|".join(SECRETS))).select("doc_id", F.sha2(T.redact(F.col("text"), SECRETS), 256).alias("redacted_sha256"))
+    patterns = (*T.REDACTED, *SECRETS)
+    return _documents(spark, d).filter(F.col("text").rlike("|".join(patterns))).select("doc_id", F.sha2(T.redact(F.col("text"), patterns), 256).alias("redacted_sha256"))
 
 
 def secret_scan(spark, d):
-    hits = [F.when(F.col("text").rlike(p), F.lit(n)) for n, p in zip(("access key", "token"), SECRETS, strict=True)]
+    names = ("secret key", "GitHub token", "GitHub fine-grained token", "private key", "access key", "token")
+    hits = [F.when(F.col("text").rlike(p), F.lit(n)) for n, p in zip(names, (*T.CREDENTIALS, *SECRETS), strict=True)]
     big = F.when(F.octet_length("text") > 20000, F.lit("too large"))
     return _documents(spark, d).select("doc_id", F.explode(F.filter(F.array(*hits, big), lambda x: x.isNotNull())).alias("finding"))
 

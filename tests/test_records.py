@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -172,3 +173,13 @@ def test_every_excerpt_is_sought_in_every_document(spark, tmp_path):
     want = sorted((n, i, t.find(x)) for n, t in docs if t for i, x in items if x in t)
     assert sorted(map(tuple, PR.locate_excerpts(spark, d).collect())) == want
     assert {i for _, i, _ in want} == set(range(60)) - {i for i in range(60) if i % 3 == 0 and (59 - i) % 3 == 0}
+
+
+def test_credentials_of_the_reference_are_found_and_redacted(spark, tmp_path):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----"
+    secrets = ["sk-" + "a" * 24, "ghp_" + "b" * 30, "github_pat_" + "c" * 30, key, "AKIA" + "D" * 16]
+    docs = [*enumerate(f"x {s} y" for s in secrets), (5, "nothing"), (6, key[:40])]
+    d = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["finding"]) for r in PR.secret_scan(spark, d).collect()} == {(0, "secret key"), (1, "GitHub token"), (2, "GitHub fine-grained token"), (3, "private key"), (4, "access key"), (6, "private key")}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {r["doc_id"]: r["redacted_sha256"] for r in PR.redact(spark, d).collect()} == {**{i: sha("x [REDACTED] y") for i in range(5)}, 6: sha("[REDACTED]")}
