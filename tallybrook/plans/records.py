@@ -249,6 +249,13 @@ def evidence_gate(spark, d):
     return R.claim_gate(claims, evidence)
 
 
+def evidence_gate_all(spark, d):
+    """Every document as a claim, on itself and the ids one and seven further on; evidence is every document."""
+    docs = _documents(spark, d)
+    claims = docs.select(F.col("doc_id").alias("claim"), F.array(*((F.col("doc_id") + k).cast("string") for k in (0, 1, 7))).alias("refs"))
+    return R.claim_gate(claims, R.manifest(docs, "doc_id", "text"))
+
+
 def dedupe_blobs(spark, d):
     docs = _documents(spark, d)
     return R.unique_blobs(docs.select(F.format_string("%012d", "doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")))
@@ -394,7 +401,7 @@ s0 AS (SELECT stage, sha256(stage || '|' || adapter || '|' || split || '|') AS s
 
 
 def queries() -> dict:
-    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, planned_anti, ui_filter, dag_signatures, dag_status, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, locate_excerpt, locate_excerpts, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
+    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, planned_anti, ui_filter, dag_signatures, dag_status, manifest_build, manifest_diff, evidence_gate, evidence_gate_all, dedupe_blobs, redact, secret_scan, locate_excerpt, locate_excerpts, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
     dags = {"dag_ancestors": lambda s, e: L.ancestors(e), "dag_order": L.out_of_order, "dag_blockers": L.blockers, "dag_runnable": L.runnable, "dag_stale": L.stale, "dag_revision": L.revised, "dag_unfrozen": L.unfrozen_holdouts, "dag_leaks": L.leaks}
     return {f.__name__: f for f in named} | {k: _dag(f) for k, f in dags.items()}
 

@@ -183,3 +183,11 @@ def test_credentials_of_the_reference_are_found_and_redacted(spark, tmp_path):
     assert {(r["doc_id"], r["finding"]) for r in PR.secret_scan(spark, d).collect()} == {(0, "secret key"), (1, "GitHub token"), (2, "GitHub fine-grained token"), (3, "private key"), (4, "access key"), (6, "private key")}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert {r["doc_id"]: r["redacted_sha256"] for r in PR.redact(spark, d).collect()} == {**{i: sha("x [REDACTED] y") for i in range(5)}, 6: sha("[REDACTED]")}
+
+
+def test_every_document_is_gated(spark, tmp_path):
+    ids = [i for i in range(40) if i not in (11, 23)]
+    d = tables(spark, tmp_path, documents=([(i, f"t{i}") for i in ids], "doc_id long, text string"))
+    want = {i: sum(i + k not in ids for k in (0, 1, 7)) for i in ids}
+    got = PR.evidence_gate_all(spark, d).collect()
+    assert {r["claim"]: r["missing"] for r in got} == want and all(r["open"] == (r["missing"] == 0) and r["n_refs"] == 3 for r in got)
