@@ -48,8 +48,10 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = counted.withColumn("rn", F.row_number().over(order)).filter("rn <= 12").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("rn", "term"))).alias("q"))
     frequent = common.select("uid", F.lit("frequent").alias("dim"), F.array_join("q.term", " ").alias("query"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    uids = user.select("uid").distinct()
-    bench = uids.join(items, F.col("uid") % 40 == F.col("item_id")).select("uid", F.lit("benchmark").alias("dim"), "query")
+    # the items are dealt in turn, however many there are; their ids count from 0
+    count = items.agg((F.max("item_id") + 1).alias("items"))
+    uids = user.select("uid").distinct().crossJoin(F.broadcast(count))
+    bench = uids.join(items, F.col("uid") % F.col("items") == F.col("item_id")).select("uid", F.lit("benchmark").alias("dim"), "query")
     return frequent.unionByName(bench)
 
 

@@ -102,3 +102,12 @@ def test_intervals():
 def test_normalize_any(spark):
     df = spark.createDataFrame([("  ＡＢ Straße ",)], "t string")
     assert df.select(T.normalize_any("t").alias("x")).first()["x"] == "ab strasse"
+
+
+def test_all_items_are_dealt(spark, tmp_path):
+    from tallybrook.sources import tables as S
+
+    spark.createDataFrame([(10 * u, 0, "user", f"t{u}") for u in range(60)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, f"q{i}") for i in range(50)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    asked = S.queries(spark, str(tmp_path)).filter("dim = 'benchmark'").collect()
+    assert sorted((r["uid"], r["query"]) for r in asked) == [(u, f"q{u % 50}") for u in range(60)]
