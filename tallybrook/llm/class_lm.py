@@ -1,300 +1,245 @@
-"""LM scoring with a class-based n-gram model.
-
-1. Training words are counted over all documents: partitions send bounded partial counts in word buckets; buckets sum
-   them, which gives tokens, distinct words, and for the model the `TOP` most frequent words (a documented parameter of
-   the model, not of the counts).
-2. Bigrams of symbols (a frequent word, one of 16 kinds of other words by length and ending, or the end of a text) are
-   counted over all training documents; the table has at most (TOP + 17) squared rows whatever the input.
-3. Exchange clustering on the driver moves each frequent word to the class that raises the bigram likelihood most, until
-   nothing moves; every kind of other words, and the end, is a class of its own.
-4. Every other word that occurs `LEAST` times or more (their number grows with the corpus) is counted with the classes
-   before and after it, over all training documents; word buckets move it to the class that raises the likelihood most,
-   or leave it in its kind.
-5. Chunks of documents fetch the counts and classes of their own words from the buckets; class bigrams are counted anew
-   over all training documents, and documents score: P(class | class before) times P(word | class), both smoothed,
-   summed as log10 over the words and the end.
+"""LM scoring with a class-based n-gram model over the whole vocabulary.
+
+1. Texts are read once: parts of some MB hold their documents as numbers of the part's own words, and send their words
+   with training counts to word buckets. Buckets sum them, which gives tokens and distinct words, and number their words.
+2. The `SEEDS` most frequent words are clustered first, by exchange on the driver (their bigrams are a table of fixed
+   size). This is only where the classes start from.
+3. Then every word of the training documents, frequent or seen once, takes part in `ROUNDS` rounds of exchange: parts
+   count the classes before and after each of their words, buckets sum these counts, and each word moves to the class
+   that raises the class bigram likelihood most, all others staying where they are. The bigrams of classes are summed
+   anew over all training documents in each round; a round after which they are less likely is taken back.
+4. Parts fetch counts and final classes of their words; transitions are counted over all training documents. A text's
+   score sums log10 of P(class | class before) * P(word | class) over its words and the end.
+
+P(word | class) is (count - DISCOUNT) / tokens of the class; what this leaves is the class's probability of a word that
+no training document has, so a class's emissions sum to one. The classes after an unknown word are those after words
+seen once. Transitions add TRANSITION pseudo-counts, spread as the classes are.
 
 Held out are documents whose crc32 of the id (as text; a null id counts as the empty string) leaves `remainder`. A null
-text is an empty one: its only token is the end. Repeated rows each count and each get their row; an empty table gives
-an empty result; texts are scored whole.
+text is an empty one: its only token is the end, whose class is its own. Repeated rows each count and each get their
+row; other columns, whatever their names, are not read; an empty table gives an empty result; texts are scored whole,
+and long ones are split into words piece by piece.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Texts, chunked, cogrouped, grouped, pack, table_of, unpack
+from .chunks import cogrouped, grouped, pack, table_of, unpack
 from .common import chunk_count, cut
 
 MODULUS, REMAINDER = 7, 2
-TOP = 256
-#: Occurrences from which on any other word is clustered, too.
-LEAST = 10
+#: Words that are clustered on the driver before all words are, everywhere.
+SEEDS = 256
+#: Classes of words, the end's own class 0 included; and rounds of exchange over all words.
 CLASSES = 32
-KINDS = 16
-ROUNDS = 20
-#: Distinct words that a partition holds before it sends what it has counted.
-HELD = 200_000
-#: Words of a stretch that is counted at once, and distinct entries that are held before equal ones are summed.
-STRETCH, ENTRIES = 1 << 18, 1 << 22
-#: Pseudo-counts of transitions (spread as the classes are) and of each word of a class.
-TRANSITION, EMISSION = 20.0, 0.5
-END = b"\n"  # no word contains it
+ROUNDS = 2
+#: Rounds of the exchange among the first words.
+FIRST_ROUNDS = 20
+#: Bytes of text in a part, and in a piece of a text.
+PART, PIECE = 8 << 20, 1 << 20
+TRANSITION, DISCOUNT = 20.0, 0.75
+#: Marks of a token's word: seen once, and never.
+ONCE, NEVER = 64, 128
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % MODULUS == REMAINDER
 
 
-def kind_of(word: bytes) -> int:
-    """One of 16 kinds of words, by length and last byte."""
-    n, last = len(word), word[-1]
-    size = 0 if n <= 3 else 1 if n <= 6 else 2 if n <= 9 else 3
-    return 4 * size + (0 if 97 <= last <= 122 else 1 if 48 <= last <= 57 else 2 if last >= 128 else 3)
+def _f(x):
+    return x * np.log(np.maximum(x, 1))
 
 
-def _runs(counts: dict[bytes, int], buckets: int):
-    """(bucket, words, counts) of a chunk's words."""
-    dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in counts:
-        dealt[zlib.crc32(w) % buckets].append(w)
-    for b, words in enumerate(dealt):
-        if words:
-            yield b, words, np.array([counts[w] for w in words], np.int64)
+def likelihood(m: np.ndarray) -> float:
+    """What classes add to the likelihood of the training documents; m: class bigrams."""
+    return float(_f(m).sum() - _f(m.sum(0)).sum() - _f(m.sum(1)).sum())
 
 
-def _join_words(words: list[bytes]) -> bytes:
-    return b" ".join(words)
-
-
-def _split_words(blob: bytes) -> list[bytes]:
-    return blob.split(b" ")
-
-
-def _count_words(buckets: int):
+# ------------------------------------------------ parts
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _pieces(text: bytes):
+    """A text, lower-cased, in pieces that end before white space."""
+    at = 0
+    while len(text) - at > PIECE and (blank := _BLANK.search(text, at + PIECE)):
+        yield text[at : blank.start()].lower()
+        at = blank.start()
+    yield text[at:].lower()
+
+
+def _runs(words: list[bytes], counts: np.ndarray, bucket: np.ndarray):
+    """(bucket, run) of a part's words, in order of buckets and, within one, of words."""
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        at = order[s:e]
+        yield int(bucket[at[0]]), pack(b" ".join([words[i] for i in at]), counts[at])
+
+
+class Part:
+    """Documents as numbers of the part's own words, the most frequent first."""
+
+    def __init__(self):
+        self.known, self.docs, self.sizes, self.parts, self.bytes = _Numbers(), [], [], [], 0
+
+    def add(self, doc: int | None, text: bytes) -> None:
+        n = 0
+        for piece in _pieces(text):
+            words = piece.split()
+            self.parts.append(np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words)))
+            n += len(words)
+        self.docs.append(doc)
+        self.sizes.append(n)
+        self.bytes += len(text) + 64
+
+    def rows(self, part: int, buckets: int) -> pa.RecordBatch:
+        """The documents in a row without bucket, then a row for each bucket with its words and training counts."""
+        ids = np.concatenate(self.parts)
+        words = [*self.known]
+        order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        ids, words = rank[ids], [words[i] for i in order]
+        held = np.array([held_out(d) for d in self.docs], bool)
+        counts = np.bincount(ids[~np.repeat(held, self.sizes)], minlength=len(words)).astype(np.uint32)
+        bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+        planes = [((ids >> np.uint32(8 * b)) & np.uint32(255)).astype(np.uint8) for b in range(4) if b == 0 or len(words) > 1 << (8 * b)]
+        rows = [(part, None, pack(self.docs, np.array(self.sizes, np.int64), held, bucket.astype(np.uint32), planes))]
+        rows += [(part, b, run) for b, run in _runs(words, counts, bucket)]
+        return table_of(rows, ["part", "bucket", "blob"], [pa.int64(), pa.int32(), pa.binary()]).combine_chunks().to_batches()[0]
+
+
+class Read:
+    """A part's documents: symbols with an end (0) after each, and where each word's answer stands."""
+
+    def __init__(self, blob: bytes):
+        self.docs, sizes, self.held, self.bucket, planes = unpack(blob)
+        ids = sum((p.astype(np.int64) << (8 * b) for b, p in enumerate(planes)), np.zeros(len(planes[0]), np.int64))
+        self.sizes = sizes + 1
+        ends = np.cumsum(self.sizes) - 1
+        self.symbols = np.zeros(int(self.sizes.sum()), np.int64)
+        word = np.ones(len(self.symbols), bool)
+        word[ends] = False
+        self.symbols[word] = ids + 1
+        self.order = np.argsort(self.bucket, kind="stable")
+
+    def told(self, answers: dict[int, bytes], first) -> list[np.ndarray]:
+        """Answers of the buckets, in the order of the part's words; `first` are those of the end."""
+        found = [unpack(answers[b]) for b in sorted(answers)]
+        out = []
+        for i, end in enumerate(first):
+            column = np.concatenate([np.array([end], found[0][i].dtype if found else np.int64), *(x[i] for x in found)])
+            placed = np.empty_like(column)
+            placed[0], placed[1 + self.order] = column[0], column[1:]
+            out.append(placed)
+        return out
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols before and at each place of the training documents; an end stands before a document."""
+        now = self.symbols[np.repeat(~self.held, self.sizes)]
+        # the end before a document is the end of the one before it
+        return np.concatenate([[0], now[:-1]]) if len(now) else now, now
+
+
+def _read_parts(buckets: int):
     def run(batches):
-        def sent():
-            rows = [(b, pack(_join_words(w), n)) for b, w, n in _runs(counts, buckets)]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "run"])
-
-        counts: Counter[bytes] = Counter()
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        part = Part()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                if not held_out(doc):
-                    counts.update((text.as_py() or b"").lower().split())
-                    counts[END] += 1
-                    if len(counts) >= HELD:
-                        yield sent()
-        if counts:
-            yield sent()
+                part.add(doc, text.as_py() or b"")
+                if part.bytes >= PART:
+                    yield part.rows(number, buckets)
+                    number, part = number + 1, Part()
+        if part.docs:
+            yield part.rows(number, buckets)
 
     return run
 
 
-def _sum_words(top: int):
-    """A bucket's most frequent words, and in rows without word: distinct words and tokens of each kind, and of the end."""
+# ------------------------------------------------ counts
+_TALLY = "part long, bucket int, blob binary, word binary, tokens long, id int"
+
+
+def _tally(top: int):
+    """A bucket's words get numbers: for each part the numbers of its words; the counts of all; the most frequent words."""
 
     def run(key, table):
-        total: dict[bytes, int] = {}
-        for blob in table["run"].to_pylist():
+        b, known, runs = key[0].as_py(), _Numbers(), []
+        for part, blob in zip(table["part"].to_pylist(), table["blob"].to_pylist(), strict=True):
             words, n = unpack(blob)
-            for w, c in zip([END] if words == END else _split_words(words), n.tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-        kinds: dict[int, list[int]] = {}
-        for w, c in total.items():
-            k = kinds.setdefault(KINDS if w == END else kind_of(w), [0, 0])
-            k[0] += 1
-            k[1] += c
-        best = sorted(((c, w) for w, c in total.items() if w != END), key=lambda x: (-x[0], x[1]))[:top]
-        rows = [(w, kind_of(w), 1, c) for c, w in best] + [(None, k, v, c) for k, (v, c) in kinds.items()]
-        return table_of(rows, ["word", "kind", "distinct", "tokens"], [pa.binary(), pa.int32(), pa.int64(), pa.int64()])
+            runs.append((part, np.fromiter(map(known.__getitem__, words.split(b" ")), np.uint32, len(n)), n))
+        ids = np.concatenate([r[1] for r in runs])
+        # sums of whole numbers, exact below 2^53
+        counts = np.bincount(ids, np.concatenate([r[2] for r in runs])).astype(np.int64)
+        rows = [(part, b, pack(own), None, None, None) for part, own, _ in runs]
+        rows.append((None, b, pack(counts), None, int(counts.sum()), int((counts > 0).sum())))
+        least = np.partition(counts, -top)[-top] if len(counts) > top else 1
+        best = sorted((-int(counts[i]), w, i) for w, i in known.items() if counts[i] >= max(least, 1))[:top]
+        rows += [(None, b, None, w, -n, i) for n, w, i in best]
+        return table_of(rows, [x.split()[0] for x in _TALLY.split(", ")], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32()])
 
     return run
 
 
-class _Symbols(dict):
-    """Symbols of words; other words by kind."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = s = self.top + kind_of(word)
-        return s
-
+def _summed(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Rows (a, b, n), of which there are few distinct pairs, summed to a matrix."""
+    out = np.zeros(shape, np.int64)
+    got = df.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out[np.asarray(got["a"]), np.asarray(got["b"])] = np.asarray(got["n"])
+    return out
 
-class _Numbers(dict):
-    """Symbols of words; other words get numbers of their own from `first` on."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = s = self.first + len(self.names)
-        self.names.append(word)
-        self.kinds.append(kind_of(word))
-        return s
-
-
-def _stretches(batches, known, end: int):
-    """Training documents as symbols, with an end before the first and after each."""
-    row = [end]
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            if not held_out(doc):
-                row += map(known.__getitem__, (text.as_py() or b"").lower().split())
-                row.append(end)
-                if len(row) > STRETCH:
-                    yield np.array(row)
-                    row = [end]
-    if len(row) > 1:
-        yield np.array(row)
-
-
-def _pairs(counts: np.ndarray):
+def _pairs(counts: np.ndarray) -> pa.RecordBatch:
     a, b = np.nonzero(counts)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[a, b], pa.int64())], ["a", "b", "n"])
 
 
-def _summed_pairs(df: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros((size, size), np.int64)
-    for r in df.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        out[r["a"], r["b"]] = r["n"]
-    return out
-
-
-def _count_bigrams(symbols: dict[bytes, int]):
-    n = len(symbols) + KINDS + 1
+def _count_first(symbols: dict[bytes, int]):
+    """Bigrams of the first words, other words (one symbol) and the end. A part's rows stand together, documents first."""
+    other = len(symbols)
+    n = other + 2
 
     def run(batches):
-        counts = np.zeros(n * n, np.int64)
-        known = _Symbols(symbols)
-        known.top = len(symbols)
-        for s in _stretches(batches, known, n - 1):
-            counts += np.bincount(s[:-1] * n + s[1:], minlength=n * n)
-            if len(known) > HELD:
-                known.clear()
-                known.update(symbols)
-        yield _pairs(counts.reshape(n, n))
-
-    return run
+        counts, read, words = np.zeros(n * n, np.int64), None, []
 
+        def add():
+            if read is not None:
+                of = np.full(len(read.order) + 1, other)
+                of[0] = n - 1
+                of[1 + read.order] = [symbols.get(w, other) for w in words]
+                a, b = read.steps()
+                np.add(counts, np.bincount(of[a] * n + of[b], minlength=n * n), out=counts)
+                words.clear()
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
-
-
-def _count_contexts(symbols: dict[bytes, int], of: np.ndarray, buckets: int):
-    """For each word that is no symbol: how often each class stands after it and before it, and it after itself."""
-    first, classes = len(of), int(of.max()) + 1
-    slots = 2 * classes + 1
-
-    def run(batches):
-        def new():
-            known.clear()
-            known.update(symbols)
-            known.first, known.names, known.kinds = first, [], []
-            parts.clear()
-
-        def sent():
-            keys, n = _merged(parts)
-            word, slot = keys // slots, (keys % slots).astype(np.uint8)
-            dealt = np.array([zlib.crc32(w) % buckets for w in known.names])[word]
-            order = np.argsort(dealt, kind="stable")
-            word, slot, n, dealt = word[order], slot[order], n[order], dealt[order]
-            at = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]]))
-            rows = []
-            for i, j in zip(at[:-1], at[1:], strict=True):
-                of_bucket, each = np.unique(word[i:j], return_counts=True)
-                rows.append((int(dealt[i]), pack(_join_words([known.names[w] for w in of_bucket]), each.astype(np.uint16), slot[i:j], n[i:j].astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "run"])
-
-        known, parts = _Numbers(), []
-        new()
-        for s in _stretches(batches, known, first - 1):
-            other = s >= first
-            kind = of[len(symbols) + np.array([*known.kinds, 0])]
-            c = np.where(other, kind[np.where(other, s - first, 0)], of[np.where(other, 0, s)])
-            at = np.flatnonzero(other)
-            row = (s[at] - first) * slots
-            right = row + np.where(s[at + 1] == s[at], 2 * classes, c[at + 1])
-            left = (row + classes + c[at - 1])[s[at - 1] != s[at]]
-            parts.append(np.unique(np.concatenate([right, left]), return_counts=True))
-            if len(known.names) >= HELD:
-                yield sent()
-                new()
-            elif len(parts) > 1 and sum(len(k) for k, _ in parts) > ENTRIES + 2 * len(parts[0][0]):
-                parts[:] = [_merged(parts)]
-        if known.names:
-            yield sent()
-
-    return run
-
-
-def place(m: np.ndarray, classes: int, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_: np.ndarray, size: int = 128) -> np.ndarray:
-    """The best of the first `classes` classes or the own one for each word, all others staying where they are: one
-    step of `exchange` for each. m: class bigrams with the word in its own class; right, left: its counts by class
-    without those of the word after itself (self_)."""
-    f = lambda x: x * np.log(np.maximum(x, 1))
-    out = np.array(own)
-    for first in range(0, len(own), size):
-        o, r, l, s = (x[first : first + size] for x in (own, right.astype(float), left.astype(float), self_.astype(float)))
-        i = np.arange(len(o))
-        b = np.repeat(m[None].astype(float), len(o), 0)
-        b[i, o] -= r
-        b[i, :, o] -= l
-        b[i, o, o] -= s
-        to = np.concatenate([np.repeat(np.arange(classes)[None], len(o), 0), o[:, None]], 1)
-        i = i[:, None]
-        rows, columns, corner, s = b[i, to], b[i, :, to], b[i, to, to], s[:, None]
-        gain = (f(rows + r[:, None]) - f(rows)).sum(2) + (f(columns + l[:, None]) - f(columns)).sum(2)
-        gain += f(corner + r[i, to] + l[i, to] + s) - f(corner + r[i, to]) - f(corner + l[i, to]) + f(corner)
-        # what stands before the word, or after it, counts in its own row or column wherever the word is
-        rows, columns = rows.sum(2) + l[i, to], columns.sum(2) + r[i, to]
-        gain -= f(rows + r.sum(1, keepdims=True) + s) - f(rows) + f(columns + l.sum(1, keepdims=True) + s) - f(columns)
-        best = gain[:, :-1].argmax(1)
-        out[first : first + size] = np.where(gain[i[:, 0], best] > gain[:, -1] + 1e-9, best, o)
-    return out
-
-
-_PLACED = "bucket int, run binary, own int, other int, distinct long, tokens long"
-
-
-def _place(m: np.ndarray, classes: int, of_kind: np.ndarray, least: int):
-    """A bucket's words that changed class, with their classes; and in rows without run, how much moved."""
-    n = len(m)
-    slots = 2 * n + 1
-
-    def run(key, table):
-        ids: dict[bytes, int] = {}
-        keys, counts = [], []
-        for blob in table["run"].to_pylist():
-            words, each, slot, c = unpack(blob)
-            keys.append(np.repeat(np.array([ids.setdefault(w, len(ids)) for w in _split_words(words)]), each) * slots + slot)
-            counts.append(c)
-        keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        word, slot = keys // slots, keys % slots
-        after = (slot < n) | (slot == 2 * n)
-        tokens = np.bincount(word[after], counts[after], len(ids)).astype(np.int64)
-        row = np.where(tokens >= least, np.cumsum(tokens >= least) - 1, -1)
-        names = [w for w, i in ids.items() if row[i] >= 0]
-        tokens, kept = tokens[tokens >= least], row[word] >= 0
-        seen = np.bincount(row[word[kept]] * slots + slot[kept], counts[kept], len(names) * slots).reshape(-1, slots)
-        own = of_kind[np.array([kind_of(w) for w in names], np.int64)]
-        to = place(m, classes, own, seen[:, :n], seen[:, n:-1], seen[:, -1])
-        moved = np.flatnonzero(to != own)
-        rows = [(key[0].as_py(), pack(_join_words([names[i] for i in moved]), to[moved].astype(np.uint8)), None, None, None, None)] if len(moved) else []
-        pair = own * n + to
-        for p in np.unique(pair).tolist():
-            rows.append((key[0].as_py(), None, p // n, p % n, int((pair == p).sum()), int(tokens[pair == p].sum())))
-        return table_of(rows, [x.split()[0] for x in _PLACED.split(", ")], [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
+        for batch in batches:
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket is None:
+                    add()
+                    read = Read(blob.as_py())
+                else:
+                    words += unpack(blob.as_py())[0].split(b" ")
+        add()
+        yield _pairs(counts.reshape(n, n))
 
     return run
 
 
-def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, words: int, classes: int, rounds: int = FIRST_ROUNDS) -> np.ndarray:
     """The class of each symbol; the first `words` symbols (most frequent first) move among `classes`, the rest stay
     classes of their own. Maximises sum n(c, d) log n(c, d) - sum n(c) log n(c) over left and right counts."""
     n = len(bigrams)
@@ -303,7 +248,6 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, rounds: in
     waiting = classes + n - words
     of = np.concatenate([np.where(np.arange(words) < classes, np.arange(words), waiting), classes + np.arange(n - words)])
     total = waiting + 1
-    f = lambda x: x * np.log(np.maximum(x, 1))
     b = bigrams.astype(float)
     m = np.zeros((total, total))
     np.add.at(m, (of[:, None], of[None, :]), b)
@@ -320,11 +264,11 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, rounds: in
             m[own, own] -= self_
             rows, columns = m.sum(1), m.sum(0)
             k = np.arange(classes)
-            base = f(m)
-            gain = (f(m[:classes] + right) - base[:classes]).sum(1) + (f(m[:, :classes] + left[:, None]) - base[:, :classes]).sum(0)
+            base = _f(m)
+            gain = (_f(m[:classes] + right) - base[:classes]).sum(1) + (_f(m[:, :classes] + left[:, None]) - base[:, :classes]).sum(0)
             corner = m[k, k]
-            gain += f(corner + right[k] + left[k] + self_) - f(corner + right[k]) - f(corner + left[k]) + f(corner)
-            gain -= f(rows[k] + right.sum() + self_) - f(rows[k]) + f(columns[k] + left.sum() + self_) - f(columns[k])
+            gain += _f(corner + right[k] + left[k] + self_) - _f(corner + right[k]) - _f(corner + left[k]) + _f(corner)
+            gain -= _f(rows[k] + right.sum() + self_) - _f(rows[k]) + _f(columns[k] + left.sum() + self_) - _f(columns[k])
             best = int(np.argmax(gain))
             if own < classes and gain[best] <= gain[own] + 1e-9:
                 best = own
@@ -338,187 +282,329 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, rounds: in
     return of
 
 
-class Model:
-    """Classes, log10 transition probabilities, and what emissions need."""
+# ------------------------------------------------ exchange over all words
+#: Context counts up to which gains come from tables.
+_TABLED = 16
+
+
+def place(m: np.ndarray, of: np.ndarray, counts: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray, batch: int = 4096) -> np.ndarray:
+    """The best class, 1 or more, of each word that occurs, all others staying where they are.
+
+    Empty classes stay empty. m: class bigrams. word, slot, n: ascending by word, how often class slot stands after it, or class slot - len(m)
+    before it. Both sides are weighed as if the other one stood still."""
+    k = len(m)
+    out = of.copy()
+    # into an empty class all words would move at once
+    closed = m.sum(0) + m.sum(1) == 0
+    closed[0] = True
+    x = np.arange(1, _TABLED + 1)[:, None, None]
+    sides = []
+    for side in (m, m.T):
+        turned = np.ascontiguousarray(side.T.astype(float))  # context, class
+        sides.append((turned, (_f(turned + x) - _f(turned)), turned.sum(0)))
+    bounds = np.searchsorted(word, np.arange(0, len(of) + batch, batch))
+    for first, s, e in zip(range(0, len(of), batch), bounds[:-1], bounds[1:], strict=False):
+        own = of[first : first + batch]
+        i = np.arange(len(own))
+        gain = np.zeros((len(own), k))
+        for side, (base, table, total) in enumerate(sides):
+            mine = (slot[s:e] >= k) == bool(side)
+            w, c, v = word[s:e][mine] - first, slot[s:e][mine] - side * k, n[s:e][mine]
+            if not len(w):
+                continue
+            up = table[np.minimum(v, _TABLED) - 1, c]
+            many = np.flatnonzero(v > _TABLED)
+            up[many] = _f(base[c[many]] + v[many, None]) - _f(base[c[many]])
+            stays = base[c, own[w]]
+            up[np.arange(len(w)), own[w]] = _f(stays) - _f(stays - v)
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[starts]] += np.add.reduceat(up, starts, 0)
+            mass = np.bincount(w, v, len(own))
+            down = _f(total + mass[:, None]) - _f(total)
+            down[i, own] = _f(total[own]) - _f(total[own] - mass)
+            gain -= down
+        gain[:, closed] = -np.inf
+        best = gain.argmax(1)
+        better = (counts[first : first + batch] > 0) & (gain[i, best] > gain[i, own] + 1e-9)
+        out[first : first + batch] = np.where(better, best, own)
+    return out
 
-    def __init__(self, docs: DataFrame, top: int = TOP):
-        buckets = chunk_count(docs)
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        summed = cut(own.mapInArrow(_count_words(buckets), "bucket int, run binary").groupBy("bucket").applyInArrow(grouped(_sum_words(top)), "word binary, kind int, distinct long, tokens long"))
-        kinds = {r["kind"]: (r["v"], r["n"]) for r in summed.filter("word IS NULL").groupBy("kind").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).collect()}
-        best = summed.filter("word IS NOT NULL").orderBy(F.desc("tokens"), "word").limit(top).collect()
-        self.tokens, self.distinct = sum(n for _, n in kinds.values()), sum(v for v, _ in kinds.values())
-        self.symbols = {bytes(r["word"]): i for i, r in enumerate(best)}
-        size = len(best) + KINDS + 1
-        bigrams = _summed_pairs(own.mapInArrow(_count_bigrams(self.symbols), "a int, b int, n long"), size)
-        self.of = of = exchange(bigrams, len(best))
-        classes = int(of.max()) + 1
-        v, n = np.zeros(classes), np.zeros(classes)
-        for kind, (distinct, tokens) in kinds.items():
-            v[of[len(best) + kind]] += distinct
-            n[of[len(best) + kind]] += tokens
-        for i, r in enumerate(best):
-            rare = of[len(best) + r["kind"]]
-            v[rare] -= 1
-            n[rare] -= r["tokens"]
-            v[of[i]] += 1
-            n[of[i]] += r["tokens"]
-        #: Rare classes keep one more pseudo-count for words never seen.
-        self.open = np.zeros(classes)
-        self.open[[of[len(best) + k] for k in range(KINDS)]] = 1
-        self.distinct_of, self.tokens_of = v, n
-        self.class_mass = n + EMISSION * (v + self.open)
-        self.bigrams = np.zeros((classes, classes))
-        np.add.at(self.bigrams, (of[:, None], of[None, :]), bigrams)
-        self.learn(self.bigrams)
-
-    def learn(self, m: np.ndarray) -> None:
-        """Transitions from class bigrams."""
-        spread = (m.sum(0) + 1) / (m.sum() + len(m))
-        self.transition = np.log10((m + TRANSITION * spread) / (m.sum(1, keepdims=True) + TRANSITION))
-
-    def place_others(self, docs: DataFrame, buckets: int, least: int) -> DataFrame:
-        """bucket, run: classes of the other words seen `least` times or more, where they leave their kinds."""
-        k = len(self.symbols)
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        contexts = own.mapInArrow(_count_contexts(self.symbols, self.of, buckets), "bucket int, run binary")
-        placed = cut(contexts.groupBy("bucket").applyInArrow(grouped(_place(self.bigrams, min(CLASSES, max(k, 1)), self.of[k : k + KINDS], least)), _PLACED))
-        self.others = 0
-        for r in placed.filter("run IS NULL").groupBy("own", "other").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).collect():
-            self.others += r["v"]
-            for x, c in ((self.distinct_of, r["v"]), (self.tokens_of, r["n"])):
-                x[r["own"]] -= c
-                x[r["other"]] += c
-        self.class_mass = self.tokens_of + EMISSION * (self.distinct_of + self.open)
-        return placed.filter("run IS NOT NULL").select("bucket", "run")
-
-    def classes_of(self, words: list[bytes]) -> np.ndarray:
-        k = len(self.symbols)
-        return self.of[[s if (s := self.symbols.get(w)) is not None else k + (KINDS if w == END else kind_of(w)) for w in words]]
 
-    def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        end = classes == self.of[-1]
-        return np.where(end, 0.0, np.log10((counts + EMISSION) / np.maximum(self.class_mass[classes], EMISSION)))
+_STATE = "bucket int, blob binary, class int, words long, tokens long"
 
 
-def _ask(buckets: int):
-    """A chunk's distinct words, whether trained on or not, with their training counts, by bucket."""
+def _state_rows(bucket: int, counts: np.ndarray, of: np.ndarray, classes: int) -> pa.Table:
+    """A bucket's counts and classes; and how many words and tokens each class has there."""
+    rows = [(bucket, pack(counts, of.astype(np.uint8)), None, None, None)]
+    words, tokens = np.bincount(of[counts > 0], minlength=classes), np.bincount(of, counts, classes)
+    rows += [(None, None, k, int(words[k]), int(tokens[k])) for k in range(classes) if words[k]]
+    return table_of(rows, [x.split()[0] for x in _STATE.split(", ")], [pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()])
 
-    def run(key, table):
-        counts = _chunk_counts(Texts(table))
-        rows = [(b, key[0].as_py(), pack(_join_words(w), n)) for b, w, n in _runs(counts, buckets)]
-        return table_of(rows, ["bucket", "chunk", "run"], [pa.int32(), pa.int32(), pa.binary()])
+
+def _start(first: dict[int, list[tuple[int, int]]], classes: int):
+    """Classes before the first round: those of the first words (by bucket: number, class), and one for all others."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                (counts,) = unpack(blob.as_py())
+                of = np.full(len(counts), classes - 1)
+                for i, c in first.get(bucket, ()):
+                    of[i] = c
+                yield from _state_rows(bucket, counts, of, classes).to_batches()
 
     return run
 
 
-def _chunk_counts(texts: Texts) -> Counter[bytes]:
-    counts: Counter[bytes] = Counter({END: 0})
-    for i, doc in enumerate(texts.ids.to_pylist()):
-        words = texts.bytes_of(i).lower().split()
-        if held_out(doc):
-            for w in words:
-                counts.setdefault(w, 0)
-        else:
-            counts.update(words)
-            counts[END] += 1
-    return counts
-
-
-def _tell(key, table, placed):
-    """The training counts of the asked words, and the classes of those that left their kinds (else 255)."""
-    total: dict[bytes, int] = {}
-    runs = []
-    for chunk, blob in zip(table["chunk"].to_pylist(), table["run"].to_pylist(), strict=True):
-        words, n = unpack(blob)
-        words = [END] if words == END else _split_words(words)
-        runs.append((chunk, words))
-        for w, c in zip(words, n.tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    to: dict[bytes, int] = {}
-    for blob in placed["run"].to_pylist():
-        words, classes = unpack(blob)
-        to.update(zip(_split_words(words), classes.tolist(), strict=True))
-    rows = [(chunk, key[0].as_py(), pack(np.array([total[w] for w in words], np.int64), np.array([to.get(w, 255) for w in words], np.uint8))) for chunk, words in runs]
-    return table_of(rows, ["chunk", "bucket", "told"], [pa.int32(), pa.int32(), pa.binary()])
+def _tell(with_counts: bool):
+    """To each part, numbers and classes of its words, or classes and counts."""
 
+    def run(key, maps, state):
+        counts, of = unpack(state["blob"][0].as_py())
+        rows = []
+        for part, blob in zip(maps["part"].to_pylist(), maps["blob"].to_pylist(), strict=True):
+            (ids,) = unpack(blob)
+            rows.append((part, key[0].as_py(), pack(of[ids], counts[ids]) if with_counts else pack(ids, of[ids])))
+        return table_of(rows, ["part", "bucket", "blob"], [pa.int64(), pa.int32(), pa.binary()])
+
+    return run
+
+
+def _told(table: pa.Table) -> dict[int, bytes]:
+    return dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), strict=True))
+
+
+def _contexts(classes: int):
+    """How often each class stands after and before each word of a part, by bucket."""
+
+    def run(key, own, told):
+        rows = []
+        if told.num_rows:
+            read = Read(own["blob"][0].as_py())
+            ids, of = read.told(_told(told), (0, 0))
+            of = of.astype(np.int64)
+            a, b = read.steps()
+            size = len(of)
+            found = []
+            for side, (at, by) in enumerate(((a, b), (b, a))):
+                n = np.bincount(at * classes + of[by], minlength=size * classes)
+                keys = np.flatnonzero(n[classes:]) + classes  # not those of the end
+                found.append((keys // classes, keys % classes + side * classes, n[keys]))
+            word, slot, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((slot, word, read.bucket[word - 1]))
+            word, slot, n = word[order], slot[order].astype(np.uint8), n[order].astype(np.uint32)
+            bucket = read.bucket[word - 1].astype(np.int64)
+            bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                starts = np.flatnonzero(np.diff(word[s:e], prepend=0))
+                each = np.diff(starts, append=e - s).astype(np.uint8)
+                rows.append((int(bucket[s]), pack(ids[word[s:e][starts]].astype(np.uint32), each, slot[s:e], n[s:e])))
+        return table_of(rows, ["bucket", "blob"], [pa.int32(), pa.binary()])
+
+    return run
+
+
+def _merge(classes: int):
+    """A bucket's context counts of all parts, with its state; and the class bigrams that its words are the first of."""
+
+    def run(key, table, state):
+        slots = 2 * classes
+        counts, of = unpack(state["blob"][0].as_py())
+        total = np.zeros(len(counts) * slots)
+        for blob in table["blob"].to_pylist():
+            ids, each, slot, n = unpack(blob)
+            total[np.repeat(ids.astype(np.int64), each) * slots + slot] += n  # no key stands twice in a run
+        keys = np.flatnonzero(total)
+        word, slot, n = keys // slots, keys % slots, total[keys].astype(np.int64)
+        after = slot < classes
+        m = np.bincount(of[word[after]].astype(np.int64) * classes + slot[after], n[after], classes * classes).astype(np.int64).reshape(classes, classes)
+        rows = [(key[0].as_py(), pack(counts, of, word.astype(np.uint32), slot.astype(np.uint8), n), None, None, None)]
+        rows += [(None, None, int(a), int(b), int(m[a, b])) for a, b in np.argwhere(m)]
+        return table_of(rows, ["bucket", "blob", "a", "b", "n"], [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()])
+
+    return run
+
+
+def _move(m: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts, of, word, slot, n = unpack(blob.as_py())
+                to = place(m, of.astype(np.int64), counts, word.astype(np.int64), slot.astype(np.int64), n)
+                yield from _state_rows(bucket, counts, to, len(m)).to_batches()
+
+    return run
 
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+# ------------------------------------------------ the model
+class Model:
+    """Parts of a corpus, classes of its words, and what emissions need."""
 
-def _read(model: Model, buckets: int):
-    """A chunk's documents as classes, with all figures but the transitions."""
-
-    def run(key, docs, told):
-        texts = Texts(docs)
-        answers = dict(zip(told["bucket"].to_pylist(), told["told"].to_pylist(), strict=True))
-        words: list[bytes] = []
-        counts, moved = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-        for b, w, _ in _runs(_chunk_counts(texts), buckets):
-            words += w
-            c, to = unpack(answers[b])
-            counts.append(c)
-            moved.append(to)
-        c, to = np.concatenate(counts), np.concatenate(moved)
-        place = {w: i for i, w in enumerate(words)}
-        base = np.log10((c + 1) / (model.tokens + model.distinct + 1))
-        classes = np.where(to < 255, to, model.classes_of(words))
-        emitted = model.emission(classes, c)
-        classes, known, end = classes.astype(np.uint8), c > 0, place.get(END)
-        rows, read = [], []
-        for i, doc in enumerate(texts.ids.to_pylist()):
-            at = np.array([*map(place.__getitem__, texts.bytes_of(i).lower().split()), end])
-            read.append(classes[at])
-            rows.append((doc, held_out(doc), len(at), int(known[at].sum()), float(base[at].sum()), float(emitted[at].sum())))
-        return table_of([(pack(rows, np.concatenate(read)),)], ["part"], [pa.binary()])
+    def __init__(self, docs: DataFrame, classes: int = CLASSES, seeds: int = SEEDS, rounds: int = ROUNDS):
+        if not 3 <= classes <= ONCE:
+            raise ValueError(f"classes must be from 3 to {ONCE}")
+        buckets = chunk_count(docs)
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.all_parts = parts = cut(own.mapInArrow(_read_parts(buckets), "part long, bucket int, blob binary"))
+        self.parts = parts.filter("bucket IS NULL").select("part", "blob")
+        tally = cut(parts.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(grouped(_tally(seeds)), _TALLY))
+        self.maps = tally.filter("part IS NOT NULL").select("part", "bucket", "blob")
+        first = tally.filter("word IS NOT NULL").orderBy(F.desc("tokens"), "word").limit(seeds).collect()
+        bigrams = _summed(parts.mapInArrow(_count_first({bytes(r["word"]): i for i, r in enumerate(first)}), "a int, b int, n long"), (len(first) + 2,) * 2)
+        ends = int(bigrams[-1].sum())
+        words, distinct = tally.filter("part IS NULL AND blob IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("id"), F.lit(0))).first()
+        self.classes, self.ends = classes, ends
+        self.tokens, self.distinct = words + ends, distinct + (ends > 0)
+        of = exchange(bigrams, len(first), classes - 2)
+        start: dict[int, list[tuple[int, int]]] = {}
+        for r, c in zip(first, of.tolist(), strict=False):
+            start.setdefault(r["bucket"], []).append((r["id"], c + 1))
+        counts = tally.filter("part IS NULL AND blob IS NOT NULL").select("bucket", "blob")
+        state = cut(counts.mapInArrow(_start(start, classes), _STATE))
+        #: What the last round began with, and its likelihood.
+        self.before, self.reached = state, -np.inf
+        for _ in range(rounds):
+            merged, m = self._counted(state)
+            if self.fell(m):
+                state = self.before
+                break
+            self.before, self.reached = state, likelihood(m)
+            state = cut(merged.mapInArrow(_move(m), _STATE))
+        self.use(state)
+
+    def fell(self, m: np.ndarray) -> bool:
+        """Whether these class bigrams are less likely than those before the last round: all words moved at once."""
+        return likelihood(m) < self.reached
+
+    def use(self, state: DataFrame) -> None:
+        self.state = state.filter("blob IS NOT NULL").select("bucket", "blob")
+        self.words_of, self.tokens_of = self._sums(state)
+
+    def _sums(self, state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words and tokens of each class."""
+        out = np.zeros((2, self.classes))
+        for r in state.filter("class IS NOT NULL").groupBy("class").agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).collect():
+            out[:, r["class"]] = r["v"], r["n"]
+        out[:, 0] = self.ends > 0, self.ends
+        return out[0], out[1]
+
+    def told(self, state: DataFrame, with_counts: bool) -> DataFrame:
+        return self.maps.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(cogrouped(_tell(with_counts)), "part long, bucket int, blob binary")
+
+    def _counted(self, state: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """Buckets with the contexts of their words, and the class bigrams."""
+        held = state.filter("blob IS NOT NULL").select("bucket", "blob")
+        contexts = self.parts.groupBy("part").cogroup(self.told(held, False).groupBy("part")).applyInArrow(cogrouped(_contexts(self.classes)), "bucket int, blob binary")
+        merged = cut(contexts.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(cogrouped(_merge(self.classes)), "bucket int, blob binary, a int, b int, n long"))
+        m = _summed(merged.filter("a IS NOT NULL").select("a", "b", "n"), (self.classes,) * 2)
+        # each token has one before it: what no word is the first of, an end is
+        m[0] = self._sums(state)[1].astype(np.int64) - m[1:].sum(0)
+        return merged.filter("blob IS NOT NULL").select("bucket", "blob"), m
+
+    def unknown(self) -> np.ndarray:
+        """Each class's probability of a word that no training document has; all of it where a class is empty."""
+        e = np.where(self.tokens_of > 0, DISCOUNT * self.words_of / np.maximum(self.tokens_of, 1), 1.0)
+        e[0] = 0.0
+        return e
+
+    def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) of words seen `counts` times; 0 for the end and for unknown words."""
+        known = (counts > 0) & (classes > 0)
+        return np.where(known, np.log10(np.where(known, counts - DISCOUNT, 1.0) / np.where(known, self.tokens_of[classes], 1.0)), 0.0)
+
+    def steps(self, m: np.ndarray) -> np.ndarray:
+        """log10 transitions. m: class bigrams, with a last row for words seen once. The last row serves unknown words;
+        the last column has the probability of an unknown word."""
+        spread = (m[:-1].sum(0) + 1) / (m[:-1].sum() + self.classes)
+        t = (m + TRANSITION * spread) / (m.sum(1, keepdims=True) + TRANSITION)
+        return np.log10(np.concatenate([t, (t @ self.unknown())[:, None]], 1))
+
+
+def _label(model: Model):
+    """A part's documents with all figures but the transitions, and their tokens as classes with marks."""
+    tokens, distinct, ends = model.tokens, model.distinct, model.ends
+    emission = model.emission
+
+    def run(key, own, told):
+        read = Read(own["blob"][0].as_py())
+        of, counts = (x.astype(np.int64) for x in read.told(_told(told), (0, ends)))
+        base = np.log10((counts + 1) / (tokens + distinct + 1))
+        out = emission(of, counts)
+        mark = np.where(counts == 0, NEVER, np.where((counts == 1) & (of > 0), ONCE, 0))
+        mark[0] = 0  # the end is never an unknown word
+        code = np.where(mark == NEVER, NEVER, of + mark).astype(np.uint8)
+        at = np.cumsum(read.sizes) - read.sizes
+        sums = [np.add.reduceat(x[read.symbols], at) for x in ((counts > 0).astype(np.int64), base, out)]
+        blob = pack(read.docs, read.held, read.sizes, *sums, code[read.symbols])
+        return table_of([(blob,)], ["blob"], [pa.binary()])
 
     return run
 
 
-def _steps(blob: bytes, end: int):
-    """A chunk's rows, and for each of their words (each document's end last) the class before it and its own."""
-    rows, k = unpack(blob)
-    k = k.astype(np.int64)
-    # the end before a document is the end of the one before it
-    return rows, np.concatenate([[end], k[:-1]]), k
+class _Plain:
+    """What a task needs of a model."""
 
+    def __init__(self, model: Model):
+        self.tokens, self.distinct, self.ends, self.tokens_of = model.tokens, model.distinct, model.ends, model.tokens_of
+
+    emission = Model.emission
+
+
+def _rows_of(code: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of the token before) and columns of the step table."""
+    code = code.astype(np.int64)
+    symbol = np.where(code == NEVER, classes, code & (ONCE - 1))
+    return np.concatenate([[0], symbol[:-1]]), symbol
+
+
+def _count_steps(classes: int):
+    """Class bigrams of the training documents; in a last row those whose first word was seen once."""
 
-def _count_steps(classes: int, end: int):
     def run(batches):
-        m = np.zeros(classes * classes, np.int64)
+        m = np.zeros(((classes + 1), classes), np.int64)
         for batch in batches:
             for blob in batch.column(0):
-                rows, a, b = _steps(blob.as_py(), end)
-                train = np.repeat([not r[1] for r in rows], [r[2] for r in rows])
-                m += np.bincount((a * classes + b)[train], minlength=len(m))
-        yield _pairs(m.reshape(classes, classes))
+                _, held, sizes, *_, code = unpack(blob.as_py())
+                code = code[np.repeat(~held, sizes)]
+                if len(code):
+                    a, b = _rows_of(code, classes)
+                    m[:-1] += np.bincount(a * classes + b, minlength=classes * classes).reshape(classes, classes)
+                    m[-1] += np.bincount(b[1:][(code[:-1] & ONCE) > 0], minlength=classes)
+        yield _pairs(m)
 
     return run
 
 
-def _score(model: Model):
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(steps: np.ndarray, tokens: int):
     names = [x.split()[0] for x in _OUT.split(", ")]
 
     def run(batches):
         for batch in batches:
             for blob in batch.column(0):
-                rows, a, b = _steps(blob.as_py(), int(model.of[-1]))
-                at = np.concatenate([[0], np.cumsum([r[2] for r in rows])[:-1]])
-                steps = np.add.reduceat(model.transition[a, b], at).tolist()
-                out = [(doc, held, n, known, model.tokens, base, emitted + t) for (doc, held, n, known, base, emitted), t in zip(rows, steps, strict=True)]
-                yield from table_of(out, names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]).to_batches()
+                docs, held, sizes, known, base, emitted, code = unpack(blob.as_py())
+                a, b = _rows_of(code, len(steps) - 1)
+                score = emitted + np.add.reduceat(steps[a, b], np.cumsum(sizes) - sizes)
+                columns = [pa.array(docs, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def score(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
+def _labelled(model: Model) -> tuple[DataFrame, np.ndarray]:
+    """The parts as classes, and their transitions."""
+    told = model.told(model.state, True)
+    read = cut(model.parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(cogrouped(_label(_Plain(model))), "blob binary"))
+    return read, _summed(read.mapInArrow(_count_steps(model.classes), "a int, b int, n long"), (model.classes + 1, model.classes))
+
+
+def score(docs: DataFrame, **how) -> DataFrame:
     """Figures and log10 probabilities of every document."""
-    model = Model(docs, top)
-    dealt, chunks = chunked(docs)
-    placed = model.place_others(docs, chunks, least)
-    asked = dealt.groupBy("chunk").applyInArrow(grouped(_ask(chunks)), "bucket int, chunk int, run binary")
-    told = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(cogrouped(_tell), "chunk int, bucket int, told binary")
-    read = cut(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cogrouped(_read(model, chunks)), "part binary"))
-    size, end = len(model.transition), int(model.of[-1])
-    model.learn(_summed_pairs(read.mapInArrow(_count_steps(size, end), "a int, b int, n long"), size).astype(float))
-    return read.mapInArrow(_score(model), _OUT)
+    model = Model(docs, **how)
+    read, m = _labelled(model)
+    if model.fell(m[:-1]):
+        model.use(model.before)
+        read, m = _labelled(model)
+    return read.mapInArrow(_score(model.steps(m.astype(float)), model.tokens), _OUT)
