@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import pickle
 import zlib
 
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count
+from .common import chunk_count, quoted
 
 #: Chunks for each split of the scan.
 PER_SPLIT = 4
@@ -65,20 +66,30 @@ def unpack(blob: bytes) -> tuple:
 
 
 def chunked(docs: DataFrame, keep: list[str] | None = None, per_split: float = PER_SPLIT) -> tuple[DataFrame, int]:
-    """chunk, doc_id, text and the columns of keep (as struct `row`); and the number of chunks."""
+    """chunk, doc_id, text and the columns of keep (as a struct `row` of numbered fields c0, c1, ..., whatever their
+    names are); and the number of chunks."""
     n = chunk_count(docs, 1 / per_split)
-    row = [F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("row")] if keep is not None else []
+    row = [F.struct(F.lit(0).alias("none"), *(quoted(c).alias(f"c{i}") for i, c in enumerate(keep))).alias("row")] if keep is not None else []
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *row)
     spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     return d.withColumn("chunk", F.pmod(spread, F.lit(n)).cast("int")), n
 
 
 class Texts:
-    """A chunk's documents in order of (doc_id, text), nulls first, over one buffer of bytes."""
+    """A chunk's documents in order of (doc_id, text), nulls first, over one buffer of bytes. Rows without id stand in the
+    order of a digest of their text, which is the same in all chunks."""
 
     def __init__(self, table: pa.Table):
-        order = pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        missing = np.flatnonzero(~table["doc_id"].is_valid().to_numpy()) if table["doc_id"].null_count else np.zeros(0, int)
+        ties = np.zeros(table.num_rows, np.uint64)
+        if len(missing):
+            texts = table["text"].take(missing).cast(pa.large_binary())
+            ties[missing] = [int.from_bytes(hashlib.blake2b(t.as_py() or b"", digest_size=8).digest()) for t in texts]
+        keys = pa.table({"id": table["doc_id"], "tie": pa.array(ties), "text": table["text"]})
+        order = pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names], null_placement="at_start")
         self.table = table.take(order)
+        #: Those digests, 0 for rows with an id; none if all have one.
+        self.ties = ties[order.to_numpy()] if len(missing) else None
         column = self.table["text"].combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())

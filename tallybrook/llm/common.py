@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,27 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct `row` of numbered fields, so that no helper column can clash with them."""
+    return F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from such a struct."""
+    return rows.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the cluster's shared folder; sets one only where none is configured (local tests)."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             import tempfile
 

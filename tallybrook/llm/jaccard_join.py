@@ -9,8 +9,9 @@ Documents are sets of 64-bit hashes of word shingles. Two link when 100 |x & y|
    entry a chunk.
 3. Within a group, a signature tree holds OR-combined token bitmaps and size ranges; two nodes are compared with each
    other from the root down and dropped as soon as the largest overlap that the bitmaps allow is too small. The pairs
-   of sets that are left are compared exactly. Groups are split into blocks and pairs of blocks, so a task's memory is
-   bounded whatever the size of the group; no partner is cut off.
+   of sets that are left are compared exactly. Groups are split by classes of size, and these into blocks; a block meets
+   the blocks of its own class and the next ones, since linked sets are no further apart. A task's memory is bounded
+   whatever the size of the group, and no partner is cut off.
 4. The links' components give each document the smallest doc_id it reaches; n_links counts the other documents it links
    with directly, copies included.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import Texts, chunked, cogrouped, from_six, grouped, mix64, pack, six_bytes, table_of, unpack
-from .common import cut
+from .common import cut, unpacked, whole_row
 from .components import components
 
 WORDS = 5
@@ -401,18 +402,28 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     group = components(met.union(inside)).withColumnRenamed("node", "doc_id")
     members = found.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), "owner")
     copies = cut(members.filter("n_shingles > 0 AND owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("copies")))
-    sizes = group.groupBy("component").agg(F.count("*").alias("held"))
-    sizes = cut(sizes.select("component", F.ceil(F.col("held") / block).cast("int").alias("blocks")))
-    group = cut(group.join(sizes, "component").select("doc_id", "component", "blocks"))
-    group = cut(group.join(copies.withColumnRenamed("owner", "doc_id"), "doc_id"))
-    n_groups = max(1, math.ceil(group.count() / (2 * block)))
-    sets = found.filter(F.col("kind") == SET).select("doc_id", "blob").join(group, "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("component", "doc_id", "copies", "blob", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    # small groups share a task's group; a pair of blocks of a large one has its own
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(n_groups))).otherwise(F.xxhash64("component", "i", "j"))
-    linked = cut(sets.withColumn("cell", cell).drop("blocks").groupBy("cell").applyInArrow(grouped(_join_cells(percent)), "kind int, a long, b long"))
+    # linked sets differ in size by at most a class, so a set only meets its own class and the next ones
+    step = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    of_size = F.floor(F.log("n") / F.lit(step)).cast("int").alias("class")
+    sets = found.filter(F.col("kind") == SET).select("doc_id", of_size, "blob")
+    light = cut(sets.select("doc_id", "class").distinct().join(group, "doc_id"))
+    held = light.groupBy("component", "class").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("component")))
+    # groups that fit a block are one
+    whole, blocks = F.col("all") <= block, F.ceil(F.col("n") / block).cast("int")
+    near = F.collect_list(F.struct("class", blocks.alias("blocks"))).over(Window.partitionBy("component").orderBy("class").rangeBetween(-1, 1))
+    one = F.array(F.struct(F.lit(-1).alias("class"), F.lit(1).alias("blocks")))
+    held = held.select("component", "class", F.when(whole, -1).otherwise(F.col("class")).alias("of"), F.when(whole, 1).otherwise(blocks).alias("own_blocks"), F.when(whole, one).otherwise(near).alias("near"), whole.alias("whole"))
+    light = cut(light.join(held, ["component", "class"]).join(copies.withColumnRenamed("owner", "doc_id"), "doc_id"))
+    n_groups = max(1, math.ceil(light.count() / (2 * block)))
+    sets = sets.join(light, ["doc_id", "class"])
+    me = F.struct(F.col("of").alias("class"), F.pmod(F.xxhash64("doc_id"), "own_blocks").cast("int").alias("block"))
+    spread = F.flatten(F.transform("near", lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: F.struct(c["class"].alias("class"), b.alias("block")))))
+    sets = sets.withColumn("me", me).withColumn("other", F.explode(spread))
+    sets = sets.select("component", "doc_id", "copies", "blob", "whole", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), (F.col("me") > F.col("other")).cast("int").alias("side"))
+    # groups of one block share a task's group; a pair of blocks of a larger one has its own
+    cell = F.when(F.col("whole"), F.pmod(F.xxhash64("component"), F.lit(n_groups))).otherwise(F.xxhash64("component", "i", "j"))
+    sets = sets.withColumn("cell", cell).select("component", "doc_id", "copies", "blob", F.xxhash64("i").alias("i"), F.xxhash64("j").alias("j"), "side", "cell")
+    linked = cut(sets.groupBy("cell").applyInArrow(grouped(_join_cells(percent)), "kind int, a long, b long"))
     joined = components(linked.filter("kind = 0").select("a", "b"))
     partners = cut(linked.filter("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("partners")))
     told = cut(joined.join(partners, "node", "left")).join(copies.withColumnRenamed("owner", "node"), "node", "full_outer")
@@ -431,5 +442,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     if repeated.isEmpty():
         return kept
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    once = again.select(whole_row(again), F.row_number().over(first).alias("nth")).filter("nth = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(unpacked(once, docs))

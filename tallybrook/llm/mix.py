@@ -1,13 +1,16 @@
 """Mixing sources to target weights.
 
-Words per source are summed (partially on the map side, so a hot source costs one row a task). Shares of the wanted
-total follow the weights, but no source may exceed `cap` times its size; the excess is dealt again by weight until no
-source is above its cap. That is water filling: with sources ordered by cap / weight, one running sum finds the level.
+One pass over the texts writes each document's size. Words per source are summed (partially on the map side, so a hot
+source costs one row a task). Shares of the wanted total follow the weights, but no source may exceed `cap` times its
+size; the excess is dealt again by weight until no source is above its cap: each round sums what full sources take and
+what the others weigh, until no more sources are full. Sources get their weights by their place in order; they are
+numbered by a range-partitioned sort, so there may be as many sources as a sum by source has rows.
 A document is emitted floor(rate) times, plus once more if a hash of the seed and its id falls below the fraction. Each
-source draws under that one of `DRAWS` seeds which brings its taken words nearest to its target; one more pass sums the
-words that each seed would take.
-Null texts have size 0, a null source is a source of its own (last in order), sources of size 0 get target 0, repeated
-rows draw alike, an empty table gives an empty result, and reruns agree.
+source draws under that one of `DRAWS` seeds which brings its taken words nearest to its target; one pass over the sizes
+sums the words that each seed would take.
+Null texts have size 0, a null source is a source of its own (last in order), sources of size 0 get target 0, rows
+without id draw as one id, repeated rows draw alike, long texts count like short ones, an empty table gives an empty
+result, columns of any names are kept as they are, and reruns agree.
 """
 
 from __future__ import annotations
@@ -18,13 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, unpacked, whole_row
 
 WEIGHTS = (3, 1, 2)
 SEED = 20240117
 DRAWS = 16
 #: Sources up to which the target table (one row a source) is broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 10_000
+#: Bytes up to which the longest name of a source may go for that.
+BROADCAST_NAME = 1_000
+
+
+def count_words(text: bytes, piece: int = 1 << 20) -> int:
+    """Words of a text, however long, counted piece by piece."""
+    if len(text) <= piece:
+        return len(text.split())
+    parts = [text[i : i + piece] for i in range(0, len(text), piece)]
+    # a word that goes on in the next piece was counted twice
+    return sum(len(p.split()) for p in parts) - sum(not a[-1:].isspace() and not b[:1].isspace() for a, b in zip(parts, parts[1:], strict=False))
 
 
 def with_words(df: DataFrame, name: str = "size", text_col: str = "text") -> DataFrame:
@@ -35,30 +49,44 @@ def with_words(df: DataFrame, name: str = "size", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
-            n = pa.array([len(t.as_py().split()) if t.is_valid else 0 for t in texts], pa.int64())
+            n = pa.array([count_words(t.as_py()) if t.is_valid else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, name])
 
     return df.drop(name).mapInArrow(run, schema)
 
 
-def _sizes(docs: DataFrame, columns: list[str]) -> DataFrame:
-    sized = with_words(docs.select(*dict.fromkeys([*columns, "text"])))
-    return sized.select(*columns, "size")
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size of every document, written once."""
+    sized = with_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
+    return cut(sized.select("doc_id", "source", "size"))
+
+
+def _numbered(per: DataFrame) -> DataFrame:
+    """per with `place`: the number, from 0, of each source in order, null last."""
+    order = F.col("source").asc_nulls_last()
+    dealt = cut(per.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    first, firsts = 0, {}
+    for r in sorted(dealt.groupBy("part").count().collect()):  # one row a partition
+        firsts[r["part"]], first = first, first + r["count"]
+    start = F.element_at(F.create_map(*(F.lit(int(x)) for kv in firsts.items() for x in kv)), F.col("part")) if firsts else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return dealt.withColumn("place", start + within).drop("part")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """source, source_size, target: one row a source. sizes: source, size."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.row_number().over(order) - 1) % len(weights) + 1)
-    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(cap))
-    ratio = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest, everything = ratio.rowsBetween(Window.unboundedPreceding, -1), ratio.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    per = per.withColumn("level", level).withColumn("full", F.col("most") / F.col("weight") <= F.col("level"))
-    per = per.withColumn("nth", F.row_number().over(ratio))
-    at = F.min(F.when(~F.col("full"), F.struct("nth", "level"))).over(everything)
-    return per.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(at["level"] * F.col("weight")).alias("target"))
+    per = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
+    per = cut(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")))
+    wanted = (per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, filled, full = 0.0, -1, F.lit(False)
+    while True:
+        n, taken, open_ = per.agg(F.count_if(full), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == filled or not open_:
+            break
+        filled, level = n, (wanted - (taken or 0.0)) / open_
+        full = F.col("most") / F.col("weight") <= F.lit(level)
+    return per.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def uniform(id_col, draw, seed: int = SEED):
@@ -68,11 +96,12 @@ def uniform(id_col, draw, seed: int = SEED):
 
 
 def _joined(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """rows with their source's target; the targets are broadcast if they are few."""
-    targets = targets.withColumnRenamed("source", "__of")
-    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    """rows (with a column source) with their source's target; the targets are broadcast if they are few and small."""
+    targets = targets.withColumnRenamed("source", "of_source")
+    n, size = targets.agg(F.count("*"), F.max(F.octet_length("of_source"))).first()
+    if n <= BROADCAST_SOURCES and (size or 0) <= BROADCAST_NAME:
         targets = F.broadcast(targets)
-    return rows.join(targets, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+    return rows.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
 def with_draws(sizes: DataFrame, targets: DataFrame, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
@@ -81,15 +110,14 @@ def with_draws(sizes: DataFrame, targets: DataFrame, seed: int = SEED, draws: in
     targets = targets.withColumn("rate", rate)
     fraction = F.col("rate") - F.floor("rate")
     taken = [F.sum(F.when(uniform(F.col("doc_id"), F.lit(k), seed) < fraction, F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(draws)]
-    sums = _joined(sizes, targets.select("source", "rate")).groupBy(F.col("source").alias("__of")).agg(*taken)
+    sums = _joined(sizes, targets.select("source", "rate")).groupBy(F.col("source").alias("of_source")).agg(*taken)
     off = lambda k: F.abs(F.col("target") - F.floor("rate") * F.col("source_size") - F.col(f"t{k}"))
     best = F.array_min(F.array(*(F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(draws))))["k"]
-    return targets.join(sums, F.col("source").eqNullSafe(F.col("__of"))).select("source", "source_size", "target", "rate", best.alias("draw"))
+    return targets.join(sums, F.col("source").eqNullSafe(F.col("of_source"))).select("source", "source_size", "target", "rate", best.alias("draw"))
 
 
-def _targets(docs: DataFrame, seed: int, **how) -> DataFrame:
-    targets = cut(source_targets(_sizes(docs, ["source"]), **how))
-    return cut(with_draws(_sizes(docs, ["doc_id", "source"]), targets, seed))
+def _targets(sizes: DataFrame, seed: int, **how) -> DataFrame:
+    return cut(with_draws(sizes, cut(source_targets(sizes, **how)), seed))
 
 
 def _copies(rate, draw, seed: int):
@@ -98,15 +126,17 @@ def _copies(rate, draw, seed: int):
 
 def mix_plan(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every document."""
-    joined = _joined(_sizes(docs, ["doc_id", "source"]), _targets(docs, seed, **how))
+    sizes = _sizes(docs)
+    joined = _joined(sizes, _targets(sizes, seed, **how))
     return joined.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("rate"), F.col("draw"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The mixed documents themselves, with the columns of docs; each as often as the mix takes it."""
-    targets = _targets(docs, seed, **how).select("source", F.col("rate").alias("__rate"), F.col("draw").alias("__draw"))
-    taken = _joined(docs, targets).withColumn("__n", _copies(F.col("__rate"), F.col("__draw"), seed)).filter("__n > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    targets = _targets(_sizes(docs), seed, **how).select("source", "rate", "draw")
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), "source")
+    taken = _joined(rows, targets).withColumn("n", _copies(F.col("rate"), F.col("draw"), seed)).filter("n > 0")
+    return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))), docs)
 
 
 def oracle() -> str:

@@ -9,14 +9,17 @@ hash is its anchor. Equal windows have equal anchors at equal offsets, hence not
    which of them stand more than once.
 2. For those, chunks sort the suffixes that start at the anchors, each as far as its windows reach (with the bytes to
    the left that its windows cover), keep the earliest of equal ones, and send front-coded sorted runs.
-   An anchor with very many different surroundings (a passage in a third of all documents, at its edges) is dealt by
-   whole windows instead, so that no bucket gets them all.
+   A hot anchor, one with very many different surroundings (a passage in a third of all documents, at its edges), would
+   bring all of them to one bucket. Its windows go into the same runs one by one, each as a string of its own that
+   starts where the window does, so buckets are chosen by whole windows and the sort is split there.
 3. Buckets combine the runs with a loser tree that carries longest common prefixes and never compares known ones again;
    the prefix lengths then tell for each offset which windows are equal, and all but the earliest are repeats.
 4. Chunks join the repeated stretches of their documents and cut them out.
 
-A null text counts as empty, null ids come before all others, rows with one id are ordered by text, texts of fewer than
-100 bytes lose nothing, and an empty table gives an empty result. Every byte of every document takes part.
+A null text counts as empty. Null ids come before all others, and rows without id are ordered by a digest of their text,
+wherever they are; rows with one id lie in one chunk and are ordered by text. Equal rows count as one after the other.
+Texts of fewer than 100 bytes lose nothing, long ones are hashed piece by piece, and an empty table gives an empty
+result. Every byte of every document takes part. Columns of any names are kept as they are.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from .chunks import Texts, bucket_of, chunked, cogrouped, from_six, grouped, mix
 WINDOW = 100
 GRAM = 37
 SPAN = WINDOW - GRAM + 1  # grams in a window; a power of two
-#: An anchor with so many different surroundings, and four times as many as chunks that have it, goes by whole windows.
-MANY = 512
+#: A hot anchor has so many different surroundings, and four times as many as chunks that have it.
+HOT = 512
 #: Bytes that are hashed at a time.
 SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -157,7 +160,7 @@ def _answer(key, table):
     holders = np.bincount(which)
     twice = np.concatenate([np.unpackbits(r[2], count=len(x)) for r, x in zip(runs, vs, strict=True)])[order]
     repeated = (holders > 1) | (np.bincount(which, twice) > 0)
-    flag = np.where(repeated, np.where((variants >= MANY) & (variants >= 4 * holders), 2, 1), 0).astype(np.uint8)
+    flag = np.where(repeated, np.where((variants >= HOT) & (variants >= 4 * holders), 2, 1), 0).astype(np.uint8)
     flags = np.empty(len(v), np.uint8)
     flags[order] = flag[which]
     rows, at = [], 0
@@ -260,7 +263,7 @@ def _send_runs(buckets: int):
 
     def run(key, docs, answers):
         chunk = key[0].as_py()
-        names, kinds = ["bucket", "kind", "chunk", "run"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names, kinds = ["bucket", "known", "chunk", "run"], [pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
         if not docs.num_rows or not answers.num_rows:
             return table_of([], names, kinds)
         texts = Texts(docs)
@@ -271,10 +274,9 @@ def _send_runs(buckets: int):
         for b, s, e in slices(v, buckets):
             if b in told:
                 flags[s:e] = unpack(told[b])[0]
-        first: dict[tuple, int] = {}
-        wide: dict[bytes, tuple[int, int]] = {}
+        first: set[tuple] = set()
+        windows: dict[bytes, tuple[int, int]] = {}
         keys, rights, lefts, docs_at, starts, reach = [], [], [], [], [], []
-        wide_doc, wide_at = [], []
         own: list[tuple[int, int, int]] = []
         memory = texts.memory
         for at, name, low, high in found:
@@ -288,7 +290,7 @@ def _send_runs(buckets: int):
                 if mark in first:
                     own.append((d, p - hi - start, p - lo + WINDOW - start))
                     continue
-                first[mark] = 1
+                first.add(mark)
                 if f == 1:
                     keys.append(k)
                     rights.append(whole[hi:])
@@ -298,16 +300,20 @@ def _send_runs(buckets: int):
                     reach.append((lo, hi))
                     continue
                 for o in range(hi, lo - 1, -1):
-                    name = hashlib.blake2b(whole[hi - o : hi - o + WINDOW], digest_size=16).digest()
-                    if name in wide:  # unless another anchor of the same window brought it
-                        if wide[name] != (d, p - o):
+                    window = whole[hi - o : hi - o + WINDOW]
+                    if window in windows:  # unless another anchor of the same window brought it
+                        if windows[window] != (d, p - o):
                             own.append((d, p - o - start, p - o + WINDOW - start))
-                    else:
-                        wide[name] = (d, p - o)
-                        wide_doc.append(d)
-                        wide_at.append(p - o - start)
+                        continue
+                    windows[window] = (d, p - o)
+                    keys.append(int.from_bytes(hashlib.blake2b(window, digest_size=6).digest()))
+                    rights.append(window)
+                    lefts.append(b"")
+                    docs_at.append(d)
+                    starts.append(p - o - start)
+                    reach.append((0, 0))
         rows = []
-        ids = texts.id_or_least
+        ids, ties = texts.id_or_least, texts.ties
         if keys:
             bucket = bucket_of(np.array(keys, np.uint64), buckets).astype(np.int64)
             order = sorted(range(len(keys)), key=lambda i: (bucket[i], rights[i]))
@@ -316,38 +322,17 @@ def _send_runs(buckets: int):
                 part = order[s:e]
                 rest, shared, sizes = front_code([rights[i] for i in part])
                 d = np.array([docs_at[i] for i in part], np.int32)
-                blob = pack(rest, shared, sizes, b"".join(lefts[i] for i in part), np.array([reach[i] for i in part], np.uint8), ids[d], d, np.array([starts[i] for i in part], np.int32))
-                rows.append((int(bucket[part[0]]), 0, chunk, blob))
-        if wide:
-            name = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, 2)
-            bucket = bucket_of(name[:, 0] >> np.uint64(16), buckets).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            d, a = np.array(wide_doc, np.int32), np.array(wide_at, np.int32)
-            bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for s, e in zip(bounds, [*bounds[1:], len(order)], strict=True):
-                i = order[s:e]
-                rows.append((int(bucket[i[0]]), 1, chunk, pack(name[i], ids[d[i]], d[i], a[i])))
+                blob = pack(rest, shared, sizes, b"".join(lefts[i] for i in part), np.array([reach[i] for i in part], np.uint8), ids[d], d, np.array([starts[i] for i in part], np.int32), ties[d] if ties is not None else None)
+                rows.append((int(bucket[part[0]]), False, chunk, blob))
         if own:
-            rows.append((chunk % buckets, 2, chunk, pack(np.array(own, np.int32))))
+            rows.append((chunk % buckets, True, chunk, pack(np.array(own, np.int32))))
         return table_of(rows, names, kinds)
 
     return run
 
 
-def _repeats_of_windows(runs: list[tuple]) -> list[np.ndarray]:
-    """For each run (names, ids, documents, offsets): rows (document, start, end) of windows that stand earlier."""
-    name = np.concatenate([r[0] for r in runs])
-    ids, doc, at = (np.concatenate([r[i] for r in runs]) for i in (1, 2, 3))
-    of = np.repeat(np.arange(len(runs)), [len(r[1]) for r in runs])
-    order = np.lexsort((at, doc, ids, name[:, 1], name[:, 0]))
-    same = (name[order][1:] == name[order][:-1]).all(1)
-    later = order[1:][same]
-    out = np.stack([doc[later], at[later], at[later] + WINDOW], 1).astype(np.int32)
-    return [out[of[later] == i] for i in range(len(runs))]
-
-
-def _repeats_of_suffixes(runs: list[tuple]) -> list[np.ndarray]:
-    """The same for front-coded runs of suffixes."""
+def _repeats(runs: list[tuple]) -> list[np.ndarray]:
+    """For each front-coded run: rows (document, start, end) of stretches whose windows all stand earlier."""
     decoded = [(decode(r[0], r[1], r[2]), r[1].tolist()) for r in runs]
     order, shared = merge_runs(decoded)
     n = len(order)
@@ -357,6 +342,7 @@ def _repeats_of_suffixes(runs: list[tuple]) -> list[np.ndarray]:
     flat = firsts[of] + place
     reach = np.concatenate([r[4] for r in runs])[flat].astype(np.int64)
     ids, doc, at = (np.concatenate([r[i] for r in runs])[flat] for i in (5, 6, 7))
+    tie = np.concatenate([r[8] if r[8] is not None else np.zeros(len(r[5]), np.uint64) for r in runs])[flat]
     low, high = reach[:, 0], reach[:, 1]
     lefts: list[bytes] = []
     for r in runs:
@@ -368,7 +354,7 @@ def _repeats_of_suffixes(runs: list[tuple]) -> list[np.ndarray]:
     agree = (padded[1:] == padded[:-1]).cumprod(1).sum(1) if n > 1 else np.zeros(0, np.int64)
     left_lcp = np.concatenate([[0], np.minimum(agree, np.minimum(high[by_left][1:], high[by_left][:-1]))])
     shared_ = np.array(shared)
-    rank = np.lexsort((at, doc, ids))
+    rank = np.lexsort((at, doc, tie, ids))
     least, most = np.full(n, SPAN), np.full(n, -1)
     class_of = np.empty(n, np.int64)
     for o in range(SPAN):
@@ -388,14 +374,13 @@ def _repeats_of_suffixes(runs: list[tuple]) -> list[np.ndarray]:
 def _combine(key, table):
     """Step 3: the repeated stretches of each chunk's documents."""
     rows = []
-    kinds, chunks, blobs = (table[c].to_pylist() for c in ("kind", "chunk", "run"))
-    for kind, solve in ((0, _repeats_of_suffixes), (1, _repeats_of_windows)):
-        mine = [i for i, k in enumerate(kinds) if k == kind]
-        if mine:
-            for i, found in zip(mine, solve([unpack(blobs[i]) for i in mine]), strict=True):
-                if len(found):
-                    rows.append((chunks[i], pack(found)))
-    rows += [(chunks[i], blobs[i]) for i, k in enumerate(kinds) if k == 2]
+    known, chunks, blobs = (table[c].to_pylist() for c in ("known", "chunk", "run"))
+    runs = [i for i, done in enumerate(known) if not done]
+    if runs:
+        for i, found in zip(runs, _repeats([unpack(blobs[i]) for i in runs]), strict=True):
+            if len(found):
+                rows.append((chunks[i], pack(found)))
+    rows += [(chunks[i], blobs[i]) for i, done in enumerate(known) if done]
     return table_of(rows, ["chunk", "stretches"], [pa.int32(), pa.binary()])
 
 
@@ -419,7 +404,7 @@ def _cut(texts: Texts, stretches: np.ndarray):
 def _repeated(docs: DataFrame, chunks: int) -> DataFrame:
     """chunk, stretches: what is to be cut out; docs: chunk, doc_id, text."""
     told = docs.groupBy("chunk").applyInArrow(grouped(_announce(chunks)), "bucket int, chunk int, run binary").groupBy("bucket").applyInArrow(grouped(_answer), "chunk int, bucket int, flags binary")
-    runs = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cogrouped(_send_runs(chunks)), "bucket int, kind int, chunk int, run binary")
+    runs = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cogrouped(_send_runs(chunks)), "bucket int, known boolean, chunk int, run binary")
     return runs.groupBy("bucket").applyInArrow(grouped(_combine), "chunk int, stretches binary")
 
 
@@ -443,8 +428,8 @@ def measure(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without repeated passages, in their own columns. A character that lost some of its bytes goes whole; a
     document that had text and lost all of it goes too; a column n_chars is set anew."""
-    own = docs.columns
-    dealt, chunks = chunked(docs, [c for c in own if c not in ("doc_id", "text")])
+    own, kept_columns = docs.columns, [c for c in docs.columns if c not in ("doc_id", "text")]
+    dealt, chunks = chunked(docs, kept_columns)
     schema = dealt.select("doc_id", "text", "row").schema
 
     def run(key, left, found):
@@ -458,5 +443,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         return done.filter(pa.array(keep, pa.bool_()))
 
     done = dealt.groupBy("chunk").cogroup(_repeated(dealt, chunks).groupBy("chunk")).applyInArrow(cogrouped(run), schema)
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in own else None
-    return done.select(*(F.col(c) if c in ("doc_id", "text") else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in own))
+    result = {c: F.col(f"row.c{i}") for i, c in enumerate(kept_columns)} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
+    if "n_chars" in result:
+        result["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(result[c].alias(c) for c in own))

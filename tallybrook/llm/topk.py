@@ -1,12 +1,16 @@
 """Exact top-k by inner product: columnar branch and bound.
 
-Components become floor(256 x). Candidates are dealt into blocks by a hash of their id, queries into blocks of a fixed
-size; each pair of blocks is one task of bounded memory. Inside, vectors lie dimension by dimension. Scores accumulate
-one block of dimensions at a time; after each, a candidate survives only if its partial score plus the product of the
-remaining norms of both vectors (Cauchy-Schwarz) can still reach the k-th best score known, and the survivors are
-compacted. Ties are kept, so the result is exact. Vectors that are null, empty of meaning (null or non-finite
-components) or without id take no part; a query never meets rows of its own id; shorter vectors count as zero-padded;
-scores beyond 64 bits are clipped; an empty table gives an empty result.
+Components become floor(256 x). Candidates are dealt into ranges of their norm, largest first, and these into blocks of
+bounded size; queries go into blocks of a fixed size. Each query first meets one block of the largest candidates. Its
+k-th best score there is a bound that it takes along: it only visits ranges whose largest norm times its own can still
+reach the bound. Each pair of blocks is one task of bounded memory. Inside, vectors lie dimension by dimension. Scores
+accumulate one block of dimensions at a time; before each, a candidate survives only if its partial score plus the
+product of the remaining norms of both vectors (Cauchy-Schwarz) can still reach the k-th best score known, and the
+survivors are compacted. Ties are kept, so the result is exact.
+Vectors that are null, empty of meaning (null or non-finite components) or without id take no part; a query never meets
+rows of its own id; rows that repeat an id are candidates each, and searched for together; shorter vectors count as
+zero-padded; vectors may be long; scores beyond 64 bits are clipped; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CANDIDATES = 8192
 QUERIES = 2048
+#: Ranges of the norm; their bounds and sizes are all that the driver sees.
+RANGES = 64
 DIMS = 8
 _OUT = "query_id long, vec_id long, score long"
 _EXACT = 2.0**52
@@ -41,8 +49,9 @@ def _tails(m: np.ndarray, step: int) -> list[np.ndarray]:
     return [np.sqrt((m[d:] ** 2).sum(0)) for d in range(0, m.shape[0] + step, step)]
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, step: int = DIMS) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in this block. Columns of x and q are vectors."""
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, step: int = DIMS, bounds: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query, vector, score) of each query's k best in this block, those below its bound left out at will. Columns of x
+    and q are vectors."""
     dims = max(x.shape[0], q.shape[0])
     x, q = (np.pad(m, ((0, dims - m.shape[0]), (0, 0))) for m in (x, q))
     top = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(dims, 1)
@@ -55,7 +64,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         v = q[:, j]
         known = np.where(ids[:seeds] == query, -np.inf, v @ x[:, :seeds])
         least = np.partition(known, -k)[-k] if seeds > k else -np.inf
-        alive = np.flatnonzero(ids != query)
+        if bounds is not None:
+            least = max(least, bounds[j])
+        alive = np.flatnonzero((ids != query) & (q_tail[0][j] * x_tail[0] >= least - 1e-6 * (1 + abs(least))))
         score = first[j, alive] if first is not None else v[:step] @ x[:step, alive]
         for b, d in enumerate(range(step, dims, step), 1):
             keep = score + q_tail[b][j] * x_tail[b][alive] >= least - 1e-6 * (1 + abs(least))
@@ -86,24 +97,45 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 2
     v = v.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & usable)
     # floor() of a double that no long can hold would overflow; such components stay doubles, which are whole anyway
     whole = lambda c: F.when(F.abs(c * scale) < 2.0**52, F.floor(c * F.lit(scale)).cast("double")).otherwise(c * F.lit(scale))
+    v = v.select("id", F.transform("v", whole).alias("v"))
+    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)))
     is_query = F.pmod("id", F.lit(every)) == 0
     n, m = v.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, query_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(m / QUERIES))
-    v = v.select("id", F.transform("v", whole).alias("v"))
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = v.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).withColumn("query_block", each(query_blocks))
-    queries = v.filter(is_query).distinct().select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block")).withColumn("block", each(blocks))
+    ranges = max(1, min(RANGES, math.ceil(n / CANDIDATES)))
+    cuts = v.agg(F.percentile_approx("norm", [i / ranges for i in range(1, ranges)], 1000)).first()[0] if ranges > 1 else None
+    # range 0 has the largest norms
+    at = sum(((F.col("norm") <= F.lit(c)).cast("int") for c in cuts or ()), F.lit(0))
+    held = {r["range"]: (r["n"], r["most"]) for r in v.groupBy(at.alias("range")).agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()}
+    parts = [max(1, math.ceil(held.get(r, (0, 0.0))[0] / CANDIDATES)) for r in range(ranges)]
+    most, parts_of = F.array(*(F.lit(float(held.get(r, (0, 0.0))[1])) for r in range(ranges))), F.array(*map(F.lit, parts))
+    query_blocks = max(1, math.ceil(m / QUERIES))
+    own = F.pmod(F.xxhash64("id"), F.get(parts_of, F.col("range"))).cast("int")
+    candidates = v.withColumn("range", at).select("id", "v", "range", own.alias("part"))
+    candidates = candidates.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    queries = v.filter(is_query).distinct().withColumn("query_block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int"))
+    first = (F.col("range") == 0) & (F.col("part") == 0)
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            found = search_block(np.asarray(left["id"]), _matrix(left["v"]), np.asarray(right["id"]), _matrix(right["v"]), k)
+            bounds = np.asarray(right["bound"].fill_null(-math.inf) if "bound" in right.column_names else np.full(right.num_rows, -math.inf))
+            found = search_block(np.asarray(left["id"]), _matrix(left["v"]), np.asarray(right["id"]), _matrix(right["v"]), k, bounds=bounds)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
-    local = candidates.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(pair, _OUT)
+    anew = lambda df, *names: df.select(*(F.col(c).alias(c) for c in names))  # noqa: E731  as columns of their own
+    near = anew(candidates.filter(first), "id", "v", "query_block").groupBy("query_block").cogroup(anew(queries, "id", "v", "query_block").groupBy("query_block"))
+    near = cut(near.applyInArrow(pair, _OUT))
+    bound = near.groupBy(F.col("query_id").alias("id")).agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).cast("double").alias("bound"))
+    bounded = queries.join(bound, "id", "left")
+    reachable = lambda r: F.col("norm") * F.get(most, r) + 1e-6 * (1 + F.abs("bound")) >= F.col("bound")
+    visits = F.filter(F.sequence(F.lit(0), F.lit(ranges - 1)), lambda r: F.col("bound").isNull() | reachable(r))
+    bounded = bounded.withColumn("range", F.explode(visits)).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts_of, F.col("range")) - 1)))
+    bounded = anew(bounded.filter(~first), "id", "v", "bound", "query_block", "range", "part")
+    keys = ("range", "part", "query_block")
+    far = candidates.filter(~first).groupBy(*keys).cogroup(bounded.groupBy(*keys)).applyInArrow(pair, _OUT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.union(far).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle() -> str:

@@ -1,10 +1,11 @@
 """URL filters: host/path rules, else a weighted vocabulary matched by one Aho-Corasick automaton.
 
 The automaton finds every vocabulary term in one pass over the URL. A hit counts only between boundaries (no ASCII
-letter or digit on either side). One strict hit blocks; so do `soft_needed` distinct soft terms. A rule that fits the
-URL decides first. Null or scheme-less URLs have an empty host and path, fit no rule, and are still searched for terms
-(null: none, so they are allowed). Repeated rows stay repeated; an empty table gives an empty result; other columns of
-the input are ignored. Map-only: no shuffle; the automaton has a fixed size.
+letter or digit on either side), and a term counts once. A soft term weighs 1, a strict one as much as it takes to
+block: `soft_needed`; a URL whose distinct terms weigh that much is rejected. A rule that fits the URL decides first.
+Null or scheme-less URLs have an empty host and path, fit no rule, and are still searched for terms (null: none, so they
+are allowed). Long URLs are searched whole; repeated rows stay repeated; an empty table gives an empty result; other
+columns of the input, whatever their names, are ignored. Map-only: no shuffle; the automaton has a fixed size.
 """
 
 from __future__ import annotations
@@ -39,10 +40,25 @@ RULES = (
     Rule("example.net", "/de/8", "block"),
     Rule("org", "/es/", "block"),
 )
-#: Vocabulary terms, lower case.
-STRICT = ("casino", "porn", "viagra", "xxx", "spam")
-SOFT = ("adult", "bets", "bonus", "cheap", "farm", "free", "loan", "pills", "poker", "win")
-SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int"
+#: Vocabulary terms, lower case: adult, gambling, pharmacy, fraud and advertising, in English and in the
+#: other languages of the corpus.
+STRICT = tuple(
+    "adult apuestas bdsm blackjack bukkake camgirl camgirls casino casinos cialis clickbait doubleclick escort escorts "
+    "erotik fetish gangbang glucksspiel hentai jackpot keygen levitra malware milf nsfw nude nudes payday phishing porn "
+    "porno pornos roulette scam sexcam slots spam sportwetten strippers tadalafil viagra warez webcamsex wetten xanax xxx"
+    .split()
+)
+SOFT = tuple(
+    "ad ads adserver adsense affiliate affiliates argent banner banners bet bets betting bonus bookmaker buy cam cams "
+    "cash cheap clic click clicks coupon coupons crack cracked credit crypto dating deal deals diet dinero discount "
+    "download drugs earn escort-service farm forex free gagner gambling ganar geld gewinn girls gratis gratuit hot "
+    "invest kostenlos kredit loan loans lottery lotto lucky mature millionaire money naked offer offers odds "
+    "pharma pharmacy pill pills poker popunder popup prestamo prize profit promo promos rabatt replica rich seo serial "
+    "sex sexy singles slim sponsor sponsored sweepstakes teens torrent track tracker tracking trader traffic unlimited "
+    "vegas weightloss win winner winners"
+    .split()
+)
+SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, weight int"
 _FOLD = str.maketrans(UPPER, LOWER)
 
 
@@ -93,16 +109,17 @@ def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_ne
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(strict, soft)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule = next((r for r in ordered if r.fits(host, path)), None)
                 n_strict, n_soft = hits(automaton, url)
-                verdict = rule.verdict if rule else "block" if n_strict or n_soft >= soft_needed else "allow"
-                for column, value in zip(out, (host, path, str(rule) if rule else None, verdict, n_strict, n_soft), strict=True):
+                weight = n_strict * soft_needed + n_soft
+                verdict = rule.verdict if rule else "block" if weight >= soft_needed else "allow"
+                for column, value in zip(out, (host, path, str(rule) if rule else None, verdict, n_strict, n_soft, weight), strict=True):
                     column.append(value)
-            kinds = (pa.string(),) * 4 + (pa.int32(),) * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
+            kinds = (pa.string(),) * 4 + (pa.int32(),) * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
     from pyspark.sql import functions as F
 
@@ -130,4 +147,4 @@ WITH cut AS (SELECT page_id, translate(url, '{UPPER}', '{LOWER}') AS low,
          CAST(coalesce({_term_sql(STRICT)}, 0) AS INT) AS strict_hits, CAST(coalesce({_term_sql(SOFT)}, 0) AS INT) AS soft_hits FROM part)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, CASE n {name} END AS rule,
   CASE n {says} ELSE CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END END AS verdict,
-  strict_hits, soft_hits FROM hit"""
+  strict_hits, soft_hits, CAST(2 * strict_hits + soft_hits AS INT) AS weight FROM hit"""

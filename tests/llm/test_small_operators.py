@@ -24,7 +24,9 @@ from tallybrook.llm import licences, mix, packing, quality, queries, token_count
         ("http://w.org/es/", ("w.org", "/es/", "org/es/", "block")),
         ("http://w.org?/es/", ("w.org", "", None, "allow")),
         ("http://x.org/Casino-1", ("x.org", "/Casino-1", None, "block")),
-        ("http://x.org/casinos", ("x.org", "/casinos", None, "allow")),
+        ("http://x.org/casinobar", ("x.org", "/casinobar", None, "allow")),
+        ("http://ads-track.x.org/", ("ads-track.x.org", "/", None, "block")),
+        ("http://x.org/" + "a" * 20_000 + "/viagra", ("x.org", "/" + "a" * 20_000 + "/viagra", None, "block")),
         ("http://x.org/free-free", ("x.org", "/free-free", None, "allow")),
         ("http://free-bets.x.org/", ("free-bets.x.org", "/", None, "block")),
         ("http://", ("", "", None, "allow")),
@@ -134,6 +136,25 @@ def test_mixture(spark):
     assert mix.mix_plan(df.limit(0)).count() == 0 and mix.mix(df).columns == df.columns
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_mixture_of_clashing_columns_and_long_texts(spark, partitions):
+    names = ["__n", "__rate", "row", "n", "size", "rate", "of_source", "a.b"]
+    rows = [(i, "w " * (i + 1), "ab"[i % 2], *range(i, i + 8)) for i in range(40)] + [(99, "long\t" * 700_000 + "x" * 2_100_000, "c", *range(8))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names]).repartition(partitions)
+    plan = {r["doc_id"]: r for r in mix.mix_plan(df).collect()}
+    assert plan[99]["size"] == 700_001
+    got = mix.mix(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows for _ in range(plan[r[0]]["copies"]))
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    names = [None, *(f"s{i:03d}" for i in range(150))]
+    df = spark.createDataFrame([(s, 1) for s in reversed(names)], "source string, size long").repartition(9)
+    got = {r["source"]: r["place"] for r in mix._numbered(df).collect()}
+    assert got == {s: i for i, s in enumerate([*names[1:], None])}
+
+
 # ------------------------------------------------ top-k
 def brute_topk(rows, k=5, every=50):
     ok = [(i, [int(np.floor(np.float64(c) * 256)) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
@@ -154,6 +175,16 @@ def test_topk(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     assert sorted(map(tuple, topk.exact_topk(df).collect())) == brute_topk(rows)
     assert topk.exact_topk(df.limit(0)).count() == 0
+    monkeypatch.setattr(topk, "RANGES", 3)
+    scaled = [(i, [c * (1 + i % 7) for c in v]) for i, v in rows[:500]] + [(100, rows[7][1]), (500, rows[8][1])]  # norms differ, ids repeat
+    got = topk.exact_topk(spark.createDataFrame(scaled, "vec_id long, embedding array<float>")).collect()
+    want = {}
+    for q, v in scaled:
+        if q % 50 == 0:
+            for i, w in scaled:
+                if i != q:
+                    want.setdefault(q, []).append((-int(np.floor(np.float64(np.float32(v)) * 256) @ np.floor(np.float64(np.float32(w)) * 256)), i))
+    assert sorted(map(tuple, got)) == sorted((q, n + 1, i, -s) for q, found in want.items() for n, (s, i) in enumerate(sorted(found)[:5]))
 
 
 def test_topk_of_few_and_huge(spark):

@@ -8,7 +8,8 @@ from tallybrook.llm import suffix_dedup as sd
 
 def brute(rows, window=100):
     """Result rows by a dictionary of every window."""
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    tie = lambda t: hashlib.blake2b((t or "").encode(), digest_size=8).digest()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1]) if r[0] is None else b"", r[1] is not None, r[1] or ""))
     seen, out = set(), []
     for doc, text in order:
         data = (text or "").encode()
@@ -49,7 +50,7 @@ def test_random_with_shared_passages(spark):
 
 
 @pytest.mark.parametrize("many", [3])
-def test_very_frequent_passage_goes_by_windows(spark, monkeypatch, many):
+def test_hot_anchors_are_sorted_by_windows(spark, monkeypatch, many):
     rng = random.Random(6)
     p = words(rng, 60)
     rows = [(i, words(rng, 20) + p + words(rng, 20), "") for i in range(60)]
@@ -60,7 +61,7 @@ def test_very_frequent_passage_goes_by_windows(spark, monkeypatch, many):
     own = []
     docs = pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": [r[1] for r in rows]})
     key = (pa.scalar(0, pa.int32()),)
-    monkeypatch.setattr(sd, "MANY", many)
+    monkeypatch.setattr(sd, "HOT", many)
     announced = sd._announce(4)(key, docs)
     answers = [kernel((pa.scalar(b, pa.int32()),), announced.filter(pa.compute.equal(announced["bucket"], b))) for b in sorted(set(announced["bucket"].to_pylist()))]
     told = pa.concat_tables(answers)
@@ -74,6 +75,42 @@ def test_very_frequent_passage_goes_by_windows(spark, monkeypatch, many):
     assert got == brute([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 7])
+def test_many_rows_without_id(spark, partitions):
+    rng = random.Random(8)
+    p = words(rng, 60)
+    rows = [(None, words(rng, rng.randint(5, 40)) + p, "") for _ in range(30)] + [(None, p, "")] * 3 + [(9, p, ""), (None, None, ""), (None, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(partitions)
+    assert sorted((tuple(r) for r in sd.measure(df).collect()), key=repr) == brute([r[:2] for r in rows])
+
+
+def test_long_documents_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    p = words(rng, 400)
+    rows = [(i, words(rng, rng.randint(200, 900)) + p + words(rng, 300) + p[50:] + "z" * 1500, "") for i in range(4)]
+    import pyarrow as pa
+
+    monkeypatch.setattr(sd, "SEGMENT", 1 << 10)
+    docs = pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": [r[1] for r in rows]})
+    key, of = (pa.scalar(0, pa.int32()),), lambda t, b: t.filter(pa.compute.equal(t["bucket"], b))
+    announced = sd._announce(2)(key, docs)
+    told = pa.concat_tables([sd._answer((pa.scalar(b, pa.int32()),), of(announced, b)) for b in (0, 1)])
+    runs = sd._send_runs(2)(key, docs, told)
+    found = pa.concat_tables([sd._combine((pa.scalar(b, pa.int32()),), of(runs, b)) for b in (0, 1)])
+    texts = sd.Texts(docs)
+    got = [(i, len(k) + n, n, s, hashlib.sha256(k).hexdigest()) for i, (n, s, k) in zip(texts.ids.to_pylist(), sd._cut(texts, sd._stretches(found)), strict=True)]
+    assert sorted(got, key=repr) == brute([r[:2] for r in rows])
+
+
+def test_clashing_columns(spark):
+    text = words(random.Random(1), 100)
+    names = ["_", "row", "none", "c0", "chunk", "stretches", "a.b", "bucket"]
+    df = spark.createDataFrame([(1, text, *range(8)), (2, text, *range(8, 16))], ["doc_id", "text", *names])
+    (r,) = sd.dedup(df).collect()
+    assert r.asDict() == {"doc_id": 1, "text": text} | dict(zip(names, range(8), strict=True))
+    assert len(sd.measure(df).collect()) == 2
+
+
 def test_empty_and_own_columns(spark):
     assert result(spark, []) == []
     text = words(random.Random(1), 100)
