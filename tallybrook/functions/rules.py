@@ -119,6 +119,55 @@ def review_errors(review: dict, valid: set[str]) -> list[str]:
     ])
 
 
+def _texts(x, least: int = 0) -> bool:
+    return isinstance(x, list) and len(x) >= least and all(isinstance(t, str) and t.strip() for t in x)
+
+
+def assignment_errors(task: dict) -> list[str]:
+    """What is wrong with the task that a supervisor gives a model."""
+    words, lists = ("task_id", "model_alias", "research_question", "objective"), ("boundaries", "acceptance_checks", "context_files", "evidence_ids")
+    return _apply(task, {"schema_version", "max_output_tokens", *words, *lists}, [
+        (lambda t: t["schema_version"] == 1, "unknown version"),
+        (lambda t: _texts([t[k] for k in words], len(words)), "a text is empty"),
+        (lambda t: all(_texts(t[k]) for k in lists), "a list holds something else than texts"),
+        (lambda t: bool(t["boundaries"]) and bool(t["acceptance_checks"]), "boundaries and checks are needed"),
+        (lambda t: _whole(t["max_output_tokens"], 1, 1 << 53), "output limit out of range"),
+    ])
+
+
+def feedback_errors(feedback: dict) -> list[str]:
+    """What is wrong with a reviewer's comments."""
+    fields = {"id", "severity", "comment", "action"}
+    return _apply(feedback, {"reviewer", "comments"}, [
+        (lambda f: _texts([f["reviewer"]], 1), "reviewer is empty"),
+        (lambda f: isinstance(f["comments"], list) and bool(f["comments"]), "no comments"),
+        (lambda f: all(isinstance(c, dict) and set(c) == fields and _texts([*c.values()]) for c in f["comments"]), "comment out of schema"),
+        (lambda f: len({c.get("id") for c in f["comments"]}) == len(f["comments"]), "repeated id"),
+        (lambda f: all(c.get("severity") in ("major", "minor", "question") for c in f["comments"]), "unknown severity"),
+    ])
+
+
+def judged_rows(rows, errors, id_col: str, json_col: str):
+    """id_col and errors (joined by `; `) of each row's JSON document, in Arrow batches. errors: one of the functions
+    above, of the document alone."""
+    import json
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            said = []
+            for text in batch.column(1).to_pylist():
+                try:
+                    said.append("; ".join(errors(json.loads(text))))
+                except (TypeError, ValueError):
+                    said.append("no document")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], [id_col, "errors"])
+
+    kind = dict(rows.dtypes)[id_col]
+    return rows.select(id_col, json_col).mapInArrow(run, f"{id_col} {kind}, errors string")
+
+
 def route_errors(route: dict, aliases: set[str]) -> list[str]:
     rules = [
         (_whole(route.get("max_input_bytes"), 1, 1 << 24), "input bytes out of range"),

@@ -9,11 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words that carry no weight in ranking.
+#: Words that carry no weight in ranking, in alphabetical order.
 STOP_WORDS = (
     "a an and are as at based be been being by can conversation could did do does for from had has have history how i if in is it me my of on or "
     "our please should so still that the this to user was we were what when where which with would you your"
 ).split()
+#: The code points that count as white space between words and at the ends of sentences.
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Text whose compatibility form is itself and whose case folds letter by letter, but for the sharp s.
+PLAIN = r"\A[\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF\x{2013}\x{2014}\x{2018}-\x{201D}]*\z"
 #: Words that hint at a change.
 CHANGE_CUES = ("now", "anymore", "no longer", "instead", "since", "recently", "changed", "switched", "started", "stopped", "quit", "moved", "new", "but", "however", "actually")
 SECRETS = (r"sk-[A-Za-z0-9_-]{12,}",)
@@ -30,14 +34,18 @@ def tokens(text: Column, stop=STOP_WORDS) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Collapsed white space and case folding; for text whose compatibility form is itself (else normalize_any)."""
-    return F.replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
+    """Compatibility composition, collapsed white space, full case folding. Plain text stays inside the JVM; only other
+    text is sent to Python."""
+    collapsed = F.regexp_replace(F.regexp_replace(text, f"{BLANK}+", " "), r"\A | \z", "")
+    plain = text.rlike(PLAIN)
+    return F.when(plain, F.replace(F.lower(collapsed), F.lit("ß"), F.lit("ss"))).otherwise(normalize_any(F.when(~plain, text)))
 
 
 @F.pandas_udf(StringType())
 def normalize_any(text: pd.Series) -> pd.Series:
-    """Compatibility composition, collapsed white space, full case folding."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+    """The same for any text; nulls stay null."""
+    fold = lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).casefold()
+    return text.map(fold, na_action="ignore")
 
 
 def has_cue(text: Column, cues=CHANGE_CUES) -> Column:
@@ -45,8 +53,10 @@ def has_cue(text: Column, cues=CHANGE_CUES) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim)
-    return F.filter(parts, lambda s: s != "")
+    """What stands between line ends, or after a full stop, question or exclamation mark with white space behind it."""
+    parts = F.split(text, rf"(?<=[.!?]){BLANK}+|\n+")
+    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, rf"\A{BLANK}+|{BLANK}+\z", ""))
+    return F.filter(trimmed, lambda s: s != "")
 
 
 def words_of(text: Column) -> Column:

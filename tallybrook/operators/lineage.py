@@ -1,21 +1,28 @@
-"""Stage graphs: order, ancestors, staleness, blockers, what may run, revision.
+"""Stage graphs: order, ancestors, staleness, blockers, what may run, revision, reviews and reuse.
 
-Stages are (stage, place, adapter, split, status, attempts, max_attempts, paid, changed) and edges (stage, needs). Closures are
-recursive queries over the edges, as deep as the graph."""
+Stages are (stage, place, adapter, split, status, attempts, max_attempts, paid, changed) and edges (stage, needs), of any
+depth: closures are joined with themselves until they stop growing, which takes as many rounds as the depth has binary
+digits, and every pair stands once however many paths lead to it."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """stage, ancestor: every stage that a stage depends on, directly or not."""
-    spark, name = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
-    edges.createOrReplaceTempView(name)
-    return spark.sql(f"WITH RECURSIVE up(stage, ancestor) AS (SELECT stage, needs FROM {name} UNION ALL SELECT u.stage, e.needs FROM up u JOIN {name} e ON e.stage = u.ancestor) SELECT DISTINCT stage, ancestor FROM up")
+    """stage, ancestor: every stage that a stage depends on, directly or not. Cycles end where they began."""
+    reach = cut(edges.select("stage", F.col("needs").alias("ancestor")).distinct())
+    size = reach.count()
+    while True:
+        onward = reach.select(F.col("stage").alias("ancestor"), F.col("ancestor").alias("next"))
+        reach = cut(reach.union(reach.join(onward, "ancestor").select("stage", "next")).distinct())
+        grown = reach.count()
+        if grown == size:
+            return reach
+        size = grown
 
 
 def out_of_order(stages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,21 +71,71 @@ def leaks(stages: DataFrame, edges: DataFrame, adapters=("proposal", "literature
     return stages.filter(F.col("adapter").isin(*adapters)).select("stage").join(ancestors(edges).join(held, "ancestor").select("stage").distinct(), "stage", "left_semi")
 
 
-def project_status(stages: DataFrame) -> DataFrame:
-    every, some = F.bool_and(F.col("status") == "accepted"), lambda s: F.bool_or(F.col("status").isin(*s))
-    return stages.agg(F.when(some(["terminated"]), "terminated").when(every, "completed").when(some(["awaiting_review", "stale", "failed", "running"]), "awaiting").otherwise("ready").alias("status"))
-
-
-def signatures(stages: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
-    """stage, signature: a digest of the stage and of its dependencies' signatures, level by level."""
-    n = edges.groupBy("stage").agg(F.count("*").alias("n"))
-    sized = stages.select("stage", "adapter", "split").join(n, "stage", "left").na.fill(0, ["n"])
-    done = sized.filter("n = 0").select("stage", F.sha2(F.concat_ws("|", "stage", "adapter", "split", F.lit("")), 256).alias("signature"))
-    total = stages.count()
-    for _ in range(depth):
-        if done.count() == total:
-            break
-        known = edges.join(done.select(F.col("stage").alias("needs"), "signature"), "needs").groupBy("stage").agg(F.count("*").alias("k"), F.array_join(F.array_sort(F.collect_list("signature")), ",").alias("deps"))
-        ready = sized.join(known, "stage").filter("n = k").join(done.select("stage"), "stage", "left_anti")
-        done = done.union(ready.select("stage", F.sha2(F.concat_ws("|", "stage", "adapter", "split", "deps"), 256).alias("signature")))
-    return done
+def project_status(stages: DataFrame, keys=()) -> DataFrame:
+    """keys, status of each project."""
+    every, some = F.bool_and(F.col("status") == "accepted"), lambda *s: F.bool_or(F.col("status").isin(*s))
+    status = F.when(some("terminated"), "terminated").when(every, "completed").when(some("awaiting_review", "stale", "failed", "running"), "awaiting").otherwise("ready")
+    return stages.groupBy(*keys).agg(status.alias("status"))
+
+
+def signatures(stages: DataFrame, edges: DataFrame) -> DataFrame:
+    """stage, signature: a digest of the stage's own form and those of all its ancestors, with their edges. Two stages
+    with the same signature rest on the same graph, and a change anywhere above changes it."""
+    needs = edges.groupBy("stage").agg(F.array_join(F.array_sort(F.collect_set(F.col("needs").cast("string"))), ",").alias("needs"))
+    form = F.concat_ws("|", F.col("stage").cast("string"), "adapter", "split", F.coalesce("needs", F.lit("")))
+    formed = stages.join(needs, "stage", "left").select("stage", F.sha2(form, 256).alias("form"))
+    above = ancestors(edges).join(formed.withColumnRenamed("stage", "ancestor"), "ancestor").groupBy("stage")
+    above = above.agg(F.array_join(F.array_sort(F.collect_list("form")), ",").alias("above"))
+    return formed.join(above, "stage", "left").select("stage", F.sha2(F.concat_ws("|", "form", F.coalesce("above", F.lit(""))), 256).alias("signature"))
+
+
+#: What becomes of a stage after a decision.
+DECISIONS = {"accept": "accepted", "reject": "rejected", "request_changes": "changes_requested", "terminate": "rejected"}
+#: Statuses from which a stage may be tried again.
+RETRIED = ("failed", "running", "changes_requested", "rejected", "stale")
+
+
+def binding(*parts) -> Column:
+    """What a review is bound to: signature, result, attempt and protocol of the stage as it was read."""
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def decided(stages: DataFrame, decisions: DataFrame) -> DataFrame:
+    """stage, action, outcome: the new status, or why the decision doesn't count. stages: stage, status, binding;
+    decisions: stage, action, actor, reason, binding (as read by the reviewer)."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    status = F.element_at(F.create_map(*(F.lit(x) for kv in DECISIONS.items() for x in kv)), F.col("action"))
+    both = decisions.withColumnRenamed("binding", "read").join(stages, "stage", "left")
+    outcome = (
+        F.when(~F.coalesce(F.col("action").isin(*DECISIONS), F.lit(False)) | empty("actor") | empty("reason"), "incomplete")
+        .when(F.col("status").isNull() | (F.col("status") != "awaiting_review"), "not under review")
+        .when(~F.col("read").eqNullSafe(F.col("binding")), "out of date")
+        .otherwise(status)
+    )
+    return both.select("stage", "action", outcome.alias("outcome"))
+
+
+def retries(stages: DataFrame) -> DataFrame:
+    """stage, verdict: whether a stage may be tried again. A holdout that was tried never is."""
+    verdict = (
+        F.when(~F.col("status").isin(*RETRIED), "status")
+        .when((F.col("split") == "holdout") & (F.col("attempts") > 0), "holdout")
+        .when(F.col("attempts") >= F.col("max_attempts"), "attempts")
+        .otherwise("pending")
+    )
+    return stages.select("stage", verdict.alias("verdict"))
+
+
+def resumable(recorded: DataFrame, now: DataFrame, parts=("plan", "script", "engine")) -> DataFrame:
+    """run, resumes, changed: a recorded run resumes only if each part of its fingerprint is as it was."""
+    was = recorded.select("run", *(F.col(p).alias(f"was_{p}") for p in parts))
+    differs = F.array_compact(F.array(*(F.when(~F.col(p).eqNullSafe(F.col(f"was_{p}")), F.lit(p)) for p in parts)))
+    return was.join(now.select("run", *parts), "run", "left").select("run", (F.size(differs) == 0).alias("resumes"), F.array_join(differs, ",").alias("changed"))
+
+
+def reused(jobs: DataFrame, broken: DataFrame) -> DataFrame:
+    """job, action: completed jobs are reused if none of their files is broken, else invalidated; others run. jobs: job,
+    status; broken: job, one row for each file that isn't what its manifest says."""
+    bad = broken.select("job").distinct().withColumn("bad", F.lit(True))
+    action = F.when(F.col("status") != "completed", "run").when(F.col("bad"), "invalidated").otherwise("reused")
+    return jobs.join(bad, "job", "left").select("job", action.alias("action"))

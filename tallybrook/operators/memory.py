@@ -3,8 +3,9 @@
 Events are (task, pos, op, key, source, version, value) or, for record-bounded maps, (task, pos, key, value). The state
 of a byte-bounded memory is a list of [key, source, version, value] in order of acceptance; a revocation leaves a row
 without value. Its size is that of compact JSON, brackets and commas included. What a window expresses is a window; what
-depends on earlier evictions is a fold over a task's ordered events: either an expression inside the JVM, or one pass in
-Arrow batches for all policies and budgets at once, which shuffles the events once and takes a tenth of the time.
+depends on earlier evictions is a fold over a task's ordered events: one pass over sorted partitions for all policies and
+budgets at once, whose state is bounded however many events a task has; or, for tasks of moderate size, an expression
+inside the JVM.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import fold_in_order
 
 CAPACITY = 8
 BUDGETS = (384, 768, 1536)
@@ -102,22 +104,24 @@ def _listed(events: DataFrame, *columns: str) -> DataFrame:
     return events.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("events"))
 
 
+_KEPT = pa.schema([("task", pa.int64()), ("key", pa.string()), ("value", pa.int64())])
+
+
 def bounded_map(events: DataFrame, keep_first: bool = False, capacity: int = CAPACITY) -> DataFrame:
     """First in, first out (an overwrite keeps its place); or keep_first: the first value stays while the key is resident, a write refreshes it."""
-    start = F.array().cast("array<struct<key:string,value:bigint>>")
-
-    def step(rows: Column, e: Column) -> Column:
-        new = F.struct(e["key"].alias("key"), e["value"].alias("value"))
-        held = F.exists(rows, lambda r: r["key"] == e["key"])
-        if keep_first:
-            old = F.filter(rows, lambda r: r["key"] == e["key"])
-            grown = F.concat(F.filter(rows, lambda r: r["key"] != e["key"]), F.when(held, old).otherwise(F.array(new)))
+
+    def step(held: dict, event: tuple) -> None:
+        key, value = event
+        if keep_first and key in held:
+            held[key] = held.pop(key)
         else:
-            grown = F.when(held, F.transform(rows, lambda r: F.when(r["key"] == e["key"], new).otherwise(r))).otherwise(F.concat(rows, F.array(new)))
-        return F.transform(F.array(grown), lambda g: F.when(F.size(g) > capacity, F.slice(g, 2, capacity)).otherwise(g))[0]
+            held[key] = value
+        if len(held) > capacity:
+            del held[next(iter(held))]
 
-    folded = _listed(events.filter("key IS NOT NULL"), "key", "value").select("task", F.aggregate("events", start, step).alias("rows"))
-    return folded.select("task", F.explode("rows").alias("r")).select("task", "r.key", "r.value")
+    finish = lambda task, held: [{"task": task, "key": k, "value": v} for k, v in held.items()]
+    keyed_ = events.filter("key IS NOT NULL").select(F.col("task").cast("long").alias("task"), "pos", "key", F.col("value").cast("long").alias("value"))
+    return fold_in_order(keyed_, "task", "pos", ("key", "value"), dict, step, finish, _KEPT, "task long, key string, value long")
 
 
 def truth(events: DataFrame) -> DataFrame:
@@ -214,21 +218,18 @@ def retain_all(events: DataFrame, policies=tuple(POLICIES), budgets=BUDGETS) ->
     """policy, task, budget, rows, bytes, peak: the same for all policies and budgets in one pass over each task's events."""
     rules = {n: POLICIES[n] for n in policies}
 
-    def run(key, table):
-        table = table.sort_by("pos")
-        e = list(zip(*(table[c].to_pylist() for c in ("op", "key", "source", "version", "value")), strict=True))
-        out = []
-        for name, rule in rules.items():
-            for budget in budgets:
-                s = Slots(rule, budget)
-                for x in e:
-                    s.put(*x)
-                rows = [{"key": k, "source": w, "version": v, "value": x} for (k, w), (v, x) in s.rows.items()]
-                out.append({"policy": name, "task": key[0].as_py(), "budget": budget, "rows": rows, "bytes": s.size(), "peak": s.peak})
-        return pa.Table.from_pylist(out, _RETAINED)
+    def step(slots: dict, event: tuple) -> None:
+        for s in slots.values():
+            s.put(*event)
+
+    def finish(task: int, slots: dict) -> list[dict]:
+        listed = lambda s: [{"key": k, "source": w, "version": v, "value": x} for (k, w), (v, x) in s.rows.items()]
+        return [{"policy": n, "task": task, "budget": b, "rows": listed(s), "bytes": s.size(), "peak": s.peak} for (n, b), s in slots.items()]
 
     kind = "array<struct<key:string,source:string,version:int,value:string>>"
-    return events.groupBy("task").applyInArrow(run, f"policy string, task long, budget int, rows {kind}, bytes int, peak int")
+    start = lambda: {(n, b): Slots(rule, b) for n, rule in rules.items() for b in budgets}
+    e = events.withColumn("task", F.col("task").cast("long"))
+    return fold_in_order(e, "task", "pos", ("op", "key", "source", "version", "value"), start, step, finish, _RETAINED, f"policy string, task long, budget int, rows {kind}, bytes int, peak int")
 
 
 def asked(events: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from .folds import fold_in_order
+
 
 # ------------------------------------------------ grids and search
 def job_grid(methods: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -21,8 +25,14 @@ def valid_results(results: DataFrame) -> DataFrame:
     return results.filter(F.col("metric").isNotNull() & ~F.isnan("metric") & (F.abs("metric") < F.lit(float("inf"))))
 
 
-def summary(results: DataFrame, baseline: str) -> DataFrame:
-    """method, n, mean, sd, and the mean and sd of the paired difference from the baseline (seed by seed)."""
+def summary(results: DataFrame, baseline: str, strict: bool = False) -> DataFrame:
+    """method, n, mean, sd, and the mean and sd of the paired difference from the baseline (seed by seed). strict: fails if
+    a method lacks a seed that another one has, or has one twice."""
+    if strict:
+        per = results.groupBy("method").agg(F.count("*").alias("n"), F.count_distinct("seed").alias("seeds"))
+        seeds = results.select("seed").distinct().count()
+        if short := [r["method"] for r in per.filter((F.col("n") != seeds) | (F.col("seeds") != seeds)).limit(20).collect()]:
+            raise ValueError(f"the grid is incomplete for {short}")
     base = F.max(F.when(F.col("method") == baseline, F.col("metric"))).over(Window.partitionBy("seed"))
     r = results.withColumn("delta", F.col("metric") - base)
     return r.groupBy("method").agg(F.count("*").alias("n"), F.avg("metric").alias("mean"), F.stddev_samp("metric").alias("sd"), F.avg("delta").alias("delta_mean"), F.stddev_samp("delta").alias("delta_sd"))
@@ -66,16 +76,42 @@ def rollup(requests: DataFrame, models: DataFrame) -> DataFrame:
     return j.withColumn("remaining", F.greatest(F.lit(0), F.col("limit") - F.col("reported") - F.col("held")))
 
 
+_ADMITTED = pa.schema([("key", pa.int64()), ("admitted", pa.int32()), ("used", pa.float64()), ("refused", pa.int32())])
+
+
 def admission(requests: DataFrame, most: int, seconds: float, key: str = "task") -> DataFrame:
     """Per key, in order of pos: a request is admitted while fewer than `most` were and its seconds still fit. Nothing is refunded."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("used"), F.lit(0).alias("refused"))
 
-    def step(a: Column, r: Column) -> Column:
-        ok = (a["n"] < most) & (a["used"] + r["seconds"] <= seconds)
-        return F.struct((a["n"] + ok.cast("int")).alias("n"), (a["used"] + F.when(ok, r["seconds"]).otherwise(0.0)).alias("used"), (a["refused"] + (~ok).cast("int")).alias("refused"))
+    def step(a: dict, request: tuple) -> None:
+        if a["admitted"] < most and a["used"] + request[0] <= seconds:
+            a["admitted"] += 1
+            a["used"] += request[0]
+        else:
+            a["refused"] += 1
+
+    start = lambda: {"admitted": 0, "used": 0.0, "refused": 0}
+    r = requests.select(F.col(key).cast("long").alias("key"), "pos", F.col("seconds").cast("double").alias("seconds"))
+    folded = fold_in_order(r, "key", "pos", ("seconds",), start, step, lambda k, a: [{"key": k, **a}], _ADMITTED, "key long, admitted int, used double, refused int")
+    return folded.withColumnRenamed("key", key)
+
+
+#: What may follow a state of a request; nothing follows a finished one.
+FOLLOWS = {"active": ("active", "settled", "unknown")}
 
-    folded = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "seconds"))).alias("r")).select(key, F.aggregate("r", start, step).alias("a"))
-    return folded.select(key, F.col("a.n").alias("admitted"), F.col("a.used").alias("used"), F.col("a.refused").alias("refused"))
+
+def ledger_faults(log: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
+    """Entries of an append-only log (key, order, status) that can't follow the one before: a request that was settled, or
+    whose usage is unknown, is finished for good."""
+    before = F.lag("status").over(Window.partitionBy(key).orderBy(order))
+    legal = F.create_map(*(x for s, after in FOLLOWS.items() for x in (F.lit(s), F.array(*map(F.lit, after)))))
+    fits = F.col("before").isNull() | F.coalesce(F.array_contains(F.try_element_at(legal, F.col("before")), F.col("status")), F.lit(False))
+    return log.withColumn("before", before).filter(~fits).select(key, order, "before", "status")
+
+
+def first_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """key, and a list of its first n values of `order`."""
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("rn") <= n)
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("first"))
 
 
 def cached_requests(requests: DataFrame, key: list[str]) -> DataFrame:
@@ -87,7 +123,7 @@ def cached_requests(requests: DataFrame, key: list[str]) -> DataFrame:
 # ------------------------------------------------ feeds and manifests
 def newest(feed: DataFrame, n: int = 80) -> DataFrame:
     """The newest n by time, ties by larger id: a bounded top-n, not a sort."""
-    return feed.orderBy(F.desc("time"), F.desc("id")).limit(n)
+    return feed.orderBy(F.desc("time"), F.desc("id"), F.desc("event"), F.desc("owner")).limit(n)
 
 
 def tail_per_key(rows: DataFrame, key: str, order: str, n: int = 30) -> DataFrame:
@@ -128,12 +164,26 @@ def unique_blobs(rows: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------ samples and tabular scores
+def numbered_within(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """rows with `place`: the number, from 1, of each row within its key. Keys of any size are sorted by ranges over all
+    partitions; only the counts of keys in partitions meet."""
+    dealt = cut(rows.withColumn("by", order).repartitionByRange(F.col(key).asc_nulls_first(), F.col("by")).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(key, "part").count()
+    first = counts.select(F.col(key).alias("of"), "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy(key, "part").orderBy("by"))
+    placed = dealt.withColumn("within", within).join(first, (dealt["part"] == first["part"]) & F.col(key).eqNullSafe(F.col("of")))
+    return placed.select(*rows.columns, (F.col("first") + F.col("within")).alias("place"))
+
+
 def hash_order(seed: Column | str, id_col: str) -> Column:
     return F.sha2(F.concat(F.lit(seed) if isinstance(seed, str) else seed, F.lit(":"), F.col(id_col).cast("string")), 256)
 
 
-def stratified(rows: DataFrame, stratum: str, id_col: str, k: int, seed: str) -> DataFrame:
-    """k rows of each stratum, in the order of a digest of seed and id."""
+def stratified(rows: DataFrame, stratum: str, id_col: str, k: int, seed: str, strict: bool = False) -> DataFrame:
+    """k rows of each stratum, in the order of a digest of seed and id. strict: fails if a stratum has fewer."""
+    if strict and (short := [r[0] for r in rows.groupBy(stratum).count().filter(F.col("count") < k).limit(20).collect()]):
+        raise ValueError(f"fewer than {k} rows in {short}")
     order = Window.partitionBy(stratum).orderBy(hash_order(seed, id_col), id_col)
     return rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 

@@ -105,10 +105,10 @@ def dataset_identity(spark, d):
     return e.groupBy("task").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("r")))), lambda x: x["r"]), "\n"), 256).alias("dataset_sha256"))
 
 
-_EVENTS = """events5 AS (SELECT user_id % 24 AS task, event_id AS pos, CASE WHEN event_type <> 'error' THEN 'P' ELSE 'R' END AS op,
-  'k' || (CAST(props->>'$.k' AS INT) % 12) AS key, CASE WHEN (user_id // 24) % 2 = 0 THEN 'a' ELSE 'b' END AS source, CAST(floor(value) AS INT) % 5 + 1 AS version,
+_EVENTS = """events5 AS (SELECT user_id // 2 AS task, event_id AS pos, CASE WHEN event_type <> 'error' THEN 'P' ELSE 'R' END AS op,
+  'k' || (CAST(props->>'$.k' AS INT) % 12) AS key, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, CAST(floor(value) AS INT) % 5 + 1 AS version,
   CASE WHEN event_type <> 'error' THEN 'x' || event_id END AS value FROM events)"""
-_KEYED = """events2 AS (SELECT user_id % 24 AS task, event_id AS pos, CASE WHEN event_type <> 'view' THEN 'k' || (CAST(props->>'$.k' AS INT) % 16) END AS key,
+_KEYED = """events2 AS (SELECT user_id AS task, event_id AS pos, CASE WHEN event_type <> 'view' THEN 'k' || (CAST(props->>'$.k' AS INT) % 16) END AS key,
   CASE WHEN event_type <> 'view' THEN event_id END AS value FROM events),
 truth AS (SELECT task, key, max(value) AS expected FROM events2 WHERE key IS NOT NULL GROUP BY ALL)"""
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,17 +20,19 @@ from . import memory as PM
 SECRETS = (r"AKIA[0-9A-Z]{16}", r"token = \"[0-9a-f]{40}\"")
 METHODS = ("recent_window", "events_only", "keyed_memory", "fifo_memory", "first_write")
 BASELINE = "recent_window"
+#: Seeds of the grids; each stands for the tasks with its remainder.
+SEEDS = 24
 
 
 # ------------------------------------------------ grids
 def _results(spark, d):
-    """method, seed, metric, dataset_sha256: accuracy of each memory on each task."""
+    """method, seed, metric, dataset_sha256: accuracy of each memory on the tasks of each of 24 seeds."""
     e, out = S.keyed_events(spark, d), None
     kept = (M.recent(e), M.recent(e, keyed_only=True), M.keyed(e), M.bounded_map(e), M.bounded_map(e, keep_first=True))
     for name, k in zip(METHODS, kept, strict=True):
-        a = PM._answers(k, e).groupBy(F.col("task").alias("seed")).agg(F.avg(F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False)).cast("int")).alias("metric")).withColumn("method", F.lit(name))
+        a = PM._answers(k, e).groupBy((F.col("task") % SEEDS).alias("seed")).agg(F.avg(F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False)).cast("int")).alias("metric")).withColumn("method", F.lit(name))
         out = a if out is None else out.unionByName(a)
-    digest = e.groupBy(F.col("task").alias("seed")).agg(F.sha2(F.concat_ws(":", F.max("task").cast("string"), F.count("*").cast("string")), 256).alias("dataset_sha256"))
+    digest = e.groupBy((F.col("task") % SEEDS).alias("seed")).agg(F.sha2(F.concat_ws(":", F.max(F.col("task") % SEEDS).cast("string"), F.count("*").cast("string")), 256).alias("dataset_sha256"))
     return out.join(digest, "seed")
 
 
@@ -37,7 +42,7 @@ def grid_results(spark, d):
 
 def grid_complete(spark, d):
     methods = spark.createDataFrame([(m,) for m in METHODS], "method string")
-    seeds = S.keyed_events(spark, d).select(F.col("task").alias("seed")).distinct()
+    seeds = S.keyed_events(spark, d).select((F.col("task") % SEEDS).alias("seed")).distinct()
     have = _results(spark, d).filter("NOT (method = 'events_only' AND seed % 7 = 3)")
     return R.completeness(R.job_grid(methods, seeds), have)
 
@@ -102,7 +107,7 @@ def _requests(spark, d):
         F.when(k % 3 == 0, k).alias("total_tokens"), k.alias("cached_input_tokens"), F.lit(4).cast("long").alias("reasoning_output_tokens"),
     )
     status = F.when(F.col("event_type") == "error", "unknown").when(k % 10 == 0, "active").otherwise("settled")
-    return e.select(F.col("event_id").alias("pos"), F.col("event_type").alias("alias"), (F.col("user_id") % 24).alias("task"), k.alias("k"), (k + 100).alias("reserved_tokens"), status.alias("status"), T.usage(raw).alias("u"), "ts")
+    return e.select(F.col("event_id").alias("pos"), F.col("event_type").alias("alias"), F.col("user_id").alias("task"), k.alias("k"), (k + 100).alias("reserved_tokens"), status.alias("status"), T.usage(raw).alias("u"), "ts")
 
 
 def usage_normalized(spark, d):
@@ -143,10 +148,18 @@ def recent_requests(spark, d):
 
 
 # ------------------------------------------------ feeds
+#: Events that a request's state stands for.
+REQUEST_EVENTS = {"settled": "model_completed", "unknown": "model_usage_unknown"}
+
+
 def _feed(spark, d):
+    """Run events, task events, model requests and project events in one feed."""
     e = S.table(spark, d, "events").select(F.col("ts").cast("string").alias("time"), F.col("event_id").alias("id"), F.col("event_type").alias("event"), F.concat(F.lit("run-"), (F.col("user_id") % 24).cast("string")).alias("owner"))
     o = S.table(spark, d, "orders").select(F.col("o_orderdate").cast("string").alias("time"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("pending").alias("event"))
-    return e.unionByName(o, allowMissingColumns=True)
+    named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in REQUEST_EVENTS.items() for x in kv)), F.col("status")), F.lit("model_started"))
+    r = _requests(spark, d).select(F.col("ts").cast("string").alias("time"), F.col("pos").alias("id"), named.alias("event"), F.col("alias").alias("owner"))
+    p = S.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("string").alias("time"), F.col("l_orderkey").alias("id"), F.lit("stage_shipped").alias("event"), F.concat(F.lit("project-"), F.col("l_suppkey").cast("string")).alias("owner"))
+    return e.unionByName(o, allowMissingColumns=True).unionByName(r).unionByName(p)
 
 
 def feed_top80(spark, d):
@@ -176,12 +189,51 @@ def runs_by_time(spark, d):
 
 
 def alerts_union(spark, d):
-    r, docs = _requests(spark, d), S.table(spark, d, "documents")
-    unsettled = r.filter("status = 'unknown'").groupBy("alias").agg(F.count("*").alias("n")).select(F.lit("unsettled usage").alias("alert"), F.col("alias").alias("of"), "n")
-    unreadable = r.filter("u IS NULL").groupBy("alias").agg(F.count("*").alias("n")).select(F.lit("unreadable usage").alias("alert"), F.col("alias").alias("of"), "n")
-    failed = _runs(spark, d).filter("status = 'failed'").select(F.lit("failed run").alias("alert"), F.concat(F.lit("run-"), F.col("run").cast("string")).alias("of"), F.lit(1).cast("long").alias("n"))
-    broken = docs.filter(F.length("text") != F.col("n_chars")).groupBy("source").agg(F.count("*").alias("n")).select(F.lit("wrong length").alias("alert"), F.col("source").alias("of"), "n")
-    return unsettled.unionByName(unreadable).unionByName(failed).unionByName(broken)
+    """alert, of, n: what seven producers have to say."""
+    r, docs, stages = _requests(spark, d), S.table(spark, d, "documents"), _graph(spark, d)[0]
+    said = lambda rows, alert, of: rows.groupBy(of.alias("of")).agg(F.count("*").alias("n")).select(F.lit(alert).alias("alert"), "of", "n")
+    last = r.groupBy("alias").agg(F.max_by("status", "pos").alias("status"))
+    projects = S.table(spark, d, "customer").select(F.col("c_custkey").alias("project")).join(stages.select("project").distinct(), "project", "left_anti")
+    return reduce(
+        DataFrame.unionByName,
+        (
+            said(r.filter("status = 'unknown'"), "unsettled usage", F.col("alias")),
+            said(r.filter("u IS NULL"), "unreadable usage", F.col("alias")),
+            said(last.filter("status = 'unknown'"), "last request failed", F.col("alias")),
+            said(_runs(spark, d).filter("status = 'failed'"), "failed run", F.concat(F.lit("run-"), F.col("run").cast("string"))),
+            said(docs.filter(F.length("text") != F.col("n_chars")), "wrong length", F.col("source")),
+            said(stages.filter("status IN ('awaiting_review', 'failed', 'stale')"), "stage", F.concat_ws("/", F.col("project").cast("string"), "status")),
+            said(projects, "project without record", F.col("project").cast("string")),
+        ),
+    )
+
+
+def run_errors(spark, d):
+    """The first five errors of each run."""
+    e = S.table(spark, d, "events").filter("event_type = 'error'").select((F.col("user_id") % 24).alias("run"), "event_id")
+    return R.first_per_key(e, "run", "event_id", 5).select("run", F.array_join(F.col("first").cast("array<string>"), ",").alias("first"))
+
+
+def first_runs(spark, d):
+    """The three runs changed last, of those that failed or run; path searched without regard to case."""
+    r = _runs(spark, d).withColumn("path", F.concat(F.lit("Runs/RUN-"), F.col("run").cast("string")))
+    shown = r.filter(F.col("status").isin("failed", "running", "pending") & F.contains(F.lower("path"), F.lit("run-1")))
+    return shown.orderBy(F.desc("modified")).limit(3).select("run", "status")
+
+
+def grids_in_order(spark, d):
+    """Grids by name, the holdout last."""
+    from pyspark.sql import Window
+
+    name = F.when(F.col("n_nationkey") == 7, "holdout").otherwise(F.lower("n_name"))
+    n = S.table(spark, d, "nation").select(name.alias("name"))
+    return n.select("name", F.row_number().over(Window.orderBy(F.col("name") == "holdout", "name")).alias("place"))
+
+
+def ledger_faults(spark, d):
+    """Entries that come after their request was finished, in a log where ten requests share an id."""
+    r = _requests(spark, d).select(F.expr("pos DIV 10").alias("id"), "pos", "status")
+    return R.ledger_faults(r)
 
 
 def planned_anti(spark, d):
@@ -191,39 +243,68 @@ def planned_anti(spark, d):
 
 def ui_filter(spark, d):
     """Substring search over a whole row as JSON, whatever the case."""
-    p = S.table(spark, d, "pages").select("page_id", "url")
-    return p.filter(F.contains(F.lower(F.to_json(F.struct("page_id", "url"))), F.lit("blog."))).select("page_id")
+    p = S.table(spark, d, "pages")
+    return p.filter(F.contains(F.lower(F.to_json(F.struct(*p.columns))), F.lit("blog."))).select("page_id")
 
 
 # ------------------------------------------------ stage graphs
-#: A project of seven stages: name, place, adapter, split, status, attempts, most attempts, paid, changed.
-STAGES = (
-    ("sources", 0, "artifact", "development", "accepted", 1, 2, False, False),
-    ("cards", 1, "literature_cards", "development", "accepted", 1, 2, False, True),
-    ("baseline", 2, "tabular_experiment", "development", "accepted", 1, 2, False, False),
-    ("idea", 3, "proposal", "development", "awaiting_review", 1, 2, True, False),
-    ("trial", 4, "tabular_experiment", "development", "pending", 0, 2, False, False),
-    ("select", 5, "freeze", "development", "pending", 0, 2, False, False),
-    ("holdout", 6, "tabular_experiment", "holdout", "pending", 0, 2, False, False),
-)
-NEEDS = (("cards", "sources"), ("idea", "cards"), ("idea", "baseline"), ("trial", "baseline"), ("select", "trial"), ("select", "idea"), ("holdout", "select"))
-
+def _graph(spark, d):
+    """Each customer's orders as the stages of a project: a stage needs the two orders before it by key, so there are as
+    many diamonds as stages; places go by date, so some dependencies stand too late."""
+    from pyspark.sql import Window
 
-def _graph(spark):
-    stages = spark.createDataFrame(list(STAGES), "stage string, place int, adapter string, split string, status string, attempts int, max_attempts int, paid boolean, changed boolean")
-    return stages, spark.createDataFrame(list(NEEDS), "stage string, needs string")
+    o = S.table(spark, d, "orders")
+    kind = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % n + 1).cast("int"))
+    stages = o.select(
+        F.col("o_orderkey").alias("stage"), F.col("o_custkey").alias("project"), F.datediff("o_orderdate", F.lit("1990-01-01")).alias("place"),
+        kind(5, "artifact", "literature_cards", "tabular_experiment", "proposal", "freeze").alias("adapter"),
+        F.when(F.col("o_orderkey") % 11 == 0, "holdout").otherwise("development").alias("split"),
+        F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "pending").otherwise(kind(3, "awaiting_review", "failed", "stale")).alias("status"),
+        (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"), F.col("o_orderpriority").startswith("1").alias("paid"), (F.col("o_orderkey") % 13 == 0).alias("changed"),
+    )
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    edges = o.select(F.col("o_orderkey").alias("stage"), F.array(F.lag("o_orderkey", 1).over(by), F.lag("o_orderkey", 2).over(by)).alias("both")).select("stage", F.explode("both").alias("needs"))
+    return stages, edges.filter("needs IS NOT NULL")
 
 
 def _dag(f):
-    return lambda spark, d: f(*_graph(spark))
+    return lambda spark, d: f(*_graph(spark, d))
 
 
 def dag_signatures(spark, d):
-    return L.signatures(*_graph(spark))
+    return L.signatures(*_graph(spark, d))
 
 
 def dag_status(spark, d):
-    return L.project_status(_graph(spark)[0])
+    return L.project_status(_graph(spark, d)[0], ("project",))
+
+
+def dag_retries(spark, d):
+    return L.retries(_graph(spark, d)[0])
+
+
+def dag_decisions(spark, d):
+    """A decision on each stage; some are incomplete or bound to an older result."""
+    stages = _graph(spark, d)[0].withColumn("binding", L.binding(F.col("stage").cast("string"), F.col("attempts").cast("string"), F.lit("protocol")))
+    actions = F.element_at(F.array(*map(F.lit, (*L.DECISIONS, "ignore"))), (F.col("stage") % 5 + 1).cast("int"))
+    old = F.when(F.col("stage") % 6 == 0, F.lit("older")).otherwise(F.col("binding"))
+    given = stages.select("stage", actions.alias("action"), F.lit("supervisor").alias("actor"), F.when(F.col("stage") % 17 == 0, " ").otherwise("read").alias("reason"), old.alias("binding"))
+    return L.decided(stages.select("stage", "status", "binding"), given)
+
+
+def run_resumes(spark, d):
+    """Suppliers as runs, of which some have another plan, script or engine now."""
+    s = S.table(spark, d, "supplier")
+    part = lambda name, n: F.concat_ws(":", F.lit(name), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % n == 0, F.lit("new")))
+    recorded = s.select(F.col("s_suppkey").alias("run"), *(F.concat_ws(":", F.lit(n), F.col("s_suppkey").cast("string")).alias(n) for n in ("plan", "script", "engine")))
+    now = s.filter("s_suppkey > 0").select(F.col("s_suppkey").alias("run"), part("plan", 3).alias("plan"), part("script", 4).alias("script"), part("engine", 5).alias("engine"))
+    return L.resumable(recorded, now)
+
+
+def job_reuse(spark, d):
+    """Orders as jobs and their lines as files; a returned line is a broken file."""
+    jobs = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"))
+    return L.reused(jobs, S.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job")))
 
 
 # ------------------------------------------------ manifests and text
@@ -243,13 +324,6 @@ def manifest_diff(spark, d):
 
 
 def evidence_gate(spark, d):
-    docs = _documents(spark, d)
-    claims = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("claim"), F.array(F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string"), (F.col("doc_id") + 7).cast("string")).alias("refs"))
-    evidence = R.manifest(docs.filter("doc_id % 9 <> 1"), "doc_id", "text")
-    return R.claim_gate(claims, evidence)
-
-
-def evidence_gate_all(spark, d):
     """Every document as a claim, on itself and the ids one and seven further on; evidence is every document."""
     docs = _documents(spark, d)
     claims = docs.select(F.col("doc_id").alias("claim"), F.array(*((F.col("doc_id") + k).cast("string") for k in (0, 1, 7))).alias("refs"))
@@ -266,20 +340,18 @@ def redact(spark, d):
     return _documents(spark, d).filter(F.col("text").rlike("|".join(patterns))).select("doc_id", F.sha2(T.redact(F.col("text"), patterns), 256).alias("redacted_sha256"))
 
 
+#: What patterns find, and the size from which a text is too large to share.
+FINDINGS = tuple(zip(("secret key", "GitHub token", "GitHub fine-grained token", "private key", "access key", "token"), (*T.CREDENTIALS, *SECRETS), strict=True))
+LARGE = 5_000_000
+
+
 def secret_scan(spark, d):
-    names = ("secret key", "GitHub token", "GitHub fine-grained token", "private key", "access key", "token")
-    hits = [F.when(F.col("text").rlike(p), F.lit(n)) for n, p in zip(names, (*T.CREDENTIALS, *SECRETS), strict=True)]
-    big = F.when(F.octet_length("text") > 20000, F.lit("too large"))
+    hits = [F.when(F.col("text").rlike(p), F.lit(n)) for n, p in FINDINGS]
+    big = F.when(F.octet_length("text") > LARGE, F.lit("too large"))
     return _documents(spark, d).select("doc_id", F.explode(F.filter(F.array(*hits, big), lambda x: x.isNotNull())).alias("finding"))
 
 
 def locate_excerpt(spark, d):
-    b = S.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("excerpt"))
-    docs = _documents(spark, d).filter("doc_id % 2 = 0").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(b, "item_id").select("doc_id", "item_id", T.locate(F.col("text"), F.col("excerpt")).alias("place"))
-
-
-def locate_excerpts(spark, d):
     """doc_id, item_id, place: every benchmark text that stands in a document, at its first place. The items are few."""
     items = [(r["item_id"], r["text"]) for r in S.table(spark, d, "benchmark").filter("text IS NOT NULL").select("item_id", "text").collect()]
 
@@ -318,10 +390,7 @@ def stratified_sample(spark, d):
 
 
 def hash_shuffle(spark, d):
-    from pyspark.sql import Window
-
-    docs = _documents(spark, d)
-    return docs.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(R.hash_order("v5-order", "doc_id"))).alias("place"))
+    return R.numbered_within(_documents(spark, d).select("source", "doc_id"), "source", R.hash_order("v5-order", "doc_id")).select("source", "doc_id", F.col("place").cast("int").alias("place"))
 
 
 # ------------------------------------------------ tables
@@ -339,8 +408,16 @@ def tabular_linear(spark, d):
 
 
 def comparison(spark, d):
-    s = R.threshold_accuracy(_tabular(spark, d), (0.5, 2.0)).withColumn("dataset", F.lit("labels"))
-    return R.compare(s.filter("p = 0.5"), s.filter("p = 2.0"), ["dataset", "n"], 0.0).select("dataset", "n", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), F.round("gain", 9).alias("gain"), "improved")
+    """Two thresholds compared where data, metric, direction, split and size all agree."""
+    t = _tabular(spark, d)
+    scores = []
+    for p in (0.5, 2.0):
+        by = t.withColumn("split", F.when(F.col("id") % 4 == 0, "holdout").otherwise("development"))
+        by = by.filter("split = 'development' OR id % 5 > 0") if p > 1 else by
+        score = F.avg(((F.col("x") >= p) == (F.col("y") != 0)).cast("int"))
+        scores.append(by.groupBy("split").agg(score.alias("score"), F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.lit("labels"), F.count("*").cast("string")), 256).alias("dataset_sha256")).withColumns({"metric": F.lit("accuracy"), "direction": F.lit("maximize")}))
+    keys = ["dataset_sha256", "metric", "direction", "split", "n"]
+    return R.compare(*scores, keys, 0.0).select(*keys, F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), F.round("gain", 9).alias("gain"), "improved")
 
 
 def split_overlap(spark, d):
@@ -365,8 +442,8 @@ def proposal_dupes(spark, d):
 _GRID_NAMES = dict(zip(METHODS, ("recent", "events_only", "keyed", "fifo", "first_write"), strict=True))
 _GRID = f"""WITH RECURSIVE {PM._KEYED}, {', '.join(PM._kept(k) for k in _GRID_NAMES.values())},
 sims AS ({' UNION ALL '.join(f"SELECT '{m}' AS method, t.task, t.expected, k.predicted FROM truth t LEFT JOIN kept_{k} k USING (task, key)" for m, k in _GRID_NAMES.items())}),
-digests AS (SELECT task AS seed, sha256(task || ':' || count(*)) AS dataset_sha256 FROM events2 GROUP BY task),
-results AS (SELECT method, seed, metric, dataset_sha256 FROM (SELECT method, task AS seed, avg(CAST(coalesce(predicted = expected, FALSE) AS INT)) AS metric FROM sims GROUP BY ALL) JOIN digests USING (seed))"""
+digests AS (SELECT task % {SEEDS} AS seed, sha256(any_value(task % {SEEDS}) || ':' || count(*)) AS dataset_sha256 FROM events2 GROUP BY 1),
+results AS (SELECT method, seed, metric, dataset_sha256 FROM (SELECT method, task % {SEEDS} AS seed, avg(CAST(coalesce(predicted = expected, FALSE) AS INT)) AS metric FROM sims GROUP BY ALL) JOIN digests USING (seed))"""
 _SUMMARY = f"""{_GRID}, based AS (SELECT *, metric - max(metric) FILTER (method = '{BASELINE}') OVER (PARTITION BY seed) AS delta FROM results),
 summary AS (SELECT method, count(*) AS n, avg(metric) AS mean, stddev_samp(metric) AS sd, avg(delta) AS delta_mean, stddev_samp(delta) AS delta_sd FROM based GROUP BY method)"""
 _SEARCH = f"""{_GRID}, means AS (SELECT method, round(avg(metric), 9) AS score FROM results WHERE seed < 12 GROUP BY method),
@@ -375,7 +452,7 @@ trial AS (SELECT -1 AS place, NULL::VARCHAR AS candidate, NULL::DOUBLE AS score,
   UNION ALL SELECT c.place, c.candidate, c.score, t.best, c.score - t.best > 0.01, CASE WHEN c.score - t.best > 0.01 THEN c.score ELSE t.best END, CASE WHEN c.score - t.best > 0.01 THEN 0 ELSE t.since + 1 END, t.n + 1
   FROM trial t JOIN cands c ON c.place = t.place + 1 WHERE t.n < 4 AND NOT (t.n >= 2 AND t.since >= 2)),
 trials AS (SELECT place, candidate, score, previous, accepted FROM trial WHERE place >= 0)"""
-_REQUESTS = """WITH raw AS (SELECT event_id AS pos, event_type AS alias, user_id % 24 AS task, CAST(props->>'$.k' AS BIGINT) AS k, value, event_id % 2 = 0 AS even FROM events),
+_REQUESTS = """WITH raw AS (SELECT event_id AS pos, event_type AS alias, user_id AS task, CAST(props->>'$.k' AS BIGINT) AS k, value, event_id % 2 = 0 AS even FROM events),
 counts AS (SELECT *, CASE WHEN k % 13 <> 0 THEN k * 2 END AS i, CAST(floor(value) AS BIGINT) AS o, CASE WHEN k % 3 = 0 THEN k ELSE 0 END AS t FROM raw),
 requests AS (SELECT pos, alias, task, k, k + 100 AS reserved_tokens, CASE WHEN alias = 'error' THEN 'unknown' WHEN k % 10 = 0 THEN 'active' ELSE 'settled' END AS status, i IS NOT NULL AND i >= 0 AND o >= 0 AS ok,
   CASE WHEN i >= 0 AND o >= 0 THEN i END AS input_tokens, CASE WHEN i >= 0 AND o >= 0 THEN o END AS output_tokens, CASE WHEN i >= 0 AND o >= 0 THEN greatest(t, i + o) END AS total_tokens,
@@ -383,25 +460,25 @@ requests AS (SELECT pos, alias, task, k, k + 100 AS reserved_tokens, CASE WHEN a
 _RUNS = """runs AS (SELECT *, CASE last WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'pending' END AS status
   FROM (SELECT user_id % 24 AS run, arg_max(event_type, event_id) AS last, count(*) AS attempts, count(*) FILTER (event_type = 'purchase') AS jobs, max(event_id) AS modified FROM events GROUP BY 1))"""
 _Q = lambda x: "TRUE" if x is True else "FALSE" if x is False else f"'{x}'" if isinstance(x, str) else str(x)
-_DAG = f"""stages(stage, place, adapter, split, status, attempts, max_attempts, paid, changed) AS (VALUES {', '.join('(' + ', '.join(map(_Q, s)) + ')' for s in STAGES)}),
-edges(stage, needs) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in NEEDS)}),
+_DAG = """stages AS (SELECT o_orderkey AS stage, o_custkey AS project, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS place,
+  ['artifact', 'literature_cards', 'tabular_experiment', 'proposal', 'freeze'][o_orderkey % 5 + 1] AS adapter, CASE WHEN o_orderkey % 11 = 0 THEN 'holdout' ELSE 'development' END AS split,
+  CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'pending' ELSE ['awaiting_review', 'failed', 'stale'][o_orderkey % 3 + 1] END AS status,
+  CAST(o_orderkey % 4 AS INT) AS attempts, 3 AS max_attempts, starts_with(o_orderpriority, '1') AS paid, o_orderkey % 13 = 0 AS changed FROM orders),
+edges AS (SELECT stage, needs FROM (SELECT o_orderkey AS stage, unnest([lag(o_orderkey, 1) OVER w, lag(o_orderkey, 2) OVER w]) AS needs FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE needs IS NOT NULL),
 up(stage, ancestor) AS (SELECT stage, needs FROM edges UNION SELECT u.stage, e.needs FROM up u JOIN edges e ON e.stage = u.ancestor)"""
 _BLOCKED = "SELECT e.stage FROM edges e JOIN stages n ON n.stage = e.needs WHERE n.status <> 'accepted'"
 _TAB = "WITH tab AS (SELECT l.doc_id AS id, n_chars / 1000.0::DOUBLE AS x, quality::DOUBLE AS y FROM labels l JOIN documents d USING (doc_id))"
-_KEYPAT, _TOKPAT = SECRETS
+_RE2 = lambda p: p.replace("(?<![A-Za-z0-9_])", "(^|[^A-Za-z0-9_])")  # noqa: E731  its engine looks at no place behind
 
 
-def _sig_sql() -> str:
-    return f"""WITH RECURSIVE {_DAG}, lev AS (SELECT stage, 0 AS depth FROM stages WHERE stage NOT IN (SELECT stage FROM edges) UNION ALL SELECT e.stage, l.depth + 1 FROM lev l JOIN edges e ON e.needs = l.stage),
-depths AS (SELECT stage, max(depth) AS depth FROM lev GROUP BY stage),
-s0 AS (SELECT stage, sha256(stage || '|' || adapter || '|' || split || '|') AS signature FROM stages JOIN depths USING (stage) WHERE depth = 0)""" + "".join(
-        f""", s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT s.stage, sha256(s.stage || '|' || any_value(adapter) || '|' || any_value(split) || '|' || string_agg(p.signature, ',' ORDER BY p.signature)) FROM stages s JOIN depths d ON d.stage = s.stage AND d.depth = {i} JOIN edges e ON e.stage = s.stage JOIN s{i - 1} p ON p.stage = e.needs GROUP BY s.stage)"""
-        for i in range(1, 6)
-    ) + " SELECT * FROM s5"
+_SIGNED = f"""WITH RECURSIVE {_DAG}, direct AS (SELECT stage, string_agg(n, ',' ORDER BY n) AS needs FROM (SELECT DISTINCT stage, CAST(needs AS VARCHAR) AS n FROM edges) GROUP BY stage),
+formed AS (SELECT s.stage, sha256(s.stage || '|' || adapter || '|' || split || '|' || coalesce(needs, '')) AS form FROM stages s LEFT JOIN direct d ON d.stage = s.stage),
+above AS (SELECT u.stage, string_agg(form, ',' ORDER BY form) AS above FROM up u JOIN formed f ON f.stage = u.ancestor GROUP BY u.stage)
+SELECT f.stage, sha256(form || '|' || coalesce(above, '')) AS signature FROM formed f LEFT JOIN above a ON a.stage = f.stage"""
 
 
 def queries() -> dict:
-    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, planned_anti, ui_filter, dag_signatures, dag_status, manifest_build, manifest_diff, evidence_gate, evidence_gate_all, dedupe_blobs, redact, secret_scan, locate_excerpt, locate_excerpts, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
+    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, run_errors, first_runs, grids_in_order, ledger_faults, planned_anti, ui_filter, dag_signatures, dag_status, dag_retries, dag_decisions, run_resumes, job_reuse, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, locate_excerpt, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
     dags = {"dag_ancestors": lambda s, e: L.ancestors(e), "dag_order": L.out_of_order, "dag_blockers": L.blockers, "dag_runnable": L.runnable, "dag_stale": L.stale, "dag_revision": L.revised, "dag_unfrozen": L.unfrozen_holdouts, "dag_leaks": L.leaks}
     return {f.__name__: f for f in named} | {k: _dag(f) for k, f in dags.items()}
 
@@ -410,10 +487,13 @@ def oracle_sql() -> dict[str, str]:
     tex = "url"
     for a, b in (("\\", "\x01"), *((c, f"\\{c}") for c in "&%$#_{}"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\x01", r"\textbackslash{}")):
         tex = f"replace({tex}, {'chr(1)' if a == chr(1) else _Q(a)}, {'chr(1)' if b == chr(1) else _Q(b)})"
+    _redacted = "text"
+    for p in (*T.REDACTED, *SECRETS):
+        _redacted = f"regexp_replace({_redacted}, '{p}', '[REDACTED]', 'g')"
     man = "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents"
     return {
         "grid_results": _GRID + " SELECT method, seed, round(metric, 9) AS metric, dataset_sha256 FROM results",
-        "grid_complete": _GRID + " SELECT m.method, s.seed, r.seed IS NOT NULL AS done FROM (SELECT DISTINCT method FROM results) m, (SELECT DISTINCT task AS seed FROM events2) s LEFT JOIN (SELECT * FROM results WHERE NOT (method = 'events_only' AND seed % 7 = 3)) r ON r.method = m.method AND r.seed = s.seed",
+        "grid_complete": _GRID + " SELECT m.method, s.seed, r.seed IS NOT NULL AS done FROM (SELECT DISTINCT method FROM results) m, (SELECT DISTINCT task % 24 AS seed FROM events2) s LEFT JOIN (SELECT * FROM results WHERE NOT (method = 'events_only' AND seed % 7 = 3)) r ON r.method = m.method AND r.seed = s.seed",
         "grid_summary": _SUMMARY + " SELECT method, n, round(mean, 9) AS mean, round(sd, 9) AS sd, round(delta_mean, 9) AS delta_mean, round(delta_sd, 9) AS delta_sd FROM summary",
         "grid_outcomes": _SUMMARY + " SELECT method, CASE WHEN round(delta_mean, 9) > 0 THEN 'improved' WHEN round(delta_mean, 9) < 0 THEN 'worsened' ELSE 'matched' END AS outcome, printf('%.6f', round(mean, 9)) AS mean, (CASE WHEN round(delta_mean, 9) < 0 THEN '-' ELSE '+' END) || printf('%.6f', abs(round(delta_mean, 9))) AS delta FROM summary",
         "same_data_check": _GRID + " SELECT seed, count(h) = 0 OR (count(h) = count(*) AND count(DISTINCT h) = 1) AS ok FROM (SELECT seed, CASE WHEN seed = 7 THEN NULL WHEN seed = 5 AND method = 'fifo_memory' THEN repeat('0', 64) WHEN seed = 6 AND method = 'keyed_memory' THEN NULL ELSE dataset_sha256 END AS h FROM results) GROUP BY seed",
@@ -435,15 +515,35 @@ SELECT task, arg_max(admitted, k) AS admitted, arg_max(used, k) AS used, arg_max
         "ledger_latest": _REQUESTS + " SELECT pos % 1000 AS id, arg_max(status, pos) AS status, arg_max(reserved_tokens, pos) AS reserved_tokens, count(*) AS states FROM requests GROUP BY 1",
         "settle_reservations": _REQUESTS + " SELECT task, CAST(sum(coalesce(CASE WHEN status = 'settled' THEN total_tokens END, reserved_tokens)) AS BIGINT) AS charged, count(*) FILTER (status = 'settled' AND total_tokens > reserved_tokens) AS overruns FROM requests GROUP BY task",
         "recent_requests": _REQUESTS + " SELECT alias, pos, CAST(row_number() OVER (PARTITION BY alias ORDER BY pos DESC) AS INT) AS rn, status, reserved_tokens FROM requests QUALIFY row_number() OVER (PARTITION BY alias ORDER BY pos DESC) <= 30",
-        "feed_top80": "SELECT id, event, owner FROM (SELECT ts AS time, event_id AS id, event_type AS event, 'run-' || (user_id % 24) AS owner FROM events UNION ALL SELECT o_orderdate, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END, NULL FROM orders) ORDER BY time DESC, id DESC LIMIT 80",
+        "feed_top80": """SELECT id, event, owner FROM (SELECT ts AS time, event_id AS id, event_type AS event, 'run-' || (user_id % 24) AS owner FROM events
+  UNION ALL SELECT o_orderdate, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END, NULL FROM orders
+  UNION ALL SELECT ts, event_id, CASE WHEN event_type = 'error' THEN 'model_usage_unknown' WHEN CAST(props->>'$.k' AS BIGINT) % 10 = 0 THEN 'model_started' ELSE 'model_completed' END, event_type FROM events
+  UNION ALL SELECT l_shipdate, l_orderkey, 'stage_shipped', 'project-' || l_suppkey FROM lineitem) ORDER BY time DESC, id DESC, event DESC, owner DESC LIMIT 80""",
         "board_totals": f"WITH {_RUNS} SELECT count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, CAST(sum(jobs) AS BIGINT) AS jobs, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (status IN ('running', 'searching', 'evaluating_holdout', 'writing', 'requesting')) AS active, count(*) FILTER (status = 'pending') AS pending FROM runs",
         "grid_progress": "SELECT user_id % 24 AS run, count(DISTINCT event_type) * count(DISTINCT k % 5) AS total, count(*) FILTER (event_type = 'purchase') AS completed, CAST(sum(k % 3 + 1) AS BIGINT) AS attempts FROM (SELECT *, CAST(props->>'$.k' AS INT) AS k FROM events) GROUP BY 1",
         "runs_by_time": f"WITH {_RUNS} SELECT run, status, CAST(row_number() OVER (ORDER BY modified DESC) AS INT) AS place FROM runs",
-        "alerts_union": _REQUESTS + f", {_RUNS} SELECT 'unsettled usage' AS alert, alias AS of, count(*) AS n FROM requests WHERE status = 'unknown' GROUP BY alias UNION ALL SELECT 'unreadable usage', alias, count(*) FROM requests WHERE NOT ok GROUP BY alias UNION ALL SELECT 'failed run', 'run-' || run, 1 FROM runs WHERE status = 'failed' UNION ALL SELECT 'wrong length', source, count(*) FROM documents WHERE length(text) <> n_chars GROUP BY source",
+        "alerts_union": _REQUESTS.replace("WITH", "WITH RECURSIVE", 1) + f""", {_RUNS}, {_DAG}
+SELECT 'unsettled usage' AS alert, alias AS of, count(*) AS n FROM requests WHERE status = 'unknown' GROUP BY alias
+UNION ALL SELECT 'unreadable usage', alias, count(*) FROM requests WHERE NOT ok GROUP BY alias
+UNION ALL SELECT 'last request failed', alias, 1 FROM requests GROUP BY alias HAVING arg_max(status, pos) = 'unknown'
+UNION ALL SELECT 'failed run', 'run-' || run, 1 FROM runs WHERE status = 'failed'
+UNION ALL SELECT 'wrong length', source, count(*) FROM documents WHERE length(text) <> n_chars GROUP BY source
+UNION ALL SELECT 'stage', project || '/' || status, count(*) FROM stages WHERE status IN ('awaiting_review', 'failed', 'stale') GROUP BY project, status
+UNION ALL SELECT 'project without record', CAST(c_custkey AS VARCHAR), 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+        "run_errors": "SELECT run, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS first FROM (SELECT user_id % 24 AS run, event_id, row_number() OVER (PARTITION BY user_id % 24 ORDER BY event_id) AS rn FROM events WHERE event_type = 'error') WHERE rn <= 5 GROUP BY run",
+        "first_runs": f"WITH {_RUNS} SELECT run, status FROM runs WHERE status IN ('failed', 'running', 'pending') AND contains(lower('Runs/RUN-' || run), 'run-1') ORDER BY modified DESC LIMIT 3",
+        "grids_in_order": "SELECT name, CAST(row_number() OVER (ORDER BY name = 'holdout', name) AS INT) AS place FROM (SELECT CASE WHEN n_nationkey = 7 THEN 'holdout' ELSE lower(n_name) END AS name FROM nation)",
+        "ledger_faults": _REQUESTS + """ SELECT id, pos, before, status FROM (SELECT pos // 10 AS id, pos, status, lag(status) OVER (PARTITION BY pos // 10 ORDER BY pos) AS before FROM requests) WHERE before IN ('settled', 'unknown')""",
         "planned_anti": "SELECT doc_id AS task_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-        "ui_filter": "SELECT page_id FROM pages WHERE contains(lower('{\"page_id\":' || page_id || ',\"url\":\"' || url || '\"}'), 'blog.')",
-        "dag_signatures": _sig_sql(),
-        "dag_status": f"WITH RECURSIVE {_DAG} SELECT CASE WHEN bool_or(status = 'terminated') THEN 'terminated' WHEN bool_and(status = 'accepted') THEN 'completed' WHEN bool_or(status IN ('awaiting_review', 'stale', 'failed', 'running')) THEN 'awaiting' ELSE 'ready' END AS status FROM stages",
+        "ui_filter": "SELECT page_id FROM pages WHERE contains(lower(to_json(pages)), 'blog.')",
+        "dag_signatures": _SIGNED,
+        "dag_retries": f"WITH RECURSIVE {_DAG} SELECT stage, CASE WHEN status NOT IN ('failed', 'running', 'changes_requested', 'rejected', 'stale') THEN 'status' WHEN split = 'holdout' AND attempts > 0 THEN 'holdout' WHEN attempts >= max_attempts THEN 'attempts' ELSE 'pending' END AS verdict FROM stages",
+        "dag_decisions": f"""WITH RECURSIVE {_DAG} SELECT stage, ['accept', 'reject', 'request_changes', 'terminate', 'ignore'][stage % 5 + 1] AS action,
+  CASE WHEN stage % 5 = 4 OR stage % 17 = 0 THEN 'incomplete' WHEN status <> 'awaiting_review' THEN 'not under review' WHEN stage % 6 = 0 THEN 'out of date' ELSE ['accepted', 'rejected', 'changes_requested', 'rejected'][stage % 5 + 1] END AS outcome FROM stages""",
+        "run_resumes": """SELECT s_suppkey AS run, s_suppkey > 0 AND s_suppkey % 3 > 0 AND s_suppkey % 4 > 0 AND s_suppkey % 5 > 0 AS resumes,
+  array_to_string(list_filter([CASE WHEN s_suppkey % 3 = 0 THEN 'plan' END, CASE WHEN s_suppkey % 4 = 0 THEN 'script' END, CASE WHEN s_suppkey % 5 = 0 THEN 'engine' END], lambda x: x IS NOT NULL), ',') AS changed FROM supplier""",
+        "job_reuse": "SELECT o_orderkey AS job, CASE WHEN o_orderstatus <> 'F' THEN 'run' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'invalidated' ELSE 'reused' END AS action FROM orders",
+        "dag_status": f"WITH RECURSIVE {_DAG} SELECT project, CASE WHEN bool_or(status = 'terminated') THEN 'terminated' WHEN bool_and(status = 'accepted') THEN 'completed' WHEN bool_or(status IN ('awaiting_review', 'stale', 'failed', 'running')) THEN 'awaiting' ELSE 'ready' END AS status FROM stages GROUP BY project",
         "dag_ancestors": f"WITH RECURSIVE {_DAG} SELECT DISTINCT stage, ancestor FROM up",
         "dag_order": f"WITH RECURSIVE {_DAG} SELECT e.stage, e.needs FROM edges e JOIN stages s ON s.stage = e.stage LEFT JOIN stages n ON n.stage = e.needs WHERE n.place IS NULL OR n.place >= s.place",
         "dag_blockers": f"WITH RECURSIVE {_DAG} SELECT e.stage, e.needs, n.status FROM edges e JOIN stages n ON n.stage = e.needs WHERE n.status <> 'accepted'",
@@ -455,11 +555,11 @@ SELECT task, arg_max(admitted, k) AS admitted, arg_max(used, k) AS used, arg_max
         "manifest_build": man,
         "manifest_diff": f"""WITH a AS (SELECT path, bytes, CASE WHEN CAST(path AS BIGINT) % 89 = 1 THEN 'bad' ELSE sha256 END AS s FROM ({man})), b AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS s FROM (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 101 <> 5))
 SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.s IS NULL THEN 'unlisted' WHEN NOT regexp_full_match(a.s, '[0-9a-f]{{64}}') THEN 'malformed' WHEN b.s IS NULL THEN 'missing' WHEN a.bytes <> b.bytes OR a.s <> b.s THEN 'changed' ELSE 'ok' END AS state FROM a FULL JOIN b ON a.path = b.path) WHERE state <> 'ok'""",
-        "evidence_gate": "WITH ev AS (SELECT doc_id FROM documents WHERE doc_id % 9 <> 1), c AS (SELECT doc_id AS claim, unnest([doc_id, doc_id + 1, doc_id + 7]) AS ref FROM documents WHERE doc_id % 10 = 0) SELECT claim, CAST(count(*) AS INT) AS n_refs, count(*) FILTER (ref NOT IN (SELECT doc_id FROM ev)) AS missing, count(*) FILTER (ref NOT IN (SELECT doc_id FROM ev)) = 0 AS open FROM c GROUP BY claim",
+        "evidence_gate": "WITH c AS (SELECT doc_id AS claim, unnest([doc_id, doc_id + 1, doc_id + 7]) AS ref FROM documents) SELECT claim, CAST(count(*) AS INT) AS n_refs, count(*) FILTER (ref NOT IN (SELECT doc_id FROM documents)) AS missing, count(*) FILTER (ref NOT IN (SELECT doc_id FROM documents)) = 0 AS open FROM c GROUP BY claim",
         "dedupe_blobs": "SELECT sha256(text) AS sha256, min(printf('%012d', doc_id)) AS path, max(CAST(strlen(text) AS BIGINT)) AS bytes, count(*) AS copies FROM documents GROUP BY 1",
-        "redact": f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{_KEYPAT}', '[REDACTED]', 'g'), '{_TOKPAT}', '[REDACTED]', 'g')) AS redacted_sha256 FROM documents WHERE regexp_matches(text, '{_KEYPAT}|{_TOKPAT}')",
-        "secret_scan": f"SELECT doc_id, 'access key' AS finding FROM documents WHERE regexp_matches(text, '{_KEYPAT}') UNION ALL SELECT doc_id, 'token' FROM documents WHERE regexp_matches(text, '{_TOKPAT}') UNION ALL SELECT doc_id, 'too large' FROM documents WHERE strlen(text) > 20000",
-        "locate_excerpt": "SELECT doc_id, item_id, CAST(CASE WHEN instr(d.text, left(b.text, 40)) > 0 THEN instr(d.text, left(b.text, 40)) - 1 END AS INT) AS place FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE doc_id % 2 = 0",
+        "redact": f"SELECT doc_id, sha256({_redacted}) AS redacted_sha256 FROM documents WHERE regexp_matches(text, '{'|'.join((*T.REDACTED, *SECRETS))}')",
+        "secret_scan": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS finding FROM documents WHERE {c}" for n, c in (*((n, f"regexp_matches(text, '{_RE2(p)}')") for n, p in FINDINGS), ("too large", f"strlen(text) > {LARGE}"))),
+        "locate_excerpt": "SELECT doc_id, item_id, CAST(instr(d.text, b.text) - 1 AS INT) AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
         "json_pointer": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
         "evidence_calc": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'identity' ELSE 'difference' END AS op, round(CASE WHEN event_type = 'view' THEN CAST(props->>'$.k' AS DOUBLE) ELSE value - CAST(props->>'$.k' AS DOUBLE) END, 9) AS result FROM events",
         "tex_escape": f"SELECT page_id, {tex} AS url FROM pages",
@@ -468,7 +568,8 @@ SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.s IS NULL TH
         "hash_shuffle": "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY sha256('v5-order:' || doc_id)) AS INT) AS place FROM documents",
         "tabular_threshold": _TAB + " SELECT p, round(avg(CAST((x >= p) = (y <> 0) AS INT)), 9) AS score, count(*) AS n FROM tab, (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS p) GROUP BY p",
         "tabular_linear": _TAB + " SELECT p, round(avg(pow(p * x - y, 2)), 6) AS score, count(*) AS n FROM tab, (SELECT unnest([0.1, 0.25, 0.5]::DOUBLE[]) AS p) GROUP BY p",
-        "comparison": _TAB + ", s AS (SELECT p, avg(CAST((x >= p) = (y <> 0) AS INT)) AS score, count(*) AS n FROM tab, (SELECT unnest([0.5, 2.0]::DOUBLE[]) AS p) GROUP BY p) SELECT 'labels' AS dataset, a.n, round(a.score, 9) AS before, round(b.score, 9) AS after, round(b.score - a.score, 9) AS gain, b.score - a.score > 0 AS improved FROM s a JOIN s b ON a.p = 0.5 AND b.p = 2.0",
+        "comparison": _TAB + """, s AS (SELECT p, CASE WHEN id % 4 = 0 THEN 'holdout' ELSE 'development' END AS split, avg(CAST((x >= p) = (y <> 0) AS INT)) AS score, count(*) AS n FROM tab, (SELECT unnest([0.5, 2.0]::DOUBLE[]) AS p) WHERE p < 1 OR id % 4 > 0 OR id % 5 > 0 GROUP BY ALL)
+SELECT sha256('labels:' || a.n) AS dataset_sha256, 'accuracy' AS metric, 'maximize' AS direction, a.split, a.n, round(a.score, 9) AS before, round(b.score, 9) AS after, round(b.score - a.score, 9) AS gain, b.score - a.score > 0 AS improved FROM s a JOIN s b ON a.p = 0.5 AND b.p = 2.0 AND a.split = b.split AND a.n = b.n""",
         "split_overlap": _TAB + " SELECT id FROM tab WHERE id % 3 = 0 INTERSECT SELECT id FROM tab WHERE id % 5 = 0",
         "unique_ids": _TAB + " SELECT id % 97 AS id, count(*) AS n FROM tab GROUP BY 1 HAVING count(*) > 1",
         "proposal_dupes": "SELECT event_id AS pos, sha256(event_type || '|' || props) AS fingerprint, CAST(row_number() OVER w AS INT) AS nth FROM events WINDOW w AS (PARTITION BY event_type || '|' || props ORDER BY event_id) QUALIFY row_number() OVER w > 1",

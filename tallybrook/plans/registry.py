@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory, records, retrieval, streams
+from . import documents, memory, records, retrieval, streams
 
-_MODULES = (retrieval, memory, records, streams)
+_MODULES = (retrieval, memory, records, streams, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from ..operators import packing as P
 from ..operators import retrieval as R
 from ..sources import tables as S
 
-#: The invented prose has none of the real cues, so registered queries take frequent words for cues.
-CUES = ("the", "that", "and", "les", "der", "que")
+#: The invented prose has few of the real cues, so registered queries take some frequent words as cues beside them.
+CUES = (*T.CHANGE_CUES, "the", "that", "and", "les", "der", "que")
 #: Units and strategies of the study.
 METHODS = (
     "turn_bm25", "turn_timecue", "turn_rrf", "turn_density", "turn_stop",
@@ -114,7 +116,7 @@ def doc_freq(spark, d):
 
 
 def bm25_scores(spark, d):
-    return _scores(spark, d).select("uid", "dim", "doc_i", "score")
+    return _scores(spark, d).select("uid", "dim", "doc_i", F.round("score", 9).alias("score"))
 
 
 def _rank(strategy, unit="turn"):
@@ -125,11 +127,17 @@ def _rank(strategy, unit="turn"):
 
 
 def rank_policy(spark, d):
-    scored, out = _scores(spark, d), None
-    for p in R.POLICIES:
-        r = R.ranked_by_policy(scored, p).select("uid", "dim", F.lit(p["name"]).alias("policy"), "doc_i", "rn")
-        out = r if out is None else out.unionByName(r)
-    return out
+    policies = spark.createDataFrame(R.POLICIES, R.POLICY_SCHEMA)
+    return R.ranked_by_policy(_scores(spark, d), policies).select("uid", "dim", "policy", "doc_i", "rn")
+
+
+def policy_faults(spark, d):
+    """Policies drawn up from the parts table, some of them unfit."""
+    p = S.table(spark, d, "part")
+    third = (F.col("p_size") - 25) / 20
+    weight = F.when(F.col("p_partkey") % 5 > 0, F.round(third, 4)).otherwise(F.lit(0.0))
+    named = p.select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("name"), weight.alias("relevance"), F.lit(0.0).alias("recency"), F.when(F.col("p_partkey") % 7 > 0, F.lit(0.0)).alias("change"))
+    return R.policy_faults(named).select("name", F.array_join("faults", ",").alias("faults"))
 
 
 def _packed(p: DataFrame) -> DataFrame:
@@ -184,21 +192,33 @@ def ceiling(spark, d):
 
 
 def _subject_new(spark, d):
-    return E.per_subject(eval_rows(spark, d, ("turn_bm25", "sentence_bm25"), (1024, 4096)), ("method", "budget"), ("new",))
+    return E.per_subject(eval_rows(spark, d), ("method", "budget"), ("new",))
 
 
 def bootstrap_ci(spark, d):
     return E.bootstrap_hash(_subject_new(spark, d), ("method", "budget"), "new").select("method", "budget", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-def bootstrap_ci_numpy(spark, d):
-    return E.bootstrap_numpy(_subject_new(spark, d), ("method", "budget"), "new")
-
-
 def bootstrap_ci_order_stat(spark, d):
     return E.bootstrap_order(_subject_new(spark, d), ("method", "budget"), "new")
 
 
+def intervals(spark, d):
+    """statistic, metric, n, mean, low, high: 95 % intervals by method and budget (metrics, joint states and the contrast),
+    by weights, by side of the median, and by reader and arm."""
+    rows = eval_rows(spark, d)
+    of = lambda *parts: F.concat_ws("|", *(F.col(c).cast("string") for c in parts)).alias("statistic")
+    metrics = (*E.METRICS, *(s[0] for s in E.STATES), "paired")
+    per = E.per_subject_all(rows).select(of("method", "budget"), "uid", *metrics)
+    one = (
+        E.per_subject(sensitivity_rows(spark, d), ("alpha", "beta"), ("new",)).select(of("alpha", "beta"), "uid", F.col("new").alias("value")),
+        E.strata_values(eval_rows(spark, d, ("turn_bm25", "sentence_bm25"), (4096,)), audit(spark, d)).select(of("field", "side"), "uid", F.col("diff").alias("value")),
+        reader_rows(spark, d).filter("graded").select(of("model", "arm"), "uid", F.col("pass").cast("double").alias("value")),
+    )
+    found = E.bootstrap_numpy(per, ("statistic",), metrics).filter("NOT (metric = 'paired' AND statistic LIKE 'turn_bm25|%')")
+    return found.unionByName(E.bootstrap_numpy(reduce(DataFrame.unionByName, one), ("statistic",), "value"))
+
+
 def reader_summary(spark, d):
     return E.reader_summary(reader_rows(spark, d))
 
@@ -249,7 +269,8 @@ def _tok(c: str) -> str:
 
 
 def _norm(c: str) -> str:
-    return rf"replace(lower(trim(regexp_replace({c}, '\s+', ' ', 'g'))), 'ß', 'ss')"
+    """For plain text; its engine has no compatibility composition, and the tables hold no text that needs it."""
+    return rf"replace(lower(trim(regexp_replace({c}, '{T.BLANK}+', ' ', 'g'))), 'ß', 'ss')"
 
 
 def _has(hay: str, needle: str) -> str:
@@ -265,7 +286,7 @@ def _has_tokens(hay: str, needle: str) -> str:
 
 
 def _sent(c: str) -> str:
-    return rf"list_filter(list_transform(regexp_split_to_array(regexp_replace({c}, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')"
+    return rf"list_filter(list_transform(regexp_split_to_array(regexp_replace({c}, '([.!?]){T.BLANK}+', '\1' || chr(10), 'g'), '\n+'), lambda s: regexp_replace(s, '^{T.BLANK}+|{T.BLANK}+$', '', 'g')), lambda s: s <> '')"
 
 
 # its engine's word boundaries see ASCII only
@@ -288,10 +309,10 @@ lens AS (SELECT unit, uid, doc_i, length, count(*) OVER w AS n_docs, avg(length)
 _SCORES = _TERMS + f""", counted AS (SELECT uid, term, count(*) AS n FROM (SELECT uid, unnest({_tok('text')}) AS term FROM users) GROUP BY ALL),
 top12 AS (SELECT uid, term, row_number() OVER (PARTITION BY uid ORDER BY n DESC, term) AS rn FROM counted QUALIFY rn <= 12),
 qs AS (SELECT uid, 'frequent' AS dim, string_agg(term, ' ' ORDER BY rn) AS query FROM top12 GROUP BY uid
-       UNION ALL SELECT u.uid, 'benchmark', b.text FROM (SELECT DISTINCT uid FROM users) u JOIN benchmark b ON u.uid % 40 = b.item_id),
+       UNION ALL SELECT u.uid, 'benchmark', b.text FROM (SELECT DISTINCT uid FROM users) u JOIN benchmark b ON u.uid % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
 asked AS (SELECT DISTINCT uid, dim, unnest({_tok('query')}) AS term FROM qs),
 hits AS (SELECT t.*, count(*) OVER (PARTITION BY unit, uid, term) AS df FROM terms t),
-summed AS (SELECT h.unit, h.uid, a.dim, h.doc_i, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * ((1 - 0.75::DOUBLE) + 0.75::DOUBLE * length / greatest(1.0::DOUBLE, avg_length)))), 9) AS score
+summed AS (SELECT h.unit, h.uid, a.dim, h.doc_i, (sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * ((1 - 0.75::DOUBLE) + 0.75::DOUBLE * length / greatest(1.0::DOUBLE, avg_length))))) AS score
            FROM hits h JOIN asked a USING (uid, term) JOIN lens l ON l.unit = h.unit AND l.uid = h.uid AND l.doc_i = h.doc_i GROUP BY ALL),
 scored AS (SELECT p.*, q.dim, coalesce(s.score, 0) AS score FROM placed p JOIN qs q USING (uid) LEFT JOIN summed s ON s.unit = p.unit AND s.uid = p.uid AND s.doc_i = p.doc_i AND s.dim = q.dim),
 rel AS (SELECT *, score / CASE WHEN max(score) OVER w = 0 THEN 1 ELSE max(score) OVER w END AS r, count(*) OVER w AS n_all FROM scored WINDOW w AS (PARTITION BY unit, uid, dim)),
@@ -358,8 +379,8 @@ def _rank_sql(strategy: str, unit: str = "turn") -> str:
 
 
 _POLICY = " UNION ALL ".join(
-    f"SELECT uid, dim, '{p['name']}' AS policy, doc_i, CAST(row_number() OVER (PARTITION BY uid, dim ORDER BY round({float(p['relevance'])}::DOUBLE * r + {float(p['recency'])}::DOUBLE * (doc_i / greatest(1, n_all - 1)::DOUBLE) + {float(p['change'])}::DOUBLE * cue, 12) DESC, doc_i DESC) AS INT) AS rn FROM rel WHERE unit = 'turn'"
-    for p in R.POLICIES
+    f"SELECT uid, dim, '{name}' AS policy, doc_i, CAST(row_number() OVER (PARTITION BY uid, dim ORDER BY round({a}::DOUBLE * r + {b}::DOUBLE * (doc_i / greatest(1, n_all - 1)::DOUBLE) + {c}::DOUBLE * cue, 12) DESC, doc_i DESC) AS INT) AS rn FROM rel WHERE unit = 'turn'"
+    for name, a, b, c in R.POLICIES
 )
 _TURN_JOBS = "SELECT {'uid': uid, 'dim': dim} AS job, %s AS budget, rn, doc_i, bytes, session, serialized FROM ranked WHERE unit = 'turn' AND strategy = 'bm25'"
 _HITS = f", hit AS (SELECT p.uid, p.doc_i, p.serialized, p.bytes FROM placed p JOIN gold g USING (uid) WHERE unit = 'turn' AND {_has('text', 'm_new')})"
@@ -367,15 +388,16 @@ _EXCLUDE = "SELECT {'uid': r.uid, 'dim': r.dim} AS job, 3072 AS budget, rn, r.do
 _SENS_JOBS = """SELECT {'uid': uid, 'dim': dim, 'alpha': alpha, 'beta': beta} AS job, 4096 AS budget, doc_i, bytes, session, serialized,
   row_number() OVER (PARTITION BY uid, dim, alpha, beta ORDER BY round(r + alpha * recency + beta * cue, 12) DESC, doc_i DESC) AS rn
   FROM rel, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75]::DOUBLE[]) AS alpha), (SELECT unnest([0.0, 0.1, 0.25]::DOUBLE[]) AS beta) WHERE unit = 'turn'"""
-_BOOT = """, subjects AS (SELECT method, budget, uid, avg("new") AS x FROM evals WHERE method <> 'turn_stop' GROUP BY method, budget, uid),
+_BOOT = """, subjects AS (SELECT method, budget, uid, avg("new") AS x FROM evals GROUP BY method, budget, uid),
 members AS (SELECT *, row_number() OVER (PARTITION BY method, budget ORDER BY uid) - 1 AS i, count(*) OVER (PARTITION BY method, budget) AS n FROM subjects),
 sizes AS (SELECT DISTINCT method, budget, n FROM members),
-draws AS (SELECT method, budget, n, b, CAST(('0x' || substr(md5('20260930:' || b || ':' || j), 1, 15)) AS BIGINT) % n AS i FROM sizes, range(200) AS r(b), range(1000) AS s(j) WHERE j < n),
-means AS (SELECT d.method, d.budget, d.n, b, sum(x) / any_value(d.n) AS m FROM draws d JOIN members m ON m.method = d.method AND m.budget = d.budget AND m.i = d.i GROUP BY ALL)"""
+draws AS (SELECT n, b, 4 * j + k AS place, CAST(('0x' || substr(md5('20260930:' || b || ':' || j), CAST(1 + 8 * k AS INT), 8)) AS BIGINT) % n AS i
+  FROM (SELECT DISTINCT n FROM sizes), range(10000) AS r(b), range((SELECT max(n) FROM sizes) // 4 + 1) AS s(j), range(4) AS t(k) WHERE 4 * j + k < n),
+means AS (SELECT m.method, m.budget, d.n, b, sum(x) / any_value(d.n) AS m FROM draws d JOIN members m ON m.n = d.n AND m.i = d.i GROUP BY ALL)"""
 
 
 def queries() -> dict:
-    named = (user_turns, sentences, nested_unnest, token_counts, doc_stats, doc_freq, bm25_scores, rank_policy, pack_stop, pack_greedy, pack_exclude, context_score, dataset_audit, eval_summary, joint_states, paired_contrast, sensitivity, strata, ceiling, bootstrap_ci, bootstrap_ci_numpy, bootstrap_ci_order_stat, reader_summary, missing_bounds, association, blind_labels, reader_arms)
+    named = (user_turns, sentences, nested_unnest, token_counts, doc_stats, doc_freq, bm25_scores, rank_policy, policy_faults, pack_stop, pack_greedy, pack_exclude, context_score, dataset_audit, eval_summary, joint_states, paired_contrast, sensitivity, strata, ceiling, bootstrap_ci, bootstrap_ci_order_stat, intervals, reader_summary, missing_bounds, association, blind_labels, reader_arms)
     out = {f.__name__: f for f in named}
     return out | {f"rank_{s}": _rank(s) for s in ("bm25", "timecue", "rrf", "density")} | {"rank_sentence_rrf": _rank("rrf", "sentence")}
 
@@ -390,10 +412,12 @@ def oracle_sql() -> dict[str, str]:
         "token_counts": base + _TERMS + " SELECT uid, doc_i, term, tf FROM terms WHERE unit = 'turn'",
         "doc_stats": base + _TERMS + " SELECT uid, doc_i, length, n_docs, round(avg_length, 9) AS avg_length FROM lens WHERE unit = 'turn'",
         "doc_freq": base + _TERMS + " SELECT uid, term, count(*) AS df FROM terms WHERE unit = 'turn' GROUP BY ALL",
-        "bm25_scores": base + _SCORES + " SELECT uid, dim, doc_i, score FROM scored WHERE unit = 'turn'",
+        "bm25_scores": base + _SCORES + " SELECT uid, dim, doc_i, round(score, 9) AS score FROM scored WHERE unit = 'turn'",
         **{f"rank_{s}": _rank_sql(s) for s in ("bm25", "timecue", "rrf", "density")},
         "rank_sentence_rrf": _rank_sql("rrf", "sentence"),
         "rank_policy": base + _SCORES + " " + _POLICY,
+        "policy_faults": """WITH p AS (SELECT replace(lower(p_name), ' ', '-') AS name, CASE WHEN p_partkey % 5 > 0 THEN round((p_size - 25) / 20::DOUBLE, 4) ELSE 0 END AS w, p_partkey % 7 = 0 AS gap FROM part)
+SELECT name, array_to_string(list_filter([CASE WHEN name IS NULL OR NOT regexp_full_match(name, '[a-z][a-z0-9_-]{0,39}') THEN 'name' END, CASE WHEN gap OR w < 0 OR w > 1 THEN 'weight' END, CASE WHEN w <= 0 THEN 'no weight' END], lambda x: x IS NOT NULL), ',') AS faults FROM p""",
         "pack_stop": base + _SCORES + f""", fit AS (SELECT *, total <= budget AS fits FROM (SELECT *, sum(bytes) OVER (PARTITION BY uid, dim ORDER BY rn) AS total, {_BUDGETS} AS budget FROM ranked WHERE unit = 'turn' AND strategy = 'stop'))
 SELECT uid, dim, budget, {_LIST} FROM (SELECT uid, dim, budget, coalesce(list(doc_i ORDER BY doc_i) FILTER (fits), []) AS selected, CAST(coalesce(sum(bytes) FILTER (fits), 0) AS INT) AS bytes,
   coalesce(string_agg(serialized, '' ORDER BY doc_i) FILTER (fits), '') AS context, coalesce(list_sort(list(DISTINCT session) FILTER (fits)), []) AS sessions FROM fit GROUP BY ALL)""",
@@ -407,10 +431,11 @@ SELECT uid, dim, budget, {_LIST} FROM (SELECT uid, dim, budget, coalesce(list(do
         "paired_contrast": _eval() + _PAIRED + " SELECT method, budget, count(*) AS n, round(avg(diff), 9) AS mean, 'turn_bm25' AS control FROM diffs GROUP BY method, budget",
         "sensitivity": "WITH RECURSIVE" + _TURNS + _SCORES + _GOLD + _packs(_SENS_JOBS) + f""" SELECT alpha, beta, count(*) AS n, round(avg(x), 9) AS "new" FROM (SELECT job.alpha AS alpha, job.beta AS beta, job.uid AS uid, avg(CAST({_has('context', 'm_new')} AS INT)) AS x FROM packs JOIN gold g ON g.uid = job.uid GROUP BY ALL) GROUP BY alpha, beta""",
         "strata": _eval("strategy = 'bm25'", "unnest([4096])") + _AUDIT + _PAIRED + f""", long AS (SELECT uid, v.field AS field, v.x AS x FROM (SELECT uid, unnest([{strata_fields}]) AS v FROM audit)),
-cuts AS (SELECT field, median(x) AS cut FROM long GROUP BY field)
-SELECT field, round(cut, 9) AS cut, CASE WHEN x <= cut THEN 'low' ELSE 'high' END AS side, count(*) AS n, round(avg(diff), 9) AS mean FROM long JOIN cuts USING (field) JOIN diffs d ON d.uid = long.uid AND d.method = 'sentence_bm25' GROUP BY ALL""",
+cuts AS (SELECT field, median(x) AS cut FROM long GROUP BY field),
+sided AS (SELECT field, CASE WHEN x <= cut THEN 'low' ELSE 'high' END AS side, diff FROM long JOIN cuts USING (field) JOIN diffs d ON d.uid = long.uid AND d.method = 'sentence_bm25')
+SELECT c.field, round(c.cut, 9) AS cut, c.side, count(diff) AS n, round(avg(diff), 9) AS mean FROM (SELECT *, unnest(['low', 'high']) AS side FROM cuts) c LEFT JOIN sided s ON s.field = c.field AND s.side = c.side GROUP BY ALL""",
         "ceiling": base + _GOLD + _AUDIT + " SELECT CAST(sum(user_exact) AS BIGINT) AS user_exact, CAST(sum(assistant_exact) AS BIGINT) AS assistant_exact, CAST(sum(assistant_only) AS BIGINT) AS assistant_only, CAST(sum(user_token) AS BIGINT) AS user_token FROM audit",
-        "bootstrap_ci": _eval("strategy = 'bm25'", "unnest([1024, 4096])") + _BOOT + " SELECT method, budget, CAST(n AS INT) AS n, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means GROUP BY method, budget, n",
+        "bootstrap_ci": _eval() + _BOOT + " SELECT method, budget, CAST(n AS INT) AS n, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means GROUP BY method, budget, n",
         "reader_summary": _READ_EVAL + """ SELECT model, arm, count(*) AS attempted, CAST(sum(CAST(answered AS INT)) AS BIGINT) AS answered, CAST(sum(CAST(graded AS INT)) AS BIGINT) AS graded, CAST(coalesce(sum(CAST(pass AS INT)), 0) AS BIGINT) AS passed,
   coalesce(sum(CAST(pass AS INT)), 0) / count(*)::DOUBLE AS missing_as_failure, avg(CAST(pass AS INT)) AS mean FROM readers GROUP BY model, arm""",
         "missing_bounds": _READ_EVAL + """ SELECT a.model, count(*) AS scheduled_pairs, avg(coalesce(CAST(a.pass AS INT), 0) - coalesce(CAST(b.pass AS INT), 1)) AS low, avg(coalesce(CAST(a.pass AS INT), 1) - coalesce(CAST(b.pass AS INT), 0)) AS high,

@@ -6,19 +6,13 @@ from pyspark.sql import functions as F
 
 from ..sources import generate as G
 from ..operators import memory as M
+from ..sources import tables as S
 from ..streaming import feeds, memory
 from . import memory as PM
 
 
 def _events(spark, d):
-    e = feeds.table_stream(spark, d, "events")
-    k = F.get_json_object("props", "$.k").cast("int") % 12
-    put = F.col("event_type") != "error"
-    return e.select(
-        (F.col("user_id") % 24).alias("task"), F.col("event_id").alias("pos"), F.when(put, "P").otherwise("R").alias("op"), F.concat(F.lit("k"), k.cast("string")).alias("key"),
-        F.when(F.expr("(user_id DIV 24) % 2") == 0, "a").otherwise("b").alias("source"), (F.floor("value") % 5 + 1).cast("int").alias("version"),
-        F.when(put, F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("value"),
-    )
+    return S.versioned(feeds.table_stream(spark, d, "events"))
 
 
 def _retained(policy):

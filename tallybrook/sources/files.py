@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,11 +37,32 @@ def append_events(df: DataFrame, path: str) -> None:
     stamped.write.mode("append").json(path)
 
 
+def _ends(spark: SparkSession, pattern: str, size: int) -> list[tuple[str, str]]:
+    """path and last bytes of each file that matches, or lies in a folder that does; nothing else of it is read."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [*(fs.globStatus(where) or [])]
+    while todo:
+        status = todo.pop()
+        if status.isDirectory():
+            todo += [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
+            continue
+        stream = fs.open(status.getPath())
+        try:
+            stream.seek(max(0, status.getLen() - size))
+            out.append((status.getPath().toString(), bytes(stream.readNBytes(size)).decode("utf8", "replace")))
+        finally:
+            stream.close()
+    return out
+
+
 def tail_events(spark: SparkSession, path: str, owner: str | None = None, lines: int = TAIL_LINES, size: int = TAIL_BYTES) -> DataFrame:
-    """The last lines of each event log, from its last bytes; malformed lines are skipped, the known fields kept."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.expr(f"right(value, {size})").alias("tail"))
+    """The last lines of each event log, from its last bytes; malformed lines are skipped, the known fields kept. Logs are
+    few, one a run, and the driver reads `size` bytes of each."""
+    ends = spark.createDataFrame(_ends(spark, path, size), "path string, tail string")
     last = F.filter(F.split("tail", "\r?\n"), lambda x: x != "")
-    rows = whole.select("path", F.explode(F.slice(last, F.greatest(F.size(last) - lines + 1, F.lit(1)), lines)).alias("line"))
+    rows = ends.select("path", F.explode(F.slice(last, F.greatest(F.size(last) - lines + 1, F.lit(1)), lines)).alias("line"))
     parsed = rows.select("path", F.from_json("line", EVENT, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("line").isNotNull().alias("ok"))
     return parsed.filter("ok").select("path", F.lit(owner).alias("owner"), "r.*")
 
@@ -71,16 +94,22 @@ def small_files(spark: SparkSession, pattern: str, limit: int = METADATA_BYTES)
     return spark.read.format("binaryFile").load(pattern).filter(F.col("length") <= limit)
 
 
+#: Suffixes of files that may be shown.
+SHOWN = ("csv", "json", "jsonl", "log", "md", "py", "tex", "txt")
+
+
 def preview(spark: SparkSession, pattern: str, limit: int = PREVIEW_CHARS) -> DataFrame:
-    """path, redacted beginning of the text, and whether more follows."""
-    text = small_files(spark, pattern).select("path", F.decode("content", "UTF-8").alias("t"))
+    """path, redacted beginning of the text, and whether more follows, of files with an allowed suffix."""
+    shown = small_files(spark, pattern).filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*SHOWN))
+    text = shown.select("path", F.decode("content", "UTF-8").alias("t"))
     return text.select("path", T.redact(F.substring("t", 1, limit)).alias("text"), (F.length("t") > limit).alias("truncated"))
 
 
 def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path (relative to root), bytes, sha256, by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    relative = F.regexp_replace(F.regexp_extract("path", r"^[a-z]+:/*(/.*)$", 1), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    plain = re.sub(r"^[a-z]+:/*(?=/)", "", root.rstrip("/"))
+    relative = F.regexp_replace(F.regexp_extract("path", r"^[a-z]+:/*(/.*)$", 1), "^" + re.escape(plain) + "/", "")
     return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 

@@ -55,21 +55,25 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent.unionByName(bench)
 
 
-def memory_events(spark: SparkSession, sf_dir: str, tasks: int = 24, keys: int = 12) -> DataFrame:
-    """task, pos, op, key, source, version, value: versioned puts (P) and revocations (R)."""
-    e = table(spark, sf_dir, "events")
+def versioned(e: DataFrame, keys: int = 12) -> DataFrame:
+    """task, pos, op, key, source, version, value of events: versioned puts (P) and revocations (R). Two users, as two
+    sources, write to each task, so tasks grow with the users."""
     k = F.get_json_object("props", "$.k").cast("int") % keys
     put = F.col("event_type") != "error"
     return e.select(
-        (F.col("user_id") % tasks).alias("task"), F.col("event_id").alias("pos"), F.when(put, "P").otherwise("R").alias("op"), F.concat(F.lit("k"), k.cast("string")).alias("key"),
-        F.when(F.expr(f"(user_id DIV {tasks}) % 2") == 0, "a").otherwise("b").alias("source"), (F.floor("value") % 5 + 1).cast("int").alias("version"),
+        F.expr("user_id DIV 2").alias("task"), F.col("event_id").alias("pos"), F.when(put, "P").otherwise("R").alias("op"), F.concat(F.lit("k"), k.cast("string")).alias("key"),
+        F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("source"), (F.floor("value") % 5 + 1).cast("int").alias("version"),
         F.when(put, F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("value"),
     )
 
 
-def keyed_events(spark: SparkSession, sf_dir: str, tasks: int = 24, keys: int = 16) -> DataFrame:
-    """task, pos, key (null: a distractor), value."""
+def memory_events(spark: SparkSession, sf_dir: str, keys: int = 12) -> DataFrame:
+    return versioned(table(spark, sf_dir, "events"), keys)
+
+
+def keyed_events(spark: SparkSession, sf_dir: str, keys: int = 16) -> DataFrame:
+    """task (a user), pos, key (null: a distractor), value."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int") % keys
     key = F.when(F.col("event_type") != "view", F.concat(F.lit("k"), k.cast("string")))
-    return e.select((F.col("user_id") % tasks).alias("task"), F.col("event_id").alias("pos"), key.alias("key"), F.when(key.isNotNull(), F.col("event_id")).alias("value"))
+    return e.select(F.col("user_id").alias("task"), F.col("event_id").alias("pos"), key.alias("key"), F.when(key.isNotNull(), F.col("event_id")).alias("value"))

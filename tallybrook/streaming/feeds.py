@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; local runs without one get a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="tallybrook-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +35,7 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
 def run_to_end(stream: DataFrame, mode: str = "update") -> DataFrame:
     """Runs over all that is available; rows carry the micro-batch that made them, in `batch`."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     out = f"{folder}/out"
 
     def keep(df: DataFrame, batch: int) -> None:

@@ -87,6 +87,57 @@ def test_change_of_the_first_stage_makes_all_stale(spark):
     assert set(sig) == {"a", "b", "c"} and len(set(sig.values())) == 3
 
 
+def test_short_strata_and_incomplete_grids(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "type string, id long")
+    assert R.stratified(rows, "type", "id", 2, "s").count() == 3
+    with pytest.raises(ValueError, match="b"):
+        R.stratified(rows, "type", "id", 2, "s", strict=True)
+    grid = spark.createDataFrame([("m", 1, 0.5), ("m", 2, 0.5), ("n", 1, 0.5)], "method string, seed int, metric double")
+    with pytest.raises(ValueError, match="n"):
+        R.summary(grid, "m", strict=True)
+    assert R.summary(grid.filter("seed = 1"), "m", strict=True).count() == 2
+
+
+def test_nothing_follows_a_finished_request(spark):
+    log = spark.createDataFrame([(1, 0, "active"), (1, 1, "active"), (1, 2, "settled"), (1, 3, "settled"), (2, 0, "unknown"), (2, 5, "active")], "id int, pos int, status string")
+    assert sorted((r["id"], r["pos"]) for r in R.ledger_faults(log).collect()) == [(1, 3), (2, 5)]
+
+
+def test_places_within_keys_of_any_size(spark):
+    rows = [("hot" if i % 3 else f"k{i % 7}", i) for i in range(500)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k string, i long").repartition(6)
+    got = {(r["k"], r["i"]): r["place"] for r in R.numbered_within(df, "k", F.col("i")).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        want |= {(k, i): n + 1 for n, i in enumerate(sorted(i for x, i in rows if x == k))}
+    assert got == want
+
+
+def test_decisions(spark):
+    stages = spark.createDataFrame([("a", "awaiting_review", "b1"), ("b", "accepted", "b2")], "stage string, status string, binding string")
+    given = [("a", "accept", "me", "fine", "b1"), ("a", "reject", "me", "no", "b1"), ("a", "accept", "me", "fine", "old"), ("b", "accept", "me", "fine", "b2"), ("a", "accept", " ", "fine", "b1"), ("a", "other", "me", "x", "b1"), ("c", "accept", "me", "x", "b")]
+    got = [r["outcome"] for r in L.decided(stages, spark.createDataFrame(given, "stage string, action string, actor string, reason string, binding string").coalesce(1)).collect()]
+    assert sorted(got) == sorted(["accepted", "rejected", "out of date", "not under review", "incomplete", "incomplete", "not under review"])
+
+
+@pytest.mark.parametrize("depth", [1, 14, 200])
+def test_chains_of_any_depth(spark, depth):
+    stages = spark.createDataFrame([(i, "artifact", "development") for i in range(depth)], "stage long, adapter string, split string")
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, depth)], "stage long, needs long")
+    assert L.ancestors(edges).count() == depth * (depth - 1) // 2
+    before = {r["stage"]: r["signature"] for r in L.signatures(stages, edges).collect()}
+    assert len(set(before.values())) == depth
+    other = stages.withColumn("adapter", F.when(F.col("stage") == depth // 2, "freeze").otherwise(F.col("adapter")))
+    after = {r["stage"]: r["signature"] for r in L.signatures(other, edges).collect()}
+    assert [i for i in range(depth) if before[i] != after[i]] == [*range(depth // 2, depth)]
+
+
+def test_diamonds_and_cycles(spark):
+    ladder = [(2 * i + k, 2 * i + j - 2) for i in range(1, 30) for k in (0, 1) for j in (0, 1)]
+    assert L.ancestors(spark.createDataFrame(ladder, "stage long, needs long")).count() == sum(2 * 2 * i for i in range(30))
+    assert L.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "stage long, needs long")).count() == 9
+
+
 def test_event_log_tail(spark, tmp_path):
     log = tmp_path / "events.jsonl"
     log.write_text("\n".join(json.dumps({"time": f"t{i:03d}", "event": "e", "extra": 1}) for i in range(150)) + '\n{"time": "t')
@@ -156,8 +207,22 @@ def test_pointer():
     assert T.pointer_path("/a~1b/0/c~0d") == "$['a/b'][0]['c~d']"
 
 
-def test_graph_queries_run(spark):
-    assert sorted(r["stage"] for r in PR._dag(L.runnable)(spark, "").collect()) == ["trial"]
+STAGE = "stage string, place int, adapter string, split string, status string, attempts int, max_attempts int, paid boolean, changed boolean"
+
+
+def test_what_may_run_and_what_leaks(spark):
+    rows = [
+        ("sources", 0, "artifact", "development", "accepted", 1, 2, False, False), ("idea", 1, "proposal", "development", "awaiting_review", 1, 2, True, False),
+        ("trial", 2, "tabular_experiment", "development", "pending", 0, 2, False, False), ("paid", 3, "tabular_experiment", "development", "pending", 0, 2, True, False),
+        ("held", 4, "tabular_experiment", "holdout", "pending", 2, 2, False, False), ("late", 5, "proposal", "development", "pending", 0, 2, False, False),
+    ]
+    stages = spark.createDataFrame(rows, STAGE)
+    edges = spark.createDataFrame([("trial", "sources"), ("paid", "sources"), ("held", "trial"), ("late", "held"), ("idea", "late")], "stage string, needs string")
+    names = lambda df: sorted(r["stage"] for r in df.collect())
+    assert names(L.runnable(stages, edges)) == ["trial"] and names(L.runnable(stages, edges, paid=True)) == ["paid", "trial"]
+    assert names(L.leaks(stages, edges)) == ["idea", "late"] and names(L.unfrozen_holdouts(stages, edges)) == ["held"]
+    assert names(L.out_of_order(stages, edges)) == ["idea"]
+    assert {r["stage"]: r["verdict"] for r in L.retries(stages.withColumn("status", F.lit("failed"))).collect()}["held"] == "holdout"
 
 
 def tables(spark, folder, **named):
@@ -171,11 +236,11 @@ def test_every_excerpt_is_sought_in_every_document(spark, tmp_path):
     docs = [(i, f"é {items[i][1]} {items[59 - i][1]}" if i % 3 else "nothing") for i in range(60)] + [(60, None), (61, items[55][1][:50])]
     d = tables(spark, tmp_path, benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string"))
     want = sorted((n, i, t.find(x)) for n, t in docs if t for i, x in items if x in t)
-    assert sorted(map(tuple, PR.locate_excerpts(spark, d).collect())) == want
+    assert sorted(map(tuple, PR.locate_excerpt(spark, d).collect())) == want
     assert {i for _, i, _ in want} == set(range(60)) - {i for i in range(60) if i % 3 == 0 and (59 - i) % 3 == 0}
 
 
-def test_credentials_of_the_reference_are_found_and_redacted(spark, tmp_path):
+def test_credentials_are_found_and_redacted(spark, tmp_path):
     key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----"
     secrets = ["sk-" + "a" * 24, "ghp_" + "b" * 30, "github_pat_" + "c" * 30, key, "AKIA" + "D" * 16]
     docs = [*enumerate(f"x {s} y" for s in secrets), (5, "nothing"), (6, key[:40])]
@@ -189,5 +254,5 @@ def test_every_document_is_gated(spark, tmp_path):
     ids = [i for i in range(40) if i not in (11, 23)]
     d = tables(spark, tmp_path, documents=([(i, f"t{i}") for i in ids], "doc_id long, text string"))
     want = {i: sum(i + k not in ids for k in (0, 1, 7)) for i in ids}
-    got = PR.evidence_gate_all(spark, d).collect()
+    got = PR.evidence_gate(spark, d).collect()
     assert {r["claim"]: r["missing"] for r in got} == want and all(r["open"] == (r["missing"] == 0) and r["n_refs"] == 3 for r in got)

@@ -1,5 +1,8 @@
 import math
+import re
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,15 +71,43 @@ def test_inclusion(spark):
     assert f("I reside in AUSTIN!", "Austin.") and not f("I reside in Austin", "side") and not f("x", "...")
 
 
-@pytest.mark.parametrize("weight", [float("nan"), float("inf"), -1, 2, True, "0.5"])
-def test_bad_policies(weight):
-    with pytest.raises(ValueError):
-        R.check_policy({"name": "p", "relevance": weight, "recency": 0, "change": 0})
+def test_policy_faults(spark):
+    ok, nan = ("fine-1", 0.5, 0.0, 0.0), float("nan")
+    bad = [("p", w, 0.0, 0.0) for w in (nan, float("inf"), -1.0, 2.0, None)] + [("p", 0.0, 0.0, 0.0), ("Upper", 1.0, 0.0, 0.0), (None, 1.0, 0.0, 0.0), ("x" * 41, 1.0, 0.0, 0.0), ("a\n", 1.0, 0.0, 0.0)]
+    got = R.policy_faults(spark.createDataFrame([ok, *bad], R.POLICY_SCHEMA)).collect()
+    assert [r["faults"] for r in got if r["name"] == "fine-1"] == [[]]
+    assert all(r["faults"] for r in got if r["name"] != "fine-1")
+    with pytest.raises(ValueError, match="no weight"):
+        R.ranked_by_policy(spark.range(0), spark.createDataFrame([("p", 0.0, 0.0, 0.0)], R.POLICY_SCHEMA))
 
 
-def test_all_zero_policy():
-    with pytest.raises(ValueError):
-        R.check_policy({"name": "p", "relevance": 0, "recency": 0, "change": 0})
+def test_slices_leave_the_draws_as_they_are():
+    x = np.random.default_rng(1).random((37, 2))
+    for cells in (1, 40, 5000):
+        got = E.resampled_means(x, 5, 300, cells)
+        picks = np.random.default_rng(5).integers(0, 37, (300, 37))
+        assert np.array_equal(got, np.stack([x[:, c][picks].mean(1) for c in range(2)]))
+
+
+def test_hash_intervals_draw_all_members(spark):
+    import hashlib
+
+    rows = [(g, u, float((u * 7 + len(g)) % 11)) for g, n in (("a", 1), ("bb", 6), ("ccc", 9)) for u in range(n)]
+    got = {r["g"]: r for r in E.bootstrap_hash(spark.createDataFrame(rows, "g string, uid long, x double"), ["g"], "x", repeats=101).collect()}
+    for g in ("a", "bb", "ccc"):
+        x = [v for k, _, v in rows if k == g]
+        means = []
+        for b in range(101):
+            h = [hashlib.md5(f"20260930:{b}:{j}".encode()).hexdigest() for j in range(len(x))]
+            means.append(sum(x[int(h[j // 4][8 * (j % 4) : 8 * (j % 4) + 8], 16) % len(x)] for j in range(len(x))) / len(x))
+        assert (got[g]["n"], got[g]["low"], got[g]["high"]) == (len(x), pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
+
+
+def test_strata_keep_an_empty_side(spark):
+    rows = spark.createDataFrame([(m, 4096, u, float(m == "sentence_bm25")) for m in ("turn_bm25", "sentence_bm25") for u in (1, 2, 3)], "method string, budget int, uid long, new double")
+    audit = spark.createDataFrame([(u, 5, 1.0 * u, 0.0) for u in (1, 2, 3)], "uid long, history_bytes long, median_turn_bytes double, update_fraction double")
+    got = {(r["field"], r["side"]): (r["n"], r["mean"]) for r in E.strata(rows, audit).collect()}
+    assert len(got) == 6 and got["history_bytes", "high"] == (0, None) and got["median_turn_bytes", "low"] == (2, 1.0)
 
 
 def test_two_level_mean_differs_from_the_plain_one(spark):
@@ -99,6 +130,22 @@ def test_intervals():
     assert E.order_interval([2.0, 2.0]) == (2.0, 2.0)
 
 
+TEXTS = ["one\r\n\ttwo", "a.  b!\x0bc\x1f\xa0. d", "x\xa0\xa0y \ufb01\uff21", "Stra\u00dfe \u0130I", "\u2003lead\u3000tail \n\n", "", " ", None, "e\u0301 \u00c9 \u00b5 \u2026 \u201cq\u201d", "A\x1cB\x85C"]
+
+
+def test_sentences_as_python_splits_them(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    got = [r["x"] for r in df.select(T.sentences(F.col("t")).alias("x")).collect()]
+    assert got == [None if t is None else [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", t) if p.strip()] for t in TEXTS]
+
+
+def test_normalize_folds_all_text(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    got = [r["x"] for r in df.select(T.normalize(F.col("t")).alias("x")).collect()]
+    assert got == [None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for t in TEXTS]
+    assert df.select(T.includes(F.lit("see X\xa0Y \ufb01n"), F.lit("x y FIN")).alias("x")).first()["x"]
+
+
 def test_normalize_any(spark):
     df = spark.createDataFrame([("  ＡＢ Straße ",)], "t string")
     assert df.select(T.normalize_any("t").alias("x")).first()["x"] == "ab strasse"
