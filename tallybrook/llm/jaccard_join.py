@@ -437,11 +437,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     without id; in docs' own columns."""
     linked = link_documents(docs, **how)
     ids = cut(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("n")).filter("n > 1 OR c <> doc_id"))
-    kept = docs.join(ids.filter("c <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = rows.join(ids.filter("c <> doc_id").select("doc_id"), "doc_id", "left_anti")
     repeated = ids.filter("n > 1 AND c = doc_id").select("doc_id")
     if repeated.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    once = again.select(whole_row(again), F.row_number().over(first).alias("nth")).filter("nth = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(unpacked(once, docs))
+        return unpacked(kept.select("row"), docs)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    once = kept.join(repeated, "doc_id", "left_semi").select("row", first.alias("nth")).filter("nth = 1").select("row")
+    return unpacked(kept.join(repeated, "doc_id", "left_anti").select("row").union(once), docs)

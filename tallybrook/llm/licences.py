@@ -2,9 +2,11 @@
 
 A text is brought to a canonical form: copyright lines go, case and equivalent spellings are levelled, and every run of
 punctuation or white space becomes one space. The SHA-256 of the whole canonical text is joined to the digests of the
-known licences, which are computed by the same expression. The table of digests is a constant of this module (a few
-dozen rows), so it is broadcast and documents are never shuffled. Null texts have no digest and match nothing; a text
-that is empty in canonical form matches nothing; repeated rows stay repeated; an empty table gives an empty result.
+known licences: some are computed by the same expression from the texts below, others, whose texts are long, stand here
+as digests (`digests_of` makes them from texts). The table of digests is a constant of this module, of fewer than 50
+rows, so it is broadcast and documents are never shuffled. Null texts have no digest and match nothing; a text that is
+empty in canonical form matches nothing; long texts are taken whole; repeated rows stay repeated; an empty table gives
+an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -71,6 +73,25 @@ Permission is granted to anyone to use this software for any purpose, including
 )
 
 
+#: Digests of the canonical forms of whole licences as published, by SPDX identifier.
+DIGESTS = (
+    ("Apache-2.0", "93651fc3b3c9c21033cf07999bdb593e0138192678d4743ddf7ee126fefab052"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
+    ("GFDL-1.3", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+
+
 def canonical(text: Column) -> Column:
     t = F.lower(F.regexp_replace(text, COPYRIGHT, ""))
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
@@ -84,11 +105,17 @@ def digest(text: Column) -> Column:
     return F.sha2(F.when(c != "", c), 256)
 
 
-def scan(docs: DataFrame, known=LICENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests_of(texts: DataFrame) -> DataFrame:
+    """licence, digest of known texts (licence, body)."""
+    return texts.select("licence", digest(F.col("body")).alias("digest"))
+
+
+def scan(docs: DataFrame, known=LICENCES, digests=DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest of the canonical text, and the licence it is, or null."""
     spark = docs.sparkSession
-    table = spark.createDataFrame([(k, t) for k, t in known], "licence string, body string")
-    table = table.select("licence", digest(F.col("body")).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    table = digests_of(spark.createDataFrame([(k, t) for k, t in known], "licence string, body string"))
+    table = table.union(spark.createDataFrame([*digests], "licence string, digest string"))
+    table = table.groupBy("digest").agg(F.min("licence").alias("licence"))
     found = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
     return found.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "licence")
 
@@ -102,6 +129,7 @@ def oracle() -> str:
         return f"sha256(nullif({out}, ''))"
 
     values = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in LICENCES)
+    digests = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in DIGESTS)
     return f"""
-WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {form('body')} AS digest FROM (VALUES {values}) AS v(licence, body)) GROUP BY digest)
+WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {form('body')} AS digest FROM (VALUES {values}) AS v(licence, body) UNION ALL SELECT * FROM (VALUES {digests})) GROUP BY digest)
 SELECT d.doc_id, d.digest, k.licence FROM (SELECT doc_id, {form('text')} AS digest FROM documents) d LEFT JOIN known k ON d.digest = k.digest"""

@@ -4,16 +4,18 @@ A document's character-class histogram and its common-word histogram are compare
 by Jensen-Shannon distance (base 2, 0 to 1). A document of at least `min_words` words is rejected when even the nearest
 language is farther than a threshold, in characters or in both distances together; shorter ones give too few counts and are not judged by distance. Beside that stand
 the base figures: words, their characters, symbols, repeated lines, and words in repeated five-word windows.
-Null texts count as empty (0 words, base_failed). Texts are judged whole; rows, repeated or not, are judged one by one;
-other columns are ignored; an empty table gives an empty result. Map-only: no shuffle, no join.
+Null texts count as empty (0 words, base_failed). Texts are judged whole, however long; rows, repeated or not, are judged
+one by one; other columns are ignored, or kept under any names; an empty table gives an empty result. Map-only: no
+shuffle, no join. The references below are rounded figures of the languages at large; `references` takes others from
+texts of one's own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER
+from .common import LOWER, SPACE, UPPER, unpacked, whole_row
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -45,8 +47,28 @@ def _distance(p: Column, total: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def _common() -> list[str]:
-    return sorted({w for words in WORD_REFERENCE.values() for w in words})
+def _common(reference: dict[str, dict[str, int]]) -> list[str]:
+    return sorted({w for words in reference.values() for w in words})
+
+
+def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", words: int = 8) -> tuple[dict, dict]:
+    """Character and word references of each language from texts known to be good, in the form of the fixed ones: shares of
+    the five classes, and the commonest words in per mille. Only languages times `words` rows leave the executors."""
+    t = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    blank, digit, symbol = (F.length("t") - F.length(F.regexp_replace("t", f"[{kept}]+", "")) for kept in (SPACE, "0-9", SYMBOLS))
+    sums = t.groupBy("lang").agg(*(F.sum(c).alias(n) for n, c in (("blank", blank), ("digit", digit), ("symbol", symbol), ("chars", F.length("t")), ("bytes", F.octet_length("t")))))
+    chars = {}
+    for r in sums.collect():
+        wide, mass = r["bytes"] - r["chars"], max(r["bytes"], 1)
+        parts = (r["blank"], r["digit"], r["symbol"], wide, r["chars"] - r["blank"] - r["digit"] - r["symbol"])
+        chars[r["lang"]] = tuple(round(p / mass, 4) for p in parts)
+    seen = t.select("lang", F.explode(F.filter(F.split(F.lower("t"), f"[{SPACE}]+"), lambda w: w.rlike("^[a-z]+$"))).alias("word")).groupBy("lang", "word").count()
+    total = t.groupBy("lang").agg(F.sum(F.size(F.filter(F.split("t", f"[{SPACE}]+"), lambda w: w != ""))).alias("total"))
+    best = seen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("rank") <= words)
+    common: dict[str, dict[str, int]] = {}
+    for r in best.join(total, "lang").orderBy("lang", "rank").collect():
+        common.setdefault(r["lang"], {})[r["word"]] = round(1000 * r["count"] / r["total"])
+    return chars, common
 
 
 def _equals(word: str):
@@ -67,9 +89,10 @@ def _repeats(h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) < F.size(h), many).otherwise(F.lit(0))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_both: float = MAX_BOTH) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_both: float = MAX_BOTH, char_reference: dict = CHAR_REFERENCE, word_reference: dict = WORD_REFERENCE) -> DataFrame:
     """The figures and verdict of every row; keep: with all columns of docs in a struct `row`."""
-    first = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep else []
+    first = [whole_row(docs)] if keep else []
+    known = _common(word_reference)
     t = docs.select(*first, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = [*(["row"] if keep else []), "doc_id"]
     words = F.filter(F.split("t", f"[{SPACE}]+"), lambda w: w != "")
@@ -79,7 +102,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     five = lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(5)))
     h = F.when(F.col("n") >= 5, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 5, F.lit(0))), five)).otherwise(F.array().cast("array<bigint>"))
     # the common words are ASCII, and no other letter of theirs lower-cases to ASCII
-    common = F.transform(F.filter("words", lambda w: F.lower(w).isin(_common())), F.lower)
+    common = F.transform(F.filter("words", lambda w: F.lower(w).isin(known)), F.lower)
     chars = F.length("t")
     only = lambda kept: F.length(F.regexp_replace("t", f"[^{kept}]+", ""))
     t = t.select(
@@ -96,7 +119,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     )
     blanks = F.col("chars") - F.col("word_chars")
     classes = [blanks, F.col("digits"), F.col("n_symbols"), F.col("wide"), F.col("word_chars") - F.col("digits") - F.col("n_symbols")]
-    counts = {w: f"count_{i}" for i, w in enumerate(_common())}
+    counts = {w: f"count_{i}" for i, w in enumerate(known)}
     t = t.select(
         *base, "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeats(F.col("h")).cast("long").alias("n_repeat_words"),
         F.array(*(c.cast("double") for c in classes)).alias("classes"), (F.col("chars") + F.col("wide")).alias("mass"),
@@ -109,8 +132,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         shares = [x / 1000 for x in reference.values()]
         return _distance(F.array(*(c.cast("double") for c in [*seen, rest])), F.col("n_words"), [*shares, 1 - sum(shares)])
 
-    char = F.least(*(_distance(F.col("classes"), F.col("mass"), list(r)) for r in CHAR_REFERENCE.values()))
-    word = F.least(*map(words_from, WORD_REFERENCE.values()))
+    char = F.least(*(_distance(F.col("classes"), F.col("mass"), list(r)) for r in char_reference.values()))
+    word = F.least(*map(words_from, word_reference.values()))
     t = t.withColumn("char_distance", F.round(char, 4)).withColumn("word_distance", F.round(word, 4))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = (F.col("n_words") < min_words) | ((F.col("char_distance") <= max_char) & (F.col("char_distance") + F.col("word_distance") <= max_both))
@@ -122,7 +145,7 @@ def keep_good(docs: DataFrame, **how) -> DataFrame:
     judged = quality(docs, keep=True, **how)
     # a plain filter would be pushed down, and with it the verdict's expressions into each other; a generator isn't
     kept = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
-    return kept.filter("row IS NOT NULL").select("row.*")
+    return unpacked(kept.filter("row IS NOT NULL"), docs)
 
 
 def oracle() -> str:

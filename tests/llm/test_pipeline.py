@@ -57,6 +57,47 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert packed.filter("length > bound").count() == 0
 
 
+NAMES = ["_", "row", "__n", "component_id", "length", "kept", "n", "c0", "a.b"]
+
+
+def awkward(spark):
+    """Nulls in all columns, empty and very long texts, ties, repeated rows, and names that helpers might use."""
+    rng = random.Random(12)
+    rows = [(d, t, s) for d, t, _, s, _ in table()]
+    rows += [(None, rows[4][1], "s1"), (None, prose(rng, 80), None), (None, None, None), (3, rows[3][1], "s0"), (3, rows[3][1], "s0"), (200, prose(rng, 160_000), "s1"), (201, prose(rng, 90), None)]
+    extra = lambda i: tuple(None if (i + k) % 5 == 0 else i * 10 + k for k in range(len(NAMES)))
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in NAMES)
+    return spark.createDataFrame([(*r, *extra(i)) for i, r in enumerate(rows)], schema).repartition(5)
+
+
+def test_stages_take_awkward_rows(spark):
+    docs = awkward(spark)
+    before = [tuple(r) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        rows = [tuple(r) for r in out.collect()]
+        if name == "packing":
+            assert len(rows) == len(before) and any(r["doc_id"] is None for r in out.collect())
+            continue
+        assert out.columns == docs.columns and rows
+        if name == "suffix-array dedup":
+            assert {(r[0], *r[2:]) for r in rows} <= {(r[0], *r[2:]) for r in before}
+        else:
+            assert set(rows) <= set(before)
+        ids = [r[0] for r in rows]
+        if name == "quality rules":
+            assert 200 in ids and None in ids and 82 not in ids and ids.count(3) == 3
+        if name == "n-gram Jaccard join":
+            assert ids.count(3) == 1 and ids.count(None) == 3 and {82, 83} <= set(ids)
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = awkward(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
 def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame(table(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     a, b = (sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) for _ in range(2))

@@ -1,11 +1,13 @@
 """URL rules, token counts, quality, mixing, top-k, packing and licences on small tables."""
 
 import itertools
+import os
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallybrook.llm import licences, mix, packing, quality, queries, token_count, topk, url_filter
 
@@ -95,6 +97,32 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert [tuple(r) for r in quality.keep_good(df).collect()] == [(1, prose, 1)]
 
 
+def test_references_from_texts(spark):
+    rows = [("en", "The cat of the house 12"), ("en", "the # of"), ("de", "der Fuß"), (None, "x"), ("de", None)]
+    chars, common = quality.references(spark.createDataFrame(rows, "lang string, text string"), words=2)
+    assert common == {"en": {"the": 333, "of": 222}, "de": {"der": 500}}
+    assert chars["de"] == (0.125, 0.0, 0.0, 0.125, 0.75) and sum(chars["en"]) == pytest.approx(1, abs=1e-3)
+    df = spark.createDataFrame([(1, "the cat of the dog of " * 9), (2, "zzz 1234 qqq 99 " * 14)], "doc_id long, text string")
+    got = {r["doc_id"]: r["char_distance"] for r in quality.quality(df, char_reference=chars, word_reference=common).collect()}
+    assert got[1] < got[2]
+
+
+def test_quality_of_repeated_long_and_no_rows(spark):
+    long_ = "the of and to a in is that " * 120_000
+    df = spark.createDataFrame([(1, long_), (2, "one two"), (2, "one two")], "doc_id long, text string")
+    got = sorted(map(tuple, quality.quality(df).select("doc_id", "n_words", "base_failed").collect()))
+    assert got == [(1, 960_000, True), (2, 2, True), (2, 2, True)]
+    assert quality.quality(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).columns == df.columns
+
+
+def test_token_counts_of_repeated_and_no_rows(spark):
+    pytest.importorskip("tokenizers")
+    path = queries.vocabulary("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"]) for r in token_count.count_tokens(df, path).collect())
+    assert got == [(1, 3), (1, 3), (2, 0)] and token_count.count_tokens(df.limit(0), path).count() == 0
+
+
 # ------------------------------------------------ mixing
 def brute_targets(sizes, weights=(3, 1, 2)):
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
@@ -206,6 +234,18 @@ def test_bounds_are_optimal():
     assert packing.optimal_bounds([], []) == []
 
 
+def test_bounds_of_many_lengths():
+    rng = np.random.default_rng(3)
+    lengths, counts = np.arange(1, 3001), rng.integers(1, 1000, 3000)
+    bounds = packing.optimal_bounds(lengths, counts, 8)
+    least = packing.padding(lengths, counts, bounds)
+    assert len(bounds) == 8 and bounds[-1] == 3000
+    for i in range(7):
+        for step in (-1, 1):
+            moved = sorted({*bounds[:i], bounds[i] + step, *bounds[i + 1 :]})
+            assert packing.padding(lengths, counts, moved) >= least
+
+
 def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(0, 50)) for i in range(500)] + [(500, None), (501, "w " * 3000), (3, "again")]
@@ -223,6 +263,28 @@ def test_pack(spark):
 
 
 # ------------------------------------------------ licences
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts")
+def test_whole_published_licences(spark):
+    folder, names = "/usr/share/common-licenses", dict(licences.DIGESTS)
+    texts = {}
+    for f in os.listdir(folder):
+        if not os.path.islink(f"{folder}/{f}"):
+            with open(f"{folder}/{f}", encoding="utf8") as text:
+                texts[f] = text.read()
+    rows = [(f, t) for f, t in texts.items()] + [(f"{f} again", "(c) 1999 Someone\n\n" + t.upper().replace("\n", " \r\n  # ")) for f, t in texts.items()] + [(f"{f} cut", t[:-40]) for f, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(df).collect()}
+    assert all(got[f] in names and got[f"{f} cut"] is None for f in texts) and len({got[f] for f in texts}) == len(texts)
+    assert got["Apache-2.0"] == "Apache-2.0" and got["GPL-3"] == "GPL-3.0" and got["MPL-2.0"] == "MPL-2.0"
+    assert all(got[f"{f} again"] == got[f] for f in texts)
+
+
+def test_long_and_repeated_texts_match_nothing_else(spark):
+    mit = dict(licences.LICENCES[:1])["MIT"]
+    df = spark.createDataFrame([(1, mit + " x" * 2_000_000, 1), (2, mit, 2), (2, mit, 3)], "doc_id long, text string, digest int")
+    assert sorted((r["doc_id"], r["licence"]) for r in licences.scan(df).select("doc_id", F.coalesce("licence", F.lit("-")).alias("licence")).collect()) == [(1, "-"), (2, "MIT"), (2, "MIT")]
+
+
 def test_licences(spark):
     mit = dict(licences.LICENCES[:1])["MIT"]
     texts = [mit, "Copyright (c) 2024 Jane\n\n" + mit.upper().replace(",", " ;"), "MIT text: " + mit, None, "", "...", "Released under the MIT Licence", mit.replace("sublicense", "sub-licence").replace("NONINFRINGEMENT", "NON-INFRINGEMENT")]
