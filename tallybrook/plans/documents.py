@@ -168,18 +168,62 @@ def check_feedback(spark, d):
     return _checked(p.select("id", _doc({"reviewer": _if("id % 9 = 0", "", "r"), "comments": both})), rules.feedback_errors)
 
 
+def _suppliers(spark, d):
+    return S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+
+
+def check_results(spark, d):
+    fields = {
+        "method": _if("id % 5 = 0", "other", "m"), "seed": _if("id % 6 = 0", 2, 1),
+        "metrics": F.create_map(_if("id % 7 = 0", "loss", "accuracy"), F.lit(0.5)), "provenance": _if("id % 8 = 0", F.lit(None).cast("map<string,string>"), F.create_map(F.lit("by"), F.lit("us"))),
+    }
+    doc = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"}).alias("doc")
+    return _checked(_suppliers(spark, d).select("id", F.when(F.expr("id % 9 = 0"), "[]").otherwise(doc).alias("doc")), lambda r: rules.result_errors(r, "m", 1, "accuracy"))
+
+
+def check_reviews(spark, d):
+    finding = F.struct(_if("id % 6 = 0", "awful", "low").alias("severity"), F.lit("t").alias("text"), _if("id % 7 = 0", _list("e9"), _list("e1")).alias("evidence"))
+    fields = {"summary": _if("id % 5 = 0", "", "s"), "findings": F.array(finding)}
+    return _checked(_suppliers(spark, d).select("id", _doc(fields)), lambda r: rules.review_errors(r, {"e1", "e2"}))
+
+
+def check_routes(spark, d):
+    fields = {"max_input_bytes": _if("id % 5 = 0", 0, 1000), "reservation": _if("id % 6 = 0", 999, 2000), "roles": F.create_map(F.lit("reader"), _if("id % 7 = 0", "x", "m1"))}
+    return _checked(_suppliers(spark, d).select("id", _doc(fields)), lambda r: rules.route_errors(r, {"m1", "m2"}))
+
+
+def check_receipts(spark, d):
+    fields = {
+        "status": _if("id % 5 = 0", "lost", "submitted"), "token_sha256": _if("id % 6 = 0", "t2", "t1"), "pdf_sha256": F.lit("p1"),
+        "time": _if("id % 7 = 0", "2026-01-01T00:00:00", "2026-01-01T00:00:00+00:00"), "destination": F.lit("d"), "venue": _if("id % 8 = 0", "", "v"),
+    }
+    return _checked(_suppliers(spark, d).select("id", _doc(fields)), lambda r: rules.receipt_errors(r, "t1", "p1"))
+
+
+def check_projects(spark, d):
+    """Two stages and a holdout each; some ids, dependencies and freezes are wrong."""
+    stage = lambda i, needs, adapter, split: F.struct(i.alias("id"), needs.alias("needs"), F.lit(adapter).alias("adapter"), F.lit(split).alias("split"))
+    stages = F.array(
+        stage(_if("id % 5 = 0", "a b", "a"), F.array().cast("array<string>"), "artifact", "development"),
+        stage(F.lit("f"), _if("id % 6 = 0", _list("z"), F.array().cast("array<string>")), "freeze", "development"),
+        stage(F.lit("h"), _if("id % 7 = 0", F.array().cast("array<string>"), _list("f")), "tabular_experiment", "holdout"),
+    )
+    return _checked(_suppliers(spark, d).select("id", F.to_json(stages).alias("doc")), rules.project_errors)
+
+
 def _said(*pairs: tuple[str, str]) -> str:
     cases = ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in pairs)
     return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '; ')"
 
 
+_SUPPLIERS = "WITH s AS (SELECT s_suppkey AS id FROM supplier) SELECT id, "
 _SHARED = (("id % 5 = 0", "texts must not be empty"), ("id % 6 = 0", "direction is maximize or minimize"), ("id % 7 = 0", "timeout is within a day"), ("id % 8 = 0", "one to three attempts"))
 _DOCS = """docs AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN left(doc, 9) ELSE doc END || chr(10) AS t, n_nationkey % 4 > 0 AS ok, n_name AS name, n_nationkey * 3 AS jobs
   FROM (SELECT *, '{"name":"' || n_name || '","jobs":' || (n_nationkey * 3) || '}' AS doc FROM nation))"""
 
 
 def queries() -> dict:
-    named = (file_lines, file_csv, file_event_tail, file_states, file_previews, file_manifests, file_sizes, file_snapshot, file_attempts, response_frames, check_plans, check_campaigns, check_assignments, check_feedback)
+    named = (file_lines, file_csv, file_event_tail, file_states, file_previews, file_manifests, file_sizes, file_snapshot, file_attempts, response_frames, check_plans, check_campaigns, check_assignments, check_feedback, check_results, check_reviews, check_routes, check_receipts, check_projects)
     return {f.__name__: f for f in named}
 
 
@@ -198,5 +242,10 @@ def oracle_sql() -> dict[str, str]:
         "check_plans": "SELECT id, " + _said(("id % 9 = 0", "unknown version"), *_SHARED, ("id % 10 = 0", "two to ten distinct methods"), ("id % 11 = 0", "baseline is a method"), ("p_size < 5", "two to thirty distinct seeds"), ("id % 13 = 0", "references have web addresses")) + " AS errors FROM (SELECT p_partkey AS id, p_size FROM part)",
         "check_campaigns": "SELECT id, " + _said(*_SHARED, ("id % 9 = 0", "baseline is neither candidate nor ablation"), ("id % 10 = 0", "a candidate is no ablation"), ("id % 11 = 0", "no seed is in both splits"), ("id % 12 = 0", "budget out of range")) + " AS errors FROM (SELECT p_partkey AS id FROM part)",
         "check_assignments": "SELECT id, CASE WHEN id % 9 = 0 THEN 'fields differ from the schema' ELSE " + _said(("id % 5 = 0", "a text is empty"), ("id % 7 = 0", "a list holds something else than texts"), ("id % 6 = 0", "boundaries and checks are needed"), ("id % 8 = 0", "output limit out of range")) + " END AS errors FROM (SELECT c_custkey AS id FROM customer)",
+        "check_results": _SUPPLIERS + "CASE WHEN id % 9 = 0 THEN 'no metrics' ELSE " + _said(("id % 5 = 0 OR id % 6 = 0", "identity differs"), ("id % 7 = 0", "the primary metric is missing"), ("id % 8 = 0", "no provenance")) + " END AS errors FROM s",
+        "check_reviews": _SUPPLIERS + _said(("id % 5 = 0", "summary is empty"), ("id % 6 = 0", "finding out of schema"), ("id % 7 = 0", "unknown evidence")) + " AS errors FROM s",
+        "check_routes": _SUPPLIERS + _said(("id % 5 = 0", "input bytes out of range"), ("id % 6 = 0 AND id % 5 > 0", "reservation below the input''s bytes"), ("id % 7 = 0", "a role has an unknown alias")) + " AS errors FROM s",
+        "check_receipts": _SUPPLIERS + _said(("id % 5 = 0", "unknown status"), ("id % 6 = 0", "digests differ"), ("id % 7 = 0", "time has no zone"), ("id % 8 = 0", "destination and venue are needed")) + " AS errors FROM s",
+        "check_projects": _SUPPLIERS + _said(("id % 5 = 0", "bad or repeated id ''a b''"), ("id % 6 = 0", "f needs z, which doesn''t stand before it"), ("id % 7 = 0", "h is a holdout without a freeze")) + " AS errors FROM s",
         "check_feedback": "SELECT id, " + _said(("id % 9 = 0", "reviewer is empty"), ("id % 7 = 0", "comment out of schema"), ("id % 8 = 0", "repeated id"), ("id % 5 = 0 OR id % 6 = 0", "unknown severity")) + " AS errors FROM (SELECT c_custkey AS id FROM customer)",
     }
