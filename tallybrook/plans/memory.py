@@ -46,11 +46,13 @@ def sim_metrics(spark, d):
     e, out = S.keyed_events(spark, d), None
     kinds = (("recent_window", M.recent(e)), ("events_only", M.recent(e, keyed_only=True)), ("keyed_memory", M.keyed(e)), ("fifo_memory", M.bounded_map(e)), ("first_write", M.bounded_map(e, keep_first=True)))
     for name, kept in kinds:
-        a = _answers(kept, e)
-        m = a.select(F.lit(name).alias("method"), (F.col("predicted") == F.col("expected")).alias("hit"), F.col("predicted").isNotNull().alias("held"))
-        m = m.groupBy("method").agg(F.sum(F.coalesce(F.col("hit"), F.lit(False)).cast("int")).alias("correct"), F.count("*").alias("total"), F.sum(F.col("held").cast("int")).alias("records"))
-        out = m if out is None else out.unionByName(m)
-    return out.withColumn("accuracy", F.col("correct") / F.col("total"))
+        out = _answers(kept, e).withColumn("method", F.lit(name)) if out is None else out.unionByName(_answers(kept, e).withColumn("method", F.lit(name)))
+    # what a task retains, as compact JSON: pairs of key and value
+    held = F.sum(F.octet_length("key") + F.length(F.col("predicted").cast("string")) + 6)
+    hits = F.sum(F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False)).cast("int"))
+    per = out.groupBy("method", "task").agg(hits.alias("correct"), F.count("*").alias("total"), F.count("predicted").alias("records"), F.coalesce(held + 1, F.lit(2)).alias("bytes"))
+    m = per.groupBy("method").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"), F.sum("records").alias("records"), F.avg("records").alias("mean_records"), F.avg("bytes").alias("mean_bytes"))
+    return m.select("*", (F.col("correct") / F.col("total")).alias("accuracy"))
 
 
 def mem_oracle(spark, d):
@@ -204,13 +206,15 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    sims = " UNION ALL ".join(f"SELECT '{m}' AS method, t.expected, k.predicted FROM truth t LEFT JOIN kept_{k} k USING (task, key)" for m, k in _SIMS)
+    sims = " UNION ALL ".join(f"SELECT '{m}' AS method, task, key, t.expected, k.predicted FROM truth t LEFT JOIN kept_{k} k USING (task, key)" for m, k in _SIMS)
     window = f"""WITH {_EVENTS}, sized AS (SELECT *, 1 + sum(strlen(key) + strlen(source) + length(CAST(version AS VARCHAR)) + coalesce(strlen(value) + 2, 4) + 12 + strlen(op) + 1) OVER (PARTITION BY task ORDER BY pos DESC) AS total FROM events5),
 fit AS (SELECT * FROM (SELECT *, unnest([384, 768, 1536]) AS budget FROM sized) WHERE total <= budget), {_oracle_sql('fit', 'orc', 'task, budget')}
 SELECT q.task, q.budget, q.key, coalesce(o.expected, 'ABSTAIN') AS predicted FROM (SELECT *, unnest([384, 768, 1536]) AS budget FROM (SELECT DISTINCT task, key FROM events5)) q LEFT JOIN orc o USING (task, budget, key)"""
     return {
         **{f"mem_{n}": _kept_sql(n) for n in ("recent", "events_only", "keyed", "fifo", "first_write")},
-        "sim_metrics": f"WITH RECURSIVE {_KEYED}, {', '.join(_kept(k) for _, k in _SIMS)} SELECT method, count(*) FILTER (predicted = expected) AS correct, count(*) AS total, count(predicted) AS records, count(*) FILTER (predicted = expected) / count(*)::DOUBLE AS accuracy FROM ({sims}) GROUP BY method",
+        "sim_metrics": f"""WITH RECURSIVE {_KEYED}, {', '.join(_kept(k) for _, k in _SIMS)},
+per AS (SELECT method, task, count(*) FILTER (predicted = expected) AS correct, count(*) AS total, count(predicted) AS records, coalesce(sum(strlen(key) + length(CAST(predicted AS VARCHAR)) + 6) + 1, 2) AS bytes FROM ({sims}) GROUP BY method, task)
+SELECT method, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total, CAST(sum(records) AS BIGINT) AS records, avg(records) AS mean_records, avg(bytes) AS mean_bytes, sum(correct) / sum(total)::DOUBLE AS accuracy FROM per GROUP BY method""",
         "mem_oracle": f"WITH {_EVENTS}, {_oracle_sql('events5', 'orc')} SELECT task, key, expected, CAST(len(active) AS INT) AS n_active, CAST(len(history) AS INT) AS n_history FROM orc",
         "mem_event_window": window,
         **{f"mem_{n}": f"WITH RECURSIVE {_EVENTS}, {_policy_sql(n)} SELECT * FROM read_{n}" for n in M.POLICIES},
