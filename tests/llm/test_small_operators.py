@@ -39,6 +39,13 @@ def test_urls(spark, url, want):
     assert tuple(url_filter.filter_urls(df).first())[1:5] == want
 
 
+def test_repeated_urls_and_clashing_columns(spark):
+    rows = [(1, "http://a.net/x", "h", 9, "v")] * 3 + [(None, "http://casino.a.net/", "h", 9, "v"), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, weight int, verdict string")
+    got = sorted(((r["page_id"], r["verdict"], r["weight"]) for r in url_filter.filter_urls(df).collect()), key=repr)
+    assert got == [(1, "allow", 0)] * 3 + [(2, "allow", 0), (None, "block", 2)]
+
+
 def test_no_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
