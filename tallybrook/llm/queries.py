@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, jaccard_join, licences, mix, packing, quality, suffix_dedup, token_count, topk, url_filter
+from . import class_lm, filter_audit, jaccard_join, licences, mix, packing, quality, quality_classifier, suffix_dedup, token_count, topk, url_filter, whitening
 from .common import read_table
 
 #: Where the public vocabulary files lie, the same on every executor.
@@ -65,6 +65,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     module = sys.modules[__name__]
     names = sorted((n for n in dir(module) if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]) if n[2].isdigit() else 99)
@@ -78,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": mix.oracle(),
         "op8_exact_topk": topk.oracle(),
         "op10_license_scan": licences.oracle(),
+        "op12_filter_audit": filter_audit.oracle(),
     }
