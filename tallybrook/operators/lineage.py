@@ -1,15 +1,90 @@
-"""Stage graphs: order, ancestors, staleness, blockers, what may run, revision, reviews and reuse.
+"""Stage graphs: order, ancestors, signatures, staleness, blockers, what may run, revision, reviews and reuse.
 
-Stages are (stage, place, adapter, split, status, attempts, max_attempts, paid, changed) and edges (stage, needs), of any
-depth: closures are joined with themselves until they stop growing, which takes as many rounds as the depth has binary
-digits, and every pair stands once however many paths lead to it."""
+Stages are (stage, project, place, adapter, role, review, split, status, attempts, max_attempts, paid) and edges (stage,
+needs), of any depth. What changes below a stage is found by walking blocks of stages, not by a closure (`downstream`);
+only `ancestors`, whose result is the closure itself, makes all pairs."""
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..sources.shared import cut
+from pyspark.sql.types import MapType, StringType, StructField, StructType
+
+from ..functions.canonical import identity
+from ..sources.shared import cut, discard
+
+#: Stages that one task walks at once.
+BLOCK = 20_000
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """The stages that a block's seeds reach along its edges, those already reached left out."""
+    kinds, froms, tos = (rows[c].to_pylist() for c in ("kind", "a", "b"))
+    below, todo, known = defaultdict(list), [], set()
+    for kind, a, b in zip(kinds, froms, tos, strict=True):
+        if kind == "edge":
+            below[a].append(b)
+        elif kind == "seed":
+            todo.append(a)
+        else:
+            known.add(a)
+    found = []
+    while todo:
+        stage = todo.pop()
+        if stage not in known:
+            known.add(stage)
+            found.append(stage)
+            todo += below.get(stage, ())
+    block = rows["block"][0].as_py()
+    return pa.table({"block": pa.array([block] * len(found), rows.schema.field("block").type), "stage": pa.array(found, rows.schema.field("a").type)})
+
+
+def downstream(stages: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The stages that are reached: those with `seed`, and each that `carries` and needs a reached one. stages: stage,
+    project, place, seed, carries.
+
+    Stages are sorted by project and place and cut into blocks of about `block`. A task walks the edges inside its block
+    once; edges that leave a block carry newly reached stages to the next round, in which only the blocks they lead to are
+    walked again, from there on. So rounds grow with the blocks of the longest project, not with its depth, and a task
+    holds the edges of one block."""
+    kind = stages.schema["stage"].dataType.simpleString()
+    n = stages.count()
+    dealt = stages.repartitionByRange(max(1, math.ceil(n / block)), "project", "place", "stage")
+    placed = cut(dealt.select("stage", (F.col("seed") & F.col("carries")).alias("seed"), "carries", F.spark_partition_id().alias("block")))
+    into = placed.filter("carries").select("stage", F.col("block").alias("block"))
+    out_of = placed.select(F.col("stage").alias("needs"), F.col("block").alias("from_block"))
+    lines = cut(edges.distinct().join(into, "stage").join(out_of, "needs").select("block", "from_block", "needs", "stage"))
+    inner = lines.filter("block = from_block").select("block", F.lit("edge").alias("kind"), F.col("needs").alias("a"), F.col("stage").alias("b"))
+    across = lines.filter("block <> from_block").select("block", "needs", "stage")
+
+    def walked(seeds: DataFrame, known: DataFrame | None) -> DataFrame:
+        none = F.lit(None).cast(kind).alias("b")
+        start = seeds.select("block", F.lit("seed").alias("kind"), F.col("stage").alias("a"), none)
+        active = seeds.select("block").distinct()
+        rows = start.union(inner.join(active, "block", "left_semi"))
+        if known is not None:
+            rows = rows.union(known.join(active, "block", "left_semi").select("block", F.lit("known").alias("kind"), F.col("stage").alias("a"), none))
+        return cut(rows.groupBy("block").applyInArrow(_walk, f"block int, stage {kind}"))
+
+    fresh = walked(placed.filter("seed").select("block", "stage"), None)
+    reached, held = fresh, [fresh]
+    while True:
+        found = fresh.select(F.col("stage").alias("needs"))
+        onward = cut(across.join(found, "needs").select("block", "stage").distinct().join(reached.select("stage"), "stage", "left_anti"))
+        if onward.isEmpty():
+            discard(placed, lines, onward)
+            break
+        fresh = walked(onward.select("block", "stage"), reached)
+        held.append(fresh)
+        reached = reached.union(fresh)
+        discard(onward)
+    out = cut(reached.select("stage"))
+    discard(*held)
+    return out
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -44,31 +119,64 @@ def runnable(stages: DataFrame, edges: DataFrame, paid: bool = False) -> DataFra
     return stages.filter(may).join(blocked, "stage", "left_anti").select("stage")
 
 
-def stale(stages: DataFrame, edges: DataFrame) -> DataFrame:
-    """Accepted or reviewed stages that changed or descend from one that did."""
-    live = stages.filter("status IN ('accepted', 'awaiting_review')")
-    changed = live.filter("changed").select(F.col("stage").alias("ancestor"))
-    below = ancestors(edges).join(changed, "ancestor").select("stage")
-    return live.select("stage").join(below.union(changed.select("ancestor")).distinct(), "stage", "left_semi")
-
-
-def revised(stages: DataFrame, edges: DataFrame) -> DataFrame:
-    """stage, status after a revision: changed stages and all that follow are pending again."""
-    changed = stages.filter("changed").select(F.col("stage").alias("ancestor"))
-    below = ancestors(edges).join(changed, "ancestor").select("stage").union(changed).distinct().withColumn("again", F.lit(True))
-    return stages.join(below, "stage", "left").select("stage", F.when(F.col("again"), "pending").otherwise(F.col("status")).alias("status"))
+def signatures(stages: DataFrame, edges: DataFrame, engine: str = "1") -> DataFrame:
+    """stage, signature: the identity of all that a stage's result rests on, namely its own specification, the digests of
+    its inputs, the digests of the results of its direct needs, its adapter's and the engine's; null while one of its needs
+    isn't accepted. What lies further up shows in the results of the direct needs. stages: stage, status, spec (JSON),
+    inputs (map of names to digests), fingerprint (of the adapter), result (digest)."""
+    need = stages.select(F.col("stage").alias("needs"), "result", (F.col("status") == "accepted").alias("open"))
+    above = edges.distinct().join(need, "needs", "left").groupBy("stage").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("needs").cast("string"), "result"))).alias("dependencies"), F.bool_and(F.coalesce("open", F.lit(False))).alias("open")
+    )
+    both = stages.select("stage", "spec", "inputs", "fingerprint").join(above, "stage", "left")
+    digests = MapType(StringType(), StringType())
+    parts = {"adapter": F.col("fingerprint"), "dependencies": F.coalesce("dependencies", F.create_map().cast("map<string,string>")), "engine": F.lit(engine), "inputs": F.col("inputs"), "stage": F.col("spec")}
+    form = StructType([StructField(k, digests if k in ("dependencies", "inputs") else StringType()) for k in parts])
+    signature = identity(F.struct(*(c.alias(k) for k, c in parts.items())), form)
+    return both.select("stage", F.when(F.coalesce("open", F.lit(True)), signature).alias("signature"))
+
+
+def stale(stages: DataFrame, edges: DataFrame, engine: str = "1") -> DataFrame:
+    """Accepted or reviewed stages whose recorded signature isn't the present one, whose result isn't found as recorded, or
+    that need a stale stage. stages: as for signatures, with project, place, signature (recorded) and found (the digest of
+    the result as it lies there now)."""
+    live = F.col("status").isin("accepted", "awaiting_review")
+    now = signatures(stages, edges, engine).withColumnRenamed("signature", "now")
+    same = F.coalesce((F.col("signature") == F.col("now")) & (F.col("found") == F.col("result")), F.lit(False))
+    return downstream(stages.join(now, "stage").select("stage", "project", "place", (~same).alias("seed"), live.alias("carries")), edges)
+
+
+def revised(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
+    """stage, status after a revision: stages whose specification or inputs changed, freezes of a project in which any
+    specification changed, and all that need such a stage are pending again. old: stage, project, place, role, status, spec,
+    inputs; new: stage, spec, inputs."""
+    digest = F.to_json(F.array_sort(F.map_entries("inputs")))
+    was = old.select("*", digest.alias("was_inputs")).drop("inputs").withColumnRenamed("spec", "was_spec")
+    both = was.join(new.select("stage", "spec", digest.alias("inputs")), "stage", "left")
+    other = ~F.col("spec").eqNullSafe(F.col("was_spec"))
+    both = cut(both.select("stage", "project", "place", "role", "status", other.alias("other"), (other | ~F.col("inputs").eqNullSafe(F.col("was_inputs"))).alias("changed")))
+    moved = both.groupBy("project").agg(F.bool_or("other").alias("moved"))
+    seed = F.col("changed") | (F.col("moved") & F.coalesce(F.col("role") == "freeze", F.lit(False)))
+    below = downstream(both.join(moved, "project").select("stage", "project", "place", seed.alias("seed"), F.lit(True).alias("carries")), edges).withColumn("again", F.lit(True))
+    return both.join(below, "stage", "left").select("stage", F.when(F.col("again"), "pending").otherwise(F.col("status")).alias("status"))
 
 
 def unfrozen_holdouts(stages: DataFrame, edges: DataFrame) -> DataFrame:
-    """Holdout stages without an accepted freeze among their direct dependencies."""
-    frozen = edges.join(stages.filter("adapter = 'freeze' AND status = 'accepted'").select(F.col("stage").alias("needs")), "needs").select("stage")
+    """Holdout stages without a reviewed freeze among their direct needs."""
+    frozen = edges.join(stages.filter("role = 'freeze' AND review").select(F.col("stage").alias("needs")), "needs").select("stage")
     return stages.filter("split = 'holdout'").join(frozen, "stage", "left_anti").select("stage")
 
 
-def leaks(stages: DataFrame, edges: DataFrame, adapters=("proposal", "literature_cards")) -> DataFrame:
-    """Stages of adapters that must not see holdout results, but have one among their ancestors."""
-    held = stages.filter("split = 'holdout'").select(F.col("stage").alias("ancestor"))
-    return stages.filter(F.col("adapter").isin(*adapters)).select("stage").join(ancestors(edges).join(held, "ancestor").select("stage").distinct(), "stage", "left_semi")
+def leaks(stages: DataFrame, edges: DataFrame, roles=("proposal", "literature")) -> DataFrame:
+    """Stages in roles that must not see holdout results, but rest on one, directly or not."""
+    held = stages.select("stage", "project", "place", (F.col("split") == "holdout").alias("seed"), F.lit(True).alias("carries"))
+    below = edges.join(downstream(held, edges).withColumnRenamed("stage", "needs"), "needs", "left_semi").select("stage").distinct()
+    return stages.filter(F.col("role").isin(*roles)).select("stage").join(below, "stage", "left_semi")
+
+
+def unreviewed(stages: DataFrame, roles=("proposal", "freeze", "interpretation")) -> DataFrame:
+    """Scientific decisions that no supervisor reviews."""
+    return stages.filter(F.col("role").isin(*roles) & ~F.col("review")).select("stage")
 
 
 def project_status(stages: DataFrame, keys=()) -> DataFrame:
@@ -78,17 +186,6 @@ def project_status(stages: DataFrame, keys=()) -> DataFrame:
     return stages.groupBy(*keys).agg(status.alias("status"))
 
 
-def signatures(stages: DataFrame, edges: DataFrame) -> DataFrame:
-    """stage, signature: a digest of the stage's own form and those of all its ancestors, with their edges. Two stages
-    with the same signature rest on the same graph, and a change anywhere above changes it."""
-    needs = edges.groupBy("stage").agg(F.array_join(F.array_sort(F.collect_set(F.col("needs").cast("string"))), ",").alias("needs"))
-    form = F.concat_ws("|", F.col("stage").cast("string"), "adapter", "split", F.coalesce("needs", F.lit("")))
-    formed = stages.join(needs, "stage", "left").select("stage", F.sha2(form, 256).alias("form"))
-    above = ancestors(edges).join(formed.withColumnRenamed("stage", "ancestor"), "ancestor").groupBy("stage")
-    above = above.agg(F.array_join(F.array_sort(F.collect_list("form")), ",").alias("above"))
-    return formed.join(above, "stage", "left").select("stage", F.sha2(F.concat_ws("|", "form", F.coalesce("above", F.lit(""))), 256).alias("signature"))
-
-
 #: What becomes of a stage after a decision.
 DECISIONS = {"accept": "accepted", "reject": "rejected", "request_changes": "changes_requested", "terminate": "rejected"}
 #: Statuses from which a stage may be tried again.

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..functions.canonical import canonical
 from ..operators import evaluation as E
 from ..operators import lineage as L
 from ..operators import memory as M
 from ..operators import records as R
+from ..operators.excerpts import locate
 from ..sources import tables as S
 from . import memory as PM
 
@@ -258,9 +260,11 @@ def _graph(spark, d):
     stages = o.select(
         F.col("o_orderkey").alias("stage"), F.col("o_custkey").alias("project"), F.datediff("o_orderdate", F.lit("1990-01-01")).alias("place"),
         kind(5, "artifact", "literature_cards", "tabular_experiment", "proposal", "freeze").alias("adapter"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "proposal").when(F.col("o_orderpriority") == "2-HIGH", "freeze").when(F.col("o_orderpriority") == "3-MEDIUM", "literature")
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "interpretation").alias("role"), (F.col("o_totalprice") >= 60_000).alias("review"),
         F.when(F.col("o_orderkey") % 11 == 0, "holdout").otherwise("development").alias("split"),
         F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "pending").otherwise(kind(3, "awaiting_review", "failed", "stale")).alias("status"),
-        (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"), F.col("o_orderpriority").startswith("1").alias("paid"), (F.col("o_orderkey") % 13 == 0).alias("changed"),
+        (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"), F.col("o_orderpriority").startswith("1").alias("paid"),
     )
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     edges = o.select(F.col("o_orderkey").alias("stage"), F.array(F.lag("o_orderkey", 1).over(by), F.lag("o_orderkey", 2).over(by)).alias("both")).select("stage", F.explode("both").alias("needs"))
@@ -271,8 +275,46 @@ def _dag(f):
     return lambda spark, d: f(*_graph(spark, d))
 
 
+def _recorded(spark, d):
+    """The stages with what they rest on, as recorded and now: spec and inputs (an order's line items, up to a day, and
+    all), the adapter's fingerprint, the result (its price) and what is found of it (less large returns)."""
+    o, lines = S.table(spark, d, "orders"), S.table(spark, d, "lineitem")
+    line = F.concat_ws(":", *(F.col(c).cast("long").cast("string") for c in ("l_linenumber", "l_partkey", "l_quantity")))
+    early = F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp")
+    returned = F.sum(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49), F.col("l_extendedprice").cast("decimal(18,2)")))
+    held = lines.groupBy(F.col("l_orderkey").alias("stage")).agg(F.collect_list(F.when(early, line)).alias("was"), F.collect_list(line).alias("now"), returned.alias("returned"))
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    both = _graph(spark, d)[0].join(o.select(F.col("o_orderkey").alias("stage"), price.alias("price")), "stage").join(held, "stage", "left")
+    digest = lambda c: F.create_map(F.lit("lines"), F.sha2(F.concat_ws(",", F.array_sort(F.coalesce(c, F.array()))), 256))
+    count = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))
+    form = StructType().add("adapter", "string").add("config", StructType().add("lines", "integer")).add("id", "long")
+    spec = lambda c: canonical(F.struct(F.col("adapter").alias("adapter"), F.struct(count(c).alias("lines")).alias("config"), F.col("stage").alias("id")), form)
+    found = F.col("price") - F.coalesce("returned", F.lit(0).cast("decimal(18,2)"))
+    return both.select(
+        *_graph(spark, d)[0].columns, spec("was").alias("old_spec"), spec("now").alias("spec"), digest("was").alias("old_inputs"), digest("now").alias("inputs"),
+        F.sha2("adapter", 256).alias("fingerprint"), F.sha2(F.col("price").cast("string"), 256).alias("result"), F.sha2(found.cast("decimal(18,2)").cast("string"), 256).alias("found"),
+    )
+
+
 def dag_signatures(spark, d):
-    return L.signatures(*_graph(spark, d))
+    return L.signatures(_recorded(spark, d), _graph(spark, d)[1])
+
+
+def dag_stale(spark, d):
+    """Signatures were recorded over the inputs of an earlier day."""
+    stages, edges = _recorded(spark, d), _graph(spark, d)[1]
+    recorded = L.signatures(stages.drop("inputs").withColumnRenamed("old_inputs", "inputs"), edges)
+    return L.stale(stages.join(recorded, "stage"), edges)
+
+
+def dag_revision(spark, d):
+    stages = _recorded(spark, d)
+    old = stages.drop("spec", "inputs").withColumnsRenamed({"old_spec": "spec", "old_inputs": "inputs"})
+    return L.revised(old, stages.select("stage", "spec", "inputs"), _graph(spark, d)[1])
+
+
+def dag_unreviewed(spark, d):
+    return L.unreviewed(_graph(spark, d)[0])
 
 
 def dag_status(spark, d):
@@ -352,15 +394,10 @@ def secret_scan(spark, d):
 
 
 def locate_excerpt(spark, d):
-    """doc_id, item_id, place: every benchmark text that stands in a document, at its first place. The items are few."""
-    items = [(r["item_id"], r["text"]) for r in S.table(spark, d, "benchmark").filter("text IS NOT NULL").select("item_id", "text").collect()]
-
-    def run(batches):
-        for batch in batches:
-            hits = [(doc, item, at) for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text is not None for item, excerpt in items if (at := text.find(excerpt)) >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "place"])
-
-    return _documents(spark, d).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, place int")
+    """doc_id, item_id, place: every benchmark text that stands in a document, at its first place."""
+    items = S.table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("excerpt"))
+    found = locate(_documents(spark, d).select(F.col("doc_id").cast("long").alias("id"), "text"), items)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "place")
 
 
 def json_pointer(spark, d):
@@ -462,8 +499,9 @@ _RUNS = """runs AS (SELECT *, CASE last WHEN 'purchase' THEN 'completed' WHEN 'e
 _Q = lambda x: "TRUE" if x is True else "FALSE" if x is False else f"'{x}'" if isinstance(x, str) else str(x)
 _DAG = """stages AS (SELECT o_orderkey AS stage, o_custkey AS project, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS place,
   ['artifact', 'literature_cards', 'tabular_experiment', 'proposal', 'freeze'][o_orderkey % 5 + 1] AS adapter, CASE WHEN o_orderkey % 11 = 0 THEN 'holdout' ELSE 'development' END AS split,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'proposal' WHEN '2-HIGH' THEN 'freeze' WHEN '3-MEDIUM' THEN 'literature' WHEN '4-NOT SPECIFIED' THEN 'interpretation' END AS role, o_totalprice >= 60000 AS review,
   CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'pending' ELSE ['awaiting_review', 'failed', 'stale'][o_orderkey % 3 + 1] END AS status,
-  CAST(o_orderkey % 4 AS INT) AS attempts, 3 AS max_attempts, starts_with(o_orderpriority, '1') AS paid, o_orderkey % 13 = 0 AS changed FROM orders),
+  CAST(o_orderkey % 4 AS INT) AS attempts, 3 AS max_attempts, starts_with(o_orderpriority, '1') AS paid FROM orders),
 edges AS (SELECT stage, needs FROM (SELECT o_orderkey AS stage, unnest([lag(o_orderkey, 1) OVER w, lag(o_orderkey, 2) OVER w]) AS needs FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE needs IS NOT NULL),
 up(stage, ancestor) AS (SELECT stage, needs FROM edges UNION SELECT u.stage, e.needs FROM up u JOIN edges e ON e.stage = u.ancestor)"""
 _BLOCKED = "SELECT e.stage FROM edges e JOIN stages n ON n.stage = e.needs WHERE n.status <> 'accepted'"
@@ -471,15 +509,21 @@ _TAB = "WITH tab AS (SELECT l.doc_id AS id, n_chars / 1000.0::DOUBLE AS x, quali
 _RE2 = lambda p: p.replace("(?<![A-Za-z0-9_])", "(^|[^A-Za-z0-9_])")  # noqa: E731  its engine looks at no place behind
 
 
-_SIGNED = f"""WITH RECURSIVE {_DAG}, direct AS (SELECT stage, string_agg(n, ',' ORDER BY n) AS needs FROM (SELECT DISTINCT stage, CAST(needs AS VARCHAR) AS n FROM edges) GROUP BY stage),
-formed AS (SELECT s.stage, sha256(s.stage || '|' || adapter || '|' || split || '|' || coalesce(needs, '')) AS form FROM stages s LEFT JOIN direct d ON d.stage = s.stage),
-above AS (SELECT u.stage, string_agg(form, ',' ORDER BY form) AS above FROM up u JOIN formed f ON f.stage = u.ancestor GROUP BY u.stage)
-SELECT f.stage, sha256(form || '|' || coalesce(above, '')) AS signature FROM formed f LEFT JOIN above a ON a.stage = f.stage"""
+_RECORDED = f"""WITH RECURSIVE {_DAG}, line AS (SELECT l_orderkey AS stage, l_shipdate < TIMESTAMP '2001-01-01' AS early, CAST(l_linenumber AS BIGINT) || ':' || l_partkey || ':' || CAST(l_quantity AS BIGINT) AS x,
+  CASE WHEN l_returnflag = 'R' AND l_quantity >= 49 THEN CAST(l_extendedprice AS DECIMAL(18, 2)) END AS back FROM lineitem),
+held AS (SELECT stage, coalesce(string_agg(x, ',' ORDER BY x) FILTER (early), '') AS was, string_agg(x, ',' ORDER BY x) AS now, count(*) FILTER (early) AS n_was, count(*) AS n_now, sum(back) AS back FROM line GROUP BY stage),
+rec AS (SELECT s.*, '{{"adapter": "' || adapter || '", "config": {{"lines": ' AS head, '}}, "id": ' || s.stage || '}}' AS tail, coalesce(n_was, 0) AS n_was, coalesce(n_now, 0) AS n_now,
+  sha256(coalesce(was, '')) AS old_input, sha256(coalesce(now, '')) AS input, sha256(adapter) AS fingerprint, sha256(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)) AS result,
+  sha256(CAST(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) - coalesce(back, 0) AS DECIMAL(18, 2)) AS VARCHAR)) AS found
+  FROM stages s JOIN orders o ON o.o_orderkey = s.stage LEFT JOIN held h ON h.stage = s.stage),
+direct AS (SELECT e.stage, string_agg('"' || e.needs || '": "' || n.result || '"', ', ' ORDER BY CAST(e.needs AS VARCHAR)) AS needs, bool_and(n.status = 'accepted') AS open FROM edges e JOIN rec n ON n.stage = e.needs GROUP BY e.stage),
+form AS (SELECT r.*, coalesce(open, true) AS open, '{{"adapter": "' || fingerprint || '", "dependencies": {{' || coalesce(needs, '') || '}}, "engine": "1", "inputs": {{"lines": "' AS one,
+  '"}}, "stage": "' || replace(head || n_now || tail, '"', chr(92) || '"') || '"}}' AS two FROM rec r LEFT JOIN direct d ON d.stage = r.stage)"""
 
 
 def queries() -> dict:
-    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, run_errors, first_runs, grids_in_order, ledger_faults, planned_anti, ui_filter, dag_signatures, dag_status, dag_retries, dag_decisions, run_resumes, job_reuse, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, locate_excerpt, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
-    dags = {"dag_ancestors": lambda s, e: L.ancestors(e), "dag_order": L.out_of_order, "dag_blockers": L.blockers, "dag_runnable": L.runnable, "dag_stale": L.stale, "dag_revision": L.revised, "dag_unfrozen": L.unfrozen_holdouts, "dag_leaks": L.leaks}
+    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, run_errors, first_runs, grids_in_order, ledger_faults, planned_anti, ui_filter, dag_signatures, dag_stale, dag_revision, dag_unreviewed, dag_status, dag_retries, dag_decisions, run_resumes, job_reuse, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, locate_excerpt, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
+    dags = {"dag_ancestors": lambda s, e: L.ancestors(e), "dag_order": L.out_of_order, "dag_blockers": L.blockers, "dag_runnable": L.runnable, "dag_unfrozen": L.unfrozen_holdouts, "dag_leaks": L.leaks}
     return {f.__name__: f for f in named} | {k: _dag(f) for k, f in dags.items()}
 
 
@@ -536,7 +580,8 @@ UNION ALL SELECT 'project without record', CAST(c_custkey AS VARCHAR), 1 FROM cu
         "ledger_faults": _REQUESTS + """ SELECT id, pos, before, status FROM (SELECT pos // 10 AS id, pos, status, lag(status) OVER (PARTITION BY pos // 10 ORDER BY pos) AS before FROM requests) WHERE before IN ('settled', 'unknown')""",
         "planned_anti": "SELECT doc_id AS task_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "ui_filter": "SELECT page_id FROM pages WHERE contains(lower(to_json(pages)), 'blog.')",
-        "dag_signatures": _SIGNED,
+        "dag_signatures": _RECORDED + " SELECT stage, CASE WHEN open THEN sha256(one || input || two) END AS signature FROM form",
+        "dag_unreviewed": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE role IN ('proposal', 'freeze', 'interpretation') AND NOT review",
         "dag_retries": f"WITH RECURSIVE {_DAG} SELECT stage, CASE WHEN status NOT IN ('failed', 'running', 'changes_requested', 'rejected', 'stale') THEN 'status' WHEN split = 'holdout' AND attempts > 0 THEN 'holdout' WHEN attempts >= max_attempts THEN 'attempts' ELSE 'pending' END AS verdict FROM stages",
         "dag_decisions": f"""WITH RECURSIVE {_DAG} SELECT stage, ['accept', 'reject', 'request_changes', 'terminate', 'ignore'][stage % 5 + 1] AS action,
   CASE WHEN stage % 5 = 4 OR stage % 17 = 0 THEN 'incomplete' WHEN status <> 'awaiting_review' THEN 'not under review' WHEN stage % 6 = 0 THEN 'out of date' ELSE ['accepted', 'rejected', 'changes_requested', 'rejected'][stage % 5 + 1] END AS outcome FROM stages""",
@@ -548,29 +593,10 @@ UNION ALL SELECT 'project without record', CAST(c_custkey AS VARCHAR), 1 FROM cu
         "dag_order": f"WITH RECURSIVE {_DAG} SELECT e.stage, e.needs FROM edges e JOIN stages s ON s.stage = e.stage LEFT JOIN stages n ON n.stage = e.needs WHERE n.place IS NULL OR n.place >= s.place",
         "dag_blockers": f"WITH RECURSIVE {_DAG} SELECT e.stage, e.needs, n.status FROM edges e JOIN stages n ON n.stage = e.needs WHERE n.status <> 'accepted'",
         "dag_runnable": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE status = 'pending' AND attempts < max_attempts AND NOT paid AND stage NOT IN ({_BLOCKED})",
-        "dag_stale": f"WITH RECURSIVE {_DAG}, ch AS (SELECT stage FROM stages WHERE changed AND status IN ('accepted', 'awaiting_review')) SELECT stage FROM stages WHERE status IN ('accepted', 'awaiting_review') AND (stage IN (SELECT stage FROM ch) OR stage IN (SELECT stage FROM up WHERE ancestor IN (SELECT stage FROM ch)))",
-        "dag_revision": f"WITH RECURSIVE {_DAG}, ch AS (SELECT stage FROM stages WHERE changed) SELECT stage, CASE WHEN stage IN (SELECT stage FROM ch) OR stage IN (SELECT stage FROM up WHERE ancestor IN (SELECT stage FROM ch)) THEN 'pending' ELSE status END AS status FROM stages",
-        "dag_unfrozen": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE split = 'holdout' AND stage NOT IN (SELECT e.stage FROM edges e JOIN stages n ON n.stage = e.needs WHERE n.adapter = 'freeze' AND n.status = 'accepted')",
-        "dag_leaks": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE adapter IN ('proposal', 'literature_cards') AND stage IN (SELECT u.stage FROM up u JOIN stages a ON a.stage = u.ancestor WHERE a.split = 'holdout')",
-        "manifest_build": man,
-        "manifest_diff": f"""WITH a AS (SELECT path, bytes, CASE WHEN CAST(path AS BIGINT) % 89 = 1 THEN 'bad' ELSE sha256 END AS s FROM ({man})), b AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS s FROM (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 101 <> 5))
-SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.s IS NULL THEN 'unlisted' WHEN NOT regexp_full_match(a.s, '[0-9a-f]{{64}}') THEN 'malformed' WHEN b.s IS NULL THEN 'missing' WHEN a.bytes <> b.bytes OR a.s <> b.s THEN 'changed' ELSE 'ok' END AS state FROM a FULL JOIN b ON a.path = b.path) WHERE state <> 'ok'""",
-        "evidence_gate": "WITH c AS (SELECT doc_id AS claim, unnest([doc_id, doc_id + 1, doc_id + 7]) AS ref FROM documents) SELECT claim, CAST(count(*) AS INT) AS n_refs, count(*) FILTER (ref NOT IN (SELECT doc_id FROM documents)) AS missing, count(*) FILTER (ref NOT IN (SELECT doc_id FROM documents)) = 0 AS open FROM c GROUP BY claim",
-        "dedupe_blobs": "SELECT sha256(text) AS sha256, min(printf('%012d', doc_id)) AS path, max(CAST(strlen(text) AS BIGINT)) AS bytes, count(*) AS copies FROM documents GROUP BY 1",
-        "redact": f"SELECT doc_id, sha256({_redacted}) AS redacted_sha256 FROM documents WHERE regexp_matches(text, '{'|'.join((*T.REDACTED, *SECRETS))}')",
-        "secret_scan": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS finding FROM documents WHERE {c}" for n, c in (*((n, f"regexp_matches(text, '{_RE2(p)}')") for n, p in FINDINGS), ("too large", f"strlen(text) > {LARGE}"))),
-        "locate_excerpt": "SELECT doc_id, item_id, CAST(instr(d.text, b.text) - 1 AS INT) AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-        "json_pointer": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
-        "evidence_calc": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'identity' ELSE 'difference' END AS op, round(CASE WHEN event_type = 'view' THEN CAST(props->>'$.k' AS DOUBLE) ELSE value - CAST(props->>'$.k' AS DOUBLE) END, 9) AS result FROM events",
-        "tex_escape": f"SELECT page_id, {tex} AS url FROM pages",
-        "path_rules": r"SELECT page_id, NOT regexp_matches(p, '^/|^[A-Za-z]:|(^|/)\.\.(/|$)') AND p <> '' AS safe FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '../' || t WHEN page_id % 7 = 0 THEN '/' || t ELSE t END AS p FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS t FROM pages))",
-        "stratified_sample": "SELECT lang, doc_id, CAST(row_number() OVER w AS INT) AS rn FROM documents WINDOW w AS (PARTITION BY lang ORDER BY sha256('20260930:' || doc_id), doc_id) QUALIFY row_number() OVER w <= 20",
-        "hash_shuffle": "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY sha256('v5-order:' || doc_id)) AS INT) AS place FROM documents",
-        "tabular_threshold": _TAB + " SELECT p, round(avg(CAST((x >= p) = (y <> 0) AS INT)), 9) AS score, count(*) AS n FROM tab, (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS p) GROUP BY p",
-        "tabular_linear": _TAB + " SELECT p, round(avg(pow(p * x - y, 2)), 6) AS score, count(*) AS n FROM tab, (SELECT unnest([0.1, 0.25, 0.5]::DOUBLE[]) AS p) GROUP BY p",
-        "comparison": _TAB + """, s AS (SELECT p, CASE WHEN id % 4 = 0 THEN 'holdout' ELSE 'development' END AS split, avg(CAST((x >= p) = (y <> 0) AS INT)) AS score, count(*) AS n FROM tab, (SELECT unnest([0.5, 2.0]::DOUBLE[]) AS p) WHERE p < 1 OR id % 4 > 0 OR id % 5 > 0 GROUP BY ALL)
-SELECT sha256('labels:' || a.n) AS dataset_sha256, 'accuracy' AS metric, 'maximize' AS direction, a.split, a.n, round(a.score, 9) AS before, round(b.score, 9) AS after, round(b.score - a.score, 9) AS gain, b.score - a.score > 0 AS improved FROM s a JOIN s b ON a.p = 0.5 AND b.p = 2.0 AND a.split = b.split AND a.n = b.n""",
-        "split_overlap": _TAB + " SELECT id FROM tab WHERE id % 3 = 0 INTERSECT SELECT id FROM tab WHERE id % 5 = 0",
-        "unique_ids": _TAB + " SELECT id % 97 AS id, count(*) AS n FROM tab GROUP BY 1 HAVING count(*) > 1",
-        "proposal_dupes": "SELECT event_id AS pos, sha256(event_type || '|' || props) AS fingerprint, CAST(row_number() OVER w AS INT) AS nth FROM events WINDOW w AS (PARTITION BY event_type || '|' || props ORDER BY event_id) QUALIFY row_number() OVER w > 1",
+        "dag_stale": _RECORDED + """, st(stage) AS (SELECT stage FROM form WHERE status IN ('accepted', 'awaiting_review') AND NOT coalesce(open AND old_input = input AND result = found, false)
+  UNION SELECT e.stage FROM st JOIN edges e ON e.needs = st.stage JOIN stages s ON s.stage = e.stage WHERE s.status IN ('accepted', 'awaiting_review')) SELECT stage FROM st""",
+        "dag_revision": _RECORDED + """, ch(stage) AS (SELECT stage FROM rec r WHERE n_was <> n_now OR old_input <> input OR (role = 'freeze' AND project IN (SELECT project FROM rec WHERE n_was <> n_now))
+  UNION SELECT e.stage FROM ch JOIN edges e ON e.needs = ch.stage) SELECT stage, CASE WHEN stage IN (SELECT stage FROM ch) THEN 'pending' ELSE status END AS status FROM stages""",
+        "dag_unfrozen": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE split = 'holdout' AND stage NOT IN (SELECT e.stage FROM edges e JOIN stages n ON n.stage = e.needs WHERE n.role = 'freeze' AND n.review)",
+        "dag_leaks": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE role IN ('proposal', 'literature') AND stage IN (SELECT u.stage FROM up u JOIN stages a ON a.stage = u.ancestor WHERE a.split = 'holdout')",
     }

@@ -1,11 +1,13 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallybrook.functions import rules
 from tallybrook.functions import text as T
+from tallybrook.operators import excerpts
 from tallybrook.operators import lineage as L
 from tallybrook.operators import records as R
 from tallybrook.plans import records as PR
@@ -78,15 +80,6 @@ def test_manifest(spark):
     assert {r["path"]: r["state"] for r in R.manifest_diff(old, new).collect()} == {"a": "ok", "b": "changed", "c": "malformed", "d": "missing", "e": "unlisted"}
 
 
-def test_change_of_the_first_stage_makes_all_stale(spark):
-    stages = spark.createDataFrame([(s, i, "artifact", "development", "accepted", 1, 2, False, i == 0) for i, s in enumerate("abc")], "stage string, place int, adapter string, split string, status string, attempts int, max_attempts int, paid boolean, changed boolean")
-    edges = spark.createDataFrame([("b", "a"), ("c", "b")], "stage string, needs string")
-    assert sorted(r["stage"] for r in L.stale(stages, edges).collect()) == ["a", "b", "c"]
-    assert {r["status"] for r in L.revised(stages, edges).collect()} == {"pending"}
-    sig = {r["stage"]: r["signature"] for r in L.signatures(stages, edges).collect()}
-    assert set(sig) == {"a", "b", "c"} and len(set(sig.values())) == 3
-
-
 def test_short_strata_and_incomplete_grids(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "type string, id long")
     assert R.stratified(rows, "type", "id", 2, "s").count() == 3
@@ -120,16 +113,10 @@ def test_decisions(spark):
     assert sorted(got) == sorted(["accepted", "rejected", "out of date", "not under review", "incomplete", "incomplete", "not under review"])
 
 
-@pytest.mark.parametrize("depth", [1, 14, 200])
+@pytest.mark.parametrize("depth", [1, 14, 60])
 def test_chains_of_any_depth(spark, depth):
-    stages = spark.createDataFrame([(i, "artifact", "development") for i in range(depth)], "stage long, adapter string, split string")
     edges = spark.createDataFrame([(i, i - 1) for i in range(1, depth)], "stage long, needs long")
     assert L.ancestors(edges).count() == depth * (depth - 1) // 2
-    before = {r["stage"]: r["signature"] for r in L.signatures(stages, edges).collect()}
-    assert len(set(before.values())) == depth
-    other = stages.withColumn("adapter", F.when(F.col("stage") == depth // 2, "freeze").otherwise(F.col("adapter")))
-    after = {r["stage"]: r["signature"] for r in L.signatures(other, edges).collect()}
-    assert [i for i in range(depth) if before[i] != after[i]] == [*range(depth // 2, depth)]
 
 
 def test_diamonds_and_cycles(spark):
@@ -207,24 +194,6 @@ def test_pointer():
     assert T.pointer_path("/a~1b/0/c~0d") == "$['a/b'][0]['c~d']"
 
 
-STAGE = "stage string, place int, adapter string, split string, status string, attempts int, max_attempts int, paid boolean, changed boolean"
-
-
-def test_what_may_run_and_what_leaks(spark):
-    rows = [
-        ("sources", 0, "artifact", "development", "accepted", 1, 2, False, False), ("idea", 1, "proposal", "development", "awaiting_review", 1, 2, True, False),
-        ("trial", 2, "tabular_experiment", "development", "pending", 0, 2, False, False), ("paid", 3, "tabular_experiment", "development", "pending", 0, 2, True, False),
-        ("held", 4, "tabular_experiment", "holdout", "pending", 2, 2, False, False), ("late", 5, "proposal", "development", "pending", 0, 2, False, False),
-    ]
-    stages = spark.createDataFrame(rows, STAGE)
-    edges = spark.createDataFrame([("trial", "sources"), ("paid", "sources"), ("held", "trial"), ("late", "held"), ("idea", "late")], "stage string, needs string")
-    names = lambda df: sorted(r["stage"] for r in df.collect())
-    assert names(L.runnable(stages, edges)) == ["trial"] and names(L.runnable(stages, edges, paid=True)) == ["paid", "trial"]
-    assert names(L.leaks(stages, edges)) == ["idea", "late"] and names(L.unfrozen_holdouts(stages, edges)) == ["held"]
-    assert names(L.out_of_order(stages, edges)) == ["idea"]
-    assert {r["stage"]: r["verdict"] for r in L.retries(stages.withColumn("status", F.lit("failed"))).collect()}["held"] == "holdout"
-
-
 def tables(spark, folder, **named):
     for name, (rows, schema) in named.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
@@ -240,6 +209,32 @@ def test_every_excerpt_is_sought_in_every_document(spark, tmp_path):
     assert {i for _, i, _ in want} == set(range(60)) - {i for i in range(60) if i % 3 == 0 and (59 - i) % 3 == 0}
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 64])
+def test_excerpts_of_any_length_and_number(spark, monkeypatch, piece):
+    monkeypatch.setattr(excerpts, "PIECE", piece)
+    rng = random.Random(piece)
+    docs = [(i, "".join(rng.choice("abé😀 ") for _ in range(rng.choice([0, 3, 14, 15, 400])))) for i in range(40)] + [(41, None), (None, "ab" * 50), (7, "aaaaaaaaaa" * 30), (7, "again abab")]
+    texts = [t for _, t in docs if t]
+    items = []
+    for k in range(120):
+        t = rng.choice(texts)
+        at, n = rng.randrange(len(t)), rng.choice([1, 2, 7, 14, 15, 16, 40, 200])
+        items.append((k, t[at : at + n] + rng.choice(["", "", "x"])))
+    items += [(200, None), (201, ""), (202, "a" * 300), (203, items[0][1]), (204, "a" * 15)]
+    want = {}
+    for i, t in docs:
+        for k, x in items:
+            if t and x and x in t:
+                want[i, k] = min(t.find(x), want.get((i, k), 1 << 30))
+    found = excerpts.locate(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item long, excerpt string"))
+    assert {(r["id"], r["item"]): r["place"] for r in found.collect()} == want
+
+
+def test_no_excerpts(spark):
+    docs, items = spark.createDataFrame([(1, "text")], "id long, text string"), spark.createDataFrame([(1, "x")], "item long, excerpt string")
+    assert excerpts.locate(docs, items.limit(0)).count() == 0 and excerpts.locate(docs.limit(0), items).count() == 0
+
+
 def test_credentials_are_found_and_redacted(spark, tmp_path):
     key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----"
     secrets = ["sk-" + "a" * 24, "ghp_" + "b" * 30, "github_pat_" + "c" * 30, key, "AKIA" + "D" * 16]
