@@ -1,13 +1,11 @@
-"""Queries that write files to the shared folder and read them again, and checks of documents; and their SQL."""
+"""Queries that write files to the shared folder and read them again; and their SQL."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
 from ..sources import files
 from ..sources import tables as S
 from ..sources.shared import shared_folder
@@ -99,131 +97,20 @@ def file_attempts(spark, d):
 
 
 def response_frames(spark, d):
-    """Payloads of a stream's data lines, up to its end mark."""
+    """Each user's events as a streamed response: views and purchases are data, clicks end frames, some errors the stream."""
     e = S.table(spark, d, "events")
-    line = F.when(F.col("event_id") == 700, "data: [DONE]").when(F.col("event_id") % 3 == 0, F.lit(": keep-alive")).otherwise(F.concat(F.lit("data: "), F.col("props")))
-    return files.response_frames(e.select(F.col("event_id").alias("pos"), line.alias("line")))
+    kind = F.col("event_type")
+    line = F.when(kind == "click", "").when(kind == "view", F.concat(F.lit("data: "), "props")).when(kind == "purchase", F.concat(F.lit("data:"), F.col("event_id").cast("string"), F.lit("\r")))
+    line = line.when(F.col("value") > 90, "data: [DONE]").otherwise(": keep-alive")
+    return files.response_frames(e.select(F.col("user_id").alias("stream"), F.col("event_id").alias("pos"), line.alias("line")), 1500)
 
 
-# ------------------------------------------------ checks of documents
-def _checked(docs: DataFrame, errors) -> DataFrame:
-    return rules.judged_rows(docs, errors, "id", "doc")
-
-
-def _if(condition: str, wrong, right):
-    return F.when(F.expr(condition), wrong if hasattr(wrong, "alias") else F.lit(wrong)).otherwise(right if hasattr(right, "alias") else F.lit(right))
-
-
-def _list(*items):
-    return F.array(*map(F.lit, items))
-
-
-def _shared(k: str):
-    """The fields that plans and campaigns share, some of them out of range."""
-    return {
-        "title": _if(f"{k} % 5 = 0", " ", "t"), "question": F.lit("q"), "hypothesis": F.lit("h"), "experiment": F.lit("e"), "primary_metric": F.lit("accuracy"),
-        "direction": _if(f"{k} % 6 = 0", "up", "maximize"), "timeout_seconds": _if(f"{k} % 7 = 0", 0, 60), "max_attempts": _if(f"{k} % 8 = 0", 4, 2), "limitations": _list("few"),
-    }
-
-
-def _doc(fields: dict):
-    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("doc")
-
-
-def check_plans(spark, d):
-    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    fields = {"schema_version": _if("id % 9 = 0", 3, 1), **_shared("id")} | {
-        "methods": _if("id % 10 = 0", _list("a", "a"), _list("a", "b")), "baseline": _if("id % 11 = 0", "c", "a"),
-        "seeds": _if("p_size < 5", _list(1), _list(1, 2)), "references": F.array(F.struct(_if("id % 13 = 0", "ftp://x", "https://x").alias("url"))),
-    }
-    return _checked(p.select("id", _doc(fields)), rules.plan_errors)
-
-
-def check_campaigns(spark, d):
-    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    fields = {"schema_version": F.lit(2), **_shared("id")} | {
-        "baseline": _if("id % 9 = 0", "x", "a"), "candidates": _list("x", "y"), "ablations": _if("id % 10 = 0", _list("y"), _list("z")),
-        "development_seeds": _list(1, 2), "holdout_seeds": _if("id % 11 = 0", _list(2, 3), _list(3, 4)),
-        "budget": F.struct(F.lit(10).alias("max_attempts"), _if("id % 12 = 0", -1, 100).alias("max_timeout_seconds")),
-        "search": F.struct(F.lit(3).alias("max_trials"), F.lit(2).alias("patience"), F.lit(0.01).alias("min_improvement")), "sources": _list("s"),
-    }
-    return _checked(p.select("id", _doc(fields)), rules.campaign_errors)
-
-
-def check_assignments(spark, d):
-    p = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    fields = {
-        "schema_version": F.lit(1), "task_id": F.col("c_name"), "model_alias": F.lit("m"), "research_question": _if("id % 5 = 0", "", "q"), "objective": F.lit("o"),
-        "boundaries": _if("id % 6 = 0", F.array().cast("array<string>"), _list("b")), "acceptance_checks": _list("c"), "context_files": _if("id % 7 = 0", _list(" "), _list("f")),
-        "evidence_ids": F.array().cast("array<string>"), "max_output_tokens": _if("id % 8 = 0", 0, 100),
-    }
-    more = {**fields, "extra": F.lit(1)}
-    return _checked(p.select("id", F.when(F.expr("id % 9 = 0"), _doc(more)).otherwise(_doc(fields)).alias("doc")), rules.assignment_errors)
-
-
-def check_feedback(spark, d):
-    p = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    comment = lambda i, bad: F.struct(F.lit(i).alias("id"), _if(f"id % {bad} = 0", "fatal", "minor").alias("severity"), F.lit("c").alias("comment"), _if("id % 7 = 0", " ", "a").alias("action"))
-    both = F.array(comment("1", 5), comment("2", 6).withField("id", _if("id % 8 = 0", "1", "2")))
-    return _checked(p.select("id", _doc({"reviewer": _if("id % 9 = 0", "", "r"), "comments": both})), rules.feedback_errors)
-
-
-def _suppliers(spark, d):
-    return S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-
-
-def check_results(spark, d):
-    fields = {
-        "method": _if("id % 5 = 0", "other", "m"), "seed": _if("id % 6 = 0", 2, 1),
-        "metrics": F.create_map(_if("id % 7 = 0", "loss", "accuracy"), F.lit(0.5)), "provenance": _if("id % 8 = 0", F.lit(None).cast("map<string,string>"), F.create_map(F.lit("by"), F.lit("us"))),
-    }
-    doc = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"}).alias("doc")
-    return _checked(_suppliers(spark, d).select("id", F.when(F.expr("id % 9 = 0"), "[]").otherwise(doc).alias("doc")), lambda r: rules.result_errors(r, "m", 1, "accuracy"))
-
-
-def check_reviews(spark, d):
-    finding = F.struct(_if("id % 6 = 0", "awful", "low").alias("severity"), F.lit("t").alias("text"), _if("id % 7 = 0", _list("e9"), _list("e1")).alias("evidence"))
-    fields = {"summary": _if("id % 5 = 0", "", "s"), "findings": F.array(finding)}
-    return _checked(_suppliers(spark, d).select("id", _doc(fields)), lambda r: rules.review_errors(r, {"e1", "e2"}))
-
-
-def check_routes(spark, d):
-    fields = {"max_input_bytes": _if("id % 5 = 0", 0, 1000), "reservation": _if("id % 6 = 0", 999, 2000), "roles": F.create_map(F.lit("reader"), _if("id % 7 = 0", "x", "m1"))}
-    return _checked(_suppliers(spark, d).select("id", _doc(fields)), lambda r: rules.route_errors(r, {"m1", "m2"}))
-
-
-def check_receipts(spark, d):
-    fields = {
-        "status": _if("id % 5 = 0", "lost", "submitted"), "token_sha256": _if("id % 6 = 0", "t2", "t1"), "pdf_sha256": F.lit("p1"),
-        "time": _if("id % 7 = 0", "2026-01-01T00:00:00", "2026-01-01T00:00:00+00:00"), "destination": F.lit("d"), "venue": _if("id % 8 = 0", "", "v"),
-    }
-    return _checked(_suppliers(spark, d).select("id", _doc(fields)), lambda r: rules.receipt_errors(r, "t1", "p1"))
-
-
-def check_projects(spark, d):
-    """Two stages and a holdout each; some ids, dependencies and freezes are wrong."""
-    stage = lambda i, needs, adapter, split: F.struct(i.alias("id"), needs.alias("needs"), F.lit(adapter).alias("adapter"), F.lit(split).alias("split"))
-    stages = F.array(
-        stage(_if("id % 5 = 0", "a b", "a"), F.array().cast("array<string>"), "artifact", "development"),
-        stage(F.lit("f"), _if("id % 6 = 0", _list("z"), F.array().cast("array<string>")), "freeze", "development"),
-        stage(F.lit("h"), _if("id % 7 = 0", F.array().cast("array<string>"), _list("f")), "tabular_experiment", "holdout"),
-    )
-    return _checked(_suppliers(spark, d).select("id", F.to_json(stages).alias("doc")), rules.project_errors)
-
-
-def _said(*pairs: tuple[str, str]) -> str:
-    cases = ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in pairs)
-    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '; ')"
-
-
-_SUPPLIERS = "WITH s AS (SELECT s_suppkey AS id FROM supplier) SELECT id, "
-_SHARED = (("id % 5 = 0", "texts must not be empty"), ("id % 6 = 0", "direction is maximize or minimize"), ("id % 7 = 0", "timeout is within a day"), ("id % 8 = 0", "one to three attempts"))
 _DOCS = """docs AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN left(doc, 9) ELSE doc END || chr(10) AS t, n_nationkey % 4 > 0 AS ok, n_name AS name, n_nationkey * 3 AS jobs
   FROM (SELECT *, '{"name":"' || n_name || '","jobs":' || (n_nationkey * 3) || '}' AS doc FROM nation))"""
 
 
 def queries() -> dict:
-    named = (file_lines, file_csv, file_event_tail, file_states, file_previews, file_manifests, file_sizes, file_snapshot, file_attempts, response_frames, check_plans, check_campaigns, check_assignments, check_feedback, check_results, check_reviews, check_routes, check_receipts, check_projects)
+    named = (file_lines, file_csv, file_event_tail, file_states, file_previews, file_manifests, file_sizes, file_snapshot, file_attempts, response_frames)
     return {f.__name__: f for f in named}
 
 
@@ -238,14 +125,11 @@ def oracle_sql() -> dict[str, str]:
         "file_sizes": f"WITH {_DOCS} SELECT k, CAST(strlen(t) AS BIGINT) AS length FROM docs WHERE strlen(t) <= 30",
         "file_snapshot": "SELECT DISTINCT sha256(p_type) AS sha256, p_type AS text FROM part",
         "file_attempts": "SELECT count(*) AS attempts, count(*) FILTER (n_nationkey % 5 = 0) AS failed, sum(n_nationkey * 0.25::DOUBLE) AS wall_seconds, sum(60.0::DOUBLE) AS reserved_seconds FROM nation",
-        "response_frames": "SELECT event_id AS pos, props AS payload FROM events WHERE event_id < 700 AND event_id % 3 > 0",
-        "check_plans": "SELECT id, " + _said(("id % 9 = 0", "unknown version"), *_SHARED, ("id % 10 = 0", "two to ten distinct methods"), ("id % 11 = 0", "baseline is a method"), ("p_size < 5", "two to thirty distinct seeds"), ("id % 13 = 0", "references have web addresses")) + " AS errors FROM (SELECT p_partkey AS id, p_size FROM part)",
-        "check_campaigns": "SELECT id, " + _said(*_SHARED, ("id % 9 = 0", "baseline is neither candidate nor ablation"), ("id % 10 = 0", "a candidate is no ablation"), ("id % 11 = 0", "no seed is in both splits"), ("id % 12 = 0", "budget out of range")) + " AS errors FROM (SELECT p_partkey AS id FROM part)",
-        "check_assignments": "SELECT id, CASE WHEN id % 9 = 0 THEN 'fields differ from the schema' ELSE " + _said(("id % 5 = 0", "a text is empty"), ("id % 7 = 0", "a list holds something else than texts"), ("id % 6 = 0", "boundaries and checks are needed"), ("id % 8 = 0", "output limit out of range")) + " END AS errors FROM (SELECT c_custkey AS id FROM customer)",
-        "check_results": _SUPPLIERS + "CASE WHEN id % 9 = 0 THEN 'no metrics' ELSE " + _said(("id % 5 = 0 OR id % 6 = 0", "identity differs"), ("id % 7 = 0", "the primary metric is missing"), ("id % 8 = 0", "no provenance")) + " END AS errors FROM s",
-        "check_reviews": _SUPPLIERS + _said(("id % 5 = 0", "summary is empty"), ("id % 6 = 0", "finding out of schema"), ("id % 7 = 0", "unknown evidence")) + " AS errors FROM s",
-        "check_routes": _SUPPLIERS + _said(("id % 5 = 0", "input bytes out of range"), ("id % 6 = 0 AND id % 5 > 0", "reservation below the input''s bytes"), ("id % 7 = 0", "a role has an unknown alias")) + " AS errors FROM s",
-        "check_receipts": _SUPPLIERS + _said(("id % 5 = 0", "unknown status"), ("id % 6 = 0", "digests differ"), ("id % 7 = 0", "time has no zone"), ("id % 8 = 0", "destination and venue are needed")) + " AS errors FROM s",
-        "check_projects": _SUPPLIERS + _said(("id % 5 = 0", "bad or repeated id ''a b''"), ("id % 6 = 0", "f needs z, which doesn''t stand before it"), ("id % 7 = 0", "h is a holdout without a freeze")) + " AS errors FROM s",
-        "check_feedback": "SELECT id, " + _said(("id % 9 = 0", "reviewer is empty"), ("id % 7 = 0", "comment out of schema"), ("id % 8 = 0", "repeated id"), ("id % 5 = 0 OR id % 6 = 0", "unknown severity")) + " AS errors FROM (SELECT c_custkey AS id FROM customer)",
+        "response_frames": """WITH l AS (SELECT user_id AS stream, event_id AS pos, CASE event_type WHEN 'click' THEN '' WHEN 'view' THEN 'data: ' || props WHEN 'purchase' THEN 'data:' || event_id ELSE CASE WHEN value > 90 THEN 'data: [DONE]' ELSE ': keep-alive' END END AS line,
+  CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS ends FROM events),
+f AS (SELECT *, count(*) FILTER (line = '') OVER (PARTITION BY stream ORDER BY pos) - CAST(line = '' AS INT) AS frame FROM l),
+g AS (SELECT stream, frame, string_agg(ltrim(substr(line, 6)), chr(10) ORDER BY pos) FILTER (starts_with(line, 'data:')) AS payload, sum(strlen(line) + ends) AS bytes FROM f GROUP BY ALL),
+h AS (SELECT *, coalesce(count(*) FILTER (payload = '[DONE]') OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM g),
+t AS (SELECT *, sum(bytes) OVER (PARTITION BY stream) AS total FROM h WHERE ended = 0)
+SELECT stream, frame, payload FROM t WHERE payload IS NOT NULL AND payload <> '[DONE]' AND total <= 1500 UNION ALL SELECT DISTINCT stream, NULL, NULL FROM t WHERE payload IS NOT NULL AND payload <> '[DONE]' AND total > 1500""",
     }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, memory, records, retrieval, streams
+from . import checks, documents, memory, records, retrieval, streams
 
-_MODULES = (retrieval, memory, records, streams, documents)
+_MODULES = (retrieval, memory, records, streams, documents, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -119,8 +119,27 @@ def snapshot(files: DataFrame, path: str) -> None:
     digest.dropDuplicates(["sha256"]).write.mode("errorifexists").partitionBy("sha256").parquet(path)
 
 
-def response_frames(lines: DataFrame) -> DataFrame:
-    """JSON payloads of `data:` lines (pos, line), up to the end mark."""
-    data = lines.filter(F.startswith("line", F.lit("data:"))).select("pos", F.trim(F.expr("substring(line, 6)")).alias("payload"))
-    end = data.filter("payload = '[DONE]'").agg(F.min("pos").alias("end"))
-    return data.crossJoin(F.broadcast(end)).filter("payload <> '[DONE]' AND (end IS NULL OR pos < end)").select("pos", "payload")
+#: Fixed value: bytes of a response from which it is refused.
+RESPONSE_BYTES = 16 << 20
+
+
+def response_frames(lines: DataFrame, limit: int = RESPONSE_BYTES) -> DataFrame:
+    """stream, frame (from 0), payload: a stream's frames up to its end mark. Of a frame, which a blank line ends, the
+    `data:` lines count, joined by line feeds. lines: stream, pos, line. A stream of more than `limit` bytes up to its end
+    mark is refused as a whole: its only row has a null frame. So no window holds more than that of a stream that counts."""
+    by = Window.partitionBy("stream").orderBy("pos")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    plain = F.regexp_replace("line", r"[\r\n]+\z", "")
+    cut_lines = lines.select("stream", "pos", plain.alias("line"), (F.octet_length("line") + 1).alias("bytes"))
+    # what comes after the limit can't be read any more, but one line tells that it is there
+    cut_lines = cut_lines.withColumn("so_far", F.coalesce(F.sum("bytes").over(before), F.lit(0))).filter(F.col("so_far") <= limit)
+    numbered = cut_lines.withColumn("frame", F.coalesce(F.sum((F.col("line") == "").cast("int")).over(before), F.lit(0)))
+    data = F.when(F.startswith("line", F.lit("data:")), F.regexp_replace(F.expr("substring(line, 6)"), r"(?U)\A[\s\x1c-\x1f]+", ""))
+    frames = numbered.groupBy("stream", "frame").agg(F.sort_array(F.collect_list(F.when(data.isNotNull(), F.struct("pos", data.alias("x"))))).alias("parts"), F.sum("bytes").alias("bytes"))
+    frames = frames.withColumn("payload", F.array_join("parts.x", "\n"))
+    turns = Window.partitionBy("stream").orderBy("frame")
+    ended = F.coalesce(F.max((F.col("payload") == "[DONE]").cast("int")).over(turns.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    live = frames.withColumn("ended", ended).filter("ended = 0").withColumn("total", F.sum("bytes").over(Window.partitionBy("stream")))
+    live = live.filter("size(parts) > 0 AND payload <> '[DONE]'")
+    read = live.filter(F.col("total") <= limit).select("stream", F.col("frame").cast("long").alias("frame"), "payload")
+    return read.union(live.filter(F.col("total") > limit).select("stream", F.lit(None).cast("long"), F.lit(None).cast("string")).distinct())

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.functions import rules
 from tallybrook.functions import text as T
 from tallybrook.operators import excerpts
 from tallybrook.operators import lineage as L
@@ -151,36 +150,21 @@ def test_files(spark, tmp_path):
     blobs = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"a"),), (bytearray(b"b"),)], "content binary")
     files.snapshot(blobs, f"{tmp_path}/blobs")
     assert spark.read.parquet(f"{tmp_path}/blobs").count() == 2
-    lines = spark.createDataFrame([(0, 'data: {"a":1}'), (1, ": ping"), (2, "data: [DONE]"), (3, "data: {}")], "pos int, line string")
-    assert [r["payload"] for r in files.response_frames(lines).collect()] == ['{"a":1}']
 
 
-PLAN = {
-    "schema_version": 1, "title": "t", "question": "q", "hypothesis": "h", "experiment": "e", "methods": ["a", "b"], "baseline": "a", "seeds": [1, 2], "primary_metric": "m",
-    "direction": "maximize", "timeout_seconds": 10, "max_attempts": 1, "limitations": [], "references": [{"title": "x", "url": "https://example.org", "note": ""}],
-}
-
-
-def test_plan_rules():
-    assert rules.plan_errors(PLAN) == []
-    for change in ({"seeds": [1, 1]}, {"seeds": [True, 2]}, {"methods": ["a"]}, {"baseline": "z"}, {"timeout_seconds": float("inf")}, {"max_attempts": 4}, {"title": " "}, {"extra": 1}):
-        assert rules.plan_errors(PLAN | change), change
-
-
-def test_campaign_rules():
-    c = {k: v for k, v in PLAN.items() if k not in ("methods", "seeds", "references")} | {"schema_version": 2, "candidates": ["b"], "ablations": ["c"], "development_seeds": [1, 2], "holdout_seeds": [3, 4], "budget": {"max_attempts": 14, "max_timeout_seconds": 100}, "search": {"max_trials": 2, "patience": 2, "min_improvement": 0.0}, "sources": []}
-    assert rules.campaign_errors(c) == [] and rules.holdout_reserve(c) == 10
-    assert rules.campaign_errors(c | {"holdout_seeds": [2, 3]}) and rules.campaign_errors(c | {"ablations": ["b"]})
-
-
-def test_other_rules():
-    assert rules.project_errors([{"id": "a"}, {"id": "f", "adapter": "freeze", "needs": ["a"]}, {"id": "h", "split": "holdout", "needs": ["f"]}]) == []
-    assert len(rules.project_errors([{"id": "h", "split": "holdout", "needs": ["x"]}])) == 2
-    assert rules.result_errors({"method": "a", "seed": 1, "metrics": {"m": True}, "provenance": {}}, "a", 1, "m")
-    assert rules.digest_ok("0" * 64) and not rules.digest_ok("0" * 63 + "G")
-    assert rules.fenced_json('```json\n{"a": 1}\n```') == {"a": 1}
-    with pytest.raises(ValueError):
-        rules.fenced_json("[1]")
+def test_frames_of_responses(spark):
+    """Several data lines make a frame; the end mark ends a stream, and too many bytes refuse it."""
+    streams = {
+        1: ["data: {", "data:  1}", "", "event: x", "data: 2", ": ping", "", "", "data: [DONE]", "", "data: late", ""],
+        2: ["data: a\r", "\r", "data: b"],
+        3: ["data: " + "x" * 100, "", "data: y", ""],
+        4: ["data: [DONE]", "", "data: " + "x" * 100],
+        5: [": only", ""],
+        6: ["data:", ""],
+    }
+    rows = [(s, i, x) for s, lines in streams.items() for i, x in enumerate(lines)]
+    got = files.response_frames(spark.createDataFrame(rows, "stream long, pos int, line string").repartition(5), 90).collect()
+    assert sorted(((r["stream"], r["frame"], r["payload"]) for r in got), key=repr) == [(1, 0, "{\n1}"), (1, 1, "2"), (2, 0, "a"), (2, 1, "b"), (3, None, None), (6, 0, "")]
 
 
 def test_generators_are_stable(spark):
