@@ -2,12 +2,14 @@
 
 1. Texts are read once: parts of some MB hold their documents as numbers of the part's own words, and send their words
    with training counts to word buckets. Buckets sum them, which gives tokens and distinct words, and number their words.
-2. The `SEEDS` most frequent words are clustered first, by exchange on the driver (their bigrams are a table of fixed
-   size). This is only where the classes start from.
-3. Then every word of the training documents, frequent or seen once, takes part in `ROUNDS` rounds of exchange: parts
-   count the classes before and after each of their words, buckets sum these counts, and each word moves to the class
-   that raises the class bigram likelihood most, all others staying where they are. The bigrams of classes are summed
-   anew over all training documents in each round; a round after which they are less likely is taken back.
+2. There are as many classes as the cube root of the vocabulary, `LEAST_CLASSES` at least. Twice as many of the most
+   frequent words are clustered first, by exchange on the driver (their bigrams are a table of that size). This is only
+   where the classes start from.
+3. Then every word of the training documents, frequent or seen once, takes part in rounds of exchange: parts count the
+   classes before and after each of their words, buckets sum these counts, and each word moves to the class that raises
+   the class bigram likelihood most, all others staying where they are. The bigrams of classes are summed anew over all
+   training documents in each round; a round after which they are less likely is taken back, and when a round gains less
+   than `GAIN` a token, it was the last.
 4. Parts fetch counts and final classes of their words; transitions are counted over all training documents. A text's
    score sums log10 of P(class | class before) * P(word | class) over its words and the end.
 
@@ -33,21 +35,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import cogrouped, grouped, pack, table_of, unpack
-from .common import chunk_count, cut
+from .common import chunk_count, cut, discard
 
 MODULUS, REMAINDER = 7, 2
-#: Words that are clustered on the driver before all words are, everywhere.
+#: Words, at least, that are clustered on the driver before all words are, everywhere.
 SEEDS = 256
-#: Classes of words, the end's own class 0 included; and rounds of exchange over all words.
-CLASSES = 32
-ROUNDS = 2
+#: Classes of words, at least, the end's own class 0 included.
+LEAST_CLASSES = 32
+#: Distinct words of a split, at most about; with the splits they say how many words may be clustered first.
+WORDS_A_SPLIT = 100_000
+#: What a round of exchange must add to the log likelihood (natural) of a token for another one to follow.
+GAIN = 0.05
 #: Rounds of the exchange among the first words.
 FIRST_ROUNDS = 20
 #: Bytes of text in a part, and in a piece of a text.
 PART, PIECE = 8 << 20, 1 << 20
 TRANSITION, DISCOUNT = 20.0, 0.75
-#: Marks of a token's word: seen once, and never.
-ONCE, NEVER = 64, 128
+#: Marks of a token's word: seen once, and never. Classes are numbered below them.
+ONCE, NEVER = 1 << 14, 1 << 15
+_CODE = np.uint16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -283,8 +289,9 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, rounds: int = FIRST_
 
 
 # ------------------------------------------------ exchange over all words
-#: Context counts up to which gains come from tables.
-_TABLED = 16
+#: Context counts up to which gains come from tables, and entries of such tables; gains weighed at once.
+_TABLED, _TABLE = 16, 1 << 24
+_WEIGHED = 1 << 22
 
 
 def place(m: np.ndarray, of: np.ndarray, counts: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray, batch: int = 4096) -> np.ndarray:
@@ -297,14 +304,20 @@ def place(m: np.ndarray, of: np.ndarray, counts: np.ndarray, word: np.ndarray, s
     # into an empty class all words would move at once
     closed = m.sum(0) + m.sum(1) == 0
     closed[0] = True
-    x = np.arange(1, _TABLED + 1)[:, None, None]
+    tabled = max(1, min(_TABLED, _TABLE // (k * k)))
+    x = np.arange(1, tabled + 1)[:, None, None]
     sides = []
     for side in (m, m.T):
         turned = np.ascontiguousarray(side.T.astype(float))  # context, class
         sides.append((turned, (_f(turned + x) - _f(turned)), turned.sum(0)))
-    bounds = np.searchsorted(word, np.arange(0, len(of) + batch, batch))
-    for first, s, e in zip(range(0, len(of), batch), bounds[:-1], bounds[1:], strict=False):
-        own = of[first : first + batch]
+    until = np.searchsorted(word, np.arange(len(of) + 1))
+    last = 0
+    while last < len(of):
+        first = last
+        # as many words as a batch has, and as few as have entries enough
+        last = max(first + 1, min(first + batch, int(np.searchsorted(until, until[first] + _WEIGHED // k, "right")) - 1))
+        s, e = until[first], until[min(last, len(of))]
+        own = of[first:last]
         i = np.arange(len(own))
         gain = np.zeros((len(own), k))
         for side, (base, table, total) in enumerate(sides):
@@ -312,8 +325,8 @@ def place(m: np.ndarray, of: np.ndarray, counts: np.ndarray, word: np.ndarray, s
             w, c, v = word[s:e][mine] - first, slot[s:e][mine] - side * k, n[s:e][mine]
             if not len(w):
                 continue
-            up = table[np.minimum(v, _TABLED) - 1, c]
-            many = np.flatnonzero(v > _TABLED)
+            up = table[np.minimum(v, tabled) - 1, c]
+            many = np.flatnonzero(v > tabled)
             up[many] = _f(base[c[many]] + v[many, None]) - _f(base[c[many]])
             stays = base[c, own[w]]
             up[np.arange(len(w)), own[w]] = _f(stays) - _f(stays - v)
@@ -325,8 +338,8 @@ def place(m: np.ndarray, of: np.ndarray, counts: np.ndarray, word: np.ndarray, s
             gain -= down
         gain[:, closed] = -np.inf
         best = gain.argmax(1)
-        better = (counts[first : first + batch] > 0) & (gain[i, best] > gain[i, own] + 1e-9)
-        out[first : first + batch] = np.where(better, best, own)
+        better = (counts[first:last] > 0) & (gain[i, best] > gain[i, own] + 1e-9)
+        out[first:last] = np.where(better, best, own)
     return out
 
 
@@ -335,7 +348,7 @@ _STATE = "bucket int, blob binary, class int, words long, tokens long"
 
 def _state_rows(bucket: int, counts: np.ndarray, of: np.ndarray, classes: int) -> pa.Table:
     """A bucket's counts and classes; and how many words and tokens each class has there."""
-    rows = [(bucket, pack(counts, of.astype(np.uint8)), None, None, None)]
+    rows = [(bucket, pack(counts, of.astype(_CODE)), None, None, None)]
     words, tokens = np.bincount(of[counts > 0], minlength=classes), np.bincount(of, counts, classes)
     rows += [(None, None, k, int(words[k]), int(tokens[k])) for k in range(classes) if words[k]]
     return table_of(rows, [x.split()[0] for x in _STATE.split(", ")], [pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()])
@@ -384,20 +397,18 @@ def _contexts(classes: int):
             ids, of = read.told(_told(told), (0, 0))
             of = of.astype(np.int64)
             a, b = read.steps()
-            size = len(of)
             found = []
             for side, (at, by) in enumerate(((a, b), (b, a))):
-                n = np.bincount(at * classes + of[by], minlength=size * classes)
-                keys = np.flatnonzero(n[classes:]) + classes  # not those of the end
-                found.append((keys // classes, keys % classes + side * classes, n[keys]))
+                keys, n = np.unique(at[at > 0] * classes + of[by][at > 0], return_counts=True)  # not those of the end
+                found.append((keys // classes, keys % classes + side * classes, n))
             word, slot, n = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((slot, word, read.bucket[word - 1]))
-            word, slot, n = word[order], slot[order].astype(np.uint8), n[order].astype(np.uint32)
+            word, slot, n = word[order], slot[order].astype(_CODE), n[order].astype(np.uint32)
             bucket = read.bucket[word - 1].astype(np.int64)
             bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 starts = np.flatnonzero(np.diff(word[s:e], prepend=0))
-                each = np.diff(starts, append=e - s).astype(np.uint8)
+                each = np.diff(starts, append=e - s).astype(_CODE)
                 rows.append((int(bucket[s]), pack(ids[word[s:e][starts]].astype(np.uint32), each, slot[s:e], n[s:e])))
         return table_of(rows, ["bucket", "blob"], [pa.int32(), pa.binary()])
 
@@ -410,16 +421,22 @@ def _merge(classes: int):
     def run(key, table, state):
         slots = 2 * classes
         counts, of = unpack(state["blob"][0].as_py())
-        total = np.zeros(len(counts) * slots)
-        for blob in table["blob"].to_pylist():
-            ids, each, slot, n = unpack(blob)
-            total[np.repeat(ids.astype(np.int64), each) * slots + slot] += n  # no key stands twice in a run
-        keys = np.flatnonzero(total)
-        word, slot, n = keys // slots, keys % slots, total[keys].astype(np.int64)
+        keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for blob in table["blob"]:
+            ids, each, slot, n = unpack(blob.as_py())
+            keys.append(np.repeat(ids.astype(np.int64), each) * slots + slot)
+            times.append(n)
+        keys, times = np.concatenate(keys), np.concatenate(times)
+        order = np.argsort(keys, kind="stable")  # runs are sorted
+        keys, times = keys[order], times[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        n = np.add.reduceat(times.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+        word, slot = keys[starts] // slots, keys[starts] % slots
         after = slot < classes
-        m = np.bincount(of[word[after]].astype(np.int64) * classes + slot[after], n[after], classes * classes).astype(np.int64).reshape(classes, classes)
-        rows = [(key[0].as_py(), pack(counts, of, word.astype(np.uint32), slot.astype(np.uint8), n), None, None, None)]
-        rows += [(None, None, int(a), int(b), int(m[a, b])) for a, b in np.argwhere(m)]
+        pairs, inverse = np.unique(of[word[after]].astype(np.int64) * classes + slot[after], return_inverse=True)
+        m = np.bincount(inverse, n[after], len(pairs)).astype(np.int64)
+        rows = [(key[0].as_py(), pack(counts, of, word.astype(np.uint32), slot.astype(_CODE), n), None, None, None)]
+        rows += [(None, None, int(k // classes), int(k % classes), int(v)) for k, v in zip(pairs, m, strict=True)]
         return table_of(rows, ["bucket", "blob", "a", "b", "n"], [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()])
 
     return run
@@ -437,22 +454,32 @@ def _move(m: np.ndarray):
 
 
 # ------------------------------------------------ the model
+def classes_for(words: int) -> int:
+    """Classes of a vocabulary: its cube root."""
+    return min(ONCE, max(LEAST_CLASSES, round(max(words, 0) ** (1 / 3))))
+
+
 class Model:
     """Parts of a corpus, classes of its words, and what emissions need."""
 
-    def __init__(self, docs: DataFrame, classes: int = CLASSES, seeds: int = SEEDS, rounds: int = ROUNDS):
-        if not 3 <= classes <= ONCE:
+    def __init__(self, docs: DataFrame, classes: int | None = None, seeds: int | None = None, rounds: int | None = None):
+        """classes: by default the cube root of the vocabulary; seeds: twice that; rounds: as many as gain enough."""
+        if classes is not None and not 3 <= classes <= ONCE:
             raise ValueError(f"classes must be from 3 to {ONCE}")
         buckets = chunk_count(docs)
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.all_parts = parts = cut(own.mapInArrow(_read_parts(buckets), "part long, bucket int, blob binary"))
         self.parts = parts.filter("bucket IS NULL").select("part", "blob")
-        tally = cut(parts.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(grouped(_tally(seeds)), _TALLY))
+        # the first words lie about evenly in the buckets, so each tells some more than its share
+        most = seeds or max(SEEDS, 2 * classes_for(buckets * WORDS_A_SPLIT))
+        tally = cut(parts.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(grouped(_tally(min(most, 4 * most // buckets + 64))), _TALLY))
         self.maps = tally.filter("part IS NOT NULL").select("part", "bucket", "blob")
+        words, distinct = tally.filter("part IS NULL AND blob IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("id"), F.lit(0))).first()
+        classes = classes or classes_for(distinct)
+        seeds = seeds or max(SEEDS, 2 * classes)
         first = tally.filter("word IS NOT NULL").orderBy(F.desc("tokens"), "word").limit(seeds).collect()
         bigrams = _summed(parts.mapInArrow(_count_first({bytes(r["word"]): i for i, r in enumerate(first)}), "a int, b int, n long"), (len(first) + 2,) * 2)
         ends = int(bigrams[-1].sum())
-        words, distinct = tally.filter("part IS NULL AND blob IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("id"), F.lit(0))).first()
         self.classes, self.ends = classes, ends
         self.tokens, self.distinct = words + ends, distinct + (ends > 0)
         of = exchange(bigrams, len(first), classes - 2)
@@ -463,13 +490,23 @@ class Model:
         state = cut(counts.mapInArrow(_start(start, classes), _STATE))
         #: What the last round began with, and its likelihood.
         self.before, self.reached = state, -np.inf
-        for _ in range(rounds):
+        done = 0
+        while rounds is None or done < rounds:
             merged, m = self._counted(state)
             if self.fell(m):
+                discard(merged, state)
                 state = self.before
                 break
+            enough = rounds is None and likelihood(m) - self.reached <= GAIN * self.tokens
+            if done:
+                discard(self.before)
             self.before, self.reached = state, likelihood(m)
-            state = cut(merged.mapInArrow(_move(m), _STATE))
+            if not enough:
+                state = cut(merged.filter("blob IS NOT NULL").select("bucket", "blob").mapInArrow(_move(m), _STATE))
+                done += 1
+            discard(merged)
+            if enough:
+                break
         self.use(state)
 
     def fell(self, m: np.ndarray) -> bool:
@@ -492,14 +529,14 @@ class Model:
         return self.maps.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(cogrouped(_tell(with_counts)), "part long, bucket int, blob binary")
 
     def _counted(self, state: DataFrame) -> tuple[DataFrame, np.ndarray]:
-        """Buckets with the contexts of their words, and the class bigrams."""
+        """Buckets with the contexts of their words (and what their class bigrams are), and the class bigrams."""
         held = state.filter("blob IS NOT NULL").select("bucket", "blob")
         contexts = self.parts.groupBy("part").cogroup(self.told(held, False).groupBy("part")).applyInArrow(cogrouped(_contexts(self.classes)), "bucket int, blob binary")
         merged = cut(contexts.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(cogrouped(_merge(self.classes)), "bucket int, blob binary, a int, b int, n long"))
         m = _summed(merged.filter("a IS NOT NULL").select("a", "b", "n"), (self.classes,) * 2)
         # each token has one before it: what no word is the first of, an end is
         m[0] = self._sums(state)[1].astype(np.int64) - m[1:].sum(0)
-        return merged.filter("blob IS NOT NULL").select("bucket", "blob"), m
+        return merged, m
 
     def unknown(self) -> np.ndarray:
         """Each class's probability of a word that no training document has; all of it where a class is empty."""
@@ -532,7 +569,7 @@ def _label(model: Model):
         out = emission(of, counts)
         mark = np.where(counts == 0, NEVER, np.where((counts == 1) & (of > 0), ONCE, 0))
         mark[0] = 0  # the end is never an unknown word
-        code = np.where(mark == NEVER, NEVER, of + mark).astype(np.uint8)
+        code = np.where(mark == NEVER, NEVER, of + mark).astype(_CODE)
         at = np.cumsum(read.sizes) - read.sizes
         sums = [np.add.reduceat(x[read.symbols], at) for x in ((counts > 0).astype(np.int64), base, out)]
         blob = pack(read.docs, read.held, read.sizes, *sums, code[read.symbols])

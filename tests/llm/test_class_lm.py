@@ -156,7 +156,8 @@ def test_long_and_repeated_texts_and_clashing_columns(spark, monkeypatch):
     assert [r[5] for r in got] == pytest.approx([r[5] for r in want])
 
 
-def test_place_is_the_best_move_of_either_side():
+@pytest.mark.parametrize(("weighed", "table"), [(1 << 22, 1 << 24), (20, 1)])
+def test_place_is_the_best_move_of_either_side(monkeypatch, weighed, table):
     rng = np.random.default_rng(3)
     n, k = 12, 5
     s = np.concatenate([[0], rng.integers(0, n, 4000) ** 2 % n])
@@ -185,7 +186,32 @@ def test_place_is_the_best_move_of_either_side():
             total -= f(size + sum(mine.values())) - f(size)
         return total
 
+    monkeypatch.setattr(lm, "_WEIGHED", weighed)
+    monkeypatch.setattr(lm, "_TABLE", table)
     got = lm.place(m, of, counts, word, slot, times, batch=5)
     for w in range(1, n):
         if counts[w]:
             assert gain(w, got[w]) == pytest.approx(max(gain(w, c) for c in range(1, k)))
+
+
+def test_classes_grow_with_the_vocabulary(spark, monkeypatch):
+    assert [lm.classes_for(n) for n in (0, 1000, 10**6, 10**9)] == [32, 32, 100, 1000]
+    rng = random.Random(3)
+    words = [f"{k}{i}" for k in range(300) for i in range(6)]  # a word of one group is followed by one of the next
+    rows = []
+    for i in range(400):
+        k = rng.randrange(300)
+        rows.append((i, " ".join(words[6 * ((k + j) % 300) + rng.randrange(6)] for j in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (sum(r["score"] for r in lm.score(df, classes=c).collect() if r["held_out"]) for c in (32, 320))
+    assert many > few + 1000  # more classes than a byte can number
+
+
+def test_rounds_go_on_while_they_gain(spark, monkeypatch):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, " ".join(f"{side}{int(rng.paretovariate(0.7)) % 500}" for _ in range(40) for side in "abc")) for i in range(150)], "doc_id long, text string")
+    found = []
+    for gain in (10.0, 0.05, 0.0):
+        monkeypatch.setattr(lm, "GAIN", gain)
+        found.append(lm.Model(df, classes=40, seeds=30).reached)
+    assert found[0] < found[1] <= found[2]
