@@ -100,7 +100,10 @@ def audit_diff(spark, d):
 
 # ------------------------------------------------ ledgers
 def _requests(spark, d):
-    e = S.table(spark, d, "events")
+    return requests_of(S.table(spark, d, "events"))
+
+
+def requests_of(e):
     k = F.get_json_object("props", "$.k").cast("long")
     even = F.col("event_id") % 2 == 0
     raw = F.struct(
@@ -154,16 +157,21 @@ def recent_requests(spark, d):
 REQUEST_EVENTS = {"settled": "model_completed", "unknown": "model_usage_unknown"}
 
 
-def _feed(spark, d):
-    """Run events, task events, model requests and project events in one feed."""
-    e = S.table(spark, d, "events").select(F.col("ts").cast("string").alias("time"), F.col("event_id").alias("id"), F.col("event_type").alias("event"), F.concat(F.lit("run-"), (F.col("user_id") % 24).cast("string")).alias("owner"))
-    o = S.table(spark, d, "orders").select(F.col("o_orderdate").cast("string").alias("time"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("pending").alias("event"))
+def feed_of(read):
+    """Run events, task events, model requests and project events in one feed. read: gives a table by its name, at rest or
+    as a stream."""
+    e = read("events").select(F.col("ts").cast("string").alias("time"), F.col("event_id").alias("id"), F.col("event_type").alias("event"), F.concat(F.lit("run-"), (F.col("user_id") % 24).cast("string")).alias("owner"))
+    o = read("orders").select(F.col("o_orderdate").cast("string").alias("time"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("pending").alias("event"))
     named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in REQUEST_EVENTS.items() for x in kv)), F.col("status")), F.lit("model_started"))
-    r = _requests(spark, d).select(F.col("ts").cast("string").alias("time"), F.col("pos").alias("id"), named.alias("event"), F.col("alias").alias("owner"))
-    p = S.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("string").alias("time"), F.col("l_orderkey").alias("id"), F.lit("stage_shipped").alias("event"), F.concat(F.lit("project-"), F.col("l_suppkey").cast("string")).alias("owner"))
+    r = requests_of(read("events")).select(F.col("ts").cast("string").alias("time"), F.col("pos").alias("id"), named.alias("event"), F.col("alias").alias("owner"))
+    p = read("lineitem").select(F.col("l_shipdate").cast("string").alias("time"), F.col("l_orderkey").alias("id"), F.lit("stage_shipped").alias("event"), F.concat(F.lit("project-"), F.col("l_suppkey").cast("string")).alias("owner"))
     return e.unionByName(o, allowMissingColumns=True).unionByName(r).unionByName(p)
 
 
+def _feed(spark, d):
+    return feed_of(lambda name: S.table(spark, d, name))
+
+
 def feed_top80(spark, d):
     return R.newest(_feed(spark, d)).select("id", "event", "owner")
 
