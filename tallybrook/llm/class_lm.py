@@ -2,7 +2,7 @@
 
 1. Texts are read once: parts of some MB hold their documents as numbers of the part's own words, and send their words
    with training counts to word buckets. Buckets sum them, which gives tokens and distinct words, and number their words.
-2. There are as many classes as the cube root of the vocabulary, `LEAST_CLASSES` at least. Twice as many of the most
+2. There are half as many classes as the cube root of the vocabulary, `LEAST_CLASSES` at least. Twice as many of the most
    frequent words are clustered first, by exchange on the driver (their bigrams are a table of that size). This is only
    where the classes start from.
 3. Then every word of the training documents, frequent or seen once, takes part in rounds of exchange: parts count the
@@ -45,7 +45,7 @@ LEAST_CLASSES = 32
 #: Distinct words of a split, at most about; with the splits they say how many words may be clustered first.
 WORDS_A_SPLIT = 100_000
 #: What a round of exchange must add to the log likelihood (natural) of a token for another one to follow.
-GAIN = 0.05
+GAIN = 0.1
 #: Rounds of the exchange among the first words.
 FIRST_ROUNDS = 20
 #: Bytes of text in a part, and in a piece of a text.
@@ -455,15 +455,15 @@ def _move(m: np.ndarray):
 
 # ------------------------------------------------ the model
 def classes_for(words: int) -> int:
-    """Classes of a vocabulary: its cube root."""
-    return min(ONCE, max(LEAST_CLASSES, round(max(words, 0) ** (1 / 3))))
+    """Classes of a vocabulary: half its cube root."""
+    return min(ONCE, max(LEAST_CLASSES, round(max(words, 0) ** (1 / 3) / 2)))
 
 
 class Model:
     """Parts of a corpus, classes of its words, and what emissions need."""
 
     def __init__(self, docs: DataFrame, classes: int | None = None, seeds: int | None = None, rounds: int | None = None):
-        """classes: by default the cube root of the vocabulary; seeds: twice that; rounds: as many as gain enough."""
+        """classes: by default half the cube root of the vocabulary; seeds: twice that; rounds: as many as gain enough."""
         if classes is not None and not 3 <= classes <= ONCE:
             raise ValueError(f"classes must be from 3 to {ONCE}")
         buckets = chunk_count(docs)

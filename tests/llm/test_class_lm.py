@@ -195,7 +195,7 @@ def test_place_is_the_best_move_of_either_side(monkeypatch, weighed, table):
 
 
 def test_classes_grow_with_the_vocabulary(spark, monkeypatch):
-    assert [lm.classes_for(n) for n in (0, 1000, 10**6, 10**9)] == [32, 32, 100, 1000]
+    assert [lm.classes_for(n) for n in (0, 1000, 10**6, 10**9)] == [32, 32, 50, 500]
     rng = random.Random(3)
     words = [f"{k}{i}" for k in range(300) for i in range(6)]  # a word of one group is followed by one of the next
     rows = []
