@@ -17,6 +17,7 @@ from ..operators import records as R
 from ..operators.excerpts import locate
 from ..sources import tables as S
 from . import memory as PM
+from .retrieval import weights_sql
 
 #: The invented texts' own forms of secrets, beside those of functions.text.
 SECRETS = (r"AKIA[0-9A-Z]{16}", r"token = \"[0-9a-f]{40}\"")
@@ -88,7 +89,8 @@ def holdout_claims(spark, d):
     r = _results(spark, d).filter("seed >= 12")
     base = r.filter(F.col("method") == BASELINE).select("seed", F.col("metric").alias("base"))
     diff = r.filter(F.col("method") != BASELINE).join(base, "seed").select("method", F.col("seed").alias("uid"), (F.col("metric") - F.col("base")).alias("delta"))
-    return E.bootstrap_order(diff, ["method"], "delta")
+    found = E.weighted_order(diff, ["method"], "delta")
+    return found.select("method", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 def audit_diff(spark, d):
@@ -544,6 +546,8 @@ def oracle_sql() -> dict[str, str]:
         _redacted = f"regexp_replace({_redacted}, '{p}', '[REDACTED]', 'g')"
     man = "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents"
     return {
+        "holdout_claims": _GRID + f", per AS (SELECT r.method, r.seed AS uid, r.metric - b.metric AS delta FROM results r JOIN results b ON b.seed = r.seed AND b.method = '{BASELINE}' WHERE r.seed >= 12 AND r.method <> '{BASELINE}')"
+        + weights_sql("per", "method", ("delta",), 2000, 20260929) + " SELECT method, n, mean, round(ms[CAST(floor(len(ms) * 49 / 2000) AS BIGINT) + 1], 9) AS low, round(ms[CAST(floor(len(ms) * 1949 / 2000) AS BIGINT) + 1], 9) AS high FROM orders_of",
         "grid_results": _GRID + " SELECT method, seed, round(metric, 9) AS metric, dataset_sha256 FROM results",
         "grid_complete": _GRID + " SELECT m.method, s.seed, r.seed IS NOT NULL AS done FROM (SELECT DISTINCT method FROM results) m, (SELECT DISTINCT task % 24 AS seed FROM events2) s LEFT JOIN (SELECT * FROM results WHERE NOT (method = 'events_only' AND seed % 7 = 3)) r ON r.method = m.method AND r.seed = s.seed",
         "grid_summary": _SUMMARY + " SELECT method, n, round(mean, 9) AS mean, round(sd, 9) AS sd, round(delta_mean, 9) AS delta_mean, round(delta_sd, 9) AS delta_sd FROM summary",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,28 +193,39 @@ def _subject_new(spark, d):
     return E.per_subject(eval_rows(spark, d), ("method", "budget"), ("new",))
 
 
+def _rounded(intervals):
+    return intervals.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in intervals.dtypes))
+
+
 def bootstrap_ci(spark, d):
-    return E.bootstrap_hash(_subject_new(spark, d), ("method", "budget"), "new").select("method", "budget", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return _rounded(E.weighted_intervals(_subject_new(spark, d), ("method", "budget"), ("new",))).select("method", "budget", "n", "low", "high")
 
 
 def bootstrap_ci_order_stat(spark, d):
-    return E.bootstrap_order(_subject_new(spark, d), ("method", "budget"), "new")
+    return _rounded(E.weighted_order(_subject_new(spark, d), ("method", "budget"), "new"))
 
 
 def intervals(spark, d):
-    """statistic, metric, n, mean, low, high: 95 % intervals by method and budget (metrics, joint states and the contrast),
-    by weights, by side of the median, and by reader and arm."""
-    rows = eval_rows(spark, d)
-    of = lambda *parts: F.concat_ws("|", *(F.col(c).cast("string") for c in parts)).alias("statistic")
+    """95 % intervals by method and budget of all metrics, the joint states and the contrast."""
     metrics = (*E.METRICS, *(s[0] for s in E.STATES), "paired")
-    per = E.per_subject_all(rows).select(of("method", "budget"), "uid", *metrics)
-    one = (
-        E.per_subject(sensitivity_rows(spark, d), ("alpha", "beta"), ("new",)).select(of("alpha", "beta"), "uid", F.col("new").alias("value")),
-        E.strata_values(eval_rows(spark, d, ("turn_bm25", "sentence_bm25"), (4096,)), audit(spark, d)).select(of("field", "side"), "uid", F.col("diff").alias("value")),
-        reader_rows(spark, d).filter("graded").select(of("model", "arm"), "uid", F.col("pass").cast("double").alias("value")),
-    )
-    found = E.bootstrap_numpy(per, ("statistic",), metrics).filter("NOT (metric = 'paired' AND statistic LIKE 'turn_bm25|%')")
-    return found.unionByName(E.bootstrap_numpy(reduce(DataFrame.unionByName, one), ("statistic",), "value"))
+    found = E.weighted_intervals(E.per_subject_all(eval_rows(spark, d)), ("method", "budget"), metrics)
+    return _rounded(found).filter("NOT (metric = 'paired' AND method = 'turn_bm25')")
+
+
+def sensitivity_intervals(spark, d):
+    return _rounded(E.weighted_intervals(E.per_subject(sensitivity_rows(spark, d), ("alpha", "beta"), ("new",)), ("alpha", "beta"), ("new",)))
+
+
+def strata_intervals(spark, d):
+    """95 % intervals on both sides of each field's median."""
+    values = E.strata_values(eval_rows(spark, d, ("turn_bm25", "sentence_bm25"), (4096,)), audit(spark, d))
+    return _rounded(E.weighted_intervals(values, ("field", "side"), ("diff",)))
+
+
+def reader_intervals(spark, d):
+    """95 % intervals of graded responses by reader and arm."""
+    values = reader_rows(spark, d).filter("graded").select("model", "arm", "uid", F.col("pass").cast("double").alias("pass"))
+    return _rounded(E.weighted_intervals(values, ("model", "arm"), ("pass",)))
 
 
 def reader_summary(spark, d):
@@ -371,9 +380,32 @@ ids AS (SELECT *, uid || ':' || arm || ':' || model AS id FROM (SELECT *, unnest
 readers AS (SELECT *, left(md5('answered' || id), 1) < 'e' AS answered, left(md5('graded' || id), 1) < 'c' AS graded,
   CASE WHEN left(md5('graded' || id), 1) < 'c' THEN left(md5('pass' || id), 1) < '8' END AS pass FROM ids)"""
 _READ_EVAL = _eval("strategy = 'bm25' AND dim = 'frequent'", "unnest([4096])") + _READERS
+_SUBJECTS = ', subjects AS (SELECT method, budget, uid, avg("new") AS "new" FROM evals GROUP BY method, budget, uid)'
+_ALL = f""", means AS (SELECT method, budget, uid, {_MEANS}, {", ".join(f'avg(CAST("old" = {o} AND "new" = {n} AS INT)) AS "{s}"' for s, o, n in E.STATES)} FROM evals GROUP BY ALL),
+per AS (SELECT *, "new" - max("new") FILTER (method = 'turn_bm25') OVER (PARTITION BY budget, uid) AS paired FROM means)"""
 _LIST = "array_to_string(selected, ',') AS selected, bytes, sha256(context) AS context_sha256, array_to_string(sessions, ',') AS sessions"
 
 
+def weights_sql(source: str, keys: str, metrics: tuple[str, ...], repeats: int = 10_000, seed: int = 20260930) -> str:
+    """Tables `bounds` (keys, metric, n, mean, low, high) and `orders_of` (keys, n, mean, all resampled means in order) of
+    the source's members."""
+    p, first = E.PRIME, metrics[0]
+    fifth = lambda i: f"""x{i} AS (SELECT uid, b, CAST((CAST((s * s % {p}) * (s * s % {p}) % {p} AS BIGINT) * s) % {p} AS BIGINT) AS x, (k * 69621 + 1) % {p} AS k FROM (SELECT uid, b, k, (x + k) % {p} AS s FROM x{i - 1}))"""
+    weight = "CASE " + " ".join(f"WHEN x < {r} THEN {k}" for k, r in enumerate(E.RISES)) + f" ELSE {len(E.RISES)} END"
+    whole = " AND ".join(f"{m} IS NOT NULL" for m in metrics)
+    listed = lambda make: "[" + ", ".join(make(m, m.strip('"')) for m in metrics) + "]"
+    same = " AND ".join(f"m.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    return f""", members AS (SELECT * FROM {source} WHERE {whole}),
+x0 AS (SELECT uid, CAST(b AS BIGINT) AS b, CAST('0x' || substr(md5(CAST(uid AS VARCHAR)), 1, 8) AS BIGINT) % {p} AS x, ((b + 1) * 48271 + {seed}) % {p} AS k FROM (SELECT DISTINCT uid FROM members), range({repeats}) AS t(b)),
+{fifth(1)}, {fifth(2)}, {fifth(3)}, weighed AS (SELECT uid, b, {weight} AS w FROM x3),
+resampled AS (SELECT {", ".join("m." + k.strip() for k in keys.split(","))}, b, {", ".join(f"sum(w * m.{m}) / sum(w) AS {m}" for m in metrics)} FROM members m JOIN weighed v ON v.uid = m.uid WHERE w > 0 GROUP BY ALL),
+long_m AS (SELECT {keys}, unnest({listed(lambda m, n: f"{{'metric': '{n}', 'x': {m}}}")}) AS s FROM resampled),
+cut_m AS (SELECT {keys}, s.metric AS metric, round(quantile_cont(s.x, 0.025), 9) AS low, round(quantile_cont(s.x, 0.975), 9) AS high FROM long_m GROUP BY ALL),
+seen AS (SELECT {keys}, unnest({listed(lambda m, n: f"{{'metric': '{n}', 'mean': round(avg({m}) FILTER ({whole}), 9)}}")}) AS s, count(*) FILTER ({whole}) AS n FROM {source} GROUP BY {keys}),
+bounds AS (SELECT {", ".join("m." + k.strip() for k in keys.split(","))}, m.s.metric AS metric, n, m.s.mean AS mean, low, high FROM seen m LEFT JOIN cut_m r ON {same} AND m.s.metric = r.metric),
+orders_of AS (SELECT m.*, ms FROM (SELECT {keys}, n, s.mean AS mean FROM seen) m LEFT JOIN (SELECT {keys}, list_sort(list({first})) AS ms FROM resampled GROUP BY {keys}) r ON {same})"""
+
+
 def _rank_sql(strategy: str, unit: str = "turn") -> str:
     return f"WITH {_TURNS}{_SCORES} SELECT uid, dim, doc_i, rn FROM ranked WHERE unit = '{unit}' AND strategy = '{strategy}'"
 
@@ -388,16 +420,8 @@ _EXCLUDE = "SELECT {'uid': r.uid, 'dim': r.dim} AS job, 3072 AS budget, rn, r.do
 _SENS_JOBS = """SELECT {'uid': uid, 'dim': dim, 'alpha': alpha, 'beta': beta} AS job, 4096 AS budget, doc_i, bytes, session, serialized,
   row_number() OVER (PARTITION BY uid, dim, alpha, beta ORDER BY round(r + alpha * recency + beta * cue, 12) DESC, doc_i DESC) AS rn
   FROM rel, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75]::DOUBLE[]) AS alpha), (SELECT unnest([0.0, 0.1, 0.25]::DOUBLE[]) AS beta) WHERE unit = 'turn'"""
-_BOOT = """, subjects AS (SELECT method, budget, uid, avg("new") AS x FROM evals GROUP BY method, budget, uid),
-members AS (SELECT *, row_number() OVER (PARTITION BY method, budget ORDER BY uid) - 1 AS i, count(*) OVER (PARTITION BY method, budget) AS n FROM subjects),
-sizes AS (SELECT DISTINCT method, budget, n FROM members),
-draws AS (SELECT n, b, 4 * j + k AS place, CAST(('0x' || substr(md5('20260930:' || b || ':' || j), CAST(1 + 8 * k AS INT), 8)) AS BIGINT) % n AS i
-  FROM (SELECT DISTINCT n FROM sizes), range(10000) AS r(b), range((SELECT max(n) FROM sizes) // 4 + 1) AS s(j), range(4) AS t(k) WHERE 4 * j + k < n),
-means AS (SELECT m.method, m.budget, d.n, b, sum(x) / any_value(d.n) AS m FROM draws d JOIN members m ON m.n = d.n AND m.i = d.i GROUP BY ALL)"""
-
-
 def queries() -> dict:
-    named = (user_turns, sentences, nested_unnest, token_counts, doc_stats, doc_freq, bm25_scores, rank_policy, policy_faults, pack_stop, pack_greedy, pack_exclude, context_score, dataset_audit, eval_summary, joint_states, paired_contrast, sensitivity, strata, ceiling, bootstrap_ci, bootstrap_ci_order_stat, intervals, reader_summary, missing_bounds, association, blind_labels, reader_arms)
+    named = (user_turns, sentences, nested_unnest, token_counts, doc_stats, doc_freq, bm25_scores, rank_policy, policy_faults, pack_stop, pack_greedy, pack_exclude, context_score, dataset_audit, eval_summary, joint_states, paired_contrast, sensitivity, strata, ceiling, bootstrap_ci, bootstrap_ci_order_stat, intervals, sensitivity_intervals, strata_intervals, reader_intervals, reader_summary, missing_bounds, association, blind_labels, reader_arms)
     out = {f.__name__: f for f in named}
     return out | {f"rank_{s}": _rank(s) for s in ("bm25", "timecue", "rrf", "density")} | {"rank_sentence_rrf": _rank("rrf", "sentence")}
 
@@ -435,7 +459,16 @@ cuts AS (SELECT field, median(x) AS cut FROM long GROUP BY field),
 sided AS (SELECT field, CASE WHEN x <= cut THEN 'low' ELSE 'high' END AS side, diff FROM long JOIN cuts USING (field) JOIN diffs d ON d.uid = long.uid AND d.method = 'sentence_bm25')
 SELECT c.field, round(c.cut, 9) AS cut, c.side, count(diff) AS n, round(avg(diff), 9) AS mean FROM (SELECT *, unnest(['low', 'high']) AS side FROM cuts) c LEFT JOIN sided s ON s.field = c.field AND s.side = c.side GROUP BY ALL""",
         "ceiling": base + _GOLD + _AUDIT + " SELECT CAST(sum(user_exact) AS BIGINT) AS user_exact, CAST(sum(assistant_exact) AS BIGINT) AS assistant_exact, CAST(sum(assistant_only) AS BIGINT) AS assistant_only, CAST(sum(user_token) AS BIGINT) AS user_token FROM audit",
-        "bootstrap_ci": _eval() + _BOOT + " SELECT method, budget, CAST(n AS INT) AS n, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means GROUP BY method, budget, n",
+        "bootstrap_ci": _eval() + _SUBJECTS + weights_sql("subjects", 'method, budget', ('"new"',)) + " SELECT method, budget, n, low, high FROM bounds",
+        "bootstrap_ci_order_stat": _eval() + _SUBJECTS + weights_sql("subjects", "method, budget", ('"new"',), 2000, 20260929) + " SELECT method, budget, n, mean, round(ms[CAST(floor(len(ms) * 49 / 2000) AS BIGINT) + 1], 9) AS low, round(ms[CAST(floor(len(ms) * 1949 / 2000) AS BIGINT) + 1], 9) AS high FROM orders_of",
+        "intervals": _eval() + _ALL + weights_sql("per", "method, budget", (*(f'"{m}"' for m in E.METRICS), *(f'"{s[0]}"' for s in E.STATES), "paired")) + " SELECT * FROM bounds WHERE NOT (metric = 'paired' AND method = 'turn_bm25')",
+        "sensitivity_intervals": "WITH RECURSIVE" + _TURNS + _SCORES + _GOLD + _packs(_SENS_JOBS) + f""", per AS (SELECT job.alpha AS alpha, job.beta AS beta, job.uid AS uid, avg(CAST({_has('context', 'm_new')} AS INT)) AS "new" FROM packs JOIN gold g ON g.uid = job.uid GROUP BY ALL)"""
+        + weights_sql("per", "alpha, beta", ('"new"',)) + " SELECT * FROM bounds",
+        "strata_intervals": _eval("strategy = 'bm25'", "unnest([4096])") + _AUDIT + _PAIRED + f""", long AS (SELECT uid, v.field AS field, v.x AS x FROM (SELECT uid, unnest([{strata_fields}]) AS v FROM audit)),
+cuts AS (SELECT field, median(x) AS cut FROM long GROUP BY field),
+sided AS (SELECT long.uid, field, CASE WHEN x <= cut THEN 'low' ELSE 'high' END AS side, diff FROM long JOIN cuts USING (field) JOIN diffs d ON d.uid = long.uid AND d.method = 'sentence_bm25'),
+per AS (SELECT c.field, c.side, s.uid, s.diff FROM (SELECT *, unnest(['low', 'high']) AS side FROM cuts) c LEFT JOIN sided s ON s.field = c.field AND s.side = c.side)""" + weights_sql("per", "field, side", ("diff",)) + " SELECT * FROM bounds",
+        "reader_intervals": _READ_EVAL + ', per AS (SELECT model, arm, uid, CAST(CAST(pass AS INT) AS DOUBLE) AS pass FROM readers WHERE graded)' + weights_sql("per", "model, arm", ("pass",)) + " SELECT * FROM bounds",
         "reader_summary": _READ_EVAL + """ SELECT model, arm, count(*) AS attempted, CAST(sum(CAST(answered AS INT)) AS BIGINT) AS answered, CAST(sum(CAST(graded AS INT)) AS BIGINT) AS graded, CAST(coalesce(sum(CAST(pass AS INT)), 0) AS BIGINT) AS passed,
   coalesce(sum(CAST(pass AS INT)), 0) / count(*)::DOUBLE AS missing_as_failure, avg(CAST(pass AS INT)) AS mean FROM readers GROUP BY model, arm""",
         "missing_bounds": _READ_EVAL + """ SELECT a.model, count(*) AS scheduled_pairs, avg(coalesce(CAST(a.pass AS INT), 0) - coalesce(CAST(b.pass AS INT), 1)) AS low, avg(coalesce(CAST(a.pass AS INT), 1) - coalesce(CAST(b.pass AS INT), 0)) AS high,

@@ -45,7 +45,7 @@ def request_log(e):
     op = F.when(kind == "click", "reserve").when(kind == "view", "progress").otherwise("finish")
     last = F.coalesce(F.max(F.when(kind == "click", F.col("event_id"))).over(by), F.lit(-1))
     amount = F.when(kind == "click", k % 50 + 40).when(kind == "purchase", F.floor("value").cast("long"))
-    return e.select(F.col("user_id").alias("route"), F.row_number().over(by).cast("long").alias("pos"), op.alias("op"), last.alias("request"), amount.alias("amount"))
+    return e.select(F.col("user_id").cast("string").alias("route"), F.row_number().over(by).cast("long").alias("pos"), op.alias("op"), last.alias("request"), amount.alias("amount"))
 
 
 def stream_lifecycle(spark, d):
@@ -92,7 +92,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_ledger": "SELECT event_type AS alias, count(*) AS n, CAST(sum(CASE WHEN event_type <> 'error' AND k % 10 <> 0 THEN 0 ELSE k + 100 END) AS BIGINT) AS held, count(*) FILTER (event_type <> 'error' AND k % 10 <> 0) AS settled FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events) GROUP BY 1",
         "stream_feed": PR.oracle_sql()["feed_top80"],
         "stream_lifecycle": f"""WITH RECURSIVE e AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
-log AS (SELECT user_id AS route, row_number() OVER w AS pos, CASE event_type WHEN 'click' THEN 'reserve' WHEN 'view' THEN 'progress' ELSE 'finish' END AS op, coalesce(max(CASE WHEN event_type = 'click' THEN event_id END) OVER w, -1) AS request,
+log AS (SELECT CAST(user_id AS VARCHAR) AS route, row_number() OVER w AS pos, CASE event_type WHEN 'click' THEN 'reserve' WHEN 'view' THEN 'progress' ELSE 'finish' END AS op, coalesce(max(CASE WHEN event_type = 'click' THEN event_id END) OVER w, -1) AS request,
   CASE event_type WHEN 'click' THEN k % 50 + 40 WHEN 'purchase' THEN CAST(floor(value) AS BIGINT) END AS amount FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 run(route, pos, op, request, outcome, used, held, blocked, status, reserved) AS (
   SELECT DISTINCT route, 0::BIGINT, '', 0::BIGINT, '', 0::BIGINT, 0::BIGINT, false, NULL::VARCHAR, 0::BIGINT FROM log

@@ -89,18 +89,52 @@ def test_slices_leave_the_draws_as_they_are():
         assert np.array_equal(got, np.stack([x[:, c][picks].mean(1) for c in range(2)]))
 
 
-def test_hash_intervals_draw_all_members(spark):
+def brute_weight(uid, b, seed):
     import hashlib
 
-    rows = [(g, u, float((u * 7 + len(g)) % 11)) for g, n in (("a", 1), ("bb", 6), ("ccc", 9)) for u in range(n)]
-    got = {r["g"]: r for r in E.bootstrap_hash(spark.createDataFrame(rows, "g string, uid long, x double"), ["g"], "x", repeats=101).collect()}
+    p = E.PRIME
+    x, k = int(hashlib.md5(str(uid).encode()).hexdigest()[:8], 16) % p, ((b + 1) * 48271 + seed) % p
+    for _ in range(3):
+        x, k = pow((x + k) % p, 5, p), (k * 69621 + 1) % p
+    return sum(x >= r for r in E.RISES)
+
+
+def test_weighted_intervals_are_those_of_poisson_resamples(spark):
+    rows = [(g, u, float((u * 7 + len(g)) % 11), float(u)) for g, n in (("a", 1), ("bb", 6), ("ccc", 9)) for u in range(n)] + [("bb", 99, None, 1.0), ("d", 1, None, 0.0)]
+    df = spark.createDataFrame(rows, "g string, uid long, x double, y double").repartition(5)
+    got = {(r["g"], r["metric"]): r for r in E.weighted_intervals(df, ["g"], ["x", "y"], repeats=101, seed=7).collect()}
     for g in ("a", "bb", "ccc"):
-        x = [v for k, _, v in rows if k == g]
-        means = []
-        for b in range(101):
-            h = [hashlib.md5(f"20260930:{b}:{j}".encode()).hexdigest() for j in range(len(x))]
-            means.append(sum(x[int(h[j // 4][8 * (j % 4) : 8 * (j % 4) + 8], 16) % len(x)] for j in range(len(x))) / len(x))
-        assert (got[g]["n"], got[g]["low"], got[g]["high"]) == (len(x), pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
+        for i, metric in ((2, "x"), (3, "y")):
+            own = [r for r in rows if r[0] == g and r[2] is not None]
+            means = []
+            for b in range(101):
+                w = [brute_weight(r[1], b, 7) for r in own]
+                if sum(w):
+                    means.append(sum(k * r[i] for k, r in zip(w, own, strict=True)) / sum(w))
+            r = got[g, metric]
+            assert r["n"] == len(own) and r["mean"] == pytest.approx(np.mean([v[i] for v in own]))
+            assert (r["low"], r["high"]) == pytest.approx(tuple(np.quantile(means, (0.025, 0.975))))
+    assert (got["d", "x"]["n"], got["d", "x"]["low"]) == (0, None)
+
+
+def test_weights_are_poisson_and_independent(spark):
+    rows = E.resample_weights(spark.range(200).select(F.col("id").alias("uid")), 1000, 3).toPandas()
+    w = rows.pivot(index="uid", columns="b", values="w").to_numpy().astype(float)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    off = np.corrcoef(w)[np.triu_indices(200, 1)]
+    assert abs(off.mean()) < 0.002 and off.std() < 0.04  # as for independent ones: 1 / sqrt(1000)
+    off = np.corrcoef(w.T)[np.triu_indices(1000, 1)]
+    assert abs(off.mean()) < 0.002 and off.std() < 0.08
+
+
+def test_weighted_intervals_cover_as_the_generators_do(spark):
+    x = np.random.default_rng(2).normal(size=300)
+    df = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(x)], "g string, uid long, x double")
+    r = E.weighted_intervals(df, ["g"], ["x"], repeats=4000).first()
+    _, _, low, high = E.interval(x)
+    assert abs(r["low"] - low) < 0.02 and abs(r["high"] - high) < 0.02
+    o = E.weighted_order(df, ["g"], "x").first()
+    assert abs(o["low"] - low) < 0.03 and abs(o["high"] - high) < 0.03
 
 
 def test_strata_keep_an_empty_side(spark):
