@@ -45,7 +45,7 @@ LEAST_CLASSES = 32
 #: Distinct words of a split, at most about; with the splits they say how many words may be clustered first.
 WORDS_A_SPLIT = 100_000
 #: What a round of exchange must add to the log likelihood (natural) of a token for another one to follow.
-GAIN = 0.1
+GAIN = 0.3
 #: Rounds of the exchange among the first words.
 FIRST_ROUNDS = 20
 #: Bytes of text in a part, and in a piece of a text.
