@@ -33,12 +33,20 @@ def tokens(text: Column, stop=STOP_WORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words
 
 
-def normalize(text: Column) -> Column:
+def is_plain(text: Column) -> Column:
+    """Whether normalize() can do without Python; null for null."""
+    return text.rlike(PLAIN)
+
+
+def normalize(text: Column, odd: bool = True) -> Column:
     """Compatibility composition, collapsed white space, full case folding. Plain text stays inside the JVM; only other
-    text is sent to Python."""
+    text is sent to Python. odd=False says that there is none."""
     collapsed = F.regexp_replace(F.regexp_replace(text, f"{BLANK}+", " "), r"\A | \z", "")
-    plain = text.rlike(PLAIN)
-    return F.when(plain, F.replace(F.lower(collapsed), F.lit("ß"), F.lit("ss"))).otherwise(normalize_any(F.when(~plain, text)))
+    folded = F.replace(F.lower(collapsed), F.lit("ß"), F.lit("ss"))
+    if not odd:
+        return folded
+    plain = is_plain(text)
+    return F.when(plain, folded).otherwise(normalize_any(F.when(~plain, text)))
 
 
 @F.pandas_udf(StringType())
@@ -68,10 +76,14 @@ def includes(context: Column, statement: Column) -> Column:
     return F.contains(normalize(context), normalize(statement))
 
 
+def spaced(normal: Column) -> Column:
+    """The words of a normalised text, with a blank on both sides of each."""
+    return F.concat(F.lit(" "), F.array_join(words_of(normal), " "), F.lit(" "))
+
+
 def includes_tokens(context: Column, statement: Column) -> Column:
     """The statement's words stand in the context as an unbroken run; false without words."""
-    spaced = lambda t: F.concat(F.lit(" "), F.array_join(words_of(normalize(t)), " "), F.lit(" "))
-    return F.contains(spaced(context), spaced(statement)) & (F.size(words_of(normalize(statement))) > 0)
+    return F.contains(spaced(normalize(context)), spaced(normalize(statement))) & (F.size(words_of(normalize(statement))) > 0)
 
 
 def redact(text: Column, patterns=REDACTED) -> Column:

@@ -65,12 +65,16 @@ def pack_excluding(ranked: DataFrame, excluded: DataFrame, budgets, keys=("uid",
     return _pack(j, [*keys], budgets, _chosen)
 
 
-def score(packed: DataFrame, gold: DataFrame) -> DataFrame:
-    """packed with 0/1 flags: the new and old statement stand in the context, and its session is among those packed."""
-    j = packed.join(gold, "uid")
+def score(packed: DataFrame, gold: DataFrame, odd: bool = True) -> DataFrame:
+    """packed with 0/1 flags: the new and old statement stand in the context, and its session is among those packed.
+    odd=False: no text needs Python to be normalised."""
     flag = lambda c: c.cast("int")
+    said = gold.select("uid", "type", "update_session", T.normalize(F.col("m_new"), odd).alias("new_n"), T.normalize(F.col("m_old"), odd).alias("old_n"))
+    said = said.withColumn("new_w", F.when(F.size(T.words_of(F.col("new_n"))) > 0, T.spaced(F.col("new_n"))))
     keys = [c for c in packed.columns if c not in ("selected", "context", "bytes", "sessions")]
+    # a context is normalised once, for three questions
+    j = packed.withColumn("context_n", T.normalize(F.col("context"), odd)).join(said, "uid")
     return j.select(
-        *keys, "type", flag(T.includes(F.col("context"), F.col("m_new"))).alias("new"), flag(T.includes(F.col("context"), F.col("m_old"))).alias("old"),
-        flag(T.includes_tokens(F.col("context"), F.col("m_new"))).alias("token_new"), flag(F.array_contains("sessions", F.col("update_session"))).alias("update_session"), "bytes",
+        *keys, "type", flag(F.contains("context_n", "new_n")).alias("new"), flag(F.contains("context_n", "old_n")).alias("old"),
+        flag(F.coalesce(F.contains(T.spaced(F.col("context_n")), F.col("new_w")), F.lit(False))).alias("token_new"), flag(F.array_contains("sessions", F.col("update_session"))).alias("update_session"), "bytes",
     )

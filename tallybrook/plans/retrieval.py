@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import evaluation as E
 from ..operators import packing as P
 from ..operators import retrieval as R
 from ..sources import tables as S
+from ..sources.shared import cut
 
 #: The invented prose has few of the real cues, so registered queries take some frequent words as cues beside them.
 CUES = (*T.CHANGE_CUES, "the", "that", "and", "les", "der", "que")
@@ -29,21 +32,52 @@ def _scores(spark, d, unit="turn") -> DataFrame:
     return R.scores(_docs(spark, d, unit), S.queries(spark, d))
 
 
+class _Study:
+    """What the queries over conversations share, each written once when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """rows dealt out by keys, over a number of parts that is given, as the work on a row is more than its bytes tell."""
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        return cut(S.turns(self.spark, self.d))
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        return cut(S.queries(self.spark, self.d, self.turns))
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        return cut(S.gold(self.turns))
+
+    @cached_property
+    def odd(self) -> bool:
+        """Whether any text needs Python to be normalised; contexts are made of these texts and plain marks."""
+        return not self.turns.filter(~T.is_plain(F.col("text"))).isEmpty()
+
+    def scored(self, unit: str) -> DataFrame:
+        return cut(R.scores(cut(R.documents(self.turns, unit, CUES)), self.asked))
+
+
 def eval_rows(spark: SparkSession, d: str, methods=METHODS, budgets=P.BUDGETS) -> DataFrame:
-    """One row for each scenario, query, method and budget. Documents of both units are scored and ranked in one pass."""
-    asked = S.queries(spark, d)
-    turns = S.turns(spark, d)
+    """One row for each scenario, query, method and budget. Documents of both units are scored and ranked in one pass, over
+    tables that are written once."""
+    study = _Study(spark, d)
     units = {u: tuple(m.split("_", 1)[1] for m in methods if m.startswith(u)) for u in ("turn", "sentence")}
     keys, greedy = ("uid", "dim", "method"), None
     method = F.concat_ws("_", "unit", "strategy")
     for unit, strategies in units.items():
         if strategies:
-            r = R.ranked_all(R.scores(R.documents(turns, unit, CUES), asked), strategies).withColumn("unit", F.lit(unit)).withColumn("method", method)
+            r = R.ranked_all(study.scored(unit), strategies).withColumn("unit", F.lit(unit)).withColumn("method", method)
             greedy = r if greedy is None else greedy.unionByName(r)
-    packed = P.pack_greedy(greedy.filter("strategy <> 'stop'"), budgets, keys)
+    packed = P.pack_greedy(study.dealt(greedy.filter("strategy <> 'stop'"), *keys), budgets, keys)
     if "stop" in units["turn"]:
         packed = packed.unionByName(P.pack_stop(greedy.filter("strategy = 'stop'"), budgets, keys))
-    return P.score(packed, S.gold(turns))
+    return P.score(packed, study.gold, study.odd)
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +97,8 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sensitivity_rows(spark, d) -> DataFrame:
-    scored, out = _scores(spark, d), None
-    gold = S.gold(S.turns(spark, d))
+    study = _Study(spark, d)
+    scored = study.scored("turn")
     grid = F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a in ALPHAS for b in BETAS)))
     by = ("uid", "dim", "alpha", "beta")
     from pyspark.sql import Window
@@ -73,7 +107,7 @@ def sensitivity_rows(spark, d) -> DataFrame:
     s = scored.withColumn("rel", F.col("score") / F.when(most == 0, F.lit(1.0)).otherwise(most)).withColumn("g", grid).select("*", "g.alpha", "g.beta")
     value = F.round(F.col("rel") + F.col("alpha") * F.col("recency") + F.col("beta") * F.col("cue"), 12)
     ranked = s.withColumn("value", value).withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), F.desc("doc_i"))))
-    out = P.score(P.pack_greedy(ranked, (4096,), by), gold)
+    out = P.score(P.pack_greedy(study.dealt(ranked, *by), (4096,), by), study.gold, study.odd)
     return out.select("uid", "dim", "alpha", "beta", "new")
 
 
@@ -254,9 +288,8 @@ def reader_arms(spark, d):
     """Natural arms, and equal-byte pairs: the last turn with the new statement, or padding of its size."""
     gold = S.gold(S.turns(spark, d))
     q = S.queries(spark, d).filter("dim = 'frequent'")
-    docs = _docs(spark, d)
-    scored = R.scores(docs, q)
-    ranked = R.ranked(scored, "bm25")
+    docs = cut(_docs(spark, d))
+    ranked = cut(R.ranked(R.scores(docs, q), "bm25"))
     natural = P.pack_greedy(ranked, (4096,)).select("uid", F.lit("turn_bm25").alias("arm"), "context")
     s = P.pack_greedy(R.ranked(R.scores(_docs(spark, d, "sentence"), q), "bm25"), (4096,)).select("uid", F.lit("sentence_bm25").alias("arm"), "context")
     hits = docs.join(gold, "uid").filter(T.includes(F.col("text"), F.col("m_new")))

@@ -40,9 +40,10 @@ def gold(turn_rows: DataFrame) -> DataFrame:
     return user.select("uid", kind.alias("type"), first("old").alias("m_old"), first("new").alias("m_new"), "update_session")
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """uid, dim, query: a scenario's twelve commonest tokens, and a benchmark text."""
-    user = turns(spark, sf_dir).filter("role = 'user'")
+def queries(spark: SparkSession, sf_dir: str, turn_rows: DataFrame | None = None) -> DataFrame:
+    """uid, dim, query: a scenario's twelve commonest tokens, and a benchmark text. turn_rows: the turns, if they are there
+    already."""
+    user = (turns(spark, sf_dir) if turn_rows is None else turn_rows).filter("role = 'user'")
     counted = user.select("uid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("uid", "term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("uid").orderBy(F.desc("n"), "term")
     common = counted.withColumn("rn", F.row_number().over(order)).filter("rn <= 12").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("rn", "term"))).alias("q"))
