@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..functions.canonical import identity
+from ..sources.shared import cut, discard
 from .folds import fold_in_order
 
 
@@ -176,6 +177,22 @@ def numbered_within(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return placed.select(*rows.columns, (F.col("first") + F.col("within")).alias("place"))
 
 
+def tree_identity(rows: DataFrame, order: tuple[str, ...], fan: int = 100) -> DataFrame:
+    """n, sha256: one identity of all rows, in the order of these columns, whatever order they are read in. The leaves are
+    the identities of rows; each `fan` digests in a row make one of the next level, until one is left. So no group holds
+    more than `fan` digests. Without rows there is none."""
+    leaf = rows.select(F.struct(*order).alias("o"), identity(F.struct(*rows.columns), rows.schema).alias("digest"), F.lit(0).alias("all"))
+    numbered = numbered_within(leaf, "all", F.struct("o", "digest"))  # equal places by digest
+    level = cut(numbered.select((F.col("place") - 1).alias("place"), "digest"))
+    n = left = level.count()
+    while left > 1:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])
+        above = cut(level.groupBy(F.floor(F.col("place") / fan).alias("place")).agg(F.sha2(F.array_join(listed, ""), 256).alias("digest")))
+        discard(level)
+        level, left = above, -(-left // fan)
+    return level.select(F.lit(n).cast("long").alias("n"), F.col("digest").alias("sha256"))
+
+
 def hash_order(seed: Column | str, id_col: str) -> Column:
     return F.sha2(F.concat(F.lit(seed) if isinstance(seed, str) else seed, F.lit(":"), F.col(id_col).cast("string")), 256)
 

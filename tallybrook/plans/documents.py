@@ -96,6 +96,14 @@ def file_attempts(spark, d):
     return files.resources(files.attempts(spark, path))
 
 
+def file_export(spark, d):
+    """The documents' texts as an export, read again and verified against its manifest."""
+    path = _folder(spark)
+    texts = S.table(spark, d, "documents").filter("text IS NOT NULL").select(F.format_string("texts/%09d.txt", "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    files.export(texts, path, r"texts/[0-9]+\.txt")
+    return files.exported(spark, path)
+
+
 def response_frames(spark, d):
     """Each user's events as a streamed response: views and purchases are data, clicks end frames, some errors the stream."""
     e = S.table(spark, d, "events")
@@ -110,7 +118,7 @@ _DOCS = """docs AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN
 
 
 def queries() -> dict:
-    named = (file_lines, file_csv, file_event_tail, file_states, file_previews, file_manifests, file_sizes, file_snapshot, file_attempts, response_frames)
+    named = (file_lines, file_csv, file_event_tail, file_states, file_previews, file_manifests, file_sizes, file_snapshot, file_attempts, file_export, response_frames)
     return {f.__name__: f for f in named}
 
 
@@ -124,6 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "file_manifests": f"WITH {_DOCS} SELECT k, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM docs",
         "file_sizes": f"WITH {_DOCS} SELECT k, CAST(strlen(t) AS BIGINT) AS length FROM docs WHERE strlen(t) <= 30",
         "file_snapshot": "SELECT DISTINCT sha256(p_type) AS sha256, p_type AS text FROM part",
+        "file_export": "SELECT 'texts/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256, 'ok' AS state FROM documents WHERE text IS NOT NULL",
         "file_attempts": "SELECT count(*) AS attempts, count(*) FILTER (n_nationkey % 5 = 0) AS failed, sum(n_nationkey * 0.25::DOUBLE) AS wall_seconds, sum(60.0::DOUBLE) AS reserved_seconds FROM nation",
         "response_frames": """WITH l AS (SELECT user_id AS stream, event_id AS pos, CASE event_type WHEN 'click' THEN '' WHEN 'view' THEN 'data: ' || props WHEN 'purchase' THEN 'data:' || event_id ELSE CASE WHEN value > 90 THEN 'data: [DONE]' ELSE ': keep-alive' END END AS line,
   CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS ends FROM events),

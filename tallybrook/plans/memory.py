@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import memory as M
+from ..operators import records as R
 from ..sources import tables as S
 
 #: Families of traces.
@@ -101,10 +102,8 @@ def mem_family_metrics(spark, d):
 
 
 def dataset_identity(spark, d):
-    """A digest of each task's whole event list, whatever order rows are read in."""
-    e = S.memory_events(spark, d)
-    row = F.concat_ws("|", F.col("pos").cast("string"), "op", "key", "source", F.col("version").cast("string"), F.coalesce("value", F.lit("")))
-    return e.groupBy("task").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("r")))), lambda x: x["r"]), "\n"), 256).alias("dataset_sha256"))
+    """One digest of the event lists of all tasks, whatever order rows are read in."""
+    return R.tree_identity(S.memory_events(spark, d), ("task", "pos"))
 
 
 _EVENTS = """events5 AS (SELECT user_id // 2 AS task, event_id AS pos, CASE WHEN event_type <> 'error' THEN 'P' ELSE 'R' END AS op,
@@ -222,5 +221,9 @@ SELECT method, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGIN
         "mem_stale": _judged_sql() + " SELECT policy, budget, task, key, predicted, expected FROM judged WHERE stale",
         "mem_metrics": _metrics_sql("policy, budget"),
         "mem_family_metrics": _metrics_sql("policy, budget, family"),
-        "dataset_identity": f"WITH {_EVENTS} SELECT task, sha256(string_agg(concat_ws('|', pos, op, key, source, version, coalesce(value, '')), chr(10) ORDER BY pos)) AS dataset_sha256 FROM events5 GROUP BY task",
+        "dataset_identity": f"""WITH {_EVENTS}, leaf AS (SELECT row_number() OVER (ORDER BY task, pos) - 1 AS place, sha256('{{"key": "' || key || '", "op": "' || op || '", "pos": ' || pos || ', "source": "' || source || '", "task": ' || task || ', "value": ' || coalesce('"' || value || '"', 'null') || ', "version": ' || version || '}}') AS digest FROM events5),
+one AS (SELECT place // 100 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM leaf GROUP BY place // 100),
+two AS (SELECT place // 100 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM one GROUP BY place // 100),
+three AS (SELECT place // 100 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM two GROUP BY place // 100)
+SELECT (SELECT count(*) FROM leaf) AS n, CASE WHEN (SELECT count(*) FROM one) = 1 THEN (SELECT any_value(digest) FROM one) WHEN (SELECT count(*) FROM two) = 1 THEN (SELECT any_value(digest) FROM two) ELSE (SELECT any_value(digest) FROM three) END AS sha256""",
     }

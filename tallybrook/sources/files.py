@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .shared import delete
 
 EVENT = "time string, event string, job string, candidate string, decision string, status string, error string, method string"
 METADATA_BYTES = 8 << 20
@@ -37,30 +42,26 @@ def append_events(df: DataFrame, path: str) -> None:
     stamped.write.mode("append").json(path)
 
 
-def _ends(spark: SparkSession, pattern: str, size: int) -> list[tuple[str, str]]:
-    """path and last bytes of each file that matches, or lies in a folder that does; nothing else of it is read."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    out, todo = [], [*(fs.globStatus(where) or [])]
-    while todo:
-        status = todo.pop()
-        if status.isDirectory():
-            todo += [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
-            continue
-        stream = fs.open(status.getPath())
-        try:
-            stream.seek(max(0, status.getLen() - size))
-            out.append((status.getPath().toString(), bytes(stream.readNBytes(size)).decode("utf8", "replace")))
-        finally:
-            stream.close()
-    return out
+def _ends(size: int):
+    """The last bytes of each file, read where the task runs; nothing else of it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails = []
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, inside = FileSystem.from_uri(path)
+                with fs.open_input_file(inside) as file:
+                    tails.append(file.read_at(size, max(0, length - size)).decode("utf8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails, pa.string())], ["path", "tail"])
+
+    return run
 
 
 def tail_events(spark: SparkSession, path: str, owner: str | None = None, lines: int = TAIL_LINES, size: int = TAIL_BYTES) -> DataFrame:
-    """The last lines of each event log, from its last bytes; malformed lines are skipped, the known fields kept. Logs are
-    few, one a run, and the driver reads `size` bytes of each."""
-    ends = spark.createDataFrame(_ends(spark, path, size), "path string, tail string")
+    """The last lines of each event log, from its last `size` bytes; malformed lines are skipped, the known fields kept.
+    The driver only lists the logs, with their lengths."""
+    logs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    ends = logs.mapInArrow(_ends(size), "path string, tail string")
     last = F.filter(F.split("tail", "\r?\n"), lambda x: x != "")
     rows = ends.select("path", F.explode(F.slice(last, F.greatest(F.size(last) - lines + 1, F.lit(1)), lines)).alias("line"))
     parsed = rows.select("path", F.from_json("line", EVENT, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("line").isNotNull().alias("ok"))
@@ -119,6 +120,41 @@ def snapshot(files: DataFrame, path: str) -> None:
     digest.dropDuplicates(["sha256"]).write.mode("errorifexists").partitionBy("sha256").parquet(path)
 
 
+def export(entries: DataFrame, path: str, allowed: str) -> None:
+    """Writes entries (path, content) and a manifest of their sizes and digests, all or nothing. Paths that don't match
+    `allowed` as a whole, lead upwards, are absolute or stand twice are refused before anything is written. Both parts are
+    written beside `path`, and one rename makes the export visible; what a failure leaves is deleted."""
+    spark = entries.sparkSession
+    entries = entries.select("path", "content")
+    inside = F.col("path").rlike(rf"\A(?:{allowed})\z") & ~F.col("path").rlike(r"(\A|/)\.\.?(/|\z)|\A/|//|\\")
+    bad = entries.groupBy("path").agg(F.count("*").alias("n")).filter(~F.coalesce(inside, F.lit(False)) | (F.col("n") > 1))
+    if refused := [r["path"] for r in bad.limit(20).collect()]:
+        raise ValueError(f"refused: {refused}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ValueError(f"{path} is there already")
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        entries.write.parquet(f"{staged}/entries")
+        written = spark.read.parquet(f"{staged}/entries")
+        manifest = written.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        manifest.write.json(f"{staged}/manifest")
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target):
+            raise OSError(f"{staged} can't become {path}")
+    finally:
+        delete(spark, staged)
+
+
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, sha256, state of an export's entries: ok, changed, missing, or unlisted."""
+    listed = spark.read.schema("path string, bytes long, sha256 string").json(f"{path}/manifest")
+    found = spark.read.parquet(f"{path}/entries").select(F.col("path").alias("p"), F.octet_length("content").cast("long").alias("b"), F.sha2("content", 256).alias("s"))
+    both = listed.join(found, F.col("path") == F.col("p"), "full")
+    state = F.when(F.col("p").isNull(), "missing").when(F.col("path").isNull(), "unlisted").when((F.col("bytes") == F.col("b")) & (F.col("sha256") == F.col("s")), "ok").otherwise("changed")
+    return both.select(F.coalesce("path", "p").alias("path"), F.coalesce("bytes", "b").alias("bytes"), F.coalesce("sha256", "s").alias("sha256"), state.alias("state"))
+
+
 #: Fixed value: bytes of a response from which it is refused.
 RESPONSE_BYTES = 16 << 20
 

@@ -152,6 +152,33 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/blobs").count() == 2
 
 
+def test_exports_are_whole_and_verified(spark, tmp_path):
+    entries = spark.createDataFrame([("a/x.txt", bytearray(b"1")), ("a/y.txt", bytearray(b"22"))], "path string, content binary")
+    out = f"{tmp_path}/out"
+    files.export(entries, out, r"a/[a-z]+\.txt")
+    assert sorted((r["path"], r["bytes"], r["state"]) for r in files.exported(spark, out).collect()) == [("a/x.txt", 1, "ok"), ("a/y.txt", 2, "ok")]
+    with pytest.raises(ValueError, match="already"):
+        files.export(entries, out, "a/.*")
+    for bad in ("b/x.txt", "a/../x.txt", "/a/x.txt", "a/x.txt"):
+        more = entries.union(spark.createDataFrame([(bad, bytearray(b"3"))], "path string, content binary"))
+        with pytest.raises(ValueError, match="refused"):
+            files.export(more, f"{tmp_path}/other", ".*" if bad != "b/x.txt" else "a/.*")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    entries.filter("path = 'a/x.txt'").union(spark.createDataFrame([("a/z.txt", bytearray(b"9"))], "path string, content binary")).write.mode("overwrite").parquet(f"{out}/entries")
+    assert {r["path"]: r["state"] for r in files.exported(spark, out).collect()} == {"a/x.txt": "ok", "a/y.txt": "missing", "a/z.txt": "unlisted"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 10, 11, 250])
+def test_one_identity_of_all_rows(spark, n):
+    rows = [(i // 3, i, f"é{i}") for i in range(n)]
+    level = [hashlib.sha256(json.dumps({"task": t, "pos": i, "v": v}, sort_keys=True).encode()).hexdigest() for t, i, v in rows]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 10]).encode()).hexdigest() for i in range(0, len(level), 10)]
+    random.Random(n).shuffle(rows)
+    df = spark.createDataFrame(rows, "task long, pos long, v string").repartition(5)
+    assert [tuple(r) for r in R.tree_identity(df, ("task", "pos"), 10).collect()] == ([(n, level[0])] if n else [])
+
+
 def test_frames_of_responses(spark):
     """Several data lines make a frame; the end mark ends a stream, and too many bytes refuse it."""
     streams = {
