@@ -1,12 +1,15 @@
 """Exact top-k by inner product: columnar branch and bound.
 
-Components become floor(256 x). Candidates are dealt into ranges of their norm, largest first, and these into blocks of
-bounded size; queries go into blocks of a fixed size. Each query first meets one block of the largest candidates. Its
-k-th best score there is a bound that it takes along: it only visits ranges whose largest norm times its own can still
-reach the bound. Each pair of blocks is one task of bounded memory. Inside, vectors lie dimension by dimension. Scores
-accumulate one block of dimensions at a time; before each, a candidate survives only if its partial score plus the
-product of the remaining norms of both vectors (Cauchy-Schwarz) can still reach the k-th best score known, and the
-survivors are compacted. Ties are kept, so the result is exact.
+Components become floor(256 x). `PIVOTS` vectors, those with the least hashes of their ids, divide all vectors into groups:
+each goes with the pivot at the smallest angle. Of a group its widest angle and largest norm are known, so no vector in it
+can score more with a query than the norms' product times the cosine of the angle that is left between them; this bound
+also tells groups apart where all norms are equal. Groups are cut into blocks of bounded size. A candidate lies in one
+block and is never copied; a query goes to a block of its nearest group first, which gives it a k-th best score, and then
+to the blocks of all groups that can still reach that score. Candidates of a block come before its queries, sorted inside
+the partitions, so a task holds one block and reads queries as a stream, however many there are. Inside, vectors lie
+dimension by dimension. Scores accumulate one block of dimensions at a time; before each, a candidate survives only if its
+partial score plus the product of the remaining norms of both vectors (Cauchy-Schwarz) can still reach the k-th best score
+known, and the survivors are compacted. Ties are kept, so the result is exact.
 Vectors that are null, empty of meaning (null or non-finite components) or without id take no part; a query never meets
 rows of its own id; rows that repeat an id are candidates each, and searched for together; shorter vectors count as
 zero-padded; vectors may be long; scores beyond 64 bits are clipped; other columns are not read; an empty table gives an
@@ -16,6 +19,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Candidates of a block.
 CANDIDATES = 8192
-QUERIES = 2048
-#: Ranges of the norm; their bounds and sizes are all that the driver sees.
-RANGES = 64
+#: Vectors that divide the others into groups; they, and a size, an angle and a norm of each group are all that the driver
+#: sees.
+PIVOTS = 64
 DIMS = 8
+#: Angles are taken this much wider than computed.
+SLACK = 1e-7
 _OUT = "query_id long, vec_id long, score long"
 _EXACT = 2.0**52
 
@@ -90,6 +97,92 @@ def _search_wide(ids, x, query_ids, q, k):
     return out
 
 
+def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of length 1 (zero columns stay) and their norms."""
+    most = np.abs(m).max(0, initial=0)
+    safe = np.where(most > 0, most, 1.0)
+    norm = np.sqrt(((m / safe) ** 2).sum(0))
+    return m / safe / np.where(norm > 0, norm, 1.0), norm * safe
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles between pivots (rows) and unit vectors (columns), which may differ in length."""
+    dims = max(len(unit), pivots.shape[1])
+    unit, pivots = np.pad(unit, ((0, dims - len(unit)), (0, 0))), np.pad(pivots, ((0, 0), (0, dims - pivots.shape[1])))
+    return np.arccos(np.clip(pivots @ unit, -1, 1))
+
+
+def _grouped(pivots: np.ndarray):
+    """id, v, group, angle, norm; the zero vectors are a group of their own, after the pivots'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, norm = _unit(_matrix(batch.column(1)))
+            angles = _angles(unit, pivots)
+            group = np.where(norm > 0, angles.argmin(0), len(pivots))
+            angle = np.where(norm > 0, angles.min(0), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(group.astype(np.int32)), pa.array(angle), pa.array(norm)], ["id", "v", "group", "angle", "norm"])
+
+    return run
+
+
+def reach(unit: np.ndarray, norm: np.ndarray, pivots: np.ndarray, widest: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The most that a vector of each group (rows) can score with each query (columns)."""
+    apart = np.vstack([_angles(unit, pivots), np.zeros((1, unit.shape[1]))])
+    left = np.clip(apart - widest[:, None] - SLACK, 0, None)
+    # a group beyond a right angle scores below zero, but how far depends on its smallest norm
+    return np.clip(np.cos(np.minimum(left, math.pi)), 0, None) * most[:, None] * norm * (1 + 1e-9)
+
+
+def _bounded(pivots: np.ndarray, widest: np.ndarray, most: np.ndarray, home: bool):
+    """id, v, group, bound: queries with the group that they can score most in, or all groups that reach their bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, norm = _unit(_matrix(batch.column(1)))
+            ceiling = reach(unit, norm, pivots, widest, most)
+            ceiling[most < 0] = -np.inf  # groups without a vector
+            bound = np.asarray(batch.column(2).fill_null(-math.inf), dtype=np.float64)
+            if home:
+                query, group = np.arange(batch.num_rows), ceiling.argmax(0)
+            else:
+                query, group = np.nonzero(((ceiling + 1e-6 * (1 + np.abs(np.where(np.isfinite(bound), bound, 0.0))) >= bound) & np.isfinite(ceiling)).T)
+            rows = batch.take(pa.array(query))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(group.astype(np.int32)), rows.column(2)], ["id", "v", "group", "bound"])
+
+    return run
+
+
+def _searched(k: int):
+    """Searches blocks; rows come as block, is_query, id, v, bound, in order of the first two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, parts, matrix = None, [], [], None
+        for batch in batches:
+            of, query = np.asarray(batch.column(0)), np.asarray(batch.column(1).cast(pa.int8()))
+            starts = np.flatnonzero(np.diff(of.astype(np.int64) * 2 + query, prepend=-1))
+            for s, e in zip(starts, [*starts[1:], len(of)], strict=True):
+                rows = batch.slice(s, e - s)
+                if of[s] != block:
+                    block, ids, parts, matrix = of[s], [], [], None
+                if not query[s]:
+                    ids.append(np.asarray(rows.column(2)))
+                    parts.append(_matrix(rows.column(3)))
+                    continue
+                if matrix is None and ids:
+                    dims = max(len(p) for p in parts)
+                    matrix, own = np.hstack([np.pad(p, ((0, dims - len(p)), (0, 0))) for p in parts]), np.concatenate(ids)
+                    parts = []
+                if not ids:
+                    continue
+                bounds = np.asarray(rows.column(4).fill_null(-math.inf), dtype=np.float64)
+                found = search_block(own, matrix, np.asarray(rows.column(2)), _matrix(rows.column(3)), k, bounds=bounds)
+                columns = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose id is divisible by `every`."""
     usable = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -98,42 +191,36 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 2
     # floor() of a double that no long can hold would overflow; such components stay doubles, which are whole anyway
     whole = lambda c: F.when(F.abs(c * scale) < 2.0**52, F.floor(c * F.lit(scale)).cast("double")).otherwise(c * F.lit(scale))
     v = v.select("id", F.transform("v", whole).alias("v"))
-    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)))
-    is_query = F.pmod("id", F.lit(every)) == 0
-    n, m = v.agg(F.count("*"), F.count_if(is_query)).first()
-    ranges = max(1, min(RANGES, math.ceil(n / CANDIDATES)))
-    cuts = v.agg(F.percentile_approx("norm", [i / ranges for i in range(1, ranges)], 1000)).first()[0] if ranges > 1 else None
-    # range 0 has the largest norms
-    at = sum(((F.col("norm") <= F.lit(c)).cast("int") for c in cuts or ()), F.lit(0))
-    held = {r["range"]: (r["n"], r["most"]) for r in v.groupBy(at.alias("range")).agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()}
-    parts = [max(1, math.ceil(held.get(r, (0, 0.0))[0] / CANDIDATES)) for r in range(ranges)]
-    most, parts_of = F.array(*(F.lit(float(held.get(r, (0, 0.0))[1])) for r in range(ranges))), F.array(*map(F.lit, parts))
-    query_blocks = max(1, math.ceil(m / QUERIES))
-    own = F.pmod(F.xxhash64("id"), F.get(parts_of, F.col("range"))).cast("int")
-    candidates = v.withColumn("range", at).select("id", "v", "range", own.alias("part"))
-    candidates = candidates.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = v.filter(is_query).distinct().withColumn("query_block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int"))
-    first = (F.col("range") == 0) & (F.col("part") == 0)
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            bounds = np.asarray(right["bound"].fill_null(-math.inf) if "bound" in right.column_names else np.full(right.num_rows, -math.inf))
-            found = search_block(np.asarray(left["id"]), _matrix(left["v"]), np.asarray(right["id"]), _matrix(right["v"]), k, bounds=bounds)
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    anew = lambda df, *names: df.select(*(F.col(c).alias(c) for c in names))  # noqa: E731  as columns of their own
-    near = anew(candidates.filter(first), "id", "v", "query_block").groupBy("query_block").cogroup(anew(queries, "id", "v", "query_block").groupBy("query_block"))
-    near = cut(near.applyInArrow(pair, _OUT))
+    sample = v.orderBy(F.xxhash64("id"), "id", "v").limit(PIVOTS).select("v").toArrow()["v"].combine_chunks()
+    pivots = _unit(_matrix(sample))[0].T if len(sample) else np.zeros((1, 1))
+    dealt = cut(v.mapInArrow(_grouped(pivots), "id long, v array<double>, group int, angle double, norm double"))
+    held = {r["group"]: r for r in dealt.groupBy("group").agg(F.count("*").alias("n"), F.max("angle").alias("widest"), F.max("norm").alias("most")).collect()}
+    groups = range(len(pivots) + 1)
+    widest = np.array([held[g]["widest"] if g in held else 0.0 for g in groups])
+    most = np.array([held[g]["most"] if g in held else -1.0 for g in groups])
+    parts = [max(1, math.ceil(held[g]["n"] / CANDIDATES)) if g in held else 0 for g in groups]
+    first = np.concatenate([[0], np.cumsum(parts)]).tolist()  # of each group's blocks
+    blocks = max(first[-1], 1)
+    at = lambda values, c: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col(c) + 1)
+    own = at(first, "group") + F.pmod(F.xxhash64("id", "v"), at([max(p, 1) for p in parts], "group")).cast("int")
+    candidates = dealt.select(own.alias("block"), F.lit(False).alias("is_query"), "id", "v", F.lit(None).cast("double").alias("bound"), "group")
+    queries = dealt.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v").distinct()
+
+    def searched(mine: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+        rows = mine.select("block", "is_query", "id", "v", "bound").union(asked.select("block", F.lit(True), "id", "v", "bound"))
+        return rows.repartition(n, "block").sortWithinPartitions("block", "is_query").mapInArrow(_searched(k), _OUT)
+
+    asking = "id long, v array<double>, group int, bound double"
+    started = queries.withColumn("bound", F.lit(None).cast("double")).mapInArrow(_bounded(pivots, widest, most, True), asking)
+    opening = F.col("block") == at(first, "group")
+    near = cut(searched(candidates.filter(opening), started.withColumn("block", at(first, "group")), min(blocks, len(pivots) + 1)))
     bound = near.groupBy(F.col("query_id").alias("id")).agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).cast("double").alias("bound"))
-    bounded = queries.join(bound, "id", "left")
-    reachable = lambda r: F.col("norm") * F.get(most, r) + 1e-6 * (1 + F.abs("bound")) >= F.col("bound")
-    visits = F.filter(F.sequence(F.lit(0), F.lit(ranges - 1)), lambda r: F.col("bound").isNull() | reachable(r))
-    bounded = bounded.withColumn("range", F.explode(visits)).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts_of, F.col("range")) - 1)))
-    bounded = anew(bounded.filter(~first), "id", "v", "bound", "query_block", "range", "part")
-    keys = ("range", "part", "query_block")
-    far = candidates.filter(~first).groupBy(*keys).cogroup(bounded.groupBy(*keys)).applyInArrow(pair, _OUT)
+    # a query may have started with other vectors under its id, or in an opening block that others skip
+    homes = started.select("id", "v", F.col("group").alias("home")).distinct()
+    going = queries.join(bound, "id", "left").select("id", "v", "bound").mapInArrow(_bounded(pivots, widest, most, False), asking)
+    going = going.withColumn("block", F.explode(F.sequence(at(first, "group"), at(first, "group") + at([max(p, 1) for p in parts], "group") - 1)))
+    going = going.join(homes, ["id", "v"]).filter(~((F.col("home") == F.col("group")) & opening))
+    far = searched(candidates, going, blocks)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.union(far).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

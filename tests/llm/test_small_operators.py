@@ -205,12 +205,12 @@ def test_topk(spark, monkeypatch):
     rows = [(i, rng.normal(size=24).astype(np.float32).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[i][1]) for i in range(100)]  # ties
     rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 24), (2003, [float("inf")] * 24), (None, rows[0][1]), (2050, []), (2051, [1.0])]
-    monkeypatch.setattr(topk, "CANDIDATES", 100)
-    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "CANDIDATES", 10)  # some 50 blocks
+    monkeypatch.setattr(topk, "PIVOTS", 7)
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     assert sorted(map(tuple, topk.exact_topk(df).collect())) == brute_topk(rows)
     assert topk.exact_topk(df.limit(0)).count() == 0
-    monkeypatch.setattr(topk, "RANGES", 3)
+    monkeypatch.setattr(topk, "PIVOTS", 3)
     scaled = [(i, [c * (1 + i % 7) for c in v]) for i, v in rows[:500]] + [(100, rows[7][1]), (500, rows[8][1])]  # norms differ, ids repeat
     got = topk.exact_topk(spark.createDataFrame(scaled, "vec_id long, embedding array<float>")).collect()
     want = {}
@@ -222,6 +222,28 @@ def test_topk(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((q, n + 1, i, -s) for q, found in want.items() for n, (s, i) in enumerate(sorted(found)[:5]))
 
 
+def test_groups_far_from_a_query_are_not_visited(spark, monkeypatch):
+    """Unit vectors around some directions: bounds hold for all vectors, and rule most groups out."""
+    rng = np.random.default_rng(1)
+    centres = np.eye(12) * 256
+    x = np.floor(centres[rng.integers(0, 12, 1500)].T + rng.normal(size=(12, 1500)) * 8)
+    unit, norm = topk._unit(x)
+    pivots = unit.T[:40]
+    angles = topk._angles(unit, pivots)
+    group = angles.argmin(0)
+    widest = np.array([*(angles[g, group == g].max(initial=0) for g in range(40)), 0.0])
+    most = np.array([*(norm[group == g].max(initial=-1) for g in range(40)), 0.0])
+    ceiling = topk.reach(unit[:, :30], norm[:30], pivots, widest, most)
+    scores = x[:, :30].T @ x
+    assert all(ceiling[group[j], i] >= scores[i, j] for i in range(30) for j in range(1500))
+    fifth = np.sort(scores, 1)[:, -6]
+    assert (ceiling >= fifth).mean() < 0.4
+    rows = [(i, (x[:, i] / 256).tolist()) for i in range(1500)] + [(3000, [0.0] * 12), (3001, [0.0] * 12)]
+    monkeypatch.setattr(topk, "CANDIDATES", 30)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.exact_topk(df).collect())) == brute_topk(rows)
+
+
 def test_topk_of_few_and_huge(spark):
     rows = [(0, [3e30]), (1, [1e30]), (2, [2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
