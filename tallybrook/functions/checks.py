@@ -345,6 +345,24 @@ def project(d: Column, adapters: dict[str, tuple[bool, bool]] = ADAPTERS) -> tup
     ]
 
 
+def proposal(d: Column, known: Column) -> tuple[Column, Rules]:
+    """A proposed change, which may cite the stages in `known`."""
+    texts = F.lit(True)
+    for k in ("hypothesis", "parent", "falsifier", "expected_effect"):
+        texts = texts & text(field(d, k))
+    refs, changes = field(d, "evidence_refs"), field(d, "changes")
+    return is_object(d), [
+        (texts, "a text is missing"),
+        (is_list(refs) & (size(refs) > 0) & is_object(changes) & (F.size(F.map_keys(fields_of(changes))) > 0), "evidence and a change are needed"),
+        (F.forall(items(refs), lambda r: is_string(r) & F.array_contains(known, F.coalesce(said(r), F.lit("")))), "unknown evidence"),
+    ]
+
+
+def candidate(d: Column) -> Column:
+    """The fingerprint of a proposal: its parent and its changes."""
+    return F.sha2(F.concat_ws("|", said(field(d, "parent")), F.to_json(field(d, "changes"))), 256)
+
+
 # ------------------------------------------------ rows
 def fenced(reply: Column) -> Column:
     """A reply without the code fence around it."""

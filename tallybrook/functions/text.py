@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words that carry no weight in ranking, in alphabetical order.
+#: Words that carry no weight in ranking.
 STOP_WORDS = (
-    "a an and are as at based be been being by can conversation could did do does for from had has have history how i if in is it me my of on or "
-    "our please should so still that the this to user was we were what when where which with would you your"
+    "a an the i me my you your we our and or of to for in on at is are was were be been being it this that with as from by do does did can could would should have has had "
+    "if so how what when where which please user still based history conversation"
 ).split()
 #: The code points that count as white space between words and at the ends of sentences.
 BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -20,8 +20,9 @@ BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 PLAIN = r"\A[\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF\x{2013}\x{2014}\x{2018}-\x{201D}]*\z"
 #: Words that hint at a change.
 CHANGE_CUES = ("now", "anymore", "no longer", "instead", "since", "recently", "changed", "switched", "started", "stopped", "quit", "moved", "new", "but", "however", "actually")
+#: What is redacted.
 SECRETS = (r"sk-[A-Za-z0-9_-]{12,}",)
-#: What a scan before publication looks for.
+#: What a scan before publication looks for.
 CREDENTIALS = (r"(?<![A-Za-z0-9_])sk-[A-Za-z0-9_-]{24,}", r"gh[pousr]_[A-Za-z0-9]{30,}", r"github_pat_[A-Za-z0-9_]{30,}", r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----")
 #: As CREDENTIALS, but a private key goes whole, to the end of the text if its last line is missing.
 REDACTED = (*SECRETS, *CREDENTIALS[1:3], CREDENTIALS[3] + r"[\s\S]*?(?:-----END (?:RSA |OPENSSH |EC )?PRIVATE KEY-----|\z)")
@@ -86,12 +87,38 @@ def includes_tokens(context: Column, statement: Column) -> Column:
     return F.contains(spaced(normalize(context)), spaced(normalize(statement))) & (F.size(words_of(normalize(statement))) > 0)
 
 
-def redact(text: Column, patterns=REDACTED) -> Column:
+def redact(text: Column, patterns=REDACTED, key: Column | None = None) -> Column:
+    """Text without what the patterns find, and without the literal key of its row, if it has one."""
+    if key is not None:
+        text = F.when(F.coalesce(key, F.lit("")) != "", F.replace(text, key, F.lit("[REDACTED]"))).otherwise(text)
     for p in patterns:
         text = F.regexp_replace(text, p, "[REDACTED]")
     return text
 
 
+#: Folders and files that aren't shared, suffixes of artifacts, and the size from which a file is one.
+PRIVATE = (".local", ".venv", "vendor", "data", "research", "paper", "submissions", "outputs", "projects", "__pycache__")
+TOKEN_FILE, ARTIFACTS, LARGE = "PaperReview-AccessToken.txt", (".zip", ".pdf", ".pyc"), 5_000_000
+
+
+def share_issues(path: Column, content: Column) -> Column:
+    """What keeps a file (relative path, text) from being shared. Folders of a project's configuration may have any name
+    in their first two parts."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    configured = F.array_join(F.slice(parts, 1, 2), "/") == "config/projects"
+    judged = F.when(configured, F.slice(parts, 3, 1 << 20)).otherwise(parts)
+    name = F.coalesce(F.element_at(parts, F.when(F.size(parts) > 0, -1)), F.lit(""))
+    suffix = F.lower(F.regexp_extract(name, r"(?s)[^.].*(\.[^.]+)\z|\A[^.](\.[^.]+)\z", 1))
+    short = F.lower(F.regexp_extract(name, r"(?s)\A[^.](\.[^.]+)\z", 1))
+    found = [
+        F.when(F.arrays_overlap(judged, F.array(*map(F.lit, PRIVATE))) | (name == TOKEN_FILE), "private path"),
+        F.when(F.startswith(name, F.lit(".env")) & (name != ".env.example"), "credential file"),
+        F.when((F.octet_length(content) > LARGE) | suffix.isin(*ARTIFACTS) | short.isin(*ARTIFACTS), "large/binary artifact"),
+        F.when(F.coalesce(content.rlike("|".join(CREDENTIALS)), F.lit(False)), "possible credential"),
+    ]
+    return F.array_compact(F.array(*found))
+
+
 def locate(text: Column, excerpt: Column) -> Column:
     """Zero-based place of the first occurrence, null if there is none."""
     return F.when(F.instr(text, excerpt) > 0, F.instr(text, excerpt) - 1)

@@ -116,9 +116,12 @@ def first_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def cached_requests(requests: DataFrame, key: list[str]) -> DataFrame:
-    """requests with `reused`: an earlier request of the same content settled. requests: pos, status and key columns."""
-    earlier = Window.partitionBy(F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in key)), 256)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("reused", F.coalesce(F.bool_or(F.col("status") == "settled").over(earlier), F.lit(False)))
+    """requests with `reused`: an earlier request of the same content settled. requests: pos, status and key columns. Of
+    each content only the first settled place is looked up, so a content that all ask for is no group of its own."""
+    content = F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in key)), 256)
+    first = requests.filter("status = 'settled'").groupBy(content.alias("content")).agg(F.min("pos").alias("first"))
+    joined = requests.withColumn("content", content).join(first, "content", "left")
+    return joined.select(*requests.columns, F.coalesce(F.col("pos") > F.col("first"), F.lit(False)).alias("reused"))
 
 
 # ------------------------------------------------ feeds and manifests

@@ -146,6 +146,14 @@ def _project(g: Dialect) -> str:
     return _object(schema_version="CASE WHEN count(*) = 3 THEN 4 ELSE 5 END", id=_q("'c' || max(o_custkey)"), question="'\"q\"'", model_token_limit=f"(100 - {_count('o_totalprice > 470000')} * 60)", stages=_array(g.list(stage)))
 
 
+def _proposal(g: Dialect) -> str:
+    change = _object(size=_whole("max(o_totalprice) / 100000"))
+    return _object(
+        hypothesis="CASE WHEN count(*) > 15 THEN '\" \"' ELSE '\"h\"' END", parent=_q("min(o_orderpriority)"), falsifier="'\"f\"'", expected_effect="'\"e\"'",
+        evidence_refs=_array(g.set(f"CASE WHEN o_totalprice > 420000 THEN {_q('o_orderstatus')} END")), changes=f"CASE WHEN min(o_totalprice) > 60000 THEN '{{}}' ELSE {change} END",
+    )
+
+
 # ------------------------------------------------ Spark
 def _made(rows: DataFrame, key: str, text: Callable[[Dialect], str], grouped: bool = True) -> DataFrame:
     """id, doc, d: the documents of the rows, as text and as variants."""
@@ -187,6 +195,15 @@ def check_results(spark, d):
     return _judged(docs, lambda v: C.result(v, method, F.col("o_orderkey"), "price"))
 
 
+def check_proposals(spark, d):
+    """Each customer's proposal; of valid ones with one fingerprint the first counts."""
+    docs = _made(S.table(spark, d, "orders"), "o_custkey", _proposal)
+    told = docs.select("id", C.errors(F.col("d"), C.proposal(F.col("d"), F.array(F.lit("F"), F.lit("O")))).alias("errors"), C.candidate(F.col("d")).alias("candidate"))
+    first = told.filter("errors = ''").groupBy("candidate").agg(F.min("id").alias("first"))
+    again = F.coalesce((F.col("errors") == "") & (F.col("id") > F.col("first")), F.lit(False))
+    return told.join(first, "candidate", "left").select("id", F.when(again, "duplicate candidate").otherwise(F.col("errors")).alias("errors"))
+
+
 def _replies(spark, d) -> DataFrame:
     turns = S.table(spark, d, "conversations").filter("role = 'assistant' AND text IS NOT NULL")
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.expr(_review(SPARK)).alias("reply"))
@@ -377,6 +394,10 @@ def _rules() -> dict[str, tuple[str, list[tuple[str, str]]]]:
             (f"{_string(_of('method'))} = wanted AND {_int(_of('seed'), 'id', 'id')}", "identity differs"), (f"{_type(_of('metrics'), 'OBJECT')} AND list_contains(json_keys({_of('metrics')}), 'price')", "the primary metric is missing"),
             (_all("list_transform(json_keys(doc, '$.metrics'), lambda k: json_extract(doc, '$.metrics.' || k))", f"{_number('x')} IS NOT NULL"), "metrics are finite numbers"), (_type(_of("provenance"), "OBJECT"), "no provenance"),
         ]),
+        "check_proposals": (_type("doc", "OBJECT"), [
+            (" AND ".join(_text(_of(k)) for k in ("hypothesis", "parent", "falsifier", "expected_effect")), "a text is missing"), (f"len({_items(_of('evidence_refs'))}) > 0 AND len(json_keys(doc, '$.changes')) > 0", "evidence and a change are needed"),
+            (_all(_items(_of("evidence_refs")), f"{_string('x')} IN ('F', 'O')"), "unknown evidence"),
+        ]),
         "check_reviews": (_keys("doc", "summary", "strengths", "issues", "next_experiments"), [
             (_text(_of("summary")), "summary is empty"), (f"{_every(_of('strengths'), _type('x', 'VARCHAR'))} AND {_every(_of('next_experiments'), _type('x', 'VARCHAR'))}", "a list holds something else than texts"),
             (_every(_of("issues"), _keys("x", "severity", "evidence_ids", "problem", "action")), "issue out of schema"), (_all(issues, f"{_string(_of('severity', 'x'))} IN ('major', 'minor', 'question')"), "unknown severity"),
@@ -407,7 +428,7 @@ def _rules() -> dict[str, tuple[str, list[tuple[str, str]]]]:
 
 
 def queries() -> dict:
-    named = (check_plans, check_campaigns, campaign_reserves, check_assignments, check_feedback, check_results, check_reviews, review_issues, reply_objects, response_texts, check_routes, check_receipts, check_projects)
+    named = (check_plans, check_campaigns, campaign_reserves, check_assignments, check_feedback, check_results, check_reviews, review_issues, reply_objects, response_texts, check_routes, check_receipts, check_projects, check_proposals)
     return {f.__name__: f for f in named}
 
 
@@ -426,6 +447,8 @@ def oracle_sql() -> dict[str, str]:
         "check_assignments": _twin("conversations", "conv_id", _assignment(DUCK), told["check_assignments"]),
         "check_feedback": _twin("conversations", "conv_id", _feedback(DUCK), told["check_feedback"]),
         "check_results": _twin("orders", "o_orderkey", _result(DUCK), told["check_results"], False, wanted),
+        "check_proposals": f"""SELECT id, CASE WHEN errors = '' AND row_number() OVER (PARTITION BY errors, doc->>'$.parent', CAST(doc->'$.changes' AS VARCHAR) ORDER BY id) > 1 THEN 'duplicate candidate' ELSE errors END AS errors
+  FROM (SELECT id, doc, {told['check_proposals']} AS errors FROM (SELECT o_custkey AS id, CAST({_proposal(DUCK)} AS JSON) AS doc FROM orders GROUP BY o_custkey))""",
         "check_reviews": f"SELECT id, {told['check_reviews']} AS errors FROM ({reviews})",
         "review_issues": f"WITH r AS (SELECT doc, {told['check_reviews']} AS errors FROM ({reviews})) SELECT state, count(*) AS n FROM (SELECT unnest(json_extract(doc, '$.issues[*]'))->>'$.severity' AS state FROM r WHERE errors = '' UNION ALL SELECT 'quarantine' FROM r WHERE errors <> '') GROUP BY state",
         "reply_objects": f"SELECT id, doc IS NOT NULL AND turn % 4 <> 2 AS object, CASE WHEN turn % 4 <> 2 THEN doc->>'$.summary' END AS summary FROM ({reviews})",

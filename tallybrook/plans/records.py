@@ -403,6 +403,14 @@ def secret_scan(spark, d):
     return _documents(spark, d).select("doc_id", F.explode(F.filter(F.array(*hits, big), lambda x: x.isNotNull())).alias("finding"))
 
 
+def share_scan(spark, d):
+    """Documents as files of folders that go by language, with suffixes that go by length."""
+    folder = F.when(F.col("lang") == "de", "data").when(F.col("lang") == "fr", "config/projects/notes").when(F.col("lang") == "es", "config/projects/notes/outputs").otherwise("docs")
+    name = F.when(F.col("n_chars") > 9000, F.concat("source", F.lit(".ZIP"))).when(F.col("n_chars") < 300, F.concat(F.lit(".env"), F.when(F.col("n_chars") < 150, ".example").otherwise(""))).otherwise(F.concat("source", F.lit(".txt")))
+    docs = S.table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.explode(T.share_issues(F.concat_ws("/", folder, name), F.col("text"))).alias("finding"))
+
+
 def locate_excerpt(spark, d):
     """doc_id, item_id, place: every benchmark text that stands in a document, at its first place."""
     items = S.table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("excerpt"))
@@ -532,7 +540,7 @@ form AS (SELECT r.*, coalesce(open, true) AS open, '{{"adapter": "' || fingerpri
 
 
 def queries() -> dict:
-    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, run_errors, first_runs, grids_in_order, ledger_faults, planned_anti, ui_filter, dag_signatures, dag_stale, dag_revision, dag_unreviewed, dag_status, dag_retries, dag_decisions, run_resumes, job_reuse, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, locate_excerpt, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
+    named = (grid_results, grid_complete, grid_summary, grid_outcomes, same_data_check, search_fold, holdout_methods, holdout_claims, audit_diff, usage_normalized, ledger_rollup, admission_fold, request_cache, ledger_latest, settle_reservations, recent_requests, feed_top80, board_totals, grid_progress, runs_by_time, alerts_union, run_errors, first_runs, grids_in_order, ledger_faults, planned_anti, ui_filter, dag_signatures, dag_stale, dag_revision, dag_unreviewed, dag_status, dag_retries, dag_decisions, run_resumes, job_reuse, manifest_build, manifest_diff, evidence_gate, dedupe_blobs, redact, secret_scan, share_scan, locate_excerpt, json_pointer, evidence_calc, tex_escape, path_rules, stratified_sample, hash_shuffle, tabular_threshold, tabular_linear, comparison, split_overlap, unique_ids, proposal_dupes)
     dags = {"dag_ancestors": lambda s, e: L.ancestors(e), "dag_order": L.out_of_order, "dag_blockers": L.blockers, "dag_runnable": L.runnable, "dag_unfrozen": L.unfrozen_holdouts, "dag_leaks": L.leaks}
     return {f.__name__: f for f in named} | {k: _dag(f) for k, f in dags.items()}
 

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybrook.functions import checks as C
+from tallybrook.functions import text as T
+from tallybrook.plans import registry
 
 PLAN = {
     "schema_version": 1, "title": "t", "question": "q", "hypothesis": "h", "experiment": "dir/run.py", "methods": ["a", "b_2"], "baseline": "a", "seeds": [1, 2], "primary_metric": "m",
@@ -141,3 +143,33 @@ def test_quarantine(spark):
     rows = spark.createDataFrame([(1, json.dumps(FEEDBACK)), (2, "{}"), (3, None)], "id int, t string").withColumn("d", F.try_parse_json("t"))
     good, bad = C.sorted_out(rows, C.errors(F.col("d"), C.feedback(F.col("d"))))
     assert [r["id"] for r in good.collect()] == [1] and sorted((r["id"], r["errors"]) for r in bad.collect()) == [(2, "fields differ from the schema"), (3, "no document")]
+
+
+def test_proposals(spark):
+    good = {"hypothesis": "h", "parent": "p", "falsifier": "f", "expected_effect": "e", "evidence_refs": ["a"], "changes": {"x": 1, "b": 2}}
+    docs = [good, good | {"hypothesis": " "}, good | {"evidence_refs": []}, good | {"changes": {}}, good | {"evidence_refs": ["z"]}, good | {"changes": {"b": 2, "x": 1}}, good | {"parent": "q"}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, t string").select("i", F.try_parse_json("t").alias("d"))
+    got = df.select("i", C.errors(F.col("d"), C.proposal(F.col("d"), F.array(F.lit("a")))).alias("e"), C.candidate(F.col("d")).alias("c")).orderBy("i").collect()
+    assert [r["e"] for r in got] == ["", "a text is missing", *["evidence and a change are needed"] * 2, "unknown evidence", "", ""]
+    assert got[0]["c"] == got[5]["c"] != got[6]["c"]
+
+
+def test_files_that_are_not_shared(spark):
+    key = "ghp_" + "a" * 30
+    cases = {
+        ("docs/a.txt", "x"): [], ("data/a.txt", "x"): ["private path"], ("config/projects/a.txt", "x"): [], ("config/projects/x/data/a.txt", ""): ["private path"], ("a/projects/b", ""): ["private path"], ("config/other/paper/a", ""): ["private path"],
+        ("x/PaperReview-AccessToken.txt", ""): ["private path"], (".env", ""): ["credential file"], ("a/.env.local", ""): ["credential file"], (".env.example", ""): [], ("a.PDF", ""): ["large/binary artifact"], ("b/x.tar.zip", ""): ["large/binary artifact"],
+        (".zip", ""): [], ("./data", ""): ["private path"], ("a.txt", key): ["possible credential"], ("vendor/.env", key): ["private path", "credential file", "possible credential"], ("big.txt", "é" * 2_500_001): ["large/binary artifact"], ("a", None): [],
+    }
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(cases)], "i int, p string, t string")
+    assert [r["f"] for r in df.select("i", T.share_issues(F.col("p"), F.col("t")).alias("f")).orderBy("i").collect()] == list(cases.values())
+
+
+def test_literal_keys_are_redacted(spark):
+    df = spark.createDataFrame([("a k1 b sk-abcdefghijklmnop k1", "k1"), ("a.b", "."), ("x", ""), ("x", None)], "t string, k string")
+    assert [r[0] for r in df.select(T.redact(F.col("t"), key=F.col("k"))).collect()] == ["a [REDACTED] b [REDACTED] [REDACTED]", "a[REDACTED]b", "x", "x"]
+
+
+def test_adapters_need_leave():
+    free, all_ = registry.adapters(), registry.adapters(True, True)
+    assert "stale_v5_readers" not in free and "comparison" in free and set(free) < set(all_) == set(registry.ADAPTER_QUERIES)
