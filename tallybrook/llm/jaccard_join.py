@@ -17,7 +17,8 @@ Documents are sets of 64-bit hashes of word shingles. Two link when 100 |x & y|
 
 A text without words (or null) has an empty set and links with nothing; with fewer words than a shingle takes, the whole
 sequence is one shingle. Rows that share a doc_id count as linked; rows without one take part in nothing and get a null
-component. Repeated rows each get their row; an empty table gives an empty result.
+component. Repeated rows each get their row; texts are hashed whole, however long; link_documents reads no other columns,
+and keep_one keeps them under any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

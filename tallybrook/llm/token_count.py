@@ -4,7 +4,8 @@ A word's bytes start as a doubly linked list of symbols. A heap holds the adjace
 popping the lowest rank (leftmost on ties) joins two symbols and offers the two new neighbours. The count is the initial
 symbols minus the merges made, so no token identifiers are ever built. Counts equal those of the public library for the
 same vocabulary file, special strings inside a text included (one token each). Null texts count as empty; texts of any
-length are counted whole; repeated rows stay repeated. Map-only; the memo of word counts has a fixed bound.
+length are counted whole; repeated rows stay repeated; other columns, whatever their names, are not read; an empty table
+gives an empty result. Map-only; the memo of word counts has a fixed bound.
 """
 
 from __future__ import annotations

@@ -95,3 +95,17 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in jj.keep_one(df).collect()) == [1, 3]
     again = df.union(df.filter("doc_id <> 2")).union(spark.createDataFrame([(None, "z", "u")], df.schema))
     assert sorted(map(repr, jj.keep_one(again).collect())) == sorted(map(repr, [*df.filter("doc_id <> 2").collect(), *again.filter("doc_id IS NULL").collect()]))
+
+
+def test_long_texts_null_ids_and_clashing_columns(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    near = list(words)
+    near[60_000] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "x y z"), (None, "x y z"), (None, None), (4, None), (3, "x y z")]
+    df = spark.createDataFrame([(d, t, 1, "g", 2) for d, t in rows], "doc_id long, text string, component_id int, chunk string, n_links int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.link_documents(df).collect()), key=repr)
+    want = sorted(((d, len(shingles(t)), {1: 1, 2: 1}.get(d, d)) for d, t in rows), key=repr)
+    assert got == want
+    kept = jj.keep_one(df)
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None", "None"]

@@ -321,3 +321,26 @@ def test_licences(spark):
     got = {r["doc_id"]: r["licence"] for r in licences.scan(df).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: None, 6: "MIT", 7: "MIT"}
     assert licences.scan(df.limit(0)).count() == 0
+
+
+# ------------------------------------------------ awkward rows
+def test_token_counts_of_long_texts_and_clashing_columns(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(4)
+    long_ = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(200_000))
+    df = spark.createDataFrame([(1, long_, 5, True, "x"), (2, None, 6, None, None), (None, "a b", 7, False, "y")], "doc_id long, text string, n_tokens int, over_limit boolean, n_bytes string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_count.count_tokens(df, path).collect()}
+    n = len(library.encode(long_, add_special_tokens=False).ids)
+    assert got == {1: (len(long_.encode()), n, True), 2: (0, 0, False), None: (3, 2, False)}
+
+
+def test_packing_of_long_texts_ties_and_clashing_columns(spark):
+    rows = [(1, "w " * 400_000), (2, "w"), (2, "w"), (None, "w"), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, 7, "b", 0) for i, t in rows], "doc_id long, text string, length int, bucket string, batch int")
+    out = packing.pack(df, buckets=2, budget=10).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in out) == [("1", 400_001), ("2", 2), ("2", 2), ("3", 1), ("None", 1), ("None", 2)]
+    assert all(r["length"] <= r["bound"] and r["padding"] == r["bound"] - r["length"] for r in out)
+    spots = [(r["batch"], r["position"]) for r in out]
+    assert len(set(spots)) == len(spots)
