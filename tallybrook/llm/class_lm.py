@@ -10,8 +10,8 @@
    the class bigram likelihood most, all others staying where they are. The bigrams of classes are summed anew over all
    training documents in each round; a round after which they are less likely is taken back, and when a round gains less
    than `GAIN` a token, it was the last.
-4. Parts fetch counts and final classes of their words; transitions are counted over all training documents. A text's
-   score sums log10 of P(class | class before) * P(word | class) over its words and the end.
+4. Transitions are those counts of the last round. Parts fetch counts and final classes of their words, and a text's score
+   sums log10 of P(class | class before) * P(word | class) over its words and the end.
 
 P(word | class) is (count - DISCOUNT) / tokens of the class; what this leaves is the class's probability of a word that
 no training document has, so a class's emissions sum to one. The classes after an unknown word are those after words
@@ -25,16 +25,18 @@ and long ones are split into words piece by piece.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import cogrouped, grouped, pack, table_of, unpack
+from .chunks import cogrouped, grouped, table_of
 from .common import chunk_count, cut, discard
 
 MODULUS, REMAINDER = 7, 2
@@ -51,12 +53,20 @@ FIRST_ROUNDS = 20
 #: Bytes of text in a part, and in a piece of a text.
 PART, PIECE = 8 << 20, 1 << 20
 TRANSITION, DISCOUNT = 20.0, 0.75
-#: Marks of a token's word: seen once, and never. Classes are numbered below them.
-ONCE, NEVER = 1 << 14, 1 << 15
+#: Classes are numbered in 16 bits, and twice as many slots of contexts are.
+MOST_CLASSES = 1 << 14
 _CODE = np.uint16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
+def pack(*arrays, level: int = 3) -> bytes:
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), level)
+
+
+def unpack(blob: bytes) -> tuple:
+    return pickle.loads(zstandard.decompress(blob))
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % MODULUS == REMAINDER
 
@@ -123,7 +133,7 @@ class Part:
         counts = np.bincount(ids[~np.repeat(held, self.sizes)], minlength=len(words)).astype(np.uint32)
         bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
         planes = [((ids >> np.uint32(8 * b)) & np.uint32(255)).astype(np.uint8) for b in range(4) if b == 0 or len(words) > 1 << (8 * b)]
-        rows = [(part, None, pack(self.docs, np.array(self.sizes, np.int64), held, bucket.astype(np.uint32), planes))]
+        rows = [(part, None, pack(self.docs, np.array(self.sizes, np.int64), held, bucket.astype(np.uint32), planes, level=9))]  # sent in every round
         rows += [(part, b, run) for b, run in _runs(words, counts, bucket)]
         return table_of(rows, ["part", "bucket", "blob"], [pa.int64(), pa.int32(), pa.binary()]).combine_chunks().to_batches()[0]
 
@@ -433,8 +443,12 @@ def _merge(classes: int):
         n = np.add.reduceat(times.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
         word, slot = keys[starts] // slots, keys[starts] % slots
         after = slot < classes
-        pairs, inverse = np.unique(of[word[after]].astype(np.int64) * classes + slot[after], return_inverse=True)
-        m = np.bincount(inverse, n[after], len(pairs)).astype(np.int64)
+        first = of[word[after]].astype(np.int64)
+        once = counts[word[after]] == 1
+        # a last row for words seen once, beside that of their class
+        pairs = np.concatenate([first * classes + slot[after], classes * classes + slot[after][once]])
+        pairs, inverse = np.unique(pairs, return_inverse=True)
+        m = np.bincount(inverse, np.concatenate([n[after], n[after][once]]), len(pairs)).astype(np.int64)
         rows = [(key[0].as_py(), pack(counts, of, word.astype(np.uint32), slot.astype(_CODE), n), None, None, None)]
         rows += [(None, None, int(k // classes), int(k % classes), int(v)) for k, v in zip(pairs, m, strict=True)]
         return table_of(rows, ["bucket", "blob", "a", "b", "n"], [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()])
@@ -456,7 +470,7 @@ def _move(m: np.ndarray):
 # ------------------------------------------------ the model
 def classes_for(words: int) -> int:
     """Classes of a vocabulary: half its cube root."""
-    return min(ONCE, max(LEAST_CLASSES, round(max(words, 0) ** (1 / 3) / 2)))
+    return min(MOST_CLASSES, max(LEAST_CLASSES, round(max(words, 0) ** (1 / 3) / 2)))
 
 
 class Model:
@@ -464,8 +478,8 @@ class Model:
 
     def __init__(self, docs: DataFrame, classes: int | None = None, seeds: int | None = None, rounds: int | None = None):
         """classes: by default half the cube root of the vocabulary; seeds: twice that; rounds: as many as gain enough."""
-        if classes is not None and not 3 <= classes <= ONCE:
-            raise ValueError(f"classes must be from 3 to {ONCE}")
+        if classes is not None and not 3 <= classes <= MOST_CLASSES:
+            raise ValueError(f"classes must be from 3 to {MOST_CLASSES}")
         buckets = chunk_count(docs)
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.all_parts = parts = cut(own.mapInArrow(_read_parts(buckets), "part long, bucket int, blob binary"))
@@ -488,31 +502,28 @@ class Model:
             start.setdefault(r["bucket"], []).append((r["id"], c + 1))
         counts = tally.filter("part IS NULL AND blob IS NOT NULL").select("bucket", "blob")
         state = cut(counts.mapInArrow(_start(start, classes), _STATE))
-        #: What the last round began with, and its likelihood.
-        self.before, self.reached = state, -np.inf
-        done = 0
-        while rounds is None or done < rounds:
+        before, done = None, 0
+        while True:
             merged, m = self._counted(state)
-            if self.fell(m):
+            reached = likelihood(m[:-1])
+            if before is not None and reached < before[2]:  # all words moved at once, and it was too much
                 discard(merged, state)
-                state = self.before
+                state, m, reached = before
                 break
-            enough = rounds is None and likelihood(m) - self.reached <= GAIN * self.tokens
-            if done:
-                discard(self.before)
-            self.before, self.reached = state, likelihood(m)
-            if not enough:
-                state = cut(merged.filter("blob IS NOT NULL").select("bucket", "blob").mapInArrow(_move(m), _STATE))
-                done += 1
-            discard(merged)
+            enough = done >= rounds if rounds is not None else before is not None and reached - before[2] <= GAIN * self.tokens
+            if before is not None:
+                discard(before[0])
             if enough:
+                discard(merged)
                 break
+            before = state, m, reached
+            state = cut(merged.filter("blob IS NOT NULL").select("bucket", "blob").mapInArrow(_move(m[:-1]), _STATE))
+            discard(merged)
+            done += 1
+        #: Class bigrams, with a last row for words seen once; and what they add to the likelihood.
+        self.m, self.reached = m, reached
         self.use(state)
 
-    def fell(self, m: np.ndarray) -> bool:
-        """Whether these class bigrams are less likely than those before the last round: all words moved at once."""
-        return likelihood(m) < self.reached
-
     def use(self, state: DataFrame) -> None:
         self.state = state.filter("blob IS NOT NULL").select("bucket", "blob")
         self.words_of, self.tokens_of = self._sums(state)
@@ -533,9 +544,9 @@ class Model:
         held = state.filter("blob IS NOT NULL").select("bucket", "blob")
         contexts = self.parts.groupBy("part").cogroup(self.told(held, False).groupBy("part")).applyInArrow(cogrouped(_contexts(self.classes)), "bucket int, blob binary")
         merged = cut(contexts.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(cogrouped(_merge(self.classes)), "bucket int, blob binary, a int, b int, n long"))
-        m = _summed(merged.filter("a IS NOT NULL").select("a", "b", "n"), (self.classes,) * 2)
+        m = _summed(merged.filter("a IS NOT NULL").select("a", "b", "n"), (self.classes + 1, self.classes))
         # each token has one before it: what no word is the first of, an end is
-        m[0] = self._sums(state)[1].astype(np.int64) - m[1:].sum(0)
+        m[0] = self._sums(state)[1].astype(np.int64) - m[1:-1].sum(0)
         return merged, m
 
     def unknown(self) -> np.ndarray:
@@ -557,27 +568,6 @@ class Model:
         return np.log10(np.concatenate([t, (t @ self.unknown())[:, None]], 1))
 
 
-def _label(model: Model):
-    """A part's documents with all figures but the transitions, and their tokens as classes with marks."""
-    tokens, distinct, ends = model.tokens, model.distinct, model.ends
-    emission = model.emission
-
-    def run(key, own, told):
-        read = Read(own["blob"][0].as_py())
-        of, counts = (x.astype(np.int64) for x in read.told(_told(told), (0, ends)))
-        base = np.log10((counts + 1) / (tokens + distinct + 1))
-        out = emission(of, counts)
-        mark = np.where(counts == 0, NEVER, np.where((counts == 1) & (of > 0), ONCE, 0))
-        mark[0] = 0  # the end is never an unknown word
-        code = np.where(mark == NEVER, NEVER, of + mark).astype(_CODE)
-        at = np.cumsum(read.sizes) - read.sizes
-        sums = [np.add.reduceat(x[read.symbols], at) for x in ((counts > 0).astype(np.int64), base, out)]
-        blob = pack(read.docs, read.held, read.sizes, *sums, code[read.symbols])
-        return table_of([(blob,)], ["blob"], [pa.binary()])
-
-    return run
-
-
 class _Plain:
     """What a task needs of a model."""
 
@@ -587,61 +577,34 @@ class _Plain:
     emission = Model.emission
 
 
-def _rows_of(code: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (of the token before) and columns of the step table."""
-    code = code.astype(np.int64)
-    symbol = np.where(code == NEVER, classes, code & (ONCE - 1))
-    return np.concatenate([[0], symbol[:-1]]), symbol
-
-
-def _count_steps(classes: int):
-    """Class bigrams of the training documents; in a last row those whose first word was seen once."""
-
-    def run(batches):
-        m = np.zeros(((classes + 1), classes), np.int64)
-        for batch in batches:
-            for blob in batch.column(0):
-                _, held, sizes, *_, code = unpack(blob.as_py())
-                code = code[np.repeat(~held, sizes)]
-                if len(code):
-                    a, b = _rows_of(code, classes)
-                    m[:-1] += np.bincount(a * classes + b, minlength=classes * classes).reshape(classes, classes)
-                    m[-1] += np.bincount(b[1:][(code[:-1] & ONCE) > 0], minlength=classes)
-        yield _pairs(m)
-
-    return run
-
-
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(steps: np.ndarray, tokens: int):
+def _score(model: _Plain, steps: np.ndarray):
+    """A part's documents, told the counts and classes of their words."""
     names = [x.split()[0] for x in _OUT.split(", ")]
+    classes = len(steps) - 1
 
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column(0):
-                docs, held, sizes, known, base, emitted, code = unpack(blob.as_py())
-                a, b = _rows_of(code, len(steps) - 1)
-                score = emitted + np.add.reduceat(steps[a, b], np.cumsum(sizes) - sizes)
-                columns = [pa.array(docs, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+    def run(key, own, told):
+        read = Read(own["blob"][0].as_py())
+        of, counts = (x.astype(np.int64) for x in read.told(_told(told), (0, model.ends)))
+        base = np.log10((counts + 1) / (model.tokens + model.distinct + 1))
+        emitted = model.emission(of, counts)
+        unknown = counts == 0
+        unknown[0] = False  # the end is never an unknown word
+        symbol = np.where(unknown, classes, of)[read.symbols]
+        before = np.concatenate([[0], symbol[:-1]])  # the end before a document is the end of the one before it
+        at = np.cumsum(read.sizes) - read.sizes
+        total = lambda x: np.add.reduceat(x, at)
+        score = total(emitted[read.symbols]) + total(steps[before, symbol])
+        columns = [pa.array(read.docs, pa.int64()), pa.array(read.held), pa.array(read.sizes, pa.int64()), pa.array(total((counts > 0).astype(np.int64)[read.symbols])), pa.array(np.full(len(at), model.tokens, np.int64)), pa.array(total(base[read.symbols])), pa.array(score)]
+        return pa.Table.from_arrays(columns, names)
 
     return run
 
 
-def _labelled(model: Model) -> tuple[DataFrame, np.ndarray]:
-    """The parts as classes, and their transitions."""
-    told = model.told(model.state, True)
-    read = cut(model.parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(cogrouped(_label(_Plain(model))), "blob binary"))
-    return read, _summed(read.mapInArrow(_count_steps(model.classes), "a int, b int, n long"), (model.classes + 1, model.classes))
-
-
 def score(docs: DataFrame, **how) -> DataFrame:
     """Figures and log10 probabilities of every document."""
     model = Model(docs, **how)
-    read, m = _labelled(model)
-    if model.fell(m[:-1]):
-        model.use(model.before)
-        read, m = _labelled(model)
-    return read.mapInArrow(_score(model.steps(m.astype(float)), model.tokens), _OUT)
+    told = model.told(model.state, True)
+    return model.parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(cogrouped(_score(_Plain(model), model.steps(model.m.astype(float)))), _OUT)
