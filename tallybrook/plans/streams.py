@@ -69,15 +69,20 @@ def stream_windows(spark, d):
     return last.select(F.col("window.start").cast("date").cast("string").alias("day"), "event_type", "n")
 
 
+def _customers(spark, d):
+    return S.table(spark, d, "customer").select(F.col("c_custkey").alias("task"))
+
+
 def generated_traces(spark, d):
-    """The versioned traces' labels under the batch rule: each family gives its own."""
-    e = G.versioned_traces(spark, 7)
+    """A versioned trace for each customer, and its labels under the batch rule: each family gives its own."""
+    e = G.versioned_traces(_customers(spark, d), 7)
     return M.oracle(e, ("family", "task")).filter("key = 'k0'").groupBy("family", "expected").agg(F.count("*").alias("n"))
 
 
 def generated_episodes(spark, d):
-    e = G.keyed_episodes(spark, 7)
-    return PM._answers(M.keyed(e), e).agg(F.count("*").alias("keys"), F.count("predicted").alias("held"))
+    """An episode for each customer: its keys, and how many of them a bounded memory still holds."""
+    e = G.keyed_episodes(_customers(spark, d), 7)
+    return PM._answers(M.keyed(e), e).groupBy("task").agg(F.count("*").alias("keys"), F.count("predicted").alias("held"))
 
 
 def queries() -> dict:
@@ -90,6 +95,17 @@ def oracle_sql() -> dict[str, str]:
         "stream_mem_source": state("source"),
         "stream_mem_protected": state("protected"),
         "stream_ledger": "SELECT event_type AS alias, count(*) AS n, CAST(sum(CASE WHEN event_type <> 'error' AND k % 10 <> 0 THEN 0 ELSE k + 100 END) AS BIGINT) AS held, count(*) FILTER (event_type <> 'error' AND k % 10 <> 0) AS settled FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events) GROUP BY 1",
+        "generated_traces": """WITH t AS (SELECT ['steady', 'update', 'revoke', 'conflict', 'resolve', 'replay'][c_custkey % 6 + 1] AS family FROM customer),
+moves(family, source, op, version, value, step) AS (VALUES ('update', 'a', 'P', 2, 'B', 0), ('update', 'b', 'P', 2, 'B', 1), ('revoke', 'a', 'R', 1, NULL, 0), ('revoke', 'b', 'R', 1, NULL, 1), ('conflict', 'a', 'P', 2, 'B', 0),
+  ('resolve', 'a', 'P', 2, 'B', 0), ('resolve', 'b', 'P', 2, 'B', 1), ('replay', 'a', 'P', 2, 'B', 0), ('replay', 'b', 'P', 2, 'B', 1), ('replay', 'a', 'P', 1, 'A', 2), ('replay', 'b', 'P', 1, 'A', 3)),
+ev AS (SELECT * FROM moves UNION ALL SELECT DISTINCT family, unnest(['a', 'b']), 'P', 1, 'A', -1 FROM t),
+top AS (SELECT *, max(version) OVER (PARTITION BY family, source) AS top FROM ev),
+src AS (SELECT family, source, bool_or(op = 'R' AND version = top) AS revoked, arg_max(value, step) FILTER (op = 'P' AND version = top) AS value FROM top GROUP BY ALL),
+act AS (SELECT family, coalesce(list_distinct(list(value) FILTER (NOT revoked AND value IS NOT NULL)), []) AS v FROM src GROUP BY family)
+SELECT family, CASE len(v) WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN v[1] ELSE 'CONFLICT' END AS expected, count(*) AS n FROM t JOIN act USING (family) GROUP BY ALL""",
+        "generated_episodes": """WITH e AS (SELECT c_custkey AS task, pos FROM customer, range(72) AS r(pos)), u AS (SELECT task, pos, CAST('0x' || substr(md5('7:' || task || ':' || pos || ':key'), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS k,
+  CAST('0x' || substr(md5('7:' || task || ':' || pos || ':kind'), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS kind FROM e)
+SELECT task, count(DISTINCT floor(k * 16)) AS keys, least(8, count(DISTINCT floor(k * 16))) AS held FROM u WHERE kind < 0.65 GROUP BY task""",
         "stream_feed": PR.oracle_sql()["feed_top80"],
         "stream_lifecycle": f"""WITH RECURSIVE e AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
 log AS (SELECT CAST(user_id AS VARCHAR) AS route, row_number() OVER w AS pos, CASE event_type WHEN 'click' THEN 'reserve' WHEN 'view' THEN 'progress' ELSE 'finish' END AS op, coalesce(max(CASE WHEN event_type = 'click' THEN event_id END) OVER w, -1) AS request,

@@ -1,8 +1,9 @@
-"""Synthetic event streams, from hashes: any partition makes its own rows, and every rerun makes the same."""
+"""Synthetic event streams for tasks that a table names, from digests: any partition makes its own rows, and every rerun
+makes the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Families of versioned traces.
@@ -10,23 +11,29 @@ FAMILIES = ("steady", "update", "revoke", "conflict", "resolve", "replay")
 
 
 def _unit(seed: int, *parts) -> Column:
-    """A number in [0, 1) for each combination of parts."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) for each combination of parts: the first 40 bits of an MD5 digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(p if isinstance(p, Column) else F.col(p).cast("string") for p in parts)))
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("double") / float(1 << 40)
 
 
-def keyed_episodes(spark: SparkSession, seed: int, episodes: int = 120, events: int = 72, share: float = 0.65, keys: int = 16) -> DataFrame:
+def _grid(tasks: DataFrame, per: int) -> DataFrame:
+    """Each task with the places 0 to per - 1."""
+    return tasks.select(F.col("task").cast("long").alias("task")).distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).withColumn("pos", F.col("pos").cast("long"))
+
+
+def keyed_episodes(tasks: DataFrame, seed: int, events: int = 72, share: float = 0.65, keys: int = 16) -> DataFrame:
     """task, pos, key (null: a distractor), value: each event has a key with probability `share`."""
-    grid = spark.range(episodes * events).select(F.expr(f"id DIV {events}").alias("task"), (F.col("id") % events).alias("pos"))
+    grid = _grid(tasks, events)
     key = F.concat(F.lit("k"), F.floor(_unit(seed, "task", "pos", F.lit("key")) * keys).cast("string"))
     is_keyed = _unit(seed, "task", "pos", F.lit("kind")) < share
     return grid.select("task", "pos", F.when(is_keyed, key).alias("key"), F.when(is_keyed, F.floor(_unit(seed, "task", "pos", F.lit("value")) * 10_000)).alias("value"))
 
 
-def versioned_traces(spark: SparkSession, seed: int, traces: int = 120, keys: int = 12, background: int = 64) -> DataFrame:
+def versioned_traces(tasks: DataFrame, seed: int, keys: int = 12, background: int = 64) -> DataFrame:
     """task, family, pos, op, key, source, version, value. Both sources first agree on every key; then the family's own
     transition happens to k0 among background puts and (16 %) revocations of other keys."""
     per = 2 * keys + background + 4
-    grid = spark.range(traces * per).select(F.expr(f"id DIV {per}").alias("task"), (F.col("id") % per).alias("pos"))
+    grid = _grid(tasks, per)
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("task") % len(FAMILIES) + 1).cast("int"))
     opening, late = F.col("pos") < 2 * keys, F.col("pos") - (2 * keys + background)
     u = lambda name: _unit(seed, "task", "pos", F.lit(name))

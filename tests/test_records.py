@@ -195,9 +195,9 @@ def test_frames_of_responses(spark):
 
 
 def test_generators_are_stable(spark):
-    a, b = (generate.versioned_traces(spark, 3, 12).orderBy("task", "pos").collect() for _ in range(2))
+    a, b = (generate.versioned_traces(spark.range(12).withColumnRenamed("id", "task"), 3).orderBy("task", "pos").collect() for _ in range(2))
     assert a == b and {r["family"] for r in a} == set(generate.FAMILIES)
-    e = generate.keyed_episodes(spark, 1, 10, 50)
+    e = generate.keyed_episodes(spark.range(10).withColumnRenamed("id", "task"), 1, 50)
     assert e.count() == 500 and 200 < e.filter("key IS NOT NULL").count() < 450
 
 
