@@ -619,4 +619,28 @@ UNION ALL SELECT 'project without record', CAST(c_custkey AS VARCHAR), 1 FROM cu
   UNION SELECT e.stage FROM ch JOIN edges e ON e.needs = ch.stage) SELECT stage, CASE WHEN stage IN (SELECT stage FROM ch) THEN 'pending' ELSE status END AS status FROM stages""",
         "dag_unfrozen": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE split = 'holdout' AND stage NOT IN (SELECT e.stage FROM edges e JOIN stages n ON n.stage = e.needs WHERE n.role = 'freeze' AND n.review)",
         "dag_leaks": f"WITH RECURSIVE {_DAG} SELECT stage FROM stages WHERE role IN ('proposal', 'literature') AND stage IN (SELECT u.stage FROM up u JOIN stages a ON a.stage = u.ancestor WHERE a.split = 'holdout')",
+        "manifest_build": man,
+        "manifest_diff": f"""WITH a AS (SELECT path, bytes, CASE WHEN CAST(path AS BIGINT) % 89 = 1 THEN 'bad' ELSE sha256 END AS s FROM ({man})), b AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS s FROM (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 101 <> 5))
+SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.s IS NULL THEN 'unlisted' WHEN NOT regexp_full_match(a.s, '[0-9a-f]{{64}}') THEN 'malformed' WHEN b.s IS NULL THEN 'missing' WHEN a.bytes <> b.bytes OR a.s <> b.s THEN 'changed' ELSE 'ok' END AS state FROM a FULL JOIN b ON a.path = b.path) WHERE state <> 'ok'""",
+        "evidence_gate": "WITH c AS (SELECT doc_id AS claim, unnest([doc_id, doc_id + 1, doc_id + 7]) AS ref FROM documents) SELECT claim, CAST(count(*) AS INT) AS n_refs, count(*) FILTER (ref NOT IN (SELECT doc_id FROM documents)) AS missing, count(*) FILTER (ref NOT IN (SELECT doc_id FROM documents)) = 0 AS open FROM c GROUP BY claim",
+        "dedupe_blobs": "SELECT sha256(text) AS sha256, min(printf('%012d', doc_id)) AS path, max(CAST(strlen(text) AS BIGINT)) AS bytes, count(*) AS copies FROM documents GROUP BY 1",
+        "redact": f"SELECT doc_id, sha256({_redacted}) AS redacted_sha256 FROM documents WHERE regexp_matches(text, '{'|'.join((*T.REDACTED, *SECRETS))}')",
+        "secret_scan": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS finding FROM documents WHERE {c}" for n, c in (*((n, f"regexp_matches(text, '{_RE2(p)}')") for n, p in FINDINGS), ("too large", f"strlen(text) > {LARGE}"))),
+        "share_scan": f"""WITH f AS (SELECT doc_id, text, lang, CASE WHEN n_chars > 9000 THEN source || '.ZIP' WHEN n_chars < 150 THEN '.env.example' WHEN n_chars < 300 THEN '.env' ELSE source || '.txt' END AS name FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, unnest(list_filter([CASE WHEN lang IN ('de', 'es') THEN 'private path' END, CASE WHEN name = '.env' THEN 'credential file' END, CASE WHEN strlen(text) > 5000000 OR lower(name) LIKE '%.zip' THEN 'large/binary artifact' END,
+  CASE WHEN {" OR ".join(f"regexp_matches(text, '{_RE2(p)}')" for p in T.CREDENTIALS)} THEN 'possible credential' END], lambda x: x IS NOT NULL)) AS finding FROM f""",
+        "locate_excerpt": "SELECT doc_id, item_id, CAST(instr(d.text, b.text) - 1 AS INT) AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+        "json_pointer": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
+        "evidence_calc": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'identity' ELSE 'difference' END AS op, round(CASE WHEN event_type = 'view' THEN CAST(props->>'$.k' AS DOUBLE) ELSE value - CAST(props->>'$.k' AS DOUBLE) END, 9) AS result FROM events",
+        "tex_escape": f"SELECT page_id, {tex} AS url FROM pages",
+        "path_rules": r"SELECT page_id, NOT regexp_matches(p, '^/|^[A-Za-z]:|(^|/)\.\.(/|$)') AND p <> '' AS safe FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '../' || t WHEN page_id % 7 = 0 THEN '/' || t ELSE t END AS p FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS t FROM pages))",
+        "stratified_sample": "SELECT lang, doc_id, CAST(row_number() OVER w AS INT) AS rn FROM documents WINDOW w AS (PARTITION BY lang ORDER BY sha256('20260930:' || doc_id), doc_id) QUALIFY row_number() OVER w <= 20",
+        "hash_shuffle": "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY sha256('v5-order:' || doc_id)) AS INT) AS place FROM documents",
+        "tabular_threshold": _TAB + " SELECT p, round(avg(CAST((x >= p) = (y <> 0) AS INT)), 9) AS score, count(*) AS n FROM tab, (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS p) GROUP BY p",
+        "tabular_linear": _TAB + " SELECT p, round(avg(pow(p * x - y, 2)), 6) AS score, count(*) AS n FROM tab, (SELECT unnest([0.1, 0.25, 0.5]::DOUBLE[]) AS p) GROUP BY p",
+        "comparison": _TAB + """, s AS (SELECT p, CASE WHEN id % 4 = 0 THEN 'holdout' ELSE 'development' END AS split, avg(CAST((x >= p) = (y <> 0) AS INT)) AS score, count(*) AS n FROM tab, (SELECT unnest([0.5, 2.0]::DOUBLE[]) AS p) WHERE p < 1 OR id % 4 > 0 OR id % 5 > 0 GROUP BY ALL)
+SELECT sha256('labels:' || a.n) AS dataset_sha256, 'accuracy' AS metric, 'maximize' AS direction, a.split, a.n, round(a.score, 9) AS before, round(b.score, 9) AS after, round(b.score - a.score, 9) AS gain, b.score - a.score > 0 AS improved FROM s a JOIN s b ON a.p = 0.5 AND b.p = 2.0 AND a.split = b.split AND a.n = b.n""",
+        "split_overlap": _TAB + " SELECT id FROM tab WHERE id % 3 = 0 INTERSECT SELECT id FROM tab WHERE id % 5 = 0",
+        "unique_ids": _TAB + " SELECT id % 97 AS id, count(*) AS n FROM tab GROUP BY 1 HAVING count(*) > 1",
+        "proposal_dupes": "SELECT event_id AS pos, sha256(event_type || '|' || props) AS fingerprint, CAST(row_number() OVER w AS INT) AS nth FROM events WINDOW w AS (PARTITION BY event_type || '|' || props ORDER BY event_id) QUALIFY row_number() OVER w > 1",
     }
