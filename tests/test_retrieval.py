@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import unicodedata
@@ -49,6 +50,22 @@ def test_ties_go_to_the_later_document(turns, spark):
     assert [r["doc_i"] for r in R.ranked(R.scores(R.documents(turns), q), "bm25").orderBy("rn").collect()] == [2, 1, 0]
 
 
+WORDS = "harbor lantern meadow orchard pebble thicket".split()
+
+
+def same_weights():
+    """Texts of the same words, in which the same counts go to other words: scores are sums of the same weights."""
+    return [" ".join(" ".join([w] * k) for w, k in zip(WORDS, counts, strict=True)) for counts in itertools.islice(itertools.permutations((1, 2, 4, 7, 11, 16)), 0, None, 9)]
+
+
+def test_sums_of_the_same_weights_tie(spark):
+    rows = [(1, i, 0, "user", t) for i, t in enumerate(same_weights())]
+    docs = R.documents(spark.createDataFrame(rows, "uid long, session long, turn long, role string, text string"))
+    scored = R.scores(docs, spark.createDataFrame([(1, "q", " ".join(WORDS))], "uid long, dim string, query string"))
+    assert scored.select("score").distinct().count() == 1
+    assert [r["doc_i"] for r in R.ranked(scored, "rrf").orderBy("rn").collect()] == [*range(len(rows))][::-1]
+
+
 @pytest.mark.parametrize("strategy", R.STRATEGIES)
 def test_packs_fit(turns, query, strategy):
     ranked = R.ranked(R.scores(R.documents(turns), query), strategy)
