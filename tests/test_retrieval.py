@@ -66,6 +66,14 @@ def test_sums_of_the_same_weights_tie(spark):
     assert [r["doc_i"] for r in R.ranked(scored, "rrf").orderBy("rn").collect()] == [*range(len(rows))][::-1]
 
 
+def test_sums_of_the_same_weights_tie_in_sentences(spark):
+    text = " ".join(f"{t}." for t in same_weights())
+    docs = R.documents(spark.createDataFrame([(1, 0, 0, "user", text)], "uid long, session long, turn long, role string, text string"), "sentence")
+    scored = R.scores(docs, spark.createDataFrame([(1, "q", " ".join(WORDS))], "uid long, dim string, query string"))
+    got = [r["doc_i"] for r in R.ranked(scored, "rrf").orderBy("rn").collect()]
+    assert got == [*range(len(same_weights()))][::-1]
+
+
 @pytest.mark.parametrize("strategy", R.STRATEGIES)
 def test_packs_fit(turns, query, strategy):
     ranked = R.ranked(R.scores(R.documents(turns), query), strategy)
