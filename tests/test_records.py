@@ -1,5 +1,6 @@
 import hashlib
 import json
+import pathlib
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from tallybrook.operators import lineage as L
 from tallybrook.operators import records as R
 from tallybrook.plans import records as PR
 from tallybrook.sources import files, generate
+from tallybrook.sources.shared import shared_folder
 
 
 def results(spark, rows):
@@ -124,6 +126,42 @@ def test_diamonds_and_cycles(spark):
     assert L.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "stage long, needs long")).count() == 9
 
 
+def closure(edges):
+    """All pairs, by walking from each stage."""
+    below, pairs = {}, set()
+    for s, n in edges:
+        below.setdefault(s, set()).add(n)
+    for s in below:
+        known, todo = set(), list(below[s])
+        while todo:
+            if (x := todo.pop()) not in known:
+                known.add(x)
+                todo += below.get(x, ())
+        pairs |= {(s, x) for x in known}
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 25, 1000])
+def test_ancestors_by_regions(spark, stretch):
+    """Cycles, edges given twice, and edges within and between regions of any size; each pair once."""
+    rng = random.Random(stretch)
+    near = [(i, max(0, i - rng.randrange(1, 4))) for i in range(1, 90) for _ in range(2)]
+    edges = near + [(rng.randrange(90), rng.randrange(120)) for _ in range(12)] + [(40, 44), (200, 201), (201, 200), (202, 202)]
+    rows = spark.createDataFrame([(f"s{s}", f"s{n}", s // stretch) for s, n in edges], "stage string, needs string, place int").repartition(5)
+    got = L.ancestors(rows, ("place",), part=20).collect()
+    assert sorted((int(r["stage"][1:]), int(r["ancestor"][1:])) for r in got) == closure(edges)
+
+
+def test_pairs_of_ancestors_are_not_written(spark, tmp_path):
+    size = lambda: sum(p.stat().st_size for p in pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.is_file())
+    spark.range(2000).selectExpr(
+        "id AS o_orderkey", "id % 10 AS o_custkey", "'F' AS o_orderstatus", "1.0D AS o_totalprice", "TIMESTAMP '2020-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    before = size()
+    assert PR.queries()["dag_ancestors"](spark, str(tmp_path)).count() == 10 * 200 * 199 // 2
+    assert size() - before < 500_000
+
+
 def test_event_log_tail(spark, tmp_path):
     log = tmp_path / "events.jsonl"
     log.write_text("\n".join(json.dumps({"time": f"t{i:03d}", "event": "e", "extra": 1}) for i in range(150)) + '\n{"time": "t')
