@@ -74,6 +74,30 @@ def test_sums_of_the_same_weights_tie_in_sentences(spark):
     assert got == [*range(len(same_weights()))][::-1]
 
 
+def test_exact_sums_are_rounded_once(spark):
+    rng = np.random.default_rng(7)
+    groups = [rng.uniform(0, 10, n) * 10.0 ** -rng.integers(0, 6, n) for n in rng.integers(1, 40, 300)]
+    rows = [(i, float(x)) for i, g in enumerate(groups) for x in g]
+    got = spark.createDataFrame(rows, "i int, x double").repartition(5, "x").groupBy("i").agg(R.exact_sum(F.col("x")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in got} == {i: math.fsum(g) for i, g in enumerate(groups)}
+
+
+@pytest.mark.parametrize(("n", "df"), [(15, {"alpha": 1, "beta": 7, "gamma": 2, "delta": 4}), (13, {"alpha": 1, "beta": 7, "gamma": 2, "delta": 4})])
+def test_scores_of_two_words_are_sums_of_doubles(spark, n, df):
+    """1.5 * 7.5 = 2.5 * 4.5, so the two sentences of two words differ in the last digit of a sum, or not at all."""
+    single = [w for w, k in df.items() for _ in range(k - 1)]
+    parts = [*single, *["the"] * (n - 2 - len(single)), "gamma delta", "alpha beta"]
+    docs = R.documents(spark.createDataFrame([(1, 0, 0, "user", " ".join(f"{p}." for p in parts))], "uid long, session long, turn long, role string, text string"), "sentence")
+    got = R.scores(docs, spark.createDataFrame([(1, "q", " ".join(df))], "uid long, dim string, query string"))
+    avg = sum(df.values()) / n
+
+    def weight(word, length):
+        return math.log(1 + (n - df[word] + 0.5) / (df[word] + 0.5)) * 1 * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / max(1.0, avg)))
+
+    want = {i: sum(weight(w, len(p.split())) for w in p.split() if w != "the") for i, p in enumerate(parts)}
+    assert {r["doc_i"]: r["score"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("strategy", R.STRATEGIES)
 def test_packs_fit(turns, query, strategy):
     ranked = R.ranked(R.scores(R.documents(turns), query), strategy)
